@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, media, packing, token_files
+from . import bpe, exact_dedup, media, packing, suffix_dedup, token_files
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -44,6 +44,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.stored(media.text_media(documents(spark, sf_dir)))
     found = media.media_features(stored, with_tile=False)
@@ -56,7 +61,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_exact_dedup, op4_bpe_round_trip, op5_best_fit_packing, op7_token_files, op9_media_columns]
+    found = [op2_exact_dedup, op4_bpe_round_trip, op5_best_fit_packing, op7_token_files, op8_suffix_array_dedup, op9_media_columns]
     return {f.__name__: f for f in found}
 
 
