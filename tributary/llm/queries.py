@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, media, packing, suffix_dedup, token_files
+from . import bpe, exact_dedup, media, ngram_join, packing, suffix_dedup, token_files
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -22,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
@@ -61,7 +65,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_exact_dedup, op4_bpe_round_trip, op5_best_fit_packing, op7_token_files, op8_suffix_array_dedup, op9_media_columns]
+    found = [op1_ngram_jaccard_join, op2_exact_dedup, op4_bpe_round_trip, op5_best_fit_packing, op7_token_files, op8_suffix_array_dedup, op9_media_columns]
     return {f.__name__: f for f in found}
 
 
