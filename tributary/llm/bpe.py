@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, mix, prefix_hash, range_hash, slices, utf8
+from .common import BYTE_VALUES, distinct, mix, prefix_hash, range_hash, slices, utf8
 
 WINDOW = 16
 #: One position in 2**CUT_BITS ends a chunk.
@@ -67,7 +67,7 @@ def _segments(data: np.ndarray, at: np.ndarray):
     else:
         left = right = np.empty(0, np.int64)
     ends = np.concatenate([at, left, right])
-    edge = np.unique(ends)
+    edge = distinct(ends)
     core = np.ones(max(len(edge) - 1, 0), bool)
     core[np.searchsorted(edge, left)] = False
     hashes = mix(range_hash(h, edge[:-1], edge[1:]) ^ np.diff(edge).astype(np.uint64)) if len(edge) > 1 else np.empty(0, np.uint64)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, slices, utf8, words
+from .common import components, distinct, materialize, mix, slices, utf8, words
 
 #: Counters of the frequency table, 4 bytes each.
 SLOTS_LOG2 = 20
@@ -39,7 +39,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarra
         gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(gram)])
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if b - a >= n:
-            yield np.unique(gram[a : b - n + 1])
+            yield distinct(gram[a : b - n + 1])
         elif b > a:
             short = np.zeros(1, np.uint64)
             for k in range(a, b):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, media, ngram_join, packing, suffix_dedup, token_files
+from . import bpe, exact_dedup, media, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -42,6 +42,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.rated(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark)
     token_files.write_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), path)
@@ -64,8 +69,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.flagged(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_exact_dedup, op4_bpe_round_trip, op5_best_fit_packing, op7_token_files, op8_suffix_array_dedup, op9_media_columns]
+    found = [op1_ngram_jaccard_join, op2_exact_dedup, op4_bpe_round_trip, op5_best_fit_packing, op6_quality_classifier, op7_token_files, op8_suffix_array_dedup, op9_media_columns, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
