@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, media, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
+from . import bpe, exact_dedup, line_dedup, media, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -30,6 +30,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="largest")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
     encoded = bpe.encode(documents(spark, sf_dir), path)
@@ -75,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_exact_dedup, op4_bpe_round_trip, op5_best_fit_packing, op6_quality_classifier, op7_token_files, op8_suffix_array_dedup, op9_media_columns, op10_toxicity]
+    found = [op1_ngram_jaccard_join, op2_exact_dedup, op3_line_dedup, op4_bpe_round_trip, op5_best_fit_packing, op6_quality_classifier, op7_token_files, op8_suffix_array_dedup, op9_media_columns, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
