@@ -24,11 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, materialize, mix, prefix_hash, range_hash, slices, spread, utf8
+from .common import BASE, BYTE_VALUES, materialize, mix, powers, prefix_hash, range_hash, slices, spread, utf8
 
 ANCHOR = 24
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES = 1 << 21
+#: Bytes of text whose anchors are sought at once, so that numpy's temporaries stay in a core's cache.
+SLICE = 1 << 17
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 6 << 20
 #: An anchor with so many different regions in one chunk, or in all, is hot.
@@ -86,21 +88,27 @@ class Regions:
         self.at = np.frombuffer(at, np.int64)
         most = np.iinfo(np.int64).max
         self.ids = np.array([most if x is None else x for x in ids], np.int64)
-        parts = [self._anchors(int(self.at[i]), self.data[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i]) for i, j in slices(self.at)]
-        self.key, self.pos, self.first, self.last, self.region, doc = (np.concatenate(x) if parts else np.empty(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 6))
-        self.key, self.region = self.key.astype(np.uint64), self.region.astype(np.uint64)
+        parts = [self._anchors(int(self.at[i]), self.data[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i]) for i, j in slices(self.at, SLICE)]
+        self.key, self.first, self.last, self.region = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
         self.doc = self.ids[np.searchsorted(self.at, self.first, "right") - 1] if len(self.first) else np.empty(0, np.int64)
         # the different (anchor, region), each with the smallest document; others of a larger document are repeats
-        order = np.lexsort((self.doc, self.region, self.key))
-        k, r = self.key[order], self.region[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+        order = np.argsort(self.key)
+        k = self.key[order]
+        twin = np.zeros(len(k), bool)
+        twin[1:] = k[1:] == k[:-1]
+        several = twin.copy()
+        several[:-1] |= twin[1:]
+        x = order[several]
+        order[several] = x[np.lexsort((self.first[x], self.doc[x], self.region[x], self.key[x]))]
+        r = self.region[order]
+        new = ~twin
+        new[1:] |= r[1:] != r[:-1]
         self.entry = np.empty(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.lead = order[new]
         self.repeat = self.doc > self.doc[self.lead][self.entry] if len(order) else np.empty(0, bool)
         key = self.key[self.lead]
-        self.bucket = (key % np.uint64(buckets)).astype(np.int64)
+        self.bucket = (key % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         # an anchor with many regions here sends the first HOT_HERE of them only
         start = np.ones(len(key), bool)
         start[1:] = key[1:] != key[:-1]
@@ -111,56 +119,38 @@ class Regions:
         self.order = self.order[np.argsort(self.bucket[self.order], kind="stable")]
 
     def _anchors(self, base: int, data: np.ndarray, at: np.ndarray):
-        n, width = len(data), self.length - ANCHOR + 1
-        empty = np.empty(0, np.int64)
-        if n < self.length:
-            return (empty,) * 6
+        """(key, first and last start of the region's strings, hash of the region) of each anchor occurrence of a slice of documents."""
+        n, width, length = len(data), self.length - ANCHOR + 1, self.length
+        none = np.empty(0, np.int64)
+        if n < length:
+            return none.astype(np.uint64), none, none, none.astype(np.uint64)
         h = prefix_hash(BYTE_VALUES[data])
-        here = np.arange(n - ANCHOR + 1)
-        key = mix(range_hash(h, here, here + ANCHOR))
-        # least key of each window
-        least, s = key, 1
+        key = (h[ANCHOR:] - h[:-ANCHOR]) * powers(BASE, n)[: n - ANCHOR + 1]
+        # hash above, place below: the least of a window is the leftmost of its least anchors
+        order = key ^ (key >> np.uint64(29))
+        order *= np.uint64(0x9E3779B97F4A7C15)
+        order &= np.uint64(0xFFFFFFFF << 32)
+        order |= np.arange(n - ANCHOR + 1, dtype=np.uint64)
+        least, s = order, 1
         while s * 2 <= width:
             least = np.minimum(least[:-s], least[s:])
             s *= 2
         if width > s:
             least = np.minimum(least[: len(least) - (width - s)], least[width - s :])
-        windows = len(least)
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[:windows]
-        good = here[:windows] + self.length <= at[doc + 1]
-        # next place at or after each window's start with the window's least key
-        change = np.ones(windows, bool)
-        change[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~good[:-1]
-        change &= good
+        good = np.ones(len(least) + 1, bool)
+        good[-1] = False
+        for end in at[1:].tolist():
+            good[max(0, end - length + 1) : end] = False
+        turn = np.ones(len(least) + 1, bool)
+        turn[1:-1] = least[1:] != least[:-1]
+        change = turn[:-1] & good[:-1]
+        change[1:] |= good[1:-1] & ~good[:-2]
         first = np.flatnonzero(change)
-        if not len(first):
-            return (empty,) * 6
-        place = np.full(len(first), -1)
-        todo = np.arange(len(first))
-        for k in range(width):
-            hit = key[first[todo] + k] == least[first[todo]]
-            place[todo[hit]] = first[todo[hit]] + k
-            todo = todo[~hit]
-            if not len(todo):
-                break
-        # a run of windows with one least key may hold it twice (a periodic text): its anchor is the first place, wherever the run goes on
-        stop = np.flatnonzero(good[:windows] & np.concatenate([change[1:] | ~good[1:], [True]]))
-        last = stop[np.searchsorted(stop, first)]
-        late = np.flatnonzero(last > place)
-        if len(late):  # windows that start after the anchor: cut the run there, again and again
-            add = []
-            for i in late.tolist():
-                a, b, p = int(first[i]), int(last[i]), int(place[i])
-                last[i] = p
-                a = p + 1
-                while a <= b:
-                    p = a + int(np.flatnonzero(key[a : a + width] == least[a])[0])
-                    add.append((a, min(b, p), p))
-                    a = p + 1
-            more = np.array(add, np.int64).reshape(-1, 3)
-            first, last, place = np.concatenate([first, more[:, 0]]), np.concatenate([last, more[:, 1]]), np.concatenate([place, more[:, 2]])
-        region = mix(range_hash(h, first, last + self.length) ^ ((last - first).astype(np.uint64) * np.uint64(0x9E37) + (place - first).astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03))
-        return key[place], place + base, first + base, last + base, region, doc[first]
+        last = np.flatnonzero(good[:-1] & (turn[1:] | ~good[1:]))
+        place = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        shape = ((last - first).astype(np.uint64) * np.uint64(0x9E37) + (place - first).astype(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+        region = mix(range_hash(h, first, last + length) ^ shape)
+        return mix(key[place]), first + base, last + base, region
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
         """(bucket, message) with the keys, regions and documents of the entries sent, bucket by bucket."""
@@ -334,14 +324,15 @@ def suffix_order(text: np.ndarray, start: np.ndarray, group: np.ndarray, length:
     A bottom-up mergesort of all groups at once: an element's place in a merge is its own index plus its rank in the other run,
     found by binary search; a comparison finds the common extension by binary search over prefix polynomial hashes.
     """
-    h = prefix_hash(BYTE_VALUES[text])
+    h, power = prefix_hash(BYTE_VALUES[text]), powers(BASE, len(text) + 1)
     steps = int(length).bit_length()
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.zeros(len(a), np.int64), np.full(len(a), length)
+        ha, hb, pa, pb = h[a], h[b], power[a], power[b]
         for _ in range(steps):
             mid = (low + high + 1) >> 1
-            same = range_hash(h, a, a + mid) == range_hash(h, b, b + mid)
+            same = (h[a + mid] - ha) * pa == (h[b + mid] - hb) * pb
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
@@ -352,9 +343,16 @@ def suffix_order(text: np.ndarray, start: np.ndarray, group: np.ndarray, length:
         return np.where(n == length, or_equal, x < y)
 
     n = len(start)
-    order = np.arange(n)
-    new = np.ones(n, bool)
-    new[1:] = group[1:] != group[:-1]
+    # the first eight bytes part most suffixes; what they leave together is merged
+    head = np.zeros(n, np.uint64)
+    for k in range(min(8, length)):
+        head = (head << np.uint64(8)) | text[start + k]
+    order = np.lexsort((head, group))
+    head, group = head[order], group[order]
+    apart = np.ones(n, bool)
+    apart[1:] = group[1:] != group[:-1]
+    new = apart.copy()
+    new[1:] |= head[1:] != head[:-1]
     first = np.flatnonzero(new)
     size = np.diff(np.concatenate([first, [n]]))
     begin, many = np.repeat(first, size), np.repeat(size, size)
@@ -383,7 +381,7 @@ def suffix_order(text: np.ndarray, start: np.ndarray, group: np.ndarray, length:
         order = merged
         run *= 2
     same = np.zeros(n, np.int64)
-    inner = np.flatnonzero(~new)
+    inner = np.flatnonzero(~apart)
     if len(inner):
         same[inner] = common(start[order[inner - 1]], start[order[inner]])
     return order, same
@@ -409,13 +407,13 @@ def sort_parts(messages: list[bytes], length: int) -> list[bytes]:
     by = np.argsort(key, kind="stable")
     begin = np.cumsum(size) - size
     gone = np.zeros(int(size.sum()), bool)
-    # groups of anchors, some hundred thousand suffixes at a time
+    # groups of anchors, some ten thousand suffixes at a time
     ends = np.cumsum(size[by])
     edge = np.flatnonzero(np.concatenate([key[by][1:] != key[by][:-1], [True]])) + 1
     a = 0
     while a < len(by):
         done = ends[a - 1] if a else 0
-        b = int(edge[min(len(edge) - 1, np.searchsorted(edge, np.searchsorted(ends, done + 200_000, "right"), "left"))])
+        b = int(edge[min(len(edge) - 1, np.searchsorted(edge, np.searchsorted(ends, done + 60_000, "right"), "left"))])
         b = b if b > a else int(edge[np.searchsorted(edge, a, "right")])
         x = by[a:b]
         start, group, d, own = spread(size[x], at[x]), np.repeat(key[x], size[x]), np.repeat(doc[x], size[x]), spread(size[x], begin[x])
