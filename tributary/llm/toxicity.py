@@ -59,16 +59,30 @@ def _distinct(slot: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.nd
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> bytes:
     """Weights (float32, the bias last), by proximal gradient steps on the log loss of the noisy-or with an L1 penalty."""
     data, at = joined(texts)
-    slot, sentence, _, _, document = sentences(data, at)
-    slot, sentence = _distinct(slot, sentence)
     # only words that speak for label 1 have weights: in two of its documents at least, and LIFT times as often as under label 0
-    pair = distinct((document[sentence].astype(np.int64) << SLOTS_LOG2) | slot)
-    word, positive = pair & ((1 << SLOTS_LOG2) - 1), labels[pair >> SLOTS_LOG2] > 0
-    often = np.bincount(word[positive], minlength=1 << SLOTS_LOG2)
-    other = np.bincount(word[~positive], minlength=1 << SLOTS_LOG2)
-    keep = ((often >= 2) & (often * max(1, (1 - labels).sum()) >= LIFT * other * max(1, labels.sum())))[slot]
-    used, where = np.unique(slot[keep], return_inverse=True)
-    live, sentence_of = np.unique(sentence[keep], return_inverse=True)
+    often, other = np.zeros(1 << SLOTS_LOG2, np.int64), np.zeros(1 << SLOTS_LOG2, np.int64)
+
+    def parts():
+        for i, j in slices(at):
+            slot, sentence, _, _, document = sentences(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            yield (*_distinct(slot, sentence), document + i)
+
+    for slot, sentence, document in parts():
+        pair = distinct((document[sentence].astype(np.int64) << SLOTS_LOG2) | slot)
+        word, positive = pair & ((1 << SLOTS_LOG2) - 1), labels[pair >> SLOTS_LOG2] > 0
+        often += np.bincount(word[positive], minlength=1 << SLOTS_LOG2)
+        other += np.bincount(word[~positive], minlength=1 << SLOTS_LOG2)
+    telling = (often >= 2) & (often * max(1, (1 - labels).sum()) >= LIFT * other * max(1, labels.sum()))
+    slots, owners, documents, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    for slot, sentence, document in parts():
+        keep = telling[slot]
+        slots.append(slot[keep])
+        owners.append(sentence[keep] + n)
+        documents.append(document)
+        n += len(document)
+    slot, sentence, document = np.concatenate(slots), np.concatenate(owners), np.concatenate(documents)
+    used, where = np.unique(slot, return_inverse=True)
+    live, sentence_of = np.unique(sentence, return_inverse=True)
     docs, n, b = len(texts), len(live), BIAS
     # all other sentences keep the bias as their logit
     rest = (np.bincount(document, minlength=docs) - np.bincount(document[live], minlength=docs)) * np.log1p(-sigmoid(np.array(b)))
