@@ -127,6 +127,25 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+#: Bits of a bitmap of hashes: 4 MB, whatever the number of hashes.
+BITS_LOG2 = 25
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """(bucket, bits): at most 2**(BITS_LOG2 - 15) rows of 4 kB, for the column ``h``."""
+    place = F.col("h").bitwiseAND(F.lit((1 << BITS_LOG2) - 1))
+    return hashes.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+
+
+def within(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with the column __in: whether the bit of ``h`` is set, as it is for all of the bitmap's hashes and a few others."""
+    place = F.col("h").bitwiseAND(F.lit((1 << BITS_LOG2) - 1))
+    bits = F.broadcast(marks.withColumnRenamed("bucket", "__bucket"))
+    marked = rows.withColumn("__place", place).join(bits, F.shiftright("__place", 15) == F.col("__bucket"), "left")
+    byte = F.expr("cast(conv(hex(substring(bits, cast((__place & 32767) div 8 as int) + 1, 1)), 16, 10) as int)")
+    return marked.withColumn("__in", F.coalesce(F.getbit(byte, F.col("__place").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("__place", "__bucket", "bits")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) with label = the smallest node reachable, for the undirected ``edges`` (a, b); nodes without edges have no row.
 

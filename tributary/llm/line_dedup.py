@@ -15,27 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import bitmap, components, materialize, within
 
 #: Shorter lines, in characters, are nobody's copies.
 MIN_CHARS = 24
 EDITS = 2
-BITS_LOG2 = 25
-
-
-def _bitmap(hashes: DataFrame) -> DataFrame:
-    """(bucket, bits): at most 2**(BITS_LOG2 - 15) rows of 4 kB, for the column ``h``."""
-    place = F.col("h").bitwiseAND(F.lit((1 << BITS_LOG2) - 1))
-    return hashes.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
-
-
-def _within(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The rows whose ``h`` has its bit set (all that are in the bitmap's hashes, and a few others)."""
-    place = F.col("h").bitwiseAND(F.lit((1 << BITS_LOG2) - 1))
-    bits = F.broadcast(bitmap.withColumnRenamed("bucket", "__bucket"))
-    marked = rows.withColumn("__place", place).join(bits, F.shiftright("__place", 15) == F.col("__bucket"), "left")
-    byte = F.expr("cast(conv(hex(substring(bits, cast((__place & 32767) div 8 as int) + 1, 1)), 16, 10) as int)")
-    return marked.withColumn("__in", F.coalesce(F.getbit(byte, F.col("__place").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("__place", "__bucket", "bits")
 
 
 def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -80,14 +64,14 @@ def line_classes(lines: DataFrame, edits: int) -> DataFrame:
     at = F.struct(F.col("doc").isNull().alias("no"), F.col("doc"), F.col("row"), F.col("pos"))
     known = materialize(lines.groupBy("id", "h").agg(F.min(at).alias("first"), F.count("*").alias("times")), "lines")
     # a line that occurs once needs no grouping; those that may occur often come together
-    marked = _within(lines.select("line", "n", "id", "h"), _bitmap(known.where("times > 1")))
+    marked = within(lines.select("line", "n", "id", "h"), bitmap(known.where("times > 1")))
     each = marked.where(~F.col("__in")).unionByName(marked.where("__in").dropDuplicates(["id", "h"])).select("line", "n", "h")
     index = each.select("h", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     probes = each.where(F.col("n") >= edits + 1).select("h", F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     met = index.withColumnRenamed("h", "g").join(probes, "key").where("g <> h")
     pairs = materialize(met.select(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y")).distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("x", "y")).alias("h"))
-    texts = _within(lines.select("line", "id", "h"), _bitmap(ends)).where("__in").dropDuplicates(["id", "h"]).select("line", "id", "h")
+    texts = within(lines.select("line", "id", "h"), bitmap(ends)).where("__in").dropDuplicates(["id", "h"]).select("line", "id", "h")
     texts = materialize(texts, "candidates")
     x, y = texts.select(F.col("h").alias("x"), F.col("line").alias("s"), F.col("id").alias("a")), texts.select(F.col("h").alias("y"), F.col("line").alias("t"), F.col("id").alias("b"))
     close = pairs.join(x, "x").join(y, "y").where(F.levenshtein("s", "t", edits) >= 0).select("a", "b")
@@ -110,7 +94,7 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_
     docs = docs.drop("n_lines", "n_removed")
     lines = lines_of(docs, id_col, text_col, min_chars)
     classes = line_classes(lines, edits)
-    found = _within(lines.select("doc", "row", "pos", "id", "h"), _bitmap(classes)).where("__in").drop("__in", "h")
+    found = within(lines.select("doc", "row", "pos", "id", "h"), bitmap(classes)).where("__in").drop("__in", "h")
     found = found.join(classes.drop("h"), "id")
     first = (F.col("first.doc").eqNullSafe(F.col("doc"))) & (F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))
     gone = found.where(~first).groupBy("doc", "row").agg(F.collect_set("pos").alias("__gone"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, distinct, materialize, mix, slices, utf8, words
+from .common import bitmap, components, distinct, materialize, mix, slices, utf8, within, words
 
 #: Counters of the frequency table, 4 bytes each.
 SLOTS_LOG2 = 20
@@ -235,9 +235,6 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         least = F.expr(f"ceil({percent} * ({n1} + {n2}) / {100 + percent}.0)")
         return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2)) >= least)
 
-    # whole sets of all documents that share a prefix n-gram with another
-    wanted = entries.select("fp").distinct().join(classes, "fp").select(F.col("rep").alias("doc"), F.lit(True).alias("wanted")).distinct()
-
     def whole(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -247,9 +244,6 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 found = [s for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(fingerprint(s).view(np.int64)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "grams"])
 
-    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["doc"]), "left_semi").select("body")
-    grams = materialize(texts.mapInArrow(whole, "fp long, grams binary"), "sets")
-
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The links (a, b) among the pairs: the suffix filter on counts by range, then the intersection of the whole sets."""
         sig = classes.select("fp", "sig")
@@ -266,6 +260,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 yield batch.filter(pa.array(apart <= n1 + n2 - 2 * least_overlap(n1, n2, percent))).select(["a", "b"])
 
         near = near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(close, "a long, b long")
+        near = materialize(near, f"{name}-pairs")
+        # whole sets of one document for each set in question; the bitmap lets few others through
+        ends = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
+        texts = within(rows.withColumn("h", F.xxhash64("doc")), bitmap(ends.select(F.xxhash64("rep").alias("h")))).where("__in").select("body")
+        grams = texts.mapInArrow(whole, "fp long, grams binary").join(ends.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+        grams = materialize(grams, f"{name}-sets")
 
         def alike(batches: Iterator) -> Iterator:
             import pyarrow as pa
