@@ -21,7 +21,7 @@ def interest_label(x: str | Column) -> Column:
 
 def clean_labels(x: str | Column, most: int = 200) -> Column:
     """Trimmed labels of 1 to ``most`` characters, of equal ones (by ``interest_label``) the first spelling."""
-    ok = F.filter(F.transform(_c(x), F.trim), lambda v: (F.char_length(v) >= 1) & (F.char_length(v) <= most))
+    ok = F.filter(F.transform(_c(x), lambda v: F.trim(v)), lambda v: (F.char_length(v) >= 1) & (F.char_length(v) <= most))
     return F.filter(ok, lambda v, i: F.array_position(F.transform(ok, interest_label), interest_label(v)) == i + 1)
 
 
@@ -51,7 +51,7 @@ def compact(title: str | Column, text: str | Column, evidence: str | Column, lon
 def evidence(candidates: str | Column, source: str | Column, most_bytes: int = 400, most: int = 3) -> Column:
     """Candidates that the source has word for word: trimmed, of 1 to ``most_bytes`` bytes, each once, ``most`` at most."""
     s = _c(source)
-    ok = F.filter(F.transform(_c(candidates), F.trim), lambda v: (v != "") & (F.octet_length(v) <= most_bytes) & s.contains(v))
+    ok = F.filter(F.transform(_c(candidates), lambda v: F.trim(v)), lambda v: (v != "") & (F.octet_length(v) <= most_bytes) & s.contains(v))
     return F.slice(F.array_distinct(ok), 1, most)
 
 
