@@ -261,11 +261,10 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
         near = near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(close, "a long, b long")
         near = materialize(near, f"{name}-pairs")
-        # whole sets of one document for each set in question; the bitmap lets few others through
+        # whole sets of one document for each set in question, straight from the scan; the few others that the bitmap lets through meet no pair
         ends = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
         texts = within(rows.withColumn("h", F.xxhash64("doc")), bitmap(ends.select(F.xxhash64("rep").alias("h")))).where("__in").select("body")
-        grams = texts.mapInArrow(whole, "fp long, grams binary").join(ends.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
-        grams = materialize(grams, f"{name}-sets")
+        grams = materialize(texts.mapInArrow(whole, "fp long, grams binary"), f"{name}-sets")
 
         def alike(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -283,7 +282,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         b = grams.select(F.col("fp").alias("b"), F.col("grams").alias("grams_b"))
         a = grams.select(F.col("fp").alias("a"), F.col("grams").alias("grams_a"))
         full = near.join(b, "b").join(a, "a").select("a", "b", "grams_a", "grams_b")
-        return materialize(full.mapInArrow(alike, "a long, b long"), name)
+        return materialize(full.mapInArrow(alike, "a long, b long").distinct(), name)
 
     star = entries.where("fp <> hub").where(possible("n", "pos", "hub_n", "hub_pos"))
     star = star.groupBy("fp", "n", "hub", "hub_n").agg(F.count("*").alias("common"))
