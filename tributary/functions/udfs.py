@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def utf8_split(x: pd.Series, n: pd.Series) -> pd.Series:
     """Pieces of at most n bytes, cut between characters; an empty text is one empty piece, a character longer than n a piece of its own."""
 
@@ -34,7 +35,7 @@ def utf8_split(x: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([pieces(t, int(m)) for t, m in zip(x, n, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(x: pd.Series) -> pd.Series:
     """Text of HTML: links' text stays, pictures, scripts and styles go, blocks end lines."""
     from html.parser import HTMLParser
