@@ -35,5 +35,6 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id"
 
 def deduplicate(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns (a row with a null id stays only where its whole group has none)."""
-    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    same = docs[id_col].eqNullSafe(kept["__id"]) & (F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256) == kept["__sha"])
+    return docs.join(kept, same, "left_semi")
