@@ -6,13 +6,16 @@ characters at most; so every line's segments are indexed by (number, length of t
 probes the index of its own length and the lengths down to ``edits`` less, at the places that the multi-match-aware rule
 leaves. Candidate pairs are verified once, by Spark's edit distance, which works in a band as wide as the threshold.
 
+Variants of one line by the thousand share their segments. Each is paired with one hub of every key first, and only lines of different
+components are paired after that, if their counts of characters by class lie within 2 * edits, as those of close lines do.
+
 Equal lines are one line in all this. Which lines are worth shuffling as text is told by bitmaps of their hashes
 of a fixed size (2**BITS_LOG2 bits), broadcast: a bit that is set by chance costs work, never a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, components, materialize, within
@@ -20,6 +23,8 @@ from .common import bitmap, components, materialize, within
 #: Shorter lines, in characters, are nobody's copies.
 MIN_CHARS = 24
 EDITS = 2
+#: Classes of characters for the histograms.
+CLASSES = ("aA", "eE", "iI", "oO", "uU", "tT", "nN", "sS", "rR", "hH", "dDlL", "cCmM", "bBgGpPwWvV", " ", ".,!?;:", "0123456789")
 
 
 def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -37,26 +42,34 @@ def _key(i: int, n: Column, part: Column) -> Column:
     return F.xxhash64(F.lit(i), n.cast("int"), part)
 
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
-    return F.array(*[_key(i, n, F.substring(line, a, b)) for i, (a, b) in enumerate(segments(n, edits))])
-
-
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Keys of the substrings that a line of a length from n - edits to n may have in common with this one."""
+def line_keys(line: Column, n: Column, edits: int) -> Column:
+    """Array of (key, index): the line's own segments (which it probes too), and the substrings that a line of a length from n - edits to n may have in common with this one."""
     keys = []
     for delta in range(edits + 1):
         m = n - delta
         for i, (a, b) in enumerate(segments(m, edits)):
             low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-            keys += [_key(i, m, F.substring(line, a + shift, b)) for shift in range(low, high + 1)]
+            keys += [F.struct(_key(i, m, F.substring(line, a + shift, b)).alias("key"), F.lit(delta == 0 and shift == 0).alias("index")) for shift in range(low, high + 1)]
     return F.array(*keys)
 
 
+def histogram(line: Column) -> Column:
+    """How many characters of each class a line has: one edit changes two counts by one each at most."""
+    n = F.char_length(line)
+    return F.array(*[n - F.char_length(F.translate(line, letters, "")) for letters in CLASSES])
+
+
+def _near(c: str, d: str, edits: int) -> Column:
+    """Whether histograms are so close that the lines may be."""
+    apart = sum((F.abs(F.col(c)[i] - F.col(d)[i]) for i in range(1, len(CLASSES))), F.abs(F.col(c)[0] - F.col(d)[0]))
+    return apart <= 2 * edits
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc, row: a hash of the text, pos, line, n, id: 128 bits, h: 64 bits) of the lines that are long enough."""
+    """(doc, row: a hash of the text, pos, line, n, id: 128 bits as two hashes, h: the first of them) of the lines that are long enough."""
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    rows = rows.where(F.char_length("line") >= min_chars).withColumn("id", F.unhex(F.md5(F.encode("line", "UTF-8"))))
-    return rows.withColumn("n", F.char_length("line")).withColumn("h", F.xxhash64("id"))
+    rows = rows.where(F.char_length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    return rows.withColumn("n", F.char_length("line")).withColumn("id", F.struct("h", F.xxhash64(F.lit(7), "line").alias("g")))
 
 
 def line_classes(lines: DataFrame, edits: int) -> DataFrame:
@@ -66,16 +79,36 @@ def line_classes(lines: DataFrame, edits: int) -> DataFrame:
     # a line that occurs once needs no grouping; those that may occur often come together
     marked = within(lines.select("line", "n", "id", "h"), bitmap(known.where("times > 1")))
     each = marked.where(~F.col("__in")).unionByName(marked.where("__in").dropDuplicates(["id", "h"])).select("line", "n", "h")
-    index = each.select("h", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probes = each.where(F.col("n") >= edits + 1).select("h", F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    met = index.withColumnRenamed("h", "g").join(probes, "key").where("g <> h")
-    pairs = materialize(met.select(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("h"))
-    texts = within(lines.select("line", "id", "h"), bitmap(ends)).where("__in").dropDuplicates(["id", "h"]).select("line", "id", "h")
+    keyed = each.select("h", F.explode(line_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.key", "k.index")
+    # keys that an indexed line and another share; the hub is the key's least indexed line
+    group = Window.partitionBy("key")
+    hub = F.min(F.when(F.col("index"), F.col("h"))).over(group)
+    shared = keyed.withColumn("low", F.min("h").over(group)).withColumn("high", F.max("h").over(group)).withColumn("hub", hub)
+    shared = materialize(shared.where("low <> high AND hub IS NOT NULL").select("key", "h", "index", "hub"), "shared")
+    texts = within(lines.select("line", "id", "h"), bitmap(shared)).where("__in").dropDuplicates(["id", "h"])
+    texts = texts.join(shared.select("h").distinct(), "h", "left_semi").select("line", "id", "h", histogram(F.col("line")).alias("counts"))
     texts = materialize(texts, "candidates")
-    x, y = texts.select(F.col("h").alias("x"), F.col("line").alias("s"), F.col("id").alias("a")), texts.select(F.col("h").alias("y"), F.col("line").alias("t"), F.col("id").alias("b"))
-    close = pairs.join(x, "x").join(y, "y").where(F.levenshtein("s", "t", edits) >= 0).select("a", "b")
-    labels = components(close)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """(a, b): ids of the pairs (x, y) that are close; the histograms are asked first."""
+        x = texts.select(F.col("h").alias("x"), F.col("line").alias("s"), F.col("id").alias("a"), F.col("counts").alias("c"))
+        y = texts.select(F.col("h").alias("y"), F.col("line").alias("t"), F.col("id").alias("b"), F.col("counts").alias("d"))
+        both = pairs.join(x, "x").join(y, "y").where(_near("c", "d", edits))
+        return both.where(F.levenshtein("s", "t", edits) >= 0).select("a", "b")
+
+    # first every line with its hub, then, across the components that this leaves, all lines of a key
+    star = shared.where("h <> hub").select(F.least("h", "hub").alias("x"), F.greatest("h", "hub").alias("y")).distinct()
+    first = components(linked(star))
+    label = first.select(F.col("node.h").alias("h"), F.col("label").alias("part"))
+    left = shared.drop("hub").join(texts.select("h", "id", "counts"), "h").join(label, "h", "left").withColumn("part", F.coalesce("part", "id"))
+    left = materialize(left.select("key", "h", "index", "counts", "part"), "parts")
+    open_keys = left.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    left = left.join(open_keys, "key")
+    own = left.where("index").select("key", F.col("h").alias("g"), F.col("counts").alias("c"), F.col("part").alias("p"))
+    met = own.join(left.select("key", "h", F.col("counts").alias("d"), F.col("part").alias("q")), "key").where((F.col("p") != F.col("q")) & _near("c", "d", edits))
+    rest = met.select(F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y")).distinct()
+    rest = materialize(rest, "pairs")
+    labels = components(materialize(first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(linked(rest)), "links"))
     named = known.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     classes = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("times").alias("times")).where("times > 1").select("label", "first")
     return materialize(named.join(classes.withColumnRenamed("first", "kept"), "label").select("id", "h", F.col("kept").alias("first")), "classes")
