@@ -38,21 +38,21 @@ def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("feed_id", "item_id", "score", "mode", F.col("rank").cast("long").alias("rank"))
 
 
-_SLUG = "nullif(regexp_replace(regexp_replace(lower(trim(substr(text, 1, 40))), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g'), '')"
+_SLUG = "nullif(regexp_replace(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g'), '')"
 TOP_STORIES_SQL = f"""WITH RECURSIVE {DOCUMENT_ITEMS}, sel AS (SELECT * FROM items WHERE date_ms BETWEEN {START} AND {START + 30 * DAY} AND NOT (lang = 'fr' AND item_id % 2 = 0)),
     keys AS (SELECT item_id AS item, concat('sha:', sha256(text)) AS key FROM sel UNION ALL SELECT item_id, concat('key:', {_SLUG}) FROM sel WHERE {_SLUG} IS NOT NULL),
     e AS (SELECT DISTINCT a.item AS x, b.item AS y FROM keys a JOIN keys b USING (key)),
     r AS (SELECT item AS x, item AS y FROM (SELECT DISTINCT item FROM keys) UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), c AS (SELECT x AS item_id, min(y) AS story FROM r GROUP BY x),
     m AS (SELECT story, s.*, contains(lower(text), 'idiot') OR contains(lower(text), 'moron') AS muted FROM c JOIN sel s USING (item_id)),
-    st AS (SELECT story, count(*) AS members, count(DISTINCT feed_id) AS feeds, array_to_string(list_sort(list_distinct(list(lang))), ',') AS topics, min(date_ms) AS occurred_at, bool_or(muted) AS muted, arg_min(substr(text, 1, 60), item_id) AS title FROM m GROUP BY story),
+    st AS (SELECT story, count(*) AS members, count(DISTINCT feed_id) AS feeds, array_to_string(list_sort(list_distinct(list(lang))), ',') AS topics, min(date_ms) AS occurred_at, bool_or(muted) AS muted, arg_min(split_part(text, chr(10), 1), item_id) AS title FROM m GROUP BY story),
     sc AS (SELECT *, CASE WHEN muted THEN 0 ELSE least(100, 40 + 15 * (members - 1) + 5 * feeds) END AS score FROM st)
     SELECT story, title, topics, members, feeds, occurred_at, score, row_number() OVER (ORDER BY score DESC, story) AS rank FROM sc WHERE NOT muted AND score >= {THRESHOLD} QUALIFY row_number() OVER (ORDER BY score DESC, story) <= {MOST}"""
 
 
 def analyzed(items: DataFrame) -> DataFrame:
-    """The default analyser, deterministic: an item's story keys are its text's hash and the slug of its beginning."""
+    """The default analyser, deterministic: an item's story keys are its text's hash and the slug of its first line."""
     a = items.select(F.col("item_id").alias("item"), F.concat(F.lit("sha:"), F.sha2("text", 256)).alias("key"))
-    b = items.select(F.col("item_id").alias("item"), F.concat(F.lit("key:"), text.slug(F.substring("text", 1, 40))).alias("key"))
+    b = items.select(F.col("item_id").alias("item"), F.concat(F.lit("key:"), text.slug(F.substring_index("text", "\n", 1))).alias("key"))
     return a.unionByName(b.where("key IS NOT NULL"))
 
 
@@ -70,7 +70,7 @@ def top_stories(spark: SparkSession, sf_dir: str, muted: tuple[str, ...] = ("idi
     mute = F.lit(False)
     for phrase in muted:
         mute |= F.lower("text").contains(phrase)
-    m = stories(items).select("story", "item_id", "feed_id", "lang", "date_ms", mute.alias("muted"), F.substring("text", 1, 60).alias("head"))
+    m = stories(items).select("story", "item_id", "feed_id", "lang", "date_ms", mute.alias("muted"), F.substring_index("text", "\n", 1).alias("head"))
     s = m.groupBy("story").agg(
         F.count("*").alias("members"),
         F.countDistinct("feed_id").alias("feeds"),

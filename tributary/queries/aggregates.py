@@ -39,10 +39,11 @@ def label_union(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("story_id")).agg(labels.alias("topics"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split(substr(text, 1, 80), ' '), lambda x: trim(x) <> '') AS words FROM documents),
-    f AS (SELECT doc_id, list_filter(words, lambda x, i: list_position(words, x) = i) AS first_seen FROM w) SELECT doc_id, array_to_string(list_slice(first_seen, 1, 5), '|') AS labels FROM f""")
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: trim(x) <> '') AS words FROM documents),
+    u AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM w), g AS (SELECT doc_id, w, min(i) AS i FROM u GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM g) SELECT doc_id, string_agg(w, '|' ORDER BY i) AS labels FROM r WHERE rn <= 5 GROUP BY doc_id""")
 def label_cap(spark, sf_dir):
-    words = F.filter(F.split(F.substring("text", 1, 80), " "), lambda x: F.trim(x) != "")
+    words = F.filter(F.split("text", " "), lambda x: F.trim(x) != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(words), 1, 5), "|").alias("labels"))
 
 
@@ -144,9 +145,9 @@ def reaction_rollup(spark, sf_dir):
     return each.groupBy("message").agg(F.sum("n").alias("reactions"), F.bool_or("viewer").alias("viewer"), F.count("*").alias("kinds"))
 
 
-@query("SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (WHERE event_type NOT IN ('view', 'click')), 'unnamed') AS name FROM events WHERE event_id < 2500 GROUP BY user_id")
+@query("SELECT user_id, coalesce(arg_min(event_type, event_id) FILTER (WHERE event_type NOT IN ('view', 'click')), 'unnamed') AS name FROM events GROUP BY user_id")
 def first_non_null(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id < 2500")
+    e = table(spark, sf_dir, "events")
     named = F.when(~F.col("event_type").isin("view", "click"), F.col("event_id"))
     return e.groupBy("user_id").agg(F.coalesce(F.min_by("event_type", named), F.lit("unnamed")).alias("name"))
 

@@ -12,13 +12,13 @@ from ..sources.tables import table
 from .scalars import SLUG
 
 KEYS = f"""keys AS (SELECT doc_id AS item, concat('sha:', sha256(text)) AS key FROM documents UNION ALL
-    SELECT doc_id, concat('slug:', {SLUG.format(x='substr(text, 1, 40)')}) FROM documents WHERE {SLUG.format(x='substr(text, 1, 40)')} IS NOT NULL)"""
+    SELECT doc_id, concat('slug:', {SLUG.format(x='split_part(text, chr(10), 1)')}) FROM documents WHERE {SLUG.format(x='split_part(text, chr(10), 1)')} IS NOT NULL)"""
 
 
 def document_keys(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     a = docs.select(F.col("doc_id").alias("item"), F.concat(F.lit("sha:"), F.sha2("text", 256)).alias("key"))
-    b = docs.select(F.col("doc_id").alias("item"), F.concat(F.lit("slug:"), text.slug(F.substring("text", 1, 40))).alias("key"))
+    b = docs.select(F.col("doc_id").alias("item"), F.concat(F.lit("slug:"), text.slug(F.substring_index("text", "\n", 1))).alias("key"))
     return a.unionByName(b.where("key IS NOT NULL"))
 
 
@@ -38,8 +38,8 @@ def digest_ranked_items(spark, sf_dir):
     return digest.ranked_items(spark, sf_dir)
 
 
-@query("""WITH s AS (SELECT source AS section, doc_id, regexp_replace(substr(text, 1, 60), '([\\\\`*_{}\\[\\]()#+\\-.!|>~])', '\\\\\\1', 'g') AS title, n_chars FROM documents WHERE n_chars > 2000)
+@query("""WITH s AS (SELECT source AS section, doc_id, regexp_replace(split_part(text, chr(10), 1), '([\\\\`*_{}\\[\\]()#+\\-.!|>~])', '\\\\\\1', 'g') AS title, n_chars FROM documents WHERE n_chars > 2000)
     SELECT section, concat('# ', section, chr(10), chr(10), string_agg(concat('## ', title, chr(10), '- ', n_chars, ' characters'), chr(10) ORDER BY doc_id), chr(10)) AS markdown FROM s GROUP BY section""")
 def render_markdown(spark, sf_dir):
-    stories = table(spark, sf_dir, "documents").where("n_chars > 2000").select(F.col("source").alias("section"), F.col("doc_id").alias("place"), F.substring("text", 1, 60).alias("title"), F.concat(F.lit("- "), F.col("n_chars").cast("string"), F.lit(" characters")).alias("body"))
+    stories = table(spark, sf_dir, "documents").where("n_chars > 2000").select(F.col("source").alias("section"), F.col("doc_id").alias("place"), F.substring_index("text", "\n", 1).alias("title"), F.concat(F.lit("- "), F.col("n_chars").cast("string"), F.lit(" characters")).alias("body"))
     return digest.rendered(stories)

@@ -70,17 +70,17 @@ def ownership_violations(spark, sf_dir):
     return joins.missing_keys(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), owned, ["l_suppkey"])
 
 
-@query("""WITH requests AS (SELECT l_orderkey AS item, l_linenumber AS version, l_returnflag AS fingerprint, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal FROM lineitem WHERE l_orderkey < 2000),
+@query("""WITH requests AS (SELECT l_orderkey AS item, l_linenumber AS version, l_returnflag AS fingerprint, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ordinal FROM lineitem),
     cache AS (SELECT o_orderkey AS item, 1 AS version, 'R' AS fingerprint, o_orderpriority AS analysis FROM orders)
-    SELECT ordinal, item, analysis FROM requests LEFT JOIN cache USING (item, version, fingerprint) ORDER BY ordinal""")
+    SELECT ordinal, item, analysis FROM requests LEFT JOIN cache USING (item, version, fingerprint) ORDER BY item, ordinal""")
 def tuple_cache_lookup(spark, sf_dir):
     from pyspark.sql import Window
 
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
-    ordinal = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
+    l = table(spark, sf_dir, "lineitem")
+    ordinal = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
     requests = l.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("version"), F.col("l_returnflag").alias("fingerprint"), ordinal.alias("ordinal"))
     cache = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.lit(1).alias("version"), F.lit("R").alias("fingerprint"), F.col("o_orderpriority").alias("analysis"))
-    return joins.tuple_lookup(requests, cache, ["item", "version", "fingerprint"]).select("ordinal", "item", "analysis").orderBy("ordinal")
+    return joins.tuple_lookup(requests, cache, ["item", "version", "fingerprint"]).select("ordinal", "item", "analysis").orderBy("item", "ordinal")
 
 
 @query("""SELECT conv_id, turn, turn % 3 <> 1 AS hit, bool_or(turn % 3 = 1) OVER (PARTITION BY conv_id) AS miss FROM conversations""")
@@ -138,12 +138,12 @@ def entitlement_lookup_join(spark, sf_dir):
 
 
 @query(f"""WITH {EVENT_ITEMS}, ref AS (SELECT feed_id AS key, max(date_ms) AS last_ms FROM items WHERE feed_id <> 'view' GROUP BY feed_id),
-    k AS (SELECT DISTINCT user_id, feed_id AS key FROM items WHERE item_id < 3000)
+    k AS (SELECT DISTINCT user_id, feed_id AS key FROM items WHERE feed_id <> 'click')
     SELECT user_id, key, last_ms FROM k JOIN ref USING (key) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY last_ms DESC, key) = 1""")
 def reference_match(spark, sf_dir):
     items = event_items(spark, sf_dir)
     ref = items.where("feed_id <> 'view'").groupBy(F.col("feed_id").alias("key")).agg(F.max("date_ms").alias("last_ms"))
-    keys = items.where("item_id < 3000").select("user_id", F.col("feed_id").alias("key"))
+    keys = items.where("feed_id <> 'click'").select("user_id", F.col("feed_id").alias("key"))
     return joins.newest_reference(keys, ref, "user_id").select("user_id", "key", "last_ms")
 
 

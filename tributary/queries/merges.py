@@ -135,7 +135,7 @@ def profile_version_bump(spark, sf_dir):
     return merges.bump_version(users, users.where("user_id % 3 = 0").select("user_id", F.lit("AUTOMOBILE").alias("mode")), "user_id", "mode", "version")
 
 
-@query(f"""WITH {EVENT_ITEMS}, i AS (SELECT * FROM items WHERE item_id < 5000),
+@query(f"""WITH {EVENT_ITEMS}, i AS (SELECT * FROM items),
     om AS (SELECT item_id, user_id AS story, feed_id AS dev FROM i WHERE date_ms < {START + 8 * DAY}), nm AS (SELECT item_id, user_id AS story, CASE WHEN item_id % 50 = 0 THEN 'moved' ELSE feed_id END AS dev FROM i WHERE date_ms >= {START + 5 * DAY}),
     touched AS (SELECT n.story, n.dev, o.story AS o_story, o.dev AS o_dev FROM nm n LEFT JOIN om o USING (item_id) WHERE o.story IS NULL OR o.dev <> n.dev),
     t AS (SELECT DISTINCT story, dev FROM (SELECT story, dev FROM touched UNION ALL SELECT o_story, o_dev FROM touched WHERE o_story IS NOT NULL)),
@@ -144,7 +144,7 @@ def profile_version_bump(spark, sf_dir):
     os AS (SELECT DISTINCT story FROM om), al AS (SELECT DISTINCT story FROM (SELECT story FROM om UNION ALL SELECT story FROM nm))
     SELECT al.story, cast(CASE WHEN os.story IS NULL THEN 1 WHEN c.story IS NOT NULL THEN 2 ELSE 1 END AS INTEGER) AS version FROM al LEFT JOIN os USING (story) LEFT JOIN changed c USING (story)""")
 def story_version_upsert(spark, sf_dir):
-    i = event_items(spark, sf_dir).where("item_id < 5000").withColumn("story", F.col("user_id"))
+    i = event_items(spark, sf_dir).withColumn("story", F.col("user_id"))
 
     def parts(rows, dev):
         m = rows.select("story", dev.alias("dev"), F.col("item_id").alias("item"), F.lit("p").alias("fingerprint"), "date_ms")

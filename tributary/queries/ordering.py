@@ -16,15 +16,15 @@ def order_nulls_last(spark, sf_dir):
 
 
 @query(f"""WITH {DOCUMENT_ITEMS}, f AS (SELECT feed_id, row_number() OVER (ORDER BY feed_id DESC) AS ordinal FROM (SELECT DISTINCT feed_id FROM items WHERE feed_id <> 'src0'))
-    SELECT item_id, row_number() OVER (ORDER BY date_ms // 600000, coalesce(ordinal, 9223372036854775807), external_id, item_id) AS place FROM items LEFT JOIN f USING (feed_id) WHERE item_id < 5000""")
+    SELECT item_id, row_number() OVER (PARTITION BY lang ORDER BY date_ms // 600000, coalesce(ordinal, 9223372036854775807), external_id, item_id) AS place FROM items LEFT JOIN f USING (feed_id)""")
 def item_total_order(spark, sf_dir):
     from pyspark.sql import Window
 
     items = document_items(spark, sf_dir)
     feeds = items.where("feed_id <> 'src0'").select("feed_id").distinct()
     feeds = feeds.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("feed_id"))).cast("long"))
-    rows = items.where("item_id < 5000").join(feeds, "feed_id", "left").withColumn("ordinal", F.coalesce("ordinal", F.lit(2**63 - 1)))
-    w = Window.orderBy(F.floor(F.col("date_ms") / 600000), "ordinal", "external_id", "item_id")
+    rows = items.join(feeds, "feed_id", "left").withColumn("ordinal", F.coalesce("ordinal", F.lit(2**63 - 1)))
+    w = Window.partitionBy("lang").orderBy(F.floor(F.col("date_ms") / 600000), "ordinal", "external_id", "item_id")
     return rows.select("item_id", F.row_number().over(w).cast("long").alias("place"))
 
 

@@ -17,21 +17,22 @@ def docs(spark, sf_dir):
 SLUG = "nullif(regexp_replace(regexp_replace(lower(trim({x})), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g'), '')"
 
 
-@query(f"SELECT doc_id, {SLUG.format(x='substr(text, 1, 60)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {SLUG.format(x='text')} AS slug FROM documents")
 def slug_key(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.slug(F.substring("text", 1, 60)).alias("slug"))
+    return docs(spark, sf_dir).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 90), '\\s+', ' ', 'g'))) AS label FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS label FROM documents")
 def interest_label(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.interest_label(F.substring("text", 1, 90)).alias("label"))
+    return docs(spark, sf_dir).select("doc_id", text.interest_label(F.col("text")).alias("label"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, 120), ' '), lambda x: trim(x)), lambda x: length(x) BETWEEN 1 AND 6) AS words FROM documents),
-    k AS (SELECT doc_id, words, list_transform(words, lambda x: lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))) AS keys FROM w)
-    SELECT doc_id, array_to_string(list_filter(words, lambda x, i: list_position(keys, lower(trim(regexp_replace(x, '\\s+', ' ', 'g')))) = i), '|') AS labels FROM k""")
+@query("""WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: length(x) BETWEEN 1 AND 6) AS words FROM documents),
+    u AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM w), k AS (SELECT *, lower(trim(regexp_replace(w, '\\s+', ' ', 'g'))) AS key FROM u),
+    f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM k GROUP BY doc_id, key), g AS (SELECT doc_id, string_agg(w, '|' ORDER BY i) AS labels FROM f GROUP BY doc_id)
+    SELECT doc_id, coalesce(labels, '') AS labels FROM documents LEFT JOIN g USING (doc_id)""")
 def label_clean(spark, sf_dir):
-    words = F.split(F.substring("text", 1, 120), " ")
+    words = F.split(F.col("text"), " ")
     return docs(spark, sf_dir).select("doc_id", F.array_join(text.clean_labels(words, 6), "|").alias("labels"))
 
 
@@ -111,7 +112,7 @@ def html_to_text(spark, sf_dir):
 
 @query(None)
 def nfkc_key(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.slug(udfs.nfkc(F.substring("text", 1, 60))).alias("slug"))
+    return docs(spark, sf_dir).select("doc_id", text.slug(udfs.nfkc(F.col("text"))).alias("slug"))
 
 
 @query("""WITH c AS (SELECT doc_id, text, range(1, 102) AS k FROM documents) SELECT doc_id, list_reduce(list_filter(list_transform(k, lambda n: substr(text, 1, n)), lambda s: strlen(s) <= 100), lambda a, b: CASE WHEN length(a) >= length(b) THEN a ELSE b END) AS head,
@@ -142,9 +143,9 @@ def fallback_identity(spark, sf_dir):
     return e.select("event_id", F.concat(F.lit("fallback:"), F.sha2(F.to_json(parts), 256)).alias("identity"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(chr(10), ' ', substr(text, 1, 300), '  ', chr(13), chr(10), chr(10)), '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS text FROM documents""")
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(chr(10), ' ', text, '  ', chr(13), chr(10), chr(10)), '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS text FROM documents""")
 def boilerplate_clean(spark, sf_dir):
-    raw = F.concat(F.lit("\n "), F.substring("text", 1, 300), F.lit("  \r\n\n"))
+    raw = F.concat(F.lit("\n "), F.col("text"), F.lit("  \r\n\n"))
     return docs(spark, sf_dir).select("doc_id", text.boilerplate(raw).alias("text"))
 
 
@@ -164,9 +165,9 @@ def redact_secrets(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.redact(raw).alias("clean"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 200), '([\\\\`*_{}\\[\\]()#+\\-.!|>~])', '\\\\\\1', 'g') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '([\\\\`*_{}\\[\\]()#+\\-.!|>~])', '\\\\\\1', 'g') AS text FROM documents")
 def markdown_escape(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.markdown(F.substring("text", 1, 200)).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", text.markdown(F.col("text")).alias("text"))
 
 
 @query("""SELECT o_orderkey, translate(rtrim(base64(encode(concat('{"s":"requested_desc","v":', cast(floor(o_totalprice) AS BIGINT), ',"id":', o_orderkey, '}'))), '='), '+/', '-_') AS cursor FROM orders""")
@@ -174,10 +175,12 @@ def cursor_encode(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", paging.cursor_column("requested_desc", F.floor("o_totalprice"), F.col("o_orderkey")).alias("cursor"))
 
 
-@query("""SELECT doc_id, CASE WHEN strlen(text) <= 3000 THEN text ELSE concat(substr(text, 1, 200), chr(10), '[...]', chr(10), right(text, 200)) END AS text FROM documents WHERE strlen(text) = length(text)""")
+@query("""WITH c AS (SELECT doc_id, text, list_reduce(list_filter(list_transform(range(1, 201), lambda n: substr(text, 1, n)), lambda s: strlen(s) <= 200), lambda a, b: CASE WHEN length(a) >= length(b) THEN a ELSE b END) AS head,
+      list_reduce(list_filter(list_transform(range(1, 201), lambda n: right(text, n)), lambda s: strlen(s) <= 200), lambda a, b: CASE WHEN length(a) >= length(b) THEN a ELSE b END) AS tail FROM documents)
+    SELECT doc_id, CASE WHEN strlen(text) <= 3000 THEN text ELSE concat(head, chr(10), '[...]', chr(10), tail) END AS text FROM c""")
 def compact_text(spark, sf_dir):
-    ascii_only = docs(spark, sf_dir).where(F.octet_length("text") == F.char_length("text"))
-    return ascii_only.select("doc_id", text.compact(F.lit("t"), "text", F.lit(None).cast("array<string>"), 3000, 200).alias("text"))
+    none = F.lit(None).cast("array<string>")
+    return docs(spark, sf_dir).select("doc_id", text.compact(F.lit("t"), "text", none, 3000, 200).alias("text"))
 
 
 @query("""WITH c AS (SELECT doc_id, text, [substr(text, 5, 20), 'not in there', '  ', substr(text, 5, 20), substr(text, 40, 500), substr(text, 90, 12), substr(text, 120, 9), substr(text, 150, 9)] AS c FROM documents),
@@ -203,14 +206,14 @@ def author_resolve(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", author.alias("author"))
 
 
-@query("""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 160) AS name FROM documents""")
+@query("""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 160) AS name FROM documents""")
 def clean_name(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.feed_name(F.substring("text", 1, 200)).alias("name"))
+    return docs(spark, sf_dir).select("doc_id", text.feed_name(F.col("text")).alias("name"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^a-zA-Z0-9_-]', '_', 'g') AS key FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g') AS key FROM documents")
 def safe_key(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.safe_key(F.substring("text", 1, 40)).alias("key"))
+    return docs(spark, sf_dir).select("doc_id", text.safe_key(F.col("text")).alias("key"))
 
 
 @query("""SELECT event_id, CASE WHEN s >= 3600 THEN concat(s // 3600, 'h ', s % 3600 // 60, 'm ', s % 60, 's') WHEN s % 3600 // 60 > 0 THEN concat(s % 3600 // 60, 'm ', s % 60, 's') ELSE concat(s % 60, 's') END AS duration

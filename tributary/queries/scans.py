@@ -73,11 +73,11 @@ def effective_mode(spark, sf_dir):
     return feeds.select("feed_id", filters.effective_mode("feed_mode", "source_mode", "warmup", "user_mode").alias("effective_mode"))
 
 
-@query("""SELECT doc_id, regexp_matches(substr(text, 1, 12), '\\p{L}') AS has_letter FROM documents
-    WHERE regexp_matches(substr(text, 1, 12), '\\p{L}') OR lang = 'es'""")
+@query("""SELECT doc_id, regexp_matches(text, '\\p{L}') AS has_letter FROM documents
+    WHERE regexp_matches(text, '\\p{L}') OR lang = 'es'""")
 def letterless_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 12).alias("head"))
-    return filters.with_letters(docs, "head", exempt=F.col("lang") == "es").select("doc_id", filters.has_letter("head").alias("has_letter"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return filters.with_letters(docs, "text", exempt=F.col("lang") == "es").select("doc_id", filters.has_letter("text").alias("has_letter"))
 
 
 @query("""SELECT doc_id, lang, source FROM documents

@@ -92,14 +92,14 @@ def run_length_groups(spark, sf_dir):
     return units.run_lengths(e, ["user_id"], [F.asc("event_id")], "event_type").select("user_id", F.col("run").cast("long").alias("run"), "event_type", "n")
 
 
-@query(f"""WITH {EVENT_ITEMS}, m AS (SELECT user_id, item_id, (date_ms // 60000) % 1440 AS minute FROM items WHERE item_id < 3000),
-    d AS (SELECT user_id, CASE WHEN minute < lag(minute) OVER (PARTITION BY user_id ORDER BY item_id) THEN 1 ELSE 0 END AS descent FROM m)
-    SELECT user_id, cast(sum(descent) AS BIGINT) AS descents, sum(descent) = 1 AS one_midnight FROM d GROUP BY user_id""")
+@query(f"""WITH {EVENT_ITEMS}, m AS (SELECT user_id, date_ms // 604800000 AS week, item_id, (date_ms // 60000) % 1440 AS minute FROM items),
+    d AS (SELECT user_id, week, CASE WHEN minute < lag(minute) OVER (PARTITION BY user_id, week ORDER BY item_id) THEN 1 ELSE 0 END AS descent FROM m)
+    SELECT user_id, week, cast(sum(descent) AS BIGINT) AS descents, sum(descent) = 1 AS one_midnight FROM d GROUP BY user_id, week""")
 def midnight_descent(spark, sf_dir):
     minute = F.floor(F.col("date_ms") / 60000) % 1440
-    m = event_items(spark, sf_dir).where("item_id < 3000").select("user_id", "item_id", minute.alias("minute"))
-    descent = F.when(F.col("minute") < F.lag("minute").over(Window.partitionBy("user_id").orderBy("item_id")), 1).otherwise(0)
-    out = m.withColumn("descent", descent).groupBy("user_id").agg(F.sum("descent").alias("descents"))
+    m = event_items(spark, sf_dir).select("user_id", F.floor(F.col("date_ms") / 604_800_000).alias("week"), "item_id", minute.alias("minute"))
+    descent = F.when(F.col("minute") < F.lag("minute").over(Window.partitionBy("user_id", "week").orderBy("item_id")), 1).otherwise(0)
+    out = m.withColumn("descent", descent).groupBy("user_id", "week").agg(F.sum("descent").alias("descents"))
     return out.withColumn("one_midnight", F.col("descents") == 1)
 
 
