@@ -25,4 +25,4 @@ def query(sql: str | None):
 
 def load() -> None:
     """Import every module of queries."""
-    from .queries import aggregates, folds, graph, joins, merges, ordering, scalars, scans, streams, windows  # noqa: F401
+    from .queries import aggregates, folds, graph, joins, merges, ordering, requests, scalars, scans, streams, windows  # noqa: F401
