@@ -25,6 +25,8 @@ EPOCHS, STEP = 200, 0.5
 EVIDENCE, LIFT = 0.25, 3.0
 #: Logit of a sentence without telling words: fixed, so that length alone never makes a document toxic.
 BIAS = -7.0
+#: Weight of label 0 against label 1 where scores are calibrated.
+PRIOR = 2.0
 
 
 def sentences(data: np.ndarray, at: np.ndarray):
@@ -56,8 +58,8 @@ def _distinct(slot: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.nd
     return key & ((1 << SLOTS_LOG2) - 1), key >> SLOTS_LOG2
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> bytes:
-    """Weights (float32, the bias last), by proximal gradient steps on the log loss of the noisy-or with an L1 penalty."""
+def _weights(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights by slot (float32, the bias last), by proximal gradient steps on the log loss of the noisy-or with an L1 penalty."""
     data, at = joined(texts)
     # only words that speak for label 1 have weights: in two of its documents at least, and LIFT times as often as under label 0
     often, other = np.zeros(1 << SLOTS_LOG2, np.int64), np.zeros(1 << SLOTS_LOG2, np.int64)
@@ -103,7 +105,49 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> bytes:
         w = np.maximum(w - step * penalty, 0)
     out = np.zeros((1 << SLOTS_LOG2) + 1, np.float32)
     out[used], out[-1] = w, b
-    return out.tobytes()
+    return out
+
+
+def _clean(w: np.ndarray, slot: np.ndarray, sentence: np.ndarray, document: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each sentence's score, and each document's log probability of having no offending sentence."""
+    p = sigmoid(np.bincount(sentence, w[slot], len(document)) + w[1 << SLOTS_LOG2])
+    return p, np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), docs)
+
+
+def _logit(clean: np.ndarray) -> np.ndarray:
+    """Log odds of the noisy-or."""
+    return np.log(np.maximum(-np.expm1(clean), 1e-9)) - clean
+
+
+def train(texts: list[str], labels: np.ndarray) -> bytes:
+    """The weights, and after them the slope and shift that calibrate the noisy-or's log odds.
+
+    Each half of the sample is scored by weights learned from the other, and the two numbers are fitted to these honest scores by
+    logistic regression, label 0 with PRIOR times the weight of label 1; so the threshold means the same whatever the size of the sample.
+    """
+    w = _weights(texts, labels)
+    x, y = [], []
+    half = np.arange(len(texts)) % 2
+    for k in (0, 1):
+        learn, ask = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        other = _weights([texts[i] for i in learn], labels[learn])
+        data, at = joined([texts[i] for i in ask])
+        for i, j in slices(at):
+            slot, sentence, _, _, document = sentences(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            x.append(_logit(_clean(other, *_distinct(slot, sentence), document, j - i)[1]))
+        y.append(labels[ask])
+    x, y = (np.concatenate(v) if v else np.empty(0) for v in (x, y))
+    scale = np.array([1.0, 0.0])
+    if len(y) and min(y.sum(), (1 - y).sum()) >= 10:
+        weight = np.where(y > 0, 1 / y.sum(), PRIOR / (1 - y).sum())
+        both = np.stack([x, np.ones(len(x))], 1)
+        for _ in range(30):
+            p = sigmoid(both @ scale)
+            slope = both.T @ (weight * (p - y)) + 0.05 * (scale - [1.0, 0.0])
+            bend = both.T @ (both * (weight * p * (1 - p))[:, None]) + 0.05 * np.eye(2)
+            scale = scale - np.clip(np.linalg.solve(bend, slope), -0.5, 0.5)
+        scale[0] = np.clip(scale[0], 0.3, 2.0)
+    return np.concatenate([w, scale.astype(np.float32)]).tobytes()
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> bytes:
@@ -135,16 +179,16 @@ def score(docs: DataFrame, model: bytes, offending: float = 0.5, id_col: str = "
                 here = at[i : j + 1] - at[i]
                 slot, sentence, begin, end, document = sentences(data[at[i] : at[j]], here)
                 slot, sentence = _distinct(slot, sentence)
-                p = sigmoid(np.bincount(sentence, w[slot], len(begin)) + w[-1])
-                clean = np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), j - i)
+                p, clean = _clean(w, slot, sentence, document, j - i)
                 count = np.bincount(document, minlength=j - i)
+                whole = np.where(count > 0, sigmoid(w[-2] * _logit(clean) + w[-1]), 0.0)
                 bad = np.flatnonzero(p >= offending)
                 lists = [[] for _ in range(j - i)]
                 for k in bad.tolist():
                     d = int(document[k])
                     lists[d].append({"begin": int(begin[k] - here[d]), "end": int(end[k] - here[d]), "score": float(p[k])})
                 kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(-np.expm1(clean)), pa.array(count), pa.array(lists, kind)], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(whole), pa.array(count), pa.array(lists, kind)], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
