@@ -27,30 +27,21 @@ EDITS = 2
 CLASSES = ("aA", "eE", "iI", "oO", "uU", "tT", "nN", "sS", "rR", "hH", "dDlL", "cCmM", "bBgGpPwWvV", " ", ".,!?;:", "0123456789")
 
 
-def segments(n: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(first character from 1, length) of the even partition of ``n`` characters; the last segments are one longer."""
-    k = edits + 1
-    short, longer = F.floor(n / k), n % k
-    out = []
-    for i in range(k):
-        extra = F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - longer))
-        out.append(((F.lit(i) * short + extra + 1).cast("int"), (short + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)).cast("int")))
-    return out
+def line_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(h, key, index) for each line (h, line, n) and each of its keys.
 
-
-def _key(i: int, n: Column, part: Column) -> Column:
-    return F.xxhash64(F.lit(i), n.cast("int"), part)
-
-
-def line_keys(line: Column, n: Column, edits: int) -> Column:
-    """Array of (key, index): the line's own segments (which it probes too), and the substrings that a line of a length from n - edits to n may have in common with this one."""
-    keys = []
+    Segment i of a line of m characters runs from i * m / k to (i + 1) * m / k, rounded down, for k = edits + 1. A key is a hash of i, m and a substring: of the
+    line's own segments (the index), and of the places where a line of a length from n - edits to n may have its segment in this one.
+    The places are one literal list, exploded, so that the expression for a key is compiled once.
+    """
+    k, places = edits + 1, []
     for delta in range(edits + 1):
-        m = n - delta
-        for i, (a, b) in enumerate(segments(m, edits)):
+        for i in range(k):
             low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-            keys += [F.struct(_key(i, m, F.substring(line, a + shift, b)).alias("key"), F.lit(delta == 0 and shift == 0).alias("index")) for shift in range(low, high + 1)]
-    return F.array(*keys)
+            places += [F.struct(F.lit(delta).alias("delta"), F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(delta == 0 and shift == 0).alias("index")) for shift in range(low, high + 1)]
+    rows = lines.select("h", "line", "n", F.inline(F.array(*places))).withColumn("m", F.col("n") - F.col("delta"))
+    part = F.expr(f"substring(line, cast(i * m div {k} as int) + 1 + shift, cast((i + 1) * m div {k} - i * m div {k} as int))")
+    return rows.select("h", F.xxhash64("i", "m", part).alias("key"), "index")
 
 
 def histogram(line: Column) -> Column:
@@ -79,7 +70,7 @@ def line_classes(lines: DataFrame, edits: int) -> DataFrame:
     # a line that occurs once needs no grouping; those that may occur often come together
     marked = within(lines.select("line", "n", "id", "h"), bitmap(known.where("times > 1")))
     each = marked.where(~F.col("__in")).unionByName(marked.where("__in").dropDuplicates(["id", "h"])).select("line", "n", "h")
-    keyed = each.select("h", F.explode(line_keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h", "k.key", "k.index")
+    keyed = line_keys(each, edits)
     # keys that an indexed line and another share; the hub is the key's least indexed line
     group = Window.partitionBy("key")
     hub = F.min(F.when(F.col("index"), F.col("h"))).over(group)
