@@ -26,8 +26,8 @@ SLOTS_LOG2 = 20
 BLOCKS = 64
 #: Bytes of text for each bucket of prefixes.
 BUCKET_BYTES = 24 << 20
-#: Ranges of hashes whose counts make the suffix filter.
-PIVOTS = 16
+#: Ranges of hashes whose counts make the suffix filter, at first and where pairs are few.
+PIVOTS, FINE_PIVOTS = 16, 256
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -101,9 +101,25 @@ def frequencies(text: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return table.reshape(-1), size
 
 
-def _signature(grams: np.ndarray) -> bytes:
-    """How many hashes lie in each of PIVOTS ranges, as unsigned 16-bit numbers modulo 2**16."""
-    return np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=PIVOTS).astype("<u2").tobytes()
+def _signature(grams: np.ndarray, ranges: int = PIVOTS) -> bytes:
+    """How many hashes lie in each of the ranges, as unsigned 16-bit numbers modulo 2**16."""
+    return np.bincount((grams >> np.uint64(65 - ranges.bit_length())).astype(np.int64), minlength=ranges).astype("<u2").tobytes()
+
+
+def suffix_filter(pairs: DataFrame, percent: int, ranges: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b, sig_a, sig_b) less those whose sets differ in too many n-grams by their counts alone; without the signatures."""
+
+    def close(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            n1, n2 = (batch.column(k).to_numpy() for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, ranges).astype(np.int32) for k in (4, 5))
+            apart = np.abs(x - y)
+            apart = np.minimum(apart, 65536 - apart).sum(1)  # the sets differ in so many at least
+            yield batch.filter(pa.array(apart <= n1 + n2 - 2 * least_overlap(n1, n2, percent))).select(["a", "b", "n_a", "n_b"])
+
+    return pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(close, "a long, b long, n_a long, n_b long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,29 +258,19 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             data, at = utf8(batch.column(0))
             for i, j in slices(at):
                 found = [s for s in shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(fingerprint(s).view(np.int64)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(fingerprint(s).view(np.int64)) for s in found], pa.int64()), pa.array([_signature(s, FINE_PIVOTS) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "sig", "grams"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The links (a, b) among the pairs: the suffix filter on counts by range, then the intersection of the whole sets."""
-        sig = classes.select("fp", "sig")
-        near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+        def signed(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+            return rows.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
 
-        def close(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                n1, n2 = (batch.column(k).to_numpy() for k in (2, 3))
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, PIVOTS).astype(np.int64) for k in (4, 5))
-                apart = np.abs(x - y)
-                apart = np.minimum(apart, 65536 - apart).sum(1)  # the sets differ in so many at least
-                yield batch.filter(pa.array(apart <= n1 + n2 - 2 * least_overlap(n1, n2, percent))).select(["a", "b"])
-
-        near = near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(close, "a long, b long")
-        near = materialize(near, f"{name}-pairs")
+        near = materialize(suffix_filter(signed(pairs, classes.select("fp", "sig")), percent, PIVOTS), f"{name}-pairs")
         # whole sets of one document for each set in question, straight from the scan; the few others that the bitmap lets through meet no pair
         ends = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
         texts = within(rows.withColumn("h", F.xxhash64("doc")), bitmap(ends.select(F.xxhash64("rep").alias("h")))).where("__in").select("body")
-        grams = materialize(texts.mapInArrow(whole, "fp long, grams binary"), f"{name}-sets")
+        grams = materialize(texts.mapInArrow(whole, "fp long, sig binary, grams binary"), f"{name}-sets")
+        near = suffix_filter(signed(near, grams.select("fp", "sig")), percent, FINE_PIVOTS)
 
         def alike(batches: Iterator) -> Iterator:
             import pyarrow as pa
