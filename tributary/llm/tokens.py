@@ -152,12 +152,8 @@ class Encoder:
             sizes = np.array([len(x) for x in lists], np.int64)
             flat = np.array([i for x in lists for i in x], np.uint32)
             if self.used + len(flat) > len(self.pool):
-                kept = self.pool
+                # what this slice has looked up lies in the old pool; it is looked up again for the new one
                 self.clear()
-                if len(flat) > len(self.pool):
-                    self.pool = np.zeros(len(flat), np.uint32)
-                # what this slice has looked up lies in the old pool; look up again in the new one
-                del kept
                 return self._fast_from(cp, edges, docs, start, end, h)
             self._store(new, sizes, flat)
             base = self.used - len(flat) + np.cumsum(sizes) - sizes
