@@ -29,7 +29,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document all of whose text went goes with it."""
-    out = line_dedup.deduplicate_lines(docs)
+    out = line_dedup.deduplicate_lines(docs, short=True)
     return _like(docs, out.where("n_removed = 0 OR length(trim(text)) > 0"))
 
 

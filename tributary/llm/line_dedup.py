@@ -9,6 +9,8 @@ leaves. Candidate pairs are verified once, by Spark's edit distance, which works
 Variants of one line by the thousand share their segments. Each is paired with one hub of every key first, and only lines of different
 components are paired after that, if their counts of characters by class lie within 2 * edits, as those of close lines do.
 
+Lines too short for the edit join are linked with equal ones only: they are counted by id like all others, and have no keys.
+
 Equal lines are one line in all this. Which lines are worth shuffling as text is told by bitmaps of their hashes
 of a fixed size (2**BITS_LOG2 bits), broadcast: a bit that is set by chance costs work, never a result.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, components, materialize, within
 
-#: Shorter lines, in characters, are nobody's copies.
+#: Shorter lines, in characters, have no near copies; exact ones they may have.
 MIN_CHARS = 24
 EDITS = 2
 #: Classes of characters for the histograms.
@@ -56,17 +58,19 @@ def _near(c: str, d: str, edits: int) -> Column:
     return apart <= 2 * edits
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc, row: a hash of the text, pos, line, n, id: 128 bits as two hashes, h: the first of them) of the lines that are long enough."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int, short: bool) -> DataFrame:
+    """(doc, row: a hash of the text, pos, line, n, id: 128 bits as two hashes, h: the first of them) of the lines that are long enough, and of the ``short`` ones that are not blank."""
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    rows = rows.where(F.char_length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    counts = F.char_length("line") >= min_chars
+    rows = rows.where(counts | F.col("line").rlike(r"(?U)\S") if short else counts).withColumn("h", F.xxhash64("line"))
     return rows.withColumn("n", F.char_length("line")).withColumn("id", F.struct("h", F.xxhash64(F.lit(7), "line").alias("g")))
 
 
-def line_classes(lines: DataFrame, edits: int) -> DataFrame:
-    """(id, first: struct of the class's first occurrence) of every line whose class has more than one occurrence, written in the shared folder."""
+def line_classes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(id, first: struct of the class's first occurrence) of every line whose class has more than one occurrence, written in the shared folder; lines under ``min_chars`` link with equal ones only."""
     at = F.struct(F.col("doc").isNull().alias("no"), F.col("doc"), F.col("row"), F.col("pos"))
     known = materialize(lines.groupBy("id", "h").agg(F.min(at).alias("first"), F.count("*").alias("times")), "lines")
+    lines = lines.where(F.col("n") >= min_chars)
     # a line that occurs once needs no grouping; those that may occur often come together
     marked = within(lines.select("line", "n", "id", "h"), bitmap(known.where("times > 1")))
     each = marked.where(~F.col("__in")).unionByName(marked.where("__in").dropDuplicates(["id", "h"])).select("line", "n", "h")
@@ -105,19 +109,19 @@ def line_classes(lines: DataFrame, edits: int) -> DataFrame:
     return materialize(named.join(classes.withColumnRenamed("first", "kept"), "label").select("id", "h", F.col("kept").alias("first")), "classes")
 
 
-def deduplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with the text less its repeated lines, and n_lines, n_removed (longs).
 
     Lines end with a line feed and have ``min_chars`` characters at least to count; two link when at most ``edits`` insertions, deletions and
-    substitutions of characters apart; of each connected class the line that is first by (id, place in the text) stays. A null
+    substitutions of characters apart. With ``short``, shorter lines that are not blank count too, and link with equal ones. Of each connected class the line that is first by (id, place in the text) stays. A null
     text stays null, with no lines; a null id comes last; rows with equal ids go by a hash of the text, and rows equal in both are one document;
     other columns stay, but columns named like the results are replaced; an empty table gives an empty result.
     """
     if min_chars < edits + 1:
         raise ValueError("a line needs a character for each segment")
     docs = docs.drop("n_lines", "n_removed")
-    lines = lines_of(docs, id_col, text_col, min_chars)
-    classes = line_classes(lines, edits)
+    lines = lines_of(docs, id_col, text_col, min_chars, short)
+    classes = line_classes(lines, edits, min_chars)
     found = within(lines.select("doc", "row", "pos", "id", "h"), bitmap(classes)).where("__in").drop("__in", "h")
     found = found.join(classes.drop("h"), "id")
     first = (F.col("first.doc").eqNullSafe(F.col("doc"))) & (F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))

@@ -31,7 +31,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicate_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    found = line_dedup.deduplicate_lines(documents(spark, sf_dir).select("doc_id", "text"), short=True)
     return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
