@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, a document's score is their noisy-or.
 
 Labels are of documents only. A sentence's score is the logistic function of the weights of its words and their beginnings (hashed), the document's
-1 - product(1 - score); the weights are learned from the documents' labels and then tell which sentences offend.
+1 - product(1 - score), where of the sentences' common bias one share is left, however many they are; the weights are learned from the documents' labels and then tell which sentences offend.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ STEMS = (5, 7)
 MOST = {1: 4000, 0: 8000}
 EPOCHS, STEP = 200, 0.5
 EVIDENCE, LIFT = 0.25, 3.0
-#: Logit of a sentence without telling words: fixed, so that length alone never makes a document toxic.
+#: Logit of a sentence, and of a document, without telling words: such sentences add nothing, so that length alone never makes a document toxic.
 BIAS = -7.0
 #: Weight of label 0 against label 1 where scores are calibrated.
 PRIOR = 2.0
@@ -86,15 +86,15 @@ def _weights(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> np.n
     used, where = np.unique(slot, return_inverse=True)
     live, sentence_of = np.unique(sentence, return_inverse=True)
     docs, n, b = len(texts), len(live), BIAS
-    # all other sentences keep the bias as their logit
-    rest = (np.bincount(document, minlength=docs) - np.bincount(document[live], minlength=docs)) * np.log1p(-sigmoid(np.array(b)))
+    # a document has the bias once, and of its sentences what they have beyond it
+    alone = np.log1p(-sigmoid(np.array(b)))
     document, w = document[live], np.zeros(len(used))
     balance = np.full(docs, 1 / max(1, docs))
     # the penalty: the loss of EVIDENCE documents
     penalty = EVIDENCE / max(1, docs)
     for turn in range(epochs if docs and n and 0 < labels.sum() < docs else 0):
         p = sigmoid(np.bincount(sentence_of, w[where], n) + b)
-        clean = rest + np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), docs)
+        clean = alone + np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)) - alone, docs)
         some = np.maximum(-np.expm1(clean), 1e-12)
         # d loss / d logit of a sentence: its score, times 1 for label 0 and -(1 - P) / P for label 1
         g = (balance * np.where(labels > 0, -(1 - some) / some, 1.0))[document] * p
@@ -109,9 +109,10 @@ def _weights(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> np.n
 
 
 def _clean(w: np.ndarray, slot: np.ndarray, sentence: np.ndarray, document: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each sentence's score, and each document's log probability of having no offending sentence."""
+    """Each sentence's score, and each document's log probability of having no offending sentence: the bias's once, and what its sentences have beyond it."""
     p = sigmoid(np.bincount(sentence, w[slot], len(document)) + w[1 << SLOTS_LOG2])
-    return p, np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)), docs)
+    alone = np.log1p(-sigmoid(np.float64(w[1 << SLOTS_LOG2])))
+    return p, alone + np.bincount(document, np.log1p(-np.minimum(p, 1 - 1e-12)) - alone, docs)
 
 
 def _logit(clean: np.ndarray) -> np.ndarray:
