@@ -34,10 +34,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
-    found = ngram_join.ngram_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five words, 0.8) one row stays: that with the smallest id, null last, and of equal ids with the least hash of id and text.
+
+    Rows equal in id and text are one document, of which one row stays; rows without n-grams all stay.
+    """
+    mark = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    found = ngram_join.ngram_components(docs.select(mark.alias("mark"), "text"), id_col="mark").where("n_shingles > 0")
+    sets = docs.select(mark.alias("mark"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", mark.alias("mark")).alias("at"))
+    sets = sets.groupBy("mark").agg(F.first("at").alias("at"), F.count("*").alias("times"))
+    rows = materialize(sets.join(found.select("mark", "component_id").distinct(), "mark"), "marks")
+    kept = rows.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.mark").alias("mark"))
+    gone = rows.select("mark").join(kept, "mark", "left_anti")
+    again = rows.where("times > 1").select("mark")
+    left = docs.withColumn("mark", mark).join(gone, "mark", "left_anti")
+    # of equal rows one is left; only such rows are grouped
+    one = left.join(again, "mark", "left_semi").dropDuplicates(["mark"])
+    return left.join(again, "mark", "left_anti").unionByName(one).select(*docs.columns)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
