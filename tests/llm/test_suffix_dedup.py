@@ -1,9 +1,8 @@
 """Suffix-array dedup against a brute force over all strings."""
 
-import hashlib
-
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import suffix_dedup as S
 
@@ -52,9 +51,14 @@ def local(rows, per_chunk, buckets=5):
     replies = deal([list(c.messages()) for c in chunks], S.judge)
     verdicts = [c.verdicts(r) for c, r in zip(chunks, replies, strict=True)]
     parts = deal([list(c.part_messages(v)) for c, v in zip(chunks, verdicts, strict=True)], lambda m: S.sort_parts(m, LENGTH))
+    hot = [c.hot_strings(v)[:2] for c, v in zip(chunks, verdicts, strict=True)]
+    least = {}
+    for strings, docs in hot:
+        for x, d in zip(strings, docs.tolist(), strict=True):
+            least[x] = min(d, least.get(x, d))
     out = []
-    for c, v, r in zip(chunks, verdicts, parts, strict=True):
-        gone = c.removed(v, r)
+    for c, v, r, (strings, docs) in zip(chunks, verdicts, parts, hot, strict=True):
+        gone = c.removed(v, r, [k for k, x in enumerate(strings) if docs[k] > least[x]])
         out += [gone[a:b] for a, b in zip(c.at[:-1], c.at[1:], strict=True)]
     return out
 
@@ -87,6 +91,24 @@ def test_against_brute_force(seed, hot, monkeypatch):
             assert (got == want).all()
 
 
+def test_equal_hashes(monkeypatch):
+    """Where every hash of a region and every polynomial agrees, bytes alone decide."""
+    rng = np.random.default_rng(5)
+    rows = corpus(rng, 40, b"ab")
+    real = S.range_hash
+    monkeypatch.setattr(S, "range_hash", lambda h, a, b: real(h, a, b) * np.uint64(0))
+    for got, want in zip(local(rows, 3), brute(rows), strict=True):
+        assert (got == want).all()
+
+
+def test_blocks(monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    rows = corpus(rng, 40, b"abcdefgh")
+    for got, want in zip(local(rows, 10), brute(rows), strict=True):
+        assert (got == want).all()
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     text = rng.choice(np.frombuffer(b"ab", np.uint8), 400)
@@ -102,14 +124,77 @@ def test_suffix_order():
             assert same[i] == next((k for k in range(LENGTH) if a[k] != b[k]), LENGTH)
 
 
+def results(rows, docs):
+    """What the operator must return for (id, text): id, n_bytes, n_removed, n_spans, kept."""
+    out = []
+    for (i, t), g in zip(rows, brute(rows), strict=True):
+        spans = int((g & ~np.concatenate([[False], g[:-1]])).sum())
+        out.append((str(i), len(t), int(g.sum()), spans, bytes(b for b, x in zip(t, g, strict=True) if not x)))
+    got = [(str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in docs]
+    return sorted(got), sorted(out)
+
+
 def test_operator(spark):
     rng = np.random.default_rng(3)
     rows = [(i, t.decode(), f"s{i}") for i, t in corpus(rng, 60, b"abcdefgh")]
     rows += [(100, None, "x"), (None, rows[0][1], None), (101, "", "y"), rows[1], (102, "é" * 60, "z"), (103, "x" + "é" * 60, "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
-    out = S.remove_repeats(df.withColumnRenamed("kept", "n_source")).collect()
-    plain = [(r[0], (r[1] or "").encode()) for r in rows]
-    want = sorted((str(i), r[2], hashlib.md5(t[: len(t)]).hexdigest() if not g.any() else "", int(g.sum()), bytes(b for b, x in zip(t, g, strict=True) if not x)) for (i, t), g, r in zip(plain, brute(plain), rows, strict=True))
-    got = sorted((str(r["doc_id"]), r["n_source"], hashlib.md5(bytes(r["kept"])).hexdigest() if not r["n_removed"] else "", r["n_removed"], bytes(r["kept"])) for r in out)
-    assert [(a, str(b), c, d, e) for a, b, c, d, e in want] == [(a, str(b), c, d, e) for a, b, c, d, e in got]
+    df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, source string, kept string").withColumns({"n_bytes": F.lit("q"), "__id": F.lit(7)}).repartition(3)
+    out = S.remove_repeats(df)
+    assert out.columns == ["doc_id", "source", "__id", "n_bytes", "n_removed", "n_spans", "kept"]
+    out = out.collect()
+    got, want = results([(r[0], (r[1] or "").encode()) for r in rows], out)
+    assert got == want
+    assert sorted((str(r["doc_id"]), str(r["source"])) for r in out) == sorted((str(r[0]), str(r[2])) for r in rows) and {r["__id"] for r in out} == {7}
     assert S.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_slices(spark, monkeypatch):
+    """Documents longer than a chunk, cut and joined again; characters cut in two go only where that is asked for."""
+    monkeypatch.setattr(S, "CHUNK_BYTES", 300)
+    rng = np.random.default_rng(4)
+    texts = [t.decode() for _, t in corpus(rng, 30, b"abcdefgh")]
+    rows = [(i, "".join(rng.choice(texts, int(rng.integers(0, 12)))) + "é€" * int(rng.integers(0, 200))) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    plain = [(i, t.encode()) for i, t in rows]
+    got, want = results(plain, S.remove_repeats(df).collect())
+    assert got == want
+    for r, g in zip(sorted(S.remove_repeats(df, whole_characters=True).collect(), key=lambda r: r["doc_id"]), brute(plain), strict=True):
+        text, at, left = rows[r["doc_id"]][1], 0, ""
+        for c in text:
+            n = len(c.encode())
+            left += "" if g[at : at + n].any() else c
+            at += n
+        assert bytes(r["kept"]).decode() == left and r["n_removed"] == int(g.sum())
+
+
+def test_hot_anchors(spark):
+    """A passage before many different endings: its last strings have one anchor and more regions than a chunk sends."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghij ")
+    passage = "".join(rng.choice(letters, 90))
+    endings = ["".join(rng.choice(letters, 40)) for _ in range(100)]
+    rows = [(i, "".join(rng.choice(letters, 30)) + passage + endings[i % 100]) for i in range(300)]
+    chunk = S.Regions([i for i, _ in rows], np.cumsum([0] + [len(t) for _, t in rows]).astype(np.int64).tobytes(), __import__("zstandard").ZstdCompressor().compress("".join(t for _, t in rows).encode()), LENGTH, 24)
+    answers = {b: S.judge([m])[0] for b, m in chunk.messages()}
+    assert (chunk.verdicts(answers) == S.HOT_PART).any()
+    got, want = results([(i, t.encode()) for i, t in rows], S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert got == want
+
+
+def test_memory_of_a_long_document():
+    """One document of 20 MB: what a worker holds stays within a few chunks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 123, 20 << 20, dtype=np.uint8)
+    tracemalloc.start()
+    for a in range(0, len(text), S.CHUNK_BYTES):
+        part = text[max(0, a - 54) : a + S.CHUNK_BYTES + 54]
+        import zstandard
+
+        found = S.Regions([1], np.array([0, len(part)], np.int64).tobytes(), zstandard.ZstdCompressor().compress(part.tobytes()), LENGTH, 24)
+        sum(len(m) for _, m in found.messages())
+        if a >= 2 * S.CHUNK_BYTES:
+            break
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()

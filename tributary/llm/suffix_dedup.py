@@ -4,16 +4,17 @@ Every string of ``length`` bytes has one anchor in it, the least of its 24-byte
 equal strings have equal anchors at equal places, and only strings of one anchor need comparing. The strings
 of one anchor occurrence are the suffixes (cut at ``length`` bytes) that start in one short region of text.
 
-1. Texts are written once as chunks of documents: a row each, so that later steps name a byte by chunk and place.
-2. Anchors are dealt by hash over buckets as (anchor, hash of the region, document). A region that a smaller
-   document has too is removed whole; an anchor with several different regions goes on to step 3.
-3. Those regions are dealt by anchor, and their suffixes sorted: a mergesort whose comparisons find the common
-   extension by binary search over prefix polynomial hashes. Neighbours equal by hash are compared byte by byte.
-   Of each run of equal strings only those in the smallest document stay.
-4. The verdicts, a bit or two each, go back to their chunks.
-
-An anchor with very many different regions (a passage in much of the corpus, at its ends) sends its strings one
-by one, each chunk every different string once, dealt by the string's own hash: no bucket gathers a hot anchor.
+1. Texts are written once as chunks: a row each, so that later steps name a byte by chunk and place. A long document is cut into
+   slices that overlap by more than a string, so that memory is bounded by a chunk, whatever the length of a document.
+2. Anchors are dealt by hash over buckets as (anchor, document). Those that one document has alone are done with.
+3. The regions of the others are dealt by anchor, with their bytes. Equal ones, told by hash and then byte by byte, become one. The suffixes of
+   what is left are sorted: a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes.
+   Neighbours equal by hash are compared byte by byte. Of each run of equal strings only those in the smallest document stay.
+4. The verdicts, a bit a string, go back to their chunks.
+
+A hot anchor, one with very many regions (a passage in much of the corpus), sends its strings one by one as rows, each chunk every different
+string once; their smallest documents are a grouped minimum, which Spark sums up before its shuffle, so no task gathers a hot anchor.
+No byte goes because hashes agree: every removal rests on equal bytes.
 """
 
 from __future__ import annotations
@@ -27,20 +28,29 @@ from pyspark.sql import functions as F
 from .common import BASE, BYTE_VALUES, materialize, mix, powers, prefix_hash, range_hash, slices, spread, utf8
 
 ANCHOR = 24
-#: Bytes of text in a chunk (a longer document is a chunk of its own).
-CHUNK_BYTES = 1 << 21
+#: Bytes of text in a chunk or slice.
+CHUNK_BYTES = 1 << 20
 #: Bytes of text whose anchors are sought at once, so that numpy's temporaries stay in a core's cache.
-SLICE = 1 << 17
+BLOCK = 1 << 17
 #: Bytes of text for each bucket of anchors.
-BUCKET_BYTES = 6 << 20
-#: An anchor with so many different regions in one chunk, or in all, is hot.
+BUCKET_BYTES = 12 << 20
+#: An anchor with so many different regions in one chunk, or regions in all, is hot.
 HOT_HERE, HOT = 64, 4096
-NONE, FULL, PART, HOT_PART = 0, 1, 2, 3
+NONE, PART, HOT_PART = 0, 1, 2
+#: Suffixes that are sorted at once.
+SORTED = 60_000
+LAST = np.iinfo(np.int64).max
 
+CHUNKS = "chunk long, size long, ids array<long>, at binary, text binary, rest binary, document long, slice int, lead int, own int"
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk long, ids array<long>, at binary: the offsets, text binary: zstandard, rest binary: the other columns as Arrow), written in the shared folder."""
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """CHUNKS, written in the shared folder: size, in bytes; ids; at, the offsets (int64); text, zstandard; rest, the other columns as Arrow.
+
+    A slice of a long document also has document, its number; slice, from 0; and lead and own: how many of its bytes come before its own, and how many those are.
+    """
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    pad, most = length + 4, CHUNK_BYTES
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -51,30 +61,64 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         press = zstandard.ZstdCompressor(level=3).compress
         held, size = [], 0
 
-        def chunk():
-            nonlocal number, held, size
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            data, at = utf8(table.column(1))
+        def others(table) -> bytes:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_batch(table.set_column(1, table.schema.field(1), pa.nulls(table.num_rows, table.schema.field(1).type)))
-            ids = table.column(0).cast(pa.int64())
-            out = [pa.array([number]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([at.tobytes()], pa.binary()), pa.array([press(data.tobytes())], pa.binary()), pa.array([press(sink.getvalue().to_pybytes())], pa.binary())]
-            number, held, size = number + 1, [], 0
-            return pa.RecordBatch.from_arrays(out, ["chunk", "ids", "at", "text", "rest"])
+            return press(sink.getvalue().to_pybytes())
+
+        def chunk(ids, at, data, rest, document=None, number_of=None, lead=None, own=None):
+            nonlocal number
+            number += 1
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            values = [number - 1, len(data), ids, at.tobytes(), press(data.tobytes()), rest, document, number_of, lead, own]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["chunk", "size", "ids", "at", "text", "rest", "document", "slice", "lead", "own"])
+
+        def whole():
+            nonlocal held, size
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            data, at = utf8(table.column(1))
+            held, size = [], 0
+            return chunk(table.column(0).cast(pa.int64()).to_pylist(), at, data, others(table))
 
         for batch in batches:
-            _, at = utf8(batch.column(1))
-            for i, j in slices(at, CHUNK_BYTES // 4):
+            data, at = utf8(batch.column(1))
+            for i, j in slices(at, most // 4):
+                n = int(at[j] - at[i])
+                if n > most:  # one document
+                    text, first = data[at[i] : at[j]], number
+                    for k, a in enumerate(range(0, n, most)):
+                        low, high = max(0, a - pad), min(n, a + most + pad)
+                        part = text[low:high]
+                        table = batch.slice(i, 1)
+                        yield chunk(table.column(0).cast(pa.int64()).to_pylist(), np.array([0, len(part)], np.int64), part, others(table) if not k else None, first, k, a - low, min(n, a + most) - a)
+                    continue
+                if held and size + n > most:
+                    yield whole()
                 held.append(batch.slice(i, j - i))
-                size += at[j] - at[i]
-                if size >= CHUNK_BYTES:
-                    yield chunk()
+                size += n
         if held:
-            yield chunk()
+            yield whole()
+
+    rows = docs.select(F.col(id_col).alias("c0"), F.col(text_col).cast("string").alias("c1"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(rest, 2)])
+    return materialize(rows.mapInArrow(run, CHUNKS), "chunks")
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of a sorted array."""
+    if len(x):
+        edges = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
+        yield from zip(x[edges[:-1]].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
 
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in rest])
-    return materialize(rows.mapInArrow(run, "chunk long, ids array<long>, at binary, text binary, rest binary"), "chunks")
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+size] and data[b:b+size] have equal bytes."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), 8192):
+        n = size[i : i + 8192]
+        same = data[spread(n, a[i : i + 8192])] == data[spread(n, b[i : i + 8192])]
+        out[i : i + 8192] = np.logical_and.reduceat(same, np.cumsum(n) - n) if len(n) else True
+    return out
 
 
 class Regions:
@@ -86,44 +130,46 @@ class Regions:
         self.length, self.buckets = length, buckets
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
         self.at = np.frombuffer(at, np.int64)
-        most = np.iinfo(np.int64).max
-        self.ids = np.array([most if x is None else x for x in ids], np.int64)
-        parts = [self._anchors(int(self.at[i]), self.data[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i]) for i, j in slices(self.at, SLICE)]
-        self.key, self.first, self.last, self.region = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+        self.ids = np.array([LAST if x is None else x for x in ids], np.int64)
+        starts = max(0, len(self.data) - length + 1)
+        parts = [self._anchors(a, min(a + BLOCK, starts)) for a in range(0, starts, BLOCK)]
+        none = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+        key, self.first, self.last, region = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
         self.doc = self.ids[np.searchsorted(self.at, self.first, "right") - 1] if len(self.first) else np.empty(0, np.int64)
         # the different (anchor, region), each with the smallest document; others of a larger document are repeats
-        order = np.argsort(self.key)
-        k = self.key[order]
+        order = np.argsort(key)
+        k = key[order]
         twin = np.zeros(len(k), bool)
         twin[1:] = k[1:] == k[:-1]
         several = twin.copy()
         several[:-1] |= twin[1:]
         x = order[several]
-        order[several] = x[np.lexsort((self.first[x], self.doc[x], self.region[x], self.key[x]))]
-        r = self.region[order]
-        new = ~twin
-        new[1:] |= r[1:] != r[:-1]
+        order[several] = x[np.lexsort((self.first[x], self.doc[x], region[x], key[x]))]
+        twin[1:] &= region[order][1:] == region[order][:-1]
+        # equal by hash: compare the bytes
+        y = np.flatnonzero(twin)
+        size = self.last - self.first + length
+        p, q = order[y - 1], order[y]
+        twin[y] = size[p] == size[q]
+        y = np.flatnonzero(twin)
+        p, q = order[y - 1], order[y]
+        twin[y] = _equal(self.data, self.first[p], self.first[q], size[q])
         self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.lead = order[new]
-        self.repeat = self.doc > self.doc[self.lead][self.entry] if len(order) else np.empty(0, bool)
-        key = self.key[self.lead]
-        self.bucket = (key % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        self.entry[order] = np.cumsum(~twin) - 1
+        self.lead = order[~twin]
+        self.key = key[self.lead]
+        self.bucket = (self.key % np.uint64(buckets)).astype(np.int64)
         # an anchor with many regions here sends the first HOT_HERE of them only
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        begin = np.flatnonzero(start)
-        rank = np.arange(len(key)) - begin[np.cumsum(start) - 1] if len(key) else np.empty(0, np.int64)
-        self.sent = rank < HOT_HERE
-        self.order = np.flatnonzero(self.sent)
+        begin = np.concatenate([[True], self.key[1:] != self.key[:-1]]) if len(self.key) else np.empty(0, bool)
+        rank = np.arange(len(self.key)) - np.flatnonzero(begin)[np.cumsum(begin) - 1] if len(self.key) else np.empty(0, np.int64)
+        self.order = np.flatnonzero(rank < HOT_HERE)
         self.order = self.order[np.argsort(self.bucket[self.order], kind="stable")]
 
-    def _anchors(self, base: int, data: np.ndarray, at: np.ndarray):
-        """(key, first and last start of the region's strings, hash of the region) of each anchor occurrence of a slice of documents."""
-        n, width, length = len(data), self.length - ANCHOR + 1, self.length
-        none = np.empty(0, np.int64)
-        if n < length:
-            return none.astype(np.uint64), none, none, none.astype(np.uint64)
+    def _anchors(self, base: int, stop: int):
+        """(key, first and last start of the region's strings, hash of the region) of each anchor occurrence, for strings that start from ``base`` to before ``stop``."""
+        width, length = self.length - ANCHOR + 1, self.length
+        data = self.data[base : stop + length - 1]
+        n = len(data)
         h = prefix_hash(BYTE_VALUES[data])
         key = (h[ANCHOR:] - h[:-ANCHOR]) * powers(BASE, n)[: n - ANCHOR + 1]
         # hash above, place below: the least of a window is the leftmost of its least anchors
@@ -139,7 +185,8 @@ class Regions:
             least = np.minimum(least[: len(least) - (width - s)], least[width - s :])
         good = np.ones(len(least) + 1, bool)
         good[-1] = False
-        for end in at[1:].tolist():
+        ends = self.at[np.searchsorted(self.at, base, "right") : np.searchsorted(self.at, base + n)]
+        for end in (ends - base).tolist():
             good[max(0, end - length + 1) : end] = False
         turn = np.ones(len(least) + 1, bool)
         turn[1:-1] = least[1:] != least[:-1]
@@ -153,166 +200,108 @@ class Regions:
         return mix(key[place]), first + base, last + base, region
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
-        """(bucket, message) with the keys, regions and documents of the entries sent, bucket by bucket."""
+        """(bucket, message) with the keys and documents of the entries sent, bucket by bucket."""
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1).compress
-        lead, bucket = self.lead[self.order], self.bucket[self.order]
-        key = (self.key[lead] // np.uint64(self.buckets)).astype(np.uint32)
-        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            x = lead[edges[b] : edges[b + 1]]
-            docs, which = np.unique(self.doc[x], return_inverse=True)
-            tail = press(np.diff(docs, prepend=0).tobytes() + which.astype(np.uint32).tobytes())
-            yield b, np.array([len(x), len(docs)], "<u4").tobytes() + key[edges[b] : edges[b + 1]].tobytes() + self.region[x].tobytes() + tail
+        lead, key = self.lead[self.order], (self.key[self.order] // np.uint64(self.buckets)).astype(np.uint32)
+        for b, i, j in _runs(self.bucket[self.order]):
+            docs, which = np.unique(self.doc[lead[i:j]], return_inverse=True)
+            tail = np.diff(docs, prepend=0).tobytes() + which.astype(np.uint32).tobytes()
+            yield b, np.array([j - i, len(docs)], "<u4").tobytes() + key[i:j].tobytes() + press(tail)
 
     def verdicts(self, replies: dict[int, bytes]) -> np.ndarray:
         """The verdict on every entry, from the buckets' replies (two bits each, in the order sent)."""
         out = np.full(len(self.lead), HOT_PART, np.uint8)
-        bucket = self.bucket[self.order]
-        edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            n = edges[b + 1] - edges[b]
-            bits = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=2 * n).reshape(n, 2)
-            out[self.order[edges[b] : edges[b + 1]]] = bits[:, 0] * 2 + bits[:, 1]
+        for b, i, j in _runs(self.bucket[self.order]):
+            bits = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=2 * (j - i)).reshape(-1, 2)
+            out[self.order[i:j]] = bits[:, 0] * 2 + bits[:, 1]
         return out
 
-    def parts(self, verdict: np.ndarray):
-        """Fragments for the suffix sort: (bucket, key, start, suffixes, document), ordered by bucket; whole regions first, single strings of hot anchors after."""
-        x = self.lead[verdict == PART]
-        bucket = (self.key[x] % np.uint64(self.buckets)).astype(np.int64)
-        hot = self.lead[verdict == HOT_PART]
-        n = self.last[hot] - self.first[hot] + 1
-        start, doc = spread(n, self.first[hot]), np.repeat(self.doc[hot], n)
-        if len(start):
-            # each different string once, for the smallest document of the chunk
-            piece = np.lib.stride_tricks.sliding_window_view(BYTE_VALUES[self.data], self.length)
-            h = np.concatenate([self._string_hash(piece[start[i : i + 65536]]) for i in range(0, len(start), 65536)])
-            order = np.lexsort((doc, h))
-            new = np.ones(len(order), bool)
-            new[1:] = h[order][1:] != h[order][:-1]
-            self.hot_group = np.empty(len(order), np.int64)
-            self.hot_group[order] = np.cumsum(new) - 1
-            self.hot_start, self.hot_doc = start, doc
-            lead = order[new]
-            start, doc, h = start[lead], doc[lead], h[lead]
-        else:
-            h = np.empty(0, np.uint64)
-            self.hot_group = self.hot_start = self.hot_doc = np.empty(0, np.int64)
-        buckets = np.concatenate([bucket, (h % np.uint64(self.buckets)).astype(np.int64)])
-        keys = np.concatenate([self.key[x], h])
-        starts, docs = np.concatenate([self.first[x], start]), np.concatenate([self.doc[x], doc])
-        sizes = np.concatenate([self.last[x] - self.first[x] + 1, np.ones(len(start), np.int64)])
-        order = np.argsort(buckets, kind="stable")
-        self.part_order, self.part_edges = order, np.searchsorted(buckets[order], np.arange(self.buckets + 1))
-        self.n_whole = len(x)
-        return keys[order], starts[order], sizes[order], docs[order]
-
-    @staticmethod
-    def _string_hash(values: np.ndarray) -> np.ndarray:
-        weights = mix(np.arange(1, values.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        return mix((values * weights).sum(1, dtype=np.uint64))
+    def parts(self, verdict: np.ndarray) -> np.ndarray:
+        """The entries whose regions are sorted elsewhere, by bucket."""
+        x = np.flatnonzero(verdict == PART)
+        return x[np.argsort(self.bucket[x], kind="stable")]
 
     def part_messages(self, verdict: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(bucket, message) with the keys, documents, numbers of suffixes and bytes of regions."""
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1).compress
-        keys, starts, sizes, docs = self.parts(verdict)
-        for b in np.flatnonzero(np.diff(self.part_edges)).tolist():
-            s = slice(self.part_edges[b], self.part_edges[b + 1])
-            text = self.data[spread(sizes[s] + self.length - 1, starts[s])]
-            n = len(keys[s])
-            yield b, press(np.array([n], "<i8").tobytes() + keys[s].tobytes() + docs[s].tobytes() + sizes[s].astype(np.int64).tobytes() + text.tobytes())
-
-    def removed(self, verdict: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
+        press, x = zstandard.ZstdCompressor(level=1).compress, self.parts(verdict)
+        for b, i, j in _runs(self.bucket[x]):
+            lead, key = self.lead[x[i:j]], self.key[x[i:j]] // np.uint64(self.buckets)
+            size = self.last[lead] - self.first[lead] + 1
+            text = self.data[spread(size + self.length - 1, self.first[lead])]
+            yield b, press(np.array([j - i], "<i8").tobytes() + self.doc[lead].tobytes() + key.astype("<u4").tobytes() + size.astype("<u4").tobytes() + text.tobytes())
+
+    def hot_strings(self, verdict: np.ndarray):
+        """The different strings of hot anchors and the smallest document of each here; starts and documents of all, and which string each is."""
+        hot = self.lead[verdict == HOT_PART]
+        n = self.last[hot] - self.first[hot] + 1
+        start, doc = spread(n, self.first[hot]), np.repeat(self.doc[hot], n)
+        raw, number = self.data.tobytes(), {}
+        which = np.array([number.setdefault(raw[a : a + self.length], len(number)) for a in start.tolist()], np.int64)
+        least = np.full(len(number), LAST)
+        np.minimum.at(least, which, doc)
+        return list(number), least, start, doc, which
+
+    def removed(self, verdict: np.ndarray, replies: dict[int, bytes], hot_gone: list[int]) -> np.ndarray:
         """Which bytes of the chunk go."""
-        full = self.repeat | (verdict == FULL)[self.entry] if len(self.entry) else self.repeat
-        begin, end = [self.first[full]], [self.last[full] + self.length]
-        keys, starts, sizes, _ = self.parts(verdict)
-        flags = np.zeros(int(sizes.sum()), bool)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        for b in np.flatnonzero(np.diff(self.part_edges)).tolist():
-            a, z = ends[self.part_edges[b]], ends[self.part_edges[b + 1]]
-            flags[a:z] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=z - a).astype(bool)
-        which = spread(sizes, starts)
-        if len(which):
-            whole = self.part_order[np.repeat(np.arange(len(sizes)), sizes)] < self.n_whole
-            hits = which[flags & whole]
-            begin.append(hits)
-            end.append(hits + self.length)
-            # the parts of an anchor occurrence that is no lead of its entry: its document is the lead's own, so its verdict is the same
-            lead_flags = np.zeros(len(self.data) + 1, bool)
-            lead_flags[hits] = True
-            twin = np.flatnonzero(~full & (self.lead[self.entry] != np.arange(len(self.entry))) & (verdict[self.entry] == PART))
-            n = self.last[twin] - self.first[twin] + 1
-            source, target = spread(n, self.first[self.lead[self.entry[twin]]]), spread(n, self.first[twin])
-            hits = target[lead_flags[source]]
-            begin.append(hits)
-            end.append(hits + self.length)
-            if len(self.hot_start):
-                order = self.part_order
-                single = np.flatnonzero(order >= self.n_whole)
-                groups = order[single] - self.n_whole
-                gone, owner = np.zeros(len(groups), bool), np.zeros(len(groups), np.int64)
-                gone[groups] = flags[ends[:-1][single]]
-                least = np.full(len(groups), np.iinfo(np.int64).max)
-                np.minimum.at(least, self.hot_group, self.hot_doc)
-                owner = least
-                hits = self.hot_start[gone[self.hot_group] | (self.hot_doc > owner[self.hot_group])]
-                hot_flags = np.zeros(len(self.data) + 1, bool)
-                hot_flags[hits] = True
-                twin = np.flatnonzero(~full & (self.lead[self.entry] != np.arange(len(self.entry))) & (verdict[self.entry] == HOT_PART))
-                n = self.last[twin] - self.first[twin] + 1
-                source, target = spread(n, self.first[self.lead[self.entry[twin]]]), spread(n, self.first[twin])
-                hits = np.concatenate([hits, target[hot_flags[source]]])
-                begin.append(hits)
-                end.append(hits + self.length)
-        change = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(change, np.concatenate(begin), 1)
-        np.add.at(change, np.concatenate(end), -1)
-        return np.cumsum(change[:-1]) > 0
+        starts = np.zeros(len(self.data) + 1, bool)
+        x = self.parts(verdict)
+        for b, i, j in _runs(self.bucket[x]):
+            lead = self.lead[x[i:j]]
+            size = self.last[lead] - self.first[lead] + 1
+            flags = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=int(size.sum())).astype(bool)
+            starts[spread(size, self.first[lead])[flags]] = True
+        if (verdict == HOT_PART).any():
+            _, least, start, doc, which = self.hot_strings(verdict)
+            gone = np.zeros(len(least), bool)
+            gone[hot_gone] = True
+            starts[start[gone[which] | (doc > least[which])]] = True
+        # other occurrences of an entry: in its lead's document they go as the lead does, in a larger one as a whole
+        other = np.flatnonzero(self.lead[self.entry] != np.arange(len(self.entry)))
+        lead = self.lead[self.entry[other]]
+        size = self.last[other] - self.first[other] + 1
+        whole = self.doc[other] > self.doc[lead]
+        source, target = spread(size, self.first[lead]), spread(size, self.first[other])
+        starts[target[starts[source] | np.repeat(whole, size)]] = True
+        count = np.cumsum(starts[:-1], dtype=np.int32)
+        gone = count.copy()
+        gone[self.length :] -= count[: -self.length]
+        return gone > 0
 
 
 def judge(messages: list[bytes]) -> list[bytes]:
-    """Replies to one bucket's messages."""
+    """Replies to one bucket's messages: of each anchor whether several documents have it, and whether it is hot."""
     import zstandard
 
     open_ = zstandard.ZstdDecompressor().decompress
-    keys, regions, docs, sizes = [], [], [], []
+    keys, docs, sizes = [], [], []
     for m in messages:
         n, k = np.frombuffer(m[:8], "<u4").tolist()
         keys.append(np.frombuffer(m, np.uint32, n, 8))
-        regions.append(np.frombuffer(m[8 + 4 * n : 8 + 12 * n], np.uint64))
-        tail = open_(m[8 + 12 * n :])
+        tail = open_(m[8 + 4 * n :])
         docs.append(np.cumsum(np.frombuffer(tail[: 8 * k], np.int64))[np.frombuffer(tail[8 * k :], np.uint32)])
         sizes.append(n)
+    key, doc = np.concatenate(keys), np.concatenate(docs)
     chunk = np.repeat(np.arange(len(sizes)), sizes)
-    key, region, doc = np.concatenate(keys), np.concatenate(regions), np.concatenate(docs)
-    order = np.lexsort((doc, region, key))
-    k, r, d, c = key[order], region[order], doc[order], chunk[order]
-    new_key = np.ones(len(k), bool)
-    new_key[1:] = k[1:] != k[:-1]
-    new = new_key.copy()
-    new[1:] |= r[1:] != r[:-1]
-    group, anchor = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-    full = d > d[new][group]
-    lead = np.flatnonzero(new)
-    kinds = np.bincount(anchor[lead])
-    low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), np.iinfo(np.int64).min)
-    np.minimum.at(low, anchor[lead], d[lead])
-    np.maximum.at(high, anchor[lead], d[lead])
-    # hot: many regions in all, or as many as one chunk sends
-    by = np.lexsort((c, anchor))
-    pair = np.ones(len(k), bool)
-    pair[1:] = (anchor[by][1:] != anchor[by][:-1]) | (c[by][1:] != c[by][:-1])
-    each = np.diff(np.concatenate([np.flatnonzero(pair), [len(k)]]))
-    hot = kinds > HOT
-    hot[anchor[by][pair][each >= HOT_HERE]] = True
-    verdict = np.where(full, FULL, np.where((kinds[anchor] > 1) & (high[anchor] > low[anchor]), PART, NONE))
-    # what a chunk has of a hot anchor beyond the first it can't tell, so the strings of a hot anchor all go on
-    verdict = np.where(hot[anchor] & ~full, HOT_PART, verdict)
+    order = np.lexsort((chunk, key))
+    k, c = key[order], chunk[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    anchor, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+    hot = np.diff(np.concatenate([first, [len(k)]])) > HOT
+    pair = new.copy()
+    pair[1:] |= c[1:] != c[:-1]
+    begin = np.flatnonzero(pair)
+    # what a chunk has of an anchor beyond the first it can't tell, so its strings all go on
+    full = np.zeros(len(hot), bool)
+    full[anchor[begin[np.diff(np.concatenate([begin, [len(k)]])) >= HOT_HERE]]] = True
+    verdict = np.where(full | (hot & (low < high)), HOT_PART, np.where(low < high, PART, NONE))
     out = np.empty(len(k), np.uint8)
-    out[order] = verdict
+    out[order] = verdict[anchor]
     bits = np.stack([out >> 1, out & 1], 1)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     return [np.packbits(bits[a:b].reshape(-1)).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -387,6 +376,41 @@ def suffix_order(text: np.ndarray, start: np.ndarray, group: np.ndarray, length:
     return order, same
 
 
+def _sorted(text: np.ndarray, key: np.ndarray, doc: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix of the fragments (their bytes stand one after another), whether a smaller document has its string."""
+    wide = size + length - 1
+    at = np.cumsum(wide) - wide
+    h = prefix_hash(BYTE_VALUES[text])
+    hashes = range_hash(h, at, at + wide)
+    order = np.lexsort((doc, hashes, wide, key))
+    same, p, q = np.zeros(len(order), bool), order[:-1], order[1:]
+    same[1:] = (key[p] == key[q]) & (wide[p] == wide[q]) & (hashes[p] == hashes[q])
+    y = np.flatnonzero(same)
+    same[y] = _equal(text, at[order[y - 1]], at[order[y]], wide[order[y]])
+    lead = order[~same]  # of equal fragments the one of the smallest document
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(~same) - 1
+    # suffixes of the different fragments of an anchor, where it has several
+    many = np.zeros(len(lead), bool)
+    many[1:] = key[lead][1:] == key[lead][:-1]
+    many[:-1] |= many[1:]
+    x = lead[many]
+    start = spread(size[x], at[x])
+    flags = np.zeros(len(text) + 1, bool)
+    if len(x):
+        own = np.repeat(doc[x], size[x])
+        ranked, common = suffix_order(text, start, np.repeat(key[x], size[x]), length)
+        joined = np.flatnonzero(common >= length)
+        true = np.zeros(len(ranked), bool)
+        # equal by hash: compare the bytes
+        true[joined] = _equal(text, start[ranked[joined - 1]], start[ranked[joined]], np.full(len(joined), length))
+        run = np.cumsum(~true) - 1
+        least = np.minimum.reduceat(own[ranked], np.flatnonzero(~true))
+        flags[start[ranked[own[ranked] > least[run]]]] = True
+    whole = doc > doc[lead][of]
+    return flags[spread(size, at[lead][of])] | np.repeat(whole, size)
+
+
 def sort_parts(messages: list[bytes], length: int) -> list[bytes]:
     """Replies to one bucket's fragments: for each suffix, whether a smaller document has its string."""
     import zstandard
@@ -396,42 +420,26 @@ def sort_parts(messages: list[bytes], length: int) -> list[bytes]:
     for m in messages:
         raw = open_(m)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        keys.append(np.frombuffer(raw, np.uint64, n, 8))
-        docs.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-        sizes.append(np.frombuffer(raw, np.int64, n, 8 + 16 * n))
-        texts.append(np.frombuffer(raw, np.uint8, offset=8 + 24 * n))
+        docs.append(np.frombuffer(raw, np.int64, n, 8))
+        keys.append(np.frombuffer(raw, np.uint32, n, 8 + 8 * n))
+        sizes.append(np.frombuffer(raw, np.uint32, n, 8 + 12 * n).astype(np.int64))
+        texts.append(np.frombuffer(raw, np.uint8, offset=8 + 16 * n))
         counts.append(int(sizes[-1].sum()))
     key, doc, size, text = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes), np.concatenate(texts)
+    del texts
     wide = size + length - 1
-    at = np.cumsum(wide) - wide
+    at, begin = np.cumsum(wide) - wide, np.cumsum(size) - size
     by = np.argsort(key, kind="stable")
-    begin = np.cumsum(size) - size
     gone = np.zeros(int(size.sum()), bool)
-    # groups of anchors, some ten thousand suffixes at a time
+    # whole anchors, some SORTED suffixes at a time
     ends = np.cumsum(size[by])
     edge = np.flatnonzero(np.concatenate([key[by][1:] != key[by][:-1], [True]])) + 1
     a = 0
     while a < len(by):
         done = ends[a - 1] if a else 0
-        b = int(edge[min(len(edge) - 1, np.searchsorted(edge, np.searchsorted(ends, done + 60_000, "right"), "left"))])
-        b = b if b > a else int(edge[np.searchsorted(edge, a, "right")])
+        b = int(edge[min(len(edge) - 1, np.searchsorted(edge, max(a + 1, np.searchsorted(ends, done + SORTED, "right")), "left"))])
         x = by[a:b]
-        start, group, d, own = spread(size[x], at[x]), np.repeat(key[x], size[x]), np.repeat(doc[x], size[x]), spread(size[x], begin[x])
-        # a slice of its own, so that hashes cover the fragments in question only
-        part = text[spread(wide[x], at[x])]
-        local = spread(size[x], np.cumsum(wide[x]) - wide[x])
-        del start
-        order, same = suffix_order(part, local, group, length)
-        joined = np.flatnonzero(same >= length)
-        true = np.zeros(len(order), bool)
-        for i in range(0, len(joined), 16384):  # equal by hash: compare the bytes
-            k = joined[i : i + 16384]
-            span = np.arange(length)
-            true[k] = (part[local[order[k - 1]][:, None] + span] == part[local[order[k]][:, None] + span]).all(1)
-        run = np.cumsum(~true) - 1
-        least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, run, d[order])
-        gone[own[order]] = d[order] > least[run]
+        gone[spread(size[x], begin[x])] = _sorted(text[spread(wide[x], at[x])], key[x], doc[x], size[x], length)
         a = b
     ends = np.concatenate([[0], np.cumsum(counts)])
     return [np.packbits(gone[p:q]).tobytes() for p, q in zip(ends[:-1], ends[1:], strict=True)]
@@ -444,7 +452,7 @@ def _rows(batch) -> Iterator[dict]:
 
 
 def _answered(messages: DataFrame, answer, tasks: int) -> DataFrame:
-    """(chunk, replies array<struct<bucket, reply>>): the messages (bucket, chunk, message) dealt by bucket, answered bucket by bucket, and given back by chunk."""
+    """(chunk, bucket, reply), written: the messages (bucket, chunk, message) dealt by bucket and answered bucket by bucket."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -466,65 +474,93 @@ def _answered(messages: DataFrame, answer, tasks: int) -> DataFrame:
             yield reply()
 
     dealt = messages.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk")
-    replies = materialize(dealt.mapInArrow(run, "chunk long, bucket int, reply binary"), "replies")
-    return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
+    return materialize(dealt.mapInArrow(run, "chunk long, bucket int, reply binary"), "replies")
+
 
+def _by_chunk(replies: DataFrame, name: str) -> DataFrame:
+    return replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(name))
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept (binary: the bytes that stay) in place of the text.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Matches don't cross
-    documents and are judged on the input. A null text is empty; a null id is larger than all; rows with equal ids take
-    nothing from each other; repeated rows and other columns stay; an empty table gives an empty result. Columns
-    named like the results are replaced.
+    documents and are judged on the input. With ``whole_characters`` the rest of a character that lost a byte is not kept either. A null text
+    is empty; a null id is larger than all; rows with equal ids take nothing from each other; repeated rows and other columns stay; a text
+    of any length is worked on in slices; an empty table gives an empty result. Columns named like the results are replaced.
     """
     if length <= ANCHOR:
         raise ValueError(f"length must exceed {ANCHOR}")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    chunks = chunked(docs, id_col, text_col)
-    total = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(24, -(-3 * total // BUCKET_BYTES))
+    chunks = chunked(docs, id_col, text_col, length)
+    total, sliced = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("slice")).first()
+    buckets = max(24, -(-total // BUCKET_BYTES))
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
 
-    def sent(batches: Iterator) -> Iterator:
+    def regions(row: dict) -> Regions:
+        return Regions(row["ids"], row["at"], row["text"], length, buckets)
+
+    def answers(row: dict, name: str) -> dict[int, bytes]:
+        return {x["bucket"]: x["reply"] for x in row[name] or ()}
+
+    def message_batches(row: dict, messages: Iterator) -> Iterator:
         import pyarrow as pa
 
+        for bucket, message in messages:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([message], pa.binary())], ["bucket", "chunk", "message"])
+
+    def sent(batches: Iterator) -> Iterator:
         for batch in batches:
             for row in _rows(batch):
-                found = list(Regions(row["ids"], row["at"], row["text"], length, buckets).messages())
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], ["bucket", "chunk", "message"])
+                yield from message_batches(row, regions(row).messages())
 
     def sent_parts(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for row in _rows(batch):
+                found = regions(row)
+                yield from message_batches(row, found.part_messages(found.verdicts(answers(row, "replies"))))
+
+    def hot_strings(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for row in _rows(batch):
-                regions = Regions(row["ids"], row["at"], row["text"], length, buckets)
-                found = list(regions.part_messages(regions.verdicts({x["bucket"]: x["reply"] for x in row["replies"] or ()})))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], ["bucket", "chunk", "message"])
+                found = regions(row)
+                strings, least, *_ = found.hot_strings(found.verdicts(answers(row, "replies")))
+                for i in range(0, len(strings), 4096):
+                    k = len(strings[i : i + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * k, pa.int64()), pa.array(np.arange(i, i + k)), pa.array(strings[i : i + k], pa.binary()), pa.array(least[i : i + k])], ["chunk", "number", "string", "doc"])
 
     names = docs.columns
     place = [id_col, text_col, *[c for c in names if c not in (id_col, text_col)]]
 
+    def left(row: dict):
+        """Of a chunk: its regions, the bytes that go, and those that are not kept."""
+        found = regions(row)
+        gone = found.removed(found.verdicts(answers(row, "replies")), answers(row, "part_replies"), row["hot_gone"] or [])
+        dropped = gone
+        if whole_characters and gone.any():
+            character = np.cumsum((found.data & 0xC0) != 0x80)
+            dropped = (np.bincount(character, gone) > 0)[character]
+        return found, gone, dropped
+
     def kept(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
         for batch in batches:
             for row in _rows(batch):
-                regions = Regions(row["ids"], row["at"], row["text"], length, buckets)
-                verdict = regions.verdicts({x["bucket"]: x["reply"] for x in row["replies"] or ()})
-                gone = regions.removed(verdict, {x["bucket"]: x["reply"] for x in row["part_replies"] or ()})
-                at, n = regions.at, np.diff(regions.at)
-                count = np.concatenate([[0], np.cumsum(gone)])
+                found, gone, dropped = left(row)
+                at, n = found.at, np.diff(found.at)
+                count, lost = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, dropped))
                 starts = gone.copy()
                 starts[1:] &= ~gone[:-1]
                 cuts = at[:-1][n > 0]
                 starts[cuts] = gone[cuts]
                 spans = np.concatenate([[0], np.cumsum(starts)])
-                stay = regions.data[~gone]
-                ends = at - count[at]
+                stay = found.data[~dropped]
+                ends = at - lost[at]
                 old = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_next_batch()
                 columns = dict(zip(place, old.columns, strict=True))
                 step = 1 << 12
@@ -537,13 +573,57 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                         [*(c for c in names if c != text_col), "n_bytes", "n_removed", "n_spans", "kept"],
                     )
 
+    def kept_slice(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in _rows(batch):
+                found, gone, dropped = left(row)
+                a, b = row["lead"], row["lead"] + row["own"]
+                before = np.concatenate([[False], gone[:-1]])  # a slice's lead reaches back beyond a string, so this is right from its own first byte on
+                values = [row["document"], row["slice"], row["rest"], b - a, int(gone[a:b].sum()), int((gone & ~before)[a:b].sum()), found.data[a:b][~dropped[a:b]].tobytes()]
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["document", "slice", "rest", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    def joined(batches: Iterator) -> Iterator:
+        """A long document of its slices, which come in order."""
+        import pyarrow as pa
+        import zstandard
+
+        def document(rest, n, parts):
+            old = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_next_batch()
+            columns = dict(zip(place, old.columns, strict=True))
+            return pa.RecordBatch.from_arrays([*(columns[c] for c in names if c != text_col), *(pa.array([x], pa.int64()) for x in n), pa.array([b"".join(parts)], pa.binary())], [*(c for c in names if c != text_col), "n_bytes", "n_removed", "n_spans", "kept"])
+
+        rest, n, parts = None, [0, 0, 0], []
+        for batch in batches:
+            for row in _rows(batch):
+                if row["slice"] == 0:
+                    if rest is not None:
+                        yield document(rest, n, parts)
+                    rest, n, parts = row["rest"], [0, 0, 0], []
+                n = [x + row[c] for x, c in zip(n, ("n_bytes", "n_removed", "n_spans"), strict=True)]
+                parts.append(row["kept"])
+        if rest is not None:
+            yield document(rest, n, parts)
+
     schema = "bucket int, chunk long, message binary"
     text = chunks.select("chunk", "ids", "at", "text")
     replies = _answered(text.mapInArrow(sent, schema), judge, tasks)
-    with_replies = text.join(replies, "chunk", "left")
+    told = _by_chunk(replies, "replies")
+    with_replies = text.join(told, "chunk", "left")
     parts = _answered(with_replies.mapInArrow(sent_parts, schema), lambda held: sort_parts(held, length), tasks)
-    both = chunks.join(replies.join(parts.withColumnRenamed("replies", "part_replies"), "chunk", "left"), "chunk", "left")
+    # of chunks that were told of a hot anchor (a high bit of two), their strings
+    hot = replies.where(F.regexp_replace(F.hex("reply"), "[0145]", "") != "").select("chunk").distinct()
+    strings = materialize(with_replies.join(hot, "chunk", "left_semi").mapInArrow(hot_strings, "chunk long, number long, string binary, doc long"), "hot")
+    least = strings.groupBy("string").agg(F.min("doc").alias("least"))
+    gone = strings.join(least, "string").where("doc > least").groupBy("chunk").agg(F.collect_list("number").alias("hot_gone"))
+    both = chunks.join(told.join(_by_chunk(parts, "part_replies"), "chunk", "left"), "chunk", "left").join(gone, "chunk", "left")
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
     out = StructType([*(f for f in docs.schema.fields if f.name != text_col), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    return both.mapInArrow(kept, out)
+    if not sliced:
+        return both.mapInArrow(kept, out)
+    pieces = both.where("slice is not null").mapInArrow(kept_slice, "document long, slice int, rest binary, n_bytes long, n_removed long, n_spans long, kept binary")
+    long = pieces.repartition("document").sortWithinPartitions("document", "slice").mapInArrow(joined, out)
+    return both.where("slice is null").mapInArrow(kept, out).unionByName(long)
