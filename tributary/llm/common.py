@@ -34,7 +34,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +101,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Strings of more bytes are hashed one by one.
+SHORT = 32
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one little-endian word (zeros after the end)."""
+    wide = np.zeros(len(data) + 16, np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray(len(data) + 8, "<u8", wide, strides=(1,))
+
+
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: eight bytes after eight through a finaliser, strings of more than SHORT bytes by XXH3.
+
+    Unlike a polynomial modulo 2**64 it has no strings that collide by their form.
+    """
+    import xxhash
+
+    word, size = eights(data), end - start
+    h = mix(size.astype(np.uint64) * BASE)
+    for k in range(0, SHORT, 8):
+        live = np.flatnonzero(size > k)
+        if not len(live):
+            break
+        h[live] = mix(h[live] * BASE + (word[start[live] + k] & KEEP[np.minimum(size[live] - k, 8)]))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return h
+
+
 #: ASCII white space as the n-gram contract has it: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -109,9 +151,7 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = True):
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     end = np.flatnonzero(last) + 1
-    values = BYTE_VALUES[LOWER[data]] if lower else BYTE_VALUES[data]
-    h = range_hash(prefix_hash(values), start, end)
-    return start, end, mix(h ^ (end - start).astype(np.uint64))
+    return start, end, byte_hash(LOWER[data] if lower else data, start, end)
 
 
 def spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -162,7 +202,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         # small star: every smaller neighbour of a, and a itself, hang below the least
         small = large.join(low2, large["a"] == low2["k"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
-        e = materialize(small, "edges")
+        old, e = e, materialize(small, "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, mix, prefix_hash, range_hash
+from .common import byte_hash
 
 
 def fold(id_col: str, parts: int):
@@ -71,8 +71,7 @@ def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    h = prefix_hash(BYTE_VALUES[data])
-    return mix(range_hash(h, start, end) ^ (end - start).astype(np.uint64))
+    return byte_hash(data, start, end)
 
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,9 @@
 """Whole-text tokenisation inside tasks: the tokenizers library encodes each different pre-token once, numpy finds and joins them.
 
 Both public vocabularies split a text into pre-tokens before any merge, so the ids of a text are the ids
-of its pre-tokens one after another. A worker keeps a bounded table pre-token hash -> ids; only pre-tokens
-that it does not hold go to the library. Documents with characters outside Latin (from U+0250 on), with
+of its pre-tokens one after another. A worker keeps a bounded table pre-token -> ids; only pre-tokens
+that it does not hold go to the library. Pre-tokens of up to 16 bytes are looked up by their bytes and length, longer ones are kept in
+no table at all: nothing is taken for another by a hash. Documents with characters outside Latin (from U+0250 on), with
 one of the few special-cased characters, or with a special token's string are encoded whole by the library.
 """
 
@@ -13,12 +14,14 @@ import unicodedata
 
 import numpy as np
 
-from .common import mix, powers, prefix_hash, range_hash, slices, spread
+from .common import KEEP, eights, mix, slices, spread
 
 LATIN = 0x250
 SLOTS_LOG2 = 20
 #: Ids kept for pre-tokens before the table is emptied.
 POOL_IDS = 1 << 23
+#: Longer pre-tokens, in bytes, go to the library each time, once a slice.
+EXACT = 16
 #: Bytes of text worked on at once: numpy needs some 60 times as much for a while.
 SLICE = 1 << 19
 
@@ -35,8 +38,6 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-_value_rng = np.random.default_rng(77)
-VALUES = _value_rng.integers(1, 2**63, LATIN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Lower case of one character each; U+0130 has two and is left to the library.
 LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < LATIN else c for c in range(LATIN)], np.uint32)
 #: Characters whose lower case leaves Latin-below-U+0250 or has more characters.
@@ -73,9 +74,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << SLOTS_LOG2, np.uint64)
-        self.place = np.zeros(1 << SLOTS_LOG2, np.int64)
-        self.count = np.zeros(1 << SLOTS_LOG2, np.int64)
+        self.keys = np.zeros((1 << SLOTS_LOG2, 2), np.uint64)
+        #: Place in the pool, number of ids and length of the pre-token in bytes: 40, 16 and 8 bits; 0 where a slot is free.
+        self.entry = np.zeros(1 << SLOTS_LOG2, np.uint64)
         self.pool = np.zeros(POOL_IDS, np.uint32)
         self.used = 0
 
@@ -139,48 +140,48 @@ class Encoder:
         if self.words:
             cp = LOWER[cp]
         start, end = self._pretokens(cp, edges)
-        h = mix(range_hash(prefix_hash(VALUES[cp]), start, end) ^ (end - start).astype(np.uint64))
-        slot = (h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
-        miss = np.flatnonzero(self.keys[slot] != h)
-        place, count = self.place[slot], self.count[slot]
-        if len(miss):
-            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            first = miss[first]
-            text = cp.tobytes()
-            found = self.library.encode_batch_fast([text[4 * s : 4 * e].decode("utf-32-le") for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], add_special_tokens=False)
-            lists = [x.ids for x in found]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.array([i for x in lists for i in x], np.uint32)
-            if self.used + len(flat) > len(self.pool):
-                # what this slice has looked up lies in the old pool; it is looked up again for the new one
-                self.clear()
-                return self._fast_from(cp, edges, docs, start, end, h)
-            self._store(new, sizes, flat)
-            base = self.used - len(flat) + np.cumsum(sizes) - sizes
-            place[miss], count[miss] = base[back], sizes[back]
+        text = raw if not self.words else raw.lower() if len(cp) == len(raw) else cp.tobytes().decode("utf-32-le").encode()
+        first, last = start, end
+        if len(cp) != len(raw):
+            place = np.zeros(len(cp) + 1, np.int64)
+            np.cumsum(1 + (cp >= 0x80), out=place[1:])
+            first, last = place[start], place[end]
+        place, count = self._look_up(text, first, last)
         ids = self.pool[spread(count, place)]
         return ids, self._per_doc(start, edges, count)
 
-    def _store(self, new, sizes, flat) -> None:
-        self.pool[self.used : self.used + len(flat)] = flat
-        slot = (new >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
-        self.keys[slot] = new
-        self.place[slot] = self.used + np.cumsum(sizes) - sizes
-        self.count[slot] = sizes
-        # of several new keys in one slot numpy keeps the last for each array, so the three agree
-        self.used += len(flat)
-
-    def _fast_from(self, cp, edges, docs, start, end, h):
-        new, first, back = np.unique(h, return_index=True, return_inverse=True)
-        text = cp.tobytes()
-        found = self.library.encode_batch_fast([text[4 * s : 4 * e].decode("utf-32-le") for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], add_special_tokens=False)
-        sizes = np.array([len(x.ids) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x.ids], np.uint32)
-        if len(flat) <= len(self.pool):
-            self._store(new, sizes, flat)
-        base = np.cumsum(sizes) - sizes
-        count = sizes[back]
-        return flat[spread(count, base[back])], self._per_doc(start, edges, count)
+    def _look_up(self, text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of the ids of each pre-token text[start:end]."""
+        size, word = end - start, eights(np.frombuffer(text, np.uint8))
+        key = np.stack([word[start] & KEEP[np.minimum(size, 8)], word[np.minimum(start + 8, len(text))] & KEEP[np.clip(size - 8, 0, 8)]], 1)
+        slot = (mix(key[:, 0] ^ mix(key[:, 1] + size.astype(np.uint64))) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+        entry = self.entry[slot]
+        held = (self.keys[slot] == key).all(1) & (entry & np.uint64(255) == size.astype(np.uint64))
+        miss = np.flatnonzero(~held)
+        if len(miss):
+            pieces = [text[s:e] for s, e in zip(start[miss].tolist(), end[miss].tolist(), strict=True)]
+            new = {x: None for x in pieces}
+            found = [x.ids for x in self.library.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+            counts = np.array([len(x) for x in found], np.int64)
+            if self.used + counts.sum() > len(self.pool):
+                if self.used:  # what this slice has looked up lies in the old pool; it is looked up again for the new one
+                    self.clear()
+                    return self._look_up(text, start, end)
+                self.pool = np.zeros(int(counts.sum()), np.uint32)  # one slice with more different ids than the pool has room for
+            flat = np.array([i for x in found for i in x], np.uint32)
+            places = self.used + np.cumsum(counts) - counts
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            number = dict(zip(new, range(len(new)), strict=True))
+            which = np.array([number[x] for x in pieces])
+            entry = entry.copy()
+            entry[miss] = (places[which].astype(np.uint64) << np.uint64(24)) | (np.minimum(counts[which], 65535).astype(np.uint64) << np.uint64(8)) | np.minimum(size[miss], 255).astype(np.uint64)
+            keep = miss[(size[miss] <= EXACT)]
+            self.keys[slot[keep]], self.entry[slot[keep]] = key[keep], entry[keep]  # of several in one slot the last is kept, in both
+            place, count = (entry >> np.uint64(24)).astype(np.int64), ((entry >> np.uint64(8)) & np.uint64(65535)).astype(np.int64)
+            count[miss] = counts[which]
+            return place, count
+        return (entry >> np.uint64(24)).astype(np.int64), ((entry >> np.uint64(8)) & np.uint64(65535)).astype(np.int64)
 
     @staticmethod
     def _per_doc(start, edges, count) -> np.ndarray:
@@ -286,4 +287,4 @@ def decoder(path: str) -> Decoder:
     return _decoders[path]
 
 
-__all__ = ["Encoder", "encoder", "Decoder", "decoder", "powers"]
+__all__ = ["Encoder", "encoder", "Decoder", "decoder"]
