@@ -84,3 +84,37 @@ def test_repeated_rows(spark):
     kept = [r for r in out if r[1]]
     # rows equal in id and text are one document; of documents with one id the hash of the text decides
     assert out[-1] == (2, "", 1) and len(out) == 4 and len(kept) in (1, 2)
+
+
+def test_bit_parallel_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(1), []
+    for _ in range(1500):
+        a = [rng.choice("abé😀"[: rng.randint(2, 4)]) for _ in range(rng.randint(5, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            k, p = rng.randrange(3), rng.randrange(len(b))
+            if k == 0 and len(b) > 5:
+                del b[p]
+            elif k == 1:
+                b.insert(p, rng.choice("abé"))
+            else:
+                b[p] = rng.choice("abé")
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "s string, t string")
+    for edits in (1, 2, 4):
+        for r in df.select("s", "t", line_dedup.within_edits(F.col("s"), F.col("t"), edits).alias("near")).collect():
+            assert r["near"] == (distance(r["s"], r["t"]) <= edits)
+
+
+def test_planted_copies(spark):
+    """A hot line and its variants by the hundred, and a long document that has each many times."""
+    rng = random.Random(2)
+    base = "the licence of this text allows any use that names its authors"
+    variants = [base[:p] + c + base[p + 1 :] for p in range(len(base)) for c in "xyz"]
+    rows = [(i, f"own line number {rng.random()} of the document\n{v}") for i, v in enumerate(variants)]
+    rows.append((1000, "\n".join([base] * 3000 + ["", "the end, which no other document has"])))
+    out = {r["doc_id"]: r for r in line_dedup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0]["text"] == rows[0][1] and all(out[i]["n_removed"] == 1 for i in range(1, len(variants)))
+    assert out[1000]["text"] == "\nthe end, which no other document has" and out[1000]["n_removed"] == 3000

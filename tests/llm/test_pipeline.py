@@ -37,9 +37,12 @@ def test_toxicity(spark, stages):
 
 def test_lines(stages):
     from test_line_dedup import brute
+    from test_short_lines import whole
 
     before, after = rows(stages[1]), rows(stages[2])
-    want = {int(d): (t, gone) for d, t, _, gone in brute([(d, r["text"]) for d, r in before.items()], 2, 24)}
+    texts = [(d, r["text"]) for d, r in before.items()]
+    # the stage's whole job: near copies of long lines, and exact repeats of short ones
+    want = {int(d): (t, gone) for d, t, _, gone in whole(texts, brute(texts, 2, 24), 24)}
     assert {d: r["text"] for d, r in after.items()} == {d: t for d, (t, gone) in want.items() if not gone or t.strip()}
 
 
@@ -57,7 +60,11 @@ def test_passages(stages):
     before, after = stages[3].collect(), rows(stages[4])
     gone = brute([(r["doc_id"], r["text"].encode()) for r in before])
     for r, g in zip(before, gone, strict=True):
-        kept = bytes(b for b, x in zip(r["text"].encode(), g, strict=True) if not x).decode("utf-8", "ignore")
+        at, kept = 0, ""
+        for c in r["text"]:
+            n = len(c.encode())
+            kept += "" if g[at : at + n].any() else c
+            at += n
         if not g.any() or kept.strip():
             assert after[r["doc_id"]]["text"] == kept
         else:
@@ -71,3 +78,31 @@ def test_packed(stages):
     for r in packed:
         used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
     assert max(used.values()) <= 2048 and len(used) <= -(-sum(used.values()) // 2048) + 3
+
+
+def odd_rows():
+    """Null and repeated ids, null and empty texts, repeated rows, a character U+FFFD of the author's own."""
+    words = [f"word{i}" for i in range(80)]
+    long = " ".join(words)
+    texts = [(1, long), (1, "other text of its own " + " ".join(reversed(words))), (2, long), (2, long), (None, long), (None, "alone"), (3, None), (4, ""), (5, "a \ufffd mark " + " ".join(words[:30])), (None, None)]
+    return [(d, t, "en", "web", len(t or ""), "more") for d, t in texts]
+
+
+def test_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+    from tributary.llm.common import materialize
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label string"
+    spark.createDataFrame([(9, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, left = spark.createDataFrame(odd_rows(), schema), []
+    for name, stage in P.STAGES:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        left.append(docs.collect())
+    assert [len(x) for x in left[:1]] == [len(odd_rows())]
+    text = {r["doc_id"]: r["text"] for r in left[3]}
+    assert "\ufffd" in text[5]  # the author's own mark stays
+    assert sum(r["text"] == odd_rows()[0][1] for r in left[3]) == 1 and any(r["text"] == "alone" for r in left[3])
+    empty = spark.createDataFrame([], schema)
+    for name, stage in P.STAGES:
+        empty = materialize(stage(spark, empty, str(tmp_path)), name)
+        assert empty.count() == 0

@@ -4,7 +4,8 @@ Lines at most ``edits`` apart are linked, and of each connected class the first
 A line is split into edits + 1 segments. Of two lines so close one segment is whole in both, at places that differ by a few
 characters at most; so every line's segments are indexed by (number, length of the line, substring), and every line
 probes the index of its own length and the lengths down to ``edits`` less, at the places that the multi-match-aware rule
-leaves. Candidate pairs are verified once, by Spark's edit distance, which works in a band as wide as the threshold.
+leaves; only probes whose bit is set in a bitmap of the indexed keys are shuffled. Candidate pairs are verified once, by a bit-parallel edit distance
+in a band as wide as the threshold: a column of the band is two numbers, moved on by a handful of bit operations.
 
 Variants of one line by the thousand share their segments. Each is paired with one hub of every key first, and only lines of different
 components are paired after that, if their counts of characters by class lie within 2 * edits, as those of close lines do.
@@ -17,10 +18,10 @@ of a fixed size (2**BITS_LOG2 bits), broadcast: a bit that is set by chance cost
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, materialize, within
+from .common import bitmap, components, discard, materialize, within
 
 #: Shorter lines, in characters, have no near copies; exact ones they may have.
 MIN_CHARS = 24
@@ -29,21 +30,21 @@ EDITS = 2
 CLASSES = ("aA", "eE", "iI", "oO", "uU", "tT", "nN", "sS", "rR", "hH", "dDlL", "cCmM", "bBgGpPwWvV", " ", ".,!?;:", "0123456789")
 
 
-def line_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(h, key, index) for each line (h, line, n) and each of its keys.
+def line_keys(lines: DataFrame, edits: int, index: bool) -> DataFrame:
+    """(h, key) for each line (h, line, n) and each key that it has in the ``index``, or else that it probes.
 
     Segment i of a line of m characters runs from i * m / k to (i + 1) * m / k, rounded down, for k = edits + 1. A key is a hash of i, m and a substring: of the
-    line's own segments (the index), and of the places where a line of a length from n - edits to n may have its segment in this one.
+    line's own segments (the index), and of the other places where a line of a length from n - edits to n may have its segment in this one.
     The places are one literal list, exploded, so that the expression for a key is compiled once.
     """
     k, places = edits + 1, []
     for delta in range(edits + 1):
         for i in range(k):
             low, high = max(-i, delta - (edits - i)), min(i, delta + (edits - i))
-            places += [F.struct(F.lit(delta).alias("delta"), F.lit(i).alias("i"), F.lit(shift).alias("shift"), F.lit(delta == 0 and shift == 0).alias("index")) for shift in range(low, high + 1)]
+            places += [F.struct(F.lit(delta).alias("delta"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in range(low, high + 1) if (delta == 0 and shift == 0) == index]
     rows = lines.select("h", "line", "n", F.inline(F.array(*places))).withColumn("m", F.col("n") - F.col("delta"))
     part = F.expr(f"substring(line, cast(i * m div {k} as int) + 1 + shift, cast((i + 1) * m div {k} - i * m div {k} as int))")
-    return rows.select("h", F.xxhash64("i", "m", part).alias("key"), "index")
+    return rows.select("h", F.xxhash64("i", "m", part).alias("key"))
 
 
 def histogram(line: Column) -> Column:
@@ -58,6 +59,52 @@ def _near(c: str, d: str, edits: int) -> Column:
     return apart <= 2 * edits
 
 
+def within_edits(s: Column, t: Column, edits: int) -> Column:
+    """Whether the edit distance of ``s`` and ``t``, each longer than ``edits`` characters, is ``edits`` at most.
+
+    Hyyrö's bit-parallel algorithm on the band of 2 * edits + 1 diagonals: for each character of the shorter string, bit b tells whether it equals the
+    longer one's b-th character of the band; vertical differences of +1 and -1 are two numbers; the distance is followed along
+    the lowest diagonal to the last row, and along that row to its end.
+    """
+    width, pad = 2 * edits + 1, F.lit(b"\xff" * 4 * edits)
+    mask, top = (1 << width) - 1, width - 1
+    swap = F.char_length(s) < F.char_length(t)
+    # four bytes a character, so that the n-th is found without counting
+    long, short = F.encode(F.when(swap, t).otherwise(s), "UTF-32"), F.encode(F.when(swap, s).otherwise(t), "UTF-32")
+    n, m = ((F.octet_length(x) / 4).cast("int") for x in (long, short))
+    inputs = F.struct(F.concat(pad, long).alias("long"), short.alias("short"), n.alias("n"), m.alias("m"))
+
+    def let(value: Column, body) -> Column:
+        """``body`` of ``value``, computed once."""
+        return F.transform(F.array(value), body)[0]
+
+    def near(x: Column) -> Column:
+        def equal(i: Column) -> Column:
+            c = F.substring(x["short"], i * 4 + 1, F.lit(4))
+            bits = [F.when(F.substring(x["long"], (i + b) * 4 + 1, F.lit(4)) == c, 1 << b).otherwise(0) for b in range(width)]
+            return F.struct(i.alias("i"), sum(bits[1:], bits[0]).alias("eq"))
+
+        def step(at: Column, p: Column) -> Column:
+            vp, vn, eq = at["vp"], at["vn"], p["eq"]
+            d0 = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(mask))
+
+            def moved(d: Column) -> Column:
+                hp, hn = vn.bitwiseOR(F.lit(mask).bitwiseXOR(d.bitwiseOR(vp))), d.bitwiseAND(vp)
+                down = p["i"] - x["n"] + edits  # how far the last row has been followed; below 0 the diagonal still is
+                bit = lambda v, k: F.call_function("shiftright", v, k).bitwiseAND(F.lit(1))
+                change = F.when(down < 0, 1 - bit(d, F.lit(top))).otherwise(bit(hp, top - 1 - down) - bit(hn, top - 1 - down))
+                half = F.call_function("shiftright", d, F.lit(1))
+                return F.struct(hn.bitwiseOR(F.lit(mask).bitwiseXOR(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"), (at["dist"] + change).alias("dist"))
+
+            return let(d0, moved)
+
+        first = F.struct(F.lit(mask & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
+        rows = F.transform(F.sequence(F.lit(0), x["m"] - 1), equal)
+        return (x["n"] - x["m"] <= edits) & (F.aggregate(rows, first, step)["dist"] <= edits)
+
+    return let(inputs, near)
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int, short: bool) -> DataFrame:
     """(doc, row: a hash of the text, pos, line, n, id: 128 bits as two hashes, h: the first of them) of the lines that are long enough, and of the ``short`` ones that are not blank."""
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
@@ -74,12 +121,15 @@ def line_classes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     # a line that occurs once needs no grouping; those that may occur often come together
     marked = within(lines.select("line", "n", "id", "h"), bitmap(known.where("times > 1")))
     each = marked.where(~F.col("__in")).unionByName(marked.where("__in").dropDuplicates(["id", "h"])).select("line", "n", "h")
-    keyed = line_keys(each, edits)
+    each = materialize(each, "each")
+    index = line_keys(each, edits, True)
+    probes = within(line_keys(each, edits, False).select("h", F.col("key").alias("k"), F.col("key").alias("h2")).withColumnsRenamed({"h": "line", "h2": "h"}), bitmap(index.select(F.col("key").alias("h"))))
+    probes = probes.where("__in").select(F.col("line").alias("h"), F.col("k").alias("key"))
+    keyed = materialize(index.withColumn("index", F.lit(True)).unionByName(probes.withColumn("index", F.lit(False))), "keys")
     # keys that an indexed line and another share; the hub is the key's least indexed line
-    group = Window.partitionBy("key")
-    hub = F.min(F.when(F.col("index"), F.col("h"))).over(group)
-    shared = keyed.withColumn("low", F.min("h").over(group)).withColumn("high", F.max("h").over(group)).withColumn("hub", hub)
-    shared = materialize(shared.where("low <> high AND hub IS NOT NULL").select("key", "h", "index", "hub"), "shared")
+    hubs = keyed.groupBy("key").agg(F.min(F.when(F.col("index"), F.col("h"))).alias("hub"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high AND hub IS NOT NULL")
+    shared = materialize(keyed.join(hubs.select("key", "hub"), "key"), "shared")
+    discard(each, keyed)
     texts = within(lines.select("line", "id", "h"), bitmap(shared)).where("__in").dropDuplicates(["id", "h"])
     texts = texts.join(shared.select("h").distinct(), "h", "left_semi").select("line", "id", "h", histogram(F.col("line")).alias("counts"))
     texts = materialize(texts, "candidates")
@@ -89,7 +139,7 @@ def line_classes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
         x = texts.select(F.col("h").alias("x"), F.col("line").alias("s"), F.col("id").alias("a"), F.col("counts").alias("c"))
         y = texts.select(F.col("h").alias("y"), F.col("line").alias("t"), F.col("id").alias("b"), F.col("counts").alias("d"))
         both = pairs.join(x, "x").join(y, "y").where(_near("c", "d", edits))
-        return both.where(F.levenshtein("s", "t", edits) >= 0).select("a", "b")
+        return both.where(within_edits(F.col("s"), F.col("t"), edits)).select("a", "b")
 
     # first every line with its hub, then, across the components that this leaves, all lines of a key
     star = shared.where("h <> hub").select(F.least("h", "hub").alias("x"), F.greatest("h", "hub").alias("y")).distinct()
@@ -130,7 +180,8 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_
     out = docs.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
     out = out.join(gone, out[id_col].eqNullSafe(gone["__doc"]) & (F.col("__hash") == F.col("__row")), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(places, lambda i: F.element_at(parts, i + 1)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(kept)
     removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     counts = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed")]
