@@ -14,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-from .common import KEEP, eights, mix, slices, spread
+from .common import BASE, INVERSE, KEEP, eights, slices, spread
 
 LATIN = 0x250
 SLOTS_LOG2 = 20
@@ -74,7 +74,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros((1 << SLOTS_LOG2, 2), np.uint64)
+        self.head, self.tail = (np.zeros(1 << SLOTS_LOG2, np.uint64) for _ in range(2))
         #: Place in the pool, number of ids and length of the pre-token in bytes: 40, 16 and 8 bits; 0 where a slot is free.
         self.entry = np.zeros(1 << SLOTS_LOG2, np.uint64)
         self.pool = np.zeros(POOL_IDS, np.uint32)
@@ -153,11 +153,13 @@ class Encoder:
     def _look_up(self, text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of the ids of each pre-token text[start:end]."""
         size, word = end - start, eights(np.frombuffer(text, np.uint8))
-        key = np.stack([word[start] & KEEP[np.minimum(size, 8)], word[np.minimum(start + 8, len(text))] & KEEP[np.clip(size - 8, 0, 8)]], 1)
-        slot = (mix(key[:, 0] ^ mix(key[:, 1] + size.astype(np.uint64))) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+        head, tail = word[start] & KEEP[np.minimum(size, 8)], np.zeros(len(start), np.uint64)
+        long = np.flatnonzero(size > 8)
+        tail[long] = word[start[long] + 8] & KEEP[np.minimum(size[long] - 8, 8)]
+        slot = ((head * BASE) ^ (tail * INVERSE)) + size.astype(np.uint64)
+        slot = ((slot ^ (slot >> np.uint64(32))) * BASE >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
         entry = self.entry[slot]
-        held = (self.keys[slot] == key).all(1) & (entry & np.uint64(255) == size.astype(np.uint64))
-        miss = np.flatnonzero(~held)
+        miss = np.flatnonzero((self.head[slot] != head) | (self.tail[slot] != tail) | (entry & np.uint64(255) != size.astype(np.uint64)))
         if len(miss):
             pieces = [text[s:e] for s, e in zip(start[miss].tolist(), end[miss].tolist(), strict=True)]
             new = {x: None for x in pieces}
@@ -177,7 +179,7 @@ class Encoder:
             entry = entry.copy()
             entry[miss] = (places[which].astype(np.uint64) << np.uint64(24)) | (np.minimum(counts[which], 65535).astype(np.uint64) << np.uint64(8)) | np.minimum(size[miss], 255).astype(np.uint64)
             keep = miss[(size[miss] <= EXACT)]
-            self.keys[slot[keep]], self.entry[slot[keep]] = key[keep], entry[keep]  # of several in one slot the last is kept, in both
+            self.head[slot[keep]], self.tail[slot[keep]], self.entry[slot[keep]] = head[keep], tail[keep], entry[keep]  # of several in one slot the last is kept, in all three
             place, count = (entry >> np.uint64(24)).astype(np.int64), ((entry >> np.uint64(8)) & np.uint64(65535)).astype(np.int64)
             count[miss] = counts[which]
             return place, count
