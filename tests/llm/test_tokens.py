@@ -111,3 +111,56 @@ def test_planes():
         ids = rng.integers(0, top, 40_000, dtype=np.uint64).astype(np.uint32)
         for planes in ("byte", "bit"):
             assert (token_files.unpack_chunk(*token_files.pack_chunk(ids, planes), planes) == ids).all()
+
+
+def test_texts_that_polynomials_confuse():
+    from test_ngram_join import thue_morse
+
+    texts = []
+    for n in (1024, 2048, 4096):
+        texts += [thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))]
+    texts += ["a\0b a\0", "\0", "\0\0", "x" * 16, "x" * 17, "é" * 8, "é" * 9]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw])
+    from tributary.llm import tokens
+
+    for path in (BYTE, WORD):
+        coder, t = tokens.Encoder(path), library(path)
+        for _ in range(2):  # found, and found again
+            ids, ends = coder.encode(data, at)
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_joins_are_repaired(monkeypatch):
+    monkeypatch.setattr(bpe, "CUT_BITS", 4)
+    rng = random.Random(3)
+    words = ["alpha", "Beta", "don't", "été", "12,5", "--", "<|endoftext|>", "(z)", "日本"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", ""]) for _ in range(600)) for _ in range(8)]
+    raw = [t.encode() for t in texts]
+    reuse, t = bpe.Reuse(BYTE, {}), library(BYTE)
+    ids, ends = reuse.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert reuse.joins > 100 and 0 < reuse.repaired <= reuse.joins and reuse.widened == 0
+
+
+def test_packing_of_hard_sizes():
+    """Thirds that fit only in the right threes: crossover gets below best-fit decreasing."""
+    rng = np.random.default_rng(1)
+    sizes = []
+    for _ in range(300):
+        a = int(rng.integers(500, 900))
+        b = int(rng.integers(400, 2048 - a - 300))
+        sizes += [a, b, 2048 - a - b]
+    greedy: list = []
+    packing.best_fit(sizes, sorted(range(900), key=lambda k: -sizes[k]), greedy, [], 2048)
+    best = packing.evolve(sizes, 2048, 1, [])
+    assert sorted(k for b in best for k in b) == list(range(900)) and all(sum(sizes[k] for k in b) <= 2048 for b in best)
+    assert len(best) < len(greedy)
+
+
+def test_shards_share_their_last_bins(spark):
+    rng = np.random.default_rng(2)
+    sizes = [int(x) for x in np.clip(rng.lognormal(3, 1, 4000), 1, 255)]
+    df = spark.createDataFrame([(i, n, 5) for i, n in enumerate(sizes)], "doc_id long, length long, offset long")
+    out = packing.pack(df, 256, shard_pieces=250).collect()
+    assert len(out) == 4000 and len({r["sequence_id"] for r in out}) <= -(-sum(sizes) // 256) * 1.005 + 1
