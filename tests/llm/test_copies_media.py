@@ -56,3 +56,44 @@ def test_media(spark):
         assert bytes(r["tile"])[:6] == b"\x93NUMPY" and len(r["dhash"]) == 16
     odd = spark.createDataFrame([(1, None), (2, bytearray(b"nope"))], "doc_id long, media binary")
     assert all(r["width"] is None and r["tile"] is None for r in media.media_features(odd).collect())
+
+
+def plain_resize(picture, height, width):
+    """The mean of each target sample's area, sample by sample."""
+    h, w = picture.shape
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            total = 0.0
+            for y in range(h):
+                dy = min((i + 1) * h / height, y + 1) - max(i * h / height, y)
+                for x in range(w) if dy > 0 else ():
+                    dx = min((j + 1) * w / width, x + 1) - max(j * w / width, x)
+                    total += picture[y, x] * dy * dx if dx > 0 else 0
+            out[i, j] = total * height * width / (h * w)
+    return out
+
+
+def test_resize_and_hash():
+    rng = np.random.default_rng(3)
+    for shape in ((24, 24), (31, 24), (5, 17), (8, 9), (1, 1)):
+        grey = rng.integers(0, 256, shape, dtype=np.uint8)
+        for target in ((24, 24), (8, 9), (3, 7)):
+            assert np.abs(media.resize_area(grey, *target) - plain_resize(grey, *target)).max() <= 0.5 + 1e-6
+        small = media.resize_area(grey, 8, 9).astype(int)
+        bits = "".join(str(int(small[i, j] < small[i, j + 1])) for i in range(8) for j in range(8))
+        assert media.difference_hash(grey) == int(bits, 2)
+
+
+def test_query(spark):
+    from tributary.llm.queries import op9_media_columns
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in op9_media_columns(spark, sf_dir).collect():
+        raw = texts[r["doc_id"]].encode()
+        rows = np.frombuffer(raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw)), np.uint8).reshape(-1, 24)
+        stored = b"P5\n24 %d\n255\n" % len(rows) + rows.tobytes()
+        assert (r["n_bytes"], r["media_bytes"], r["media_sha256"]) == (len(raw), len(stored), hashlib.sha256(stored).hexdigest())
+        tile = media.npy(media.resize_area(rows, 24, 24))
+        assert r["feature"] == f"{media.difference_hash(rows):016x}:{hashlib.sha256(tile).hexdigest()}"

@@ -139,16 +139,16 @@ def text_media(docs: DataFrame, form: str = "pgm", id_col: str = "doc_id", text_
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def media_features(media: DataFrame, media_col: str = "media", tile: int = TILE, with_tile: bool = True) -> DataFrame:
-    """``media`` plus height, width, channels, dhash (hex), tile (NPY of the picture resized to tile x tile, or null),
+def media_features(media: DataFrame, media_col: str = "media", tile: int = TILE) -> DataFrame:
+    """``media`` plus height, width, channels, dhash (hex), tile (NPY of the picture resized to tile x tile),
     samples_bytes, samples_sha256 and samples_tail_crc32 (of the last 32 decoded samples).
 
     A null, empty or broken picture has nulls in all of these.
     """
     from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-    names = ["height", "width", "channels", "dhash", "tile", "tile_sha256", "samples_bytes", "samples_sha256", "samples_tail_crc32"]
-    kinds = [IntegerType(), IntegerType(), IntegerType(), StringType(), BinaryType(), StringType(), LongType(), StringType(), LongType()]
+    names = ["height", "width", "channels", "dhash", "tile", "samples_bytes", "samples_sha256", "samples_tail_crc32"]
+    kinds = [IntegerType(), IntegerType(), IntegerType(), StringType(), BinaryType(), LongType(), StringType(), LongType()]
     media = media.drop(*names)
     schema = StructType([*media.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     place = media.columns.index(media_col)
@@ -159,12 +159,12 @@ def media_features(media: DataFrame, media_col: str = "media", tile: int = TILE,
             return (None,) * len(names)
         small = npy(resize_area(picture, tile, tile))
         flat = np.ascontiguousarray(picture).tobytes()
-        return (*picture.shape[:2], picture.shape[2] if picture.ndim == 3 else 1, f"{difference_hash(picture):016x}", small if with_tile else None, hashlib.sha256(small).hexdigest(), len(flat), hashlib.sha256(flat).hexdigest(), zlib.crc32(flat[-32:]))
+        return (*picture.shape[:2], picture.shape[2] if picture.ndim == 3 else 1, f"{difference_hash(picture):016x}", small, len(flat), hashlib.sha256(flat).hexdigest(), zlib.crc32(flat[-32:]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
@@ -174,6 +174,6 @@ def media_features(media: DataFrame, media_col: str = "media", tile: int = TILE,
     return media.mapInArrow(run, schema)
 
 
-def stored(media: DataFrame) -> DataFrame:
-    """The media table as it is read back from Parquet files in the shared folder."""
-    return materialize(media, "media")
+def stored(media: DataFrame, name: str = "media") -> DataFrame:
+    """The table of pictures or NPY tiles as it is read back from Parquet files in the shared folder."""
+    return materialize(media, name)
