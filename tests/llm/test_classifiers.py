@@ -82,3 +82,45 @@ def test_attention_gradient():
 def test_fold(spark):
     rows = spark.range(50).select(F.col("id"), learning.fold("id", 5).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)
+
+
+def test_plain_noisy_or(spark):
+    """Scores anew, sentence by sentence, from the weights: words and their beginnings once a sentence, one bias a document."""
+    import math
+    import re
+
+    rng = random.Random(6)
+    texts = [" ".join(sentence(rng, rng.choice([None, "vile"])) for _ in range(rng.randint(1, 6))) for _ in range(200)]
+    y = np.array([float("vile" in t) for t in texts])
+    w = np.frombuffer(toxicity.train(texts, y), np.float32)
+    docs = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, w.tobytes()).collect()}
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    bias = float(w[1 << toxicity.SLOTS_LOG2])
+    for d, t in enumerate(texts[:40]):
+        clean = math.log1p(-logistic(bias))
+        for part in re.findall(r"[^.!?\n]+", t):
+            found = re.findall(r"[a-z]+", part.lower())
+            slots = {int(s) for x in found for s in toxicity.sentences(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))[0]}
+            if found:
+                clean += math.log1p(-logistic(sum(float(w[s]) for s in slots) + bias)) - math.log1p(-logistic(bias))
+        odds = math.log(max(-math.expm1(clean), 1e-9)) - clean
+        assert abs(got[d] - logistic(float(w[-2]) * odds + float(w[-1]))) < 1e-4
+
+
+def test_plain_attention(spark):
+    """Scores anew, document by document, from the passages and the model's numbers."""
+    import io
+
+    rng = random.Random(7)
+    texts = [" ".join(sentence(rng) for _ in range(rng.randint(1, 30))) for _ in range(30)] + ["BUY!! " * 60] * 30
+    model = quality.train(texts, np.array([1.0] * 30 + [0.0] * 30), epochs=5)
+    m = dict(np.load(io.BytesIO(model)))
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for d, t in enumerate(texts):
+        x, _ = quality.passages(*learning.joined([t]))
+        hidden = np.tanh(np.clip((x - m["mean"]) / m["spread"], -8, 8) @ m["W"] + m["b"])
+        s = (np.tanh(hidden @ m["V"]) / (1 + np.exp(-(hidden @ m["U"])))) @ m["w"]
+        a = np.exp(s) / np.exp(s).sum()
+        p = 1 / (1 + np.exp(-((a @ hidden) @ m["c"] + m["d"][0])))
+        assert abs(got[d]["score"] - p) < 1e-6 and got[d]["n_passages"] == len(x) and abs(got[d]["top_weight"] - a.max()) < 1e-6

@@ -58,6 +58,7 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pair = np.zeros(n, np.int64)
     if n > 1:
         pair[:-1] = (((text[:-1].astype(np.uint32) << np.uint32(8)) | text[1:]) * np.uint32(2654435761)) >> np.uint32(32 - PAIRS_LOG2)
+        pair[at[1:][np.diff(at) > 0] - 1] = 0  # a text's last byte has no pair in the next text
     pairs = np.bincount((of_byte << PAIRS_LOG2) + pair, minlength=total << PAIRS_LOG2).reshape(total, 1 << PAIRS_LOG2)
     words = np.bincount(passage, minlength=total)
     some = np.maximum(1, words)
