@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, line_dedup, media, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 def tokenizer(name: str) -> str:
-    """The path of a public vocabulary file."""
-    return f"{TOKENIZERS}/{name}"
+    """The path of a public vocabulary file, which the executors have in the same place."""
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +63,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.stored(media.text_media(documents(spark, sf_dir)))
-    found = media.media_features(stored, with_tile=False)
+    found = media.stored(media.media_features(stored).withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256)).drop("media"), "tiles")
     return found.select(
         "doc_id", "n_bytes",
         F.col("samples_bytes").alias("payload_bytes"), F.col("samples_sha256").alias("payload_sha256"), F.col("samples_tail_crc32").alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", "dhash", "tile_sha256").alias("feature"),
+        "media_bytes", "media_sha256", F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"),
     )
 
 

@@ -507,8 +507,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def message_batches(row: dict, messages: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for bucket, message in messages:
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([message], pa.binary())], ["bucket", "chunk", "message"])
+        found = list(messages)  # less than the chunk's text, some times over
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array([m for _, m in found], pa.binary())], ["bucket", "chunk", "message"])
 
     def sent(batches: Iterator) -> Iterator:
         for batch in batches:
