@@ -53,10 +53,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that an earlier document has too, in a string of 50 or more, go; what is left of a character cut in two goes as well."""
-    kept = suffix_dedup.remove_repeats(docs)
-    text = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    kept = kept.withColumn("text", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text))
+    """Bytes that an earlier document has too, in a string of 50 or more, go; a character that lost a byte goes whole, and nothing else."""
+    kept = suffix_dedup.remove_repeats(docs, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
     return _like(docs, kept.where("n_removed = 0 OR length(trim(text)) > 0"))
 
 
