@@ -181,7 +181,8 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_
     out = out.join(gone, out[id_col].eqNullSafe(gone["__doc"]) & (F.col("__hash") == F.col("__row")), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(places, lambda i: F.element_at(parts, i + 1)), "\n")
+    # the text is split once, not once a line
+    kept = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(places, lambda i: F.element_at(lines, i + 1)), "\n"))[0]
     text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(kept)
     removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     counts = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed")]
