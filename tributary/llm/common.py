@@ -174,9 +174,11 @@ BITS_LOG2 = 25
 
 
 def bitmap(hashes: DataFrame) -> DataFrame:
-    """(bucket, bits): at most 2**(BITS_LOG2 - 15) rows of 4 kB, for the column ``h``."""
+    """(bucket, words: 512 longs): at most 2**(BITS_LOG2 - 15) rows of 4 kB, for the column ``h``."""
     place = F.col("h").bitwiseAND(F.lit((1 << BITS_LOG2) - 1))
-    return hashes.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = hashes.groupBy(F.shiftright(place, 15).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    return bits.select("bucket", words.alias("words"))
 
 
 def within(rows: DataFrame, marks: DataFrame) -> DataFrame:
@@ -184,8 +186,9 @@ def within(rows: DataFrame, marks: DataFrame) -> DataFrame:
     place = F.col("h").bitwiseAND(F.lit((1 << BITS_LOG2) - 1))
     bits = F.broadcast(marks.withColumnRenamed("bucket", "__bucket"))
     marked = rows.withColumn("__place", place).join(bits, F.shiftright("__place", 15) == F.col("__bucket"), "left")
-    byte = F.expr("cast(conv(hex(substring(bits, cast((__place & 32767) div 8 as int) + 1, 1)), 16, 10) as int)")
-    return marked.withColumn("__in", F.coalesce(F.getbit(byte, F.col("__place").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))).drop("__place", "__bucket", "bits")
+    # the bitmap's first byte is a word's highest, its first bit a byte's lowest
+    bit = F.expr("shiftright(words[cast((__place & 32767) >> 6 as int)], cast(56 - (__place & 56) + (__place & 7) as int)) & 1")
+    return marked.withColumn("__in", F.coalesce(bit == 1, F.lit(False))).drop("__place", "__bucket", "words")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -60,7 +60,7 @@ def _near(c: str, d: str, edits: int) -> Column:
 
 
 def within_edits(s: Column, t: Column, edits: int) -> Column:
-    """Whether the edit distance of ``s`` and ``t``, each longer than ``edits`` characters, is ``edits`` at most.
+    """Whether the edit distance of ``s`` and ``t`` is ``edits`` at most. What they have in common at both ends is left out first.
 
     Hyyrö's bit-parallel algorithm on the band of 2 * edits + 1 diagonals: for each character of the shorter string, bit b tells whether it equals the
     longer one's b-th character of the band; vertical differences of +1 and -1 are two numbers; the distance is followed along
@@ -72,12 +72,38 @@ def within_edits(s: Column, t: Column, edits: int) -> Column:
     # four bytes a character, so that the n-th is found without counting
     long, short = F.encode(F.when(swap, t).otherwise(s), "UTF-32"), F.encode(F.when(swap, s).otherwise(t), "UTF-32")
     n, m = ((F.octet_length(x) / 4).cast("int") for x in (long, short))
-    inputs = F.struct(F.concat(pad, long).alias("long"), short.alias("short"), n.alias("n"), m.alias("m"))
+    inputs = F.struct(long.alias("long"), short.alias("short"), n.alias("n"), m.alias("m"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(17))])
 
     def let(value: Column, body) -> Column:
         """``body`` of ``value``, computed once."""
         return F.transform(F.array(value), body)[0]
 
+    def part(x: Column, at, k) -> Column:
+        return F.substring(x, at * 4 + 1, k * 4)
+
+    def head(x: Column) -> Column:
+        """``x`` and how many characters both begin with, by binary search (less than 2**17 of them)."""
+
+        def longer(k: Column, step: Column) -> Column:
+            more = k + step
+            return F.when((more <= x["m"]) & (part(x["long"], k, step) == part(x["short"], k, step)), more).otherwise(k)
+
+        return F.struct(*[x[c].alias(c) for c in ("long", "short", "n", "m")], F.aggregate(steps, F.lit(0), longer).alias("head"))
+
+    def middle(x: Column) -> Column:
+        """What is left without the common beginning and end."""
+
+        def longer(k: Column, step: Column) -> Column:
+            more = k + step
+            return F.when((more <= x["m"] - x["head"]) & (part(x["long"], x["n"] - more, step) == part(x["short"], x["m"] - more, step)), more).otherwise(k)
+
+        def cut(tail: Column) -> Column:
+            n, m = x["n"] - x["head"] - tail, x["m"] - x["head"] - tail
+            return F.struct(F.concat(pad, part(x["long"], x["head"], n)).alias("long"), part(x["short"], x["head"], m).alias("short"), n.alias("n"), m.alias("m"))
+
+        return let(F.aggregate(steps, F.lit(0), longer), cut)
+
     def near(x: Column) -> Column:
         def equal(i: Column) -> Column:
             c = F.substring(x["short"], i * 4 + 1, F.lit(4))
@@ -100,9 +126,9 @@ def within_edits(s: Column, t: Column, edits: int) -> Column:
 
         first = F.struct(F.lit(mask & ~((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("dist"))
         rows = F.transform(F.sequence(F.lit(0), x["m"] - 1), equal)
-        return (x["n"] - x["m"] <= edits) & (F.aggregate(rows, first, step)["dist"] <= edits)
+        return F.when(x["n"] <= edits, True).when((x["n"] - x["m"] > edits) | (x["m"] == 0), False).otherwise(F.aggregate(rows, first, step)["dist"] <= edits)
 
-    return let(inputs, near)
+    return let(let(let(inputs, head), middle), near)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int, short: bool) -> DataFrame:
