@@ -146,7 +146,7 @@ def line_classes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     lines = lines.where(F.col("n") >= min_chars)
     # a line that occurs once needs no grouping; those that may occur often come together
     marked = within(lines.select("line", "n", "id", "h"), bitmap(known.where("times > 1")))
-    each = marked.where(~F.col("__in")).unionByName(marked.where("__in").dropDuplicates(["id", "h"])).select("line", "n", "h")
+    each = marked.where(~F.col("__in")).unionByName(marked.where("__in").dropDuplicates(["id", "h"])).select("line", "n", "id", "h")
     each = materialize(each, "each")
     index = line_keys(each, edits, True)
     probes = within(line_keys(each, edits, False).select("h", F.col("key").alias("k"), F.col("key").alias("h2")).withColumnsRenamed({"h": "line", "h2": "h"}), bitmap(index.select(F.col("key").alias("h"))))
@@ -155,10 +155,10 @@ def line_classes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     # keys that an indexed line and another share; the hub is the key's least indexed line
     hubs = keyed.groupBy("key").agg(F.min(F.when(F.col("index"), F.col("h"))).alias("hub"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high AND hub IS NOT NULL")
     shared = materialize(keyed.join(hubs.select("key", "hub"), "key"), "shared")
-    discard(each, keyed)
-    texts = within(lines.select("line", "id", "h"), bitmap(shared)).where("__in").dropDuplicates(["id", "h"])
+    texts = within(each.select("line", "id", "h"), bitmap(shared)).where("__in")
     texts = texts.join(shared.select("h").distinct(), "h", "left_semi").select("line", "id", "h", histogram(F.col("line")).alias("counts"))
     texts = materialize(texts, "candidates")
+    discard(each, keyed)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """(a, b): ids of the pairs (x, y) that are close; the histograms are asked first."""
