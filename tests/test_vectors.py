@@ -248,3 +248,21 @@ def test_streams(spark, tmp_path):
     events.coalesce(1).write.parquet(str(tmp_path / "ev"))
     sessions = programs.session_counts(programs.read(spark, str(tmp_path / "ev"), events.schema), ["user"], "ts", "10 minutes", "1 minute")
     assert sorted(r["n"] for r in programs.to_table(sessions, str(tmp_path / "sessions")).collect()) in ([1, 2], [1, 1, 2])
+
+
+def test_every_kind_of_secret(spark):
+    from tributary.functions import text
+
+    cases = {
+        "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- x": "[REDACTED] x",
+        "Authorization: bearer a.b-c=": "Authorization: Bearer [REDACTED]",
+        "sk_live_abcdefghij and xai-1": "[REDACTED] and [REDACTED]",
+        "AIzaX gsk_y": "[REDACTED] [REDACTED]",
+        "Cookie=session=1; b=2\nnext": "Cookie=[REDACTED]\nnext",
+        'api_key: "a b", auth_token=abc123; ct0=deadbeef pin: 1234': "api_key: [REDACTED], auth_token=[REDACTED]; ct0=[REDACTED] pin: [REDACTED]",
+        "https://onlytoken@host/x": "https://[REDACTED]@host/x",
+        "failed\nparams: secret": "failed",
+        "y" * 600: "y" * 497 + "...",
+    }
+    found = spark.createDataFrame([(x,) for x in cases], "raw string").select("raw", text.redact("raw").alias("clean")).collect()
+    assert {r["raw"]: r["clean"] for r in found} == cases

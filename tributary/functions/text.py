@@ -85,21 +85,23 @@ def markdown(x: str | Column) -> Column:
 
 #: Patterns of secrets and what stands for them, applied in this order.
 SECRETS = (
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]"),
+    (r"-----BEGIN [^-]*PRIVATE KEY-----[\s\S]*?-----END [^-]*PRIVATE KEY-----", "[REDACTED]"),
     (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-    (r"\b(sk-|xai-|AIza|gsk_)[A-Za-z0-9_-]{8,}", "[REDACTED]"),
-    (r"(?i)\b(cookie|set-cookie):\s*[^\n]+", "$1: [REDACTED]"),
-    (r"(?i)\b(api[_-]?key|token|secret|password)\s*[=:]\s*[^\s,;&]+", "$1=[REDACTED]"),
-    (r"([a-zA-Z][a-zA-Z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),
+    (r"\b(?:sk[-_]|xai-)[A-Za-z0-9_-]+\b", "[REDACTED]"),
+    (r"\bAIza[A-Za-z0-9_-]+\b", "[REDACTED]"),
+    (r"\bgsk_[A-Za-z0-9_-]+\b", "[REDACTED]"),
+    (r"""(?i)(\bcookie\b["']?\s*[:=]\s*)(?:"[^"]*"|'[^']*'|[^\r\n]+)""", "$1[REDACTED]"),
+    (r"""(?i)(\b(?:api[_-]?key|auth[_-]?token|ct0|pin)\b["']?\s*[:=]\s*)(?:"[^"]*"|'[^']*'|[^;\s,}\]]+)""", "$1[REDACTED]"),
+    (r"(?i)([a-z][a-z0-9+.-]*://)[^/\s@]+@", "$1[REDACTED]@"),
 )
 
 
 def redact(x: str | Column, most: int = 500) -> Column:
-    """Secrets replaced, what follows a line with params: cut, ``most`` characters at most."""
-    out = F.regexp_replace(_c(x), r"\nparams:[\s\S]*$", "")
+    """Secrets replaced; what follows a line with params: goes first; a longer message is cut to ``most`` characters, the last three of them dots."""
+    out = F.substring_index(_c(x), "\nparams:", 1)
     for pattern, stand_in in SECRETS:
         out = F.regexp_replace(out, pattern, stand_in)
-    return F.substring(out, 1, most)
+    return F.when(F.char_length(out) > most, F.concat(F.substring(out, 1, most - 3), F.lit("..."))).otherwise(out)
 
 
 def cleaned_json(x: str | Column) -> Column:

@@ -95,9 +95,9 @@ def usage_rows(spark, sf_dir):
 @query(f"""WITH {USAGE} SELECT stage, model, count(*) AS attempts, cast(sum(prompt) AS BIGINT) AS prompt, cast(sum(completion) AS BIGINT) AS completion, cast(sum(hit) AS BIGINT) AS hit,
     cast(max(l_linenumber) AS INTEGER) AS most, grouping(stage, model) AS level FROM u GROUP BY GROUPING SETS ((), (stage), (stage, model))""")
 def usage_grouping_sets(spark, sf_dir):
-    usage_rows(spark, sf_dir).createOrReplaceTempView("usage_rows")
-    return spark.sql("""SELECT stage, model, count(*) AS attempts, sum(prompt) AS prompt, sum(completion) AS completion, sum(hit) AS hit, max(l_linenumber) AS most, grouping_id(stage, model) AS level
-        FROM usage_rows GROUP BY GROUPING SETS ((), (stage), (stage, model))""")
+    rows = usage_rows(spark, sf_dir).groupingSets([[], ["stage"], ["stage", "model"]], "stage", "model")
+    counts = [F.count("*").alias("attempts"), *(F.sum(c).alias(c) for c in ("prompt", "completion", "hit")), F.max("l_linenumber").alias("most")]
+    return rows.agg(*counts, F.grouping_id().alias("level"))
 
 
 @query(f"""WITH {USAGE}, big AS (SELECT stage, model, prompt::HUGEINT * 40000000 AS v FROM u)

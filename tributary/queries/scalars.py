@@ -157,11 +157,21 @@ def compact_count(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in COUNTS], "raw string").select("raw", text.compact_count("raw").alias("n"))
 
 
-@query("""WITH v AS (SELECT doc_id, concat('see https://u:pw@h.test/x Bearer abc.def-', doc_id, ' api_key=', n_chars, ' sk-abcdefgh', doc_id, chr(10), 'params: secret ', substr(text, 1, 20)) AS raw FROM documents)
-    SELECT doc_id, concat('see https://[REDACTED]@h.test/x Bearer [REDACTED] api_key=[REDACTED] [REDACTED]') AS clean FROM v""")
+#: Before each document's text: one secret of every kind, told apart by the document's id.
+PLANTED = ("https://u:pw@h.test/x", "ftp://onlytoken@h.test", "Bearer abc.def-{id}", "sk-abc{id}", "sk_live_abc{id}", "xai-{id}", "AIza{id}", "gsk_{id}", "api_key: \"a b\"", "auth_token={id}", "ct0=deadbeef;", "pin: 1234", "Cookie=session={id}\n")
+
+
+@query(f"""WITH v AS (SELECT doc_id, replace('{" ".join(PLANTED)}', '{{id}}', doc_id::VARCHAR) || text || chr(10) || 'params: secret' AS raw FROM documents),
+    a AS (SELECT doc_id, string_split(raw, chr(10) || 'params:')[1] AS m FROM v),
+    b AS (SELECT doc_id, regexp_replace(m, '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g') AS m FROM a),
+    c AS (SELECT doc_id, regexp_replace(regexp_replace(m, '\\b(?:sk[-_]|xai-)[A-Za-z0-9_-]+\\b', '[REDACTED]', 'g'), '\\b(?:AIza|gsk_)[A-Za-z0-9_-]+\\b', '[REDACTED]', 'g') AS m FROM b),
+    d AS (SELECT doc_id, regexp_replace(m, '(?i)(\\bcookie\\b["'']?\\s*[:=]\\s*)(?:"[^"]*"|''[^'']*''|[^\\r\\n]+)', '\\1[REDACTED]', 'g') AS m FROM c),
+    e AS (SELECT doc_id, regexp_replace(m, '(?i)(\\b(?:api[_-]?key|auth[_-]?token|ct0|pin)\\b["'']?\\s*[:=]\\s*)(?:"[^"]*"|''[^'']*''|[^;\\s,}}\\]]+)', '\\1[REDACTED]', 'g') AS m FROM d),
+    f AS (SELECT doc_id, regexp_replace(m, '(?i)([a-z][a-z0-9+.-]*://)[^/\\s@]+@', '\\1[REDACTED]@', 'g') AS m FROM e)
+    SELECT doc_id, CASE WHEN length(m) > 500 THEN left(m, 497) || '...' ELSE m END AS clean FROM f""")
 def redact_secrets(spark, sf_dir):
-    key = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit("see https://u:pw@h.test/x Bearer abc.def-"), key, F.lit(" api_key="), F.col("n_chars").cast("string"), F.lit(" sk-abcdefgh"), key, F.lit("\nparams: secret "), F.substring("text", 1, 20))
+    """Every document as an error message, with planted secrets before it."""
+    raw = F.concat(F.replace(F.lit(" ".join(PLANTED)), F.lit("{id}"), F.col("doc_id").cast("string")), "text", F.lit("\nparams: secret"))
     return docs(spark, sf_dir).select("doc_id", text.redact(raw).alias("clean"))
 
 

@@ -23,25 +23,32 @@ def read(spark: SparkSession, path: str, schema, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
+def newest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
+    """The folder of the highest version that was written to its end, of those below ``before``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    numbers = [int(x.getPath().getParent().getName().split("=")[1]) for x in found]
+    numbers = [n for n in numbers if before is None or n < before]
+    return f"{root}/version={max(numbers)}" if numbers else None
+
+
 def upsert_stream(stream: DataFrame, root: str, keys: list[str], payload: list[str], stamp: str, order: list[Column]) -> str:
-    """Merge every micro-batch into the table below ``root``; the path of the newest version.
+    """Merge every micro-batch into the table below ``root``; the path of the newest version, None while there is none.
 
-    Versions are folders named by the batch, and a batch that is run again writes its own folder again, so a replay changes nothing. Late and edited
-    rows replace what they find; the stamp advances only where the payload changed.
+    Versions are folders named by the batch, and a batch that is run again writes its own folder again, so a replay changes nothing. A batch merges into
+    the newest whole version before it. Late and edited rows replace what they find; the stamp advances only where the payload changed.
     """
     spark = stream.sparkSession
-    newest = {"path": None}
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = merges.last_of_batch(batch, keys, order).select(*keys, *payload, stamp)
-        if number > 0:
-            old = spark.read.schema(rows.schema).parquet(f"{root}/version={number - 1}")
-            rows = merges.upsert_items(old, rows, keys, payload, stamp)
-        newest["path"] = f"{root}/version={number}"
-        rows.write.mode("overwrite").parquet(newest["path"])
+        before = newest_version(spark, root, number)
+        if before:
+            rows = merges.upsert_items(spark.read.schema(rows.schema).parquet(before), rows, keys, payload, stamp)
+        rows.write.mode("overwrite").parquet(f"{root}/version={number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return newest["path"]
+    return newest_version(spark, root)
 
 
 def to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
@@ -51,13 +58,20 @@ def to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
-def rate_limited(stream: DataFrame, key: str, order: str, at_ms: str, window_ms: int, limit: int) -> DataFrame:
-    """(key, pos, count, allowed) by a fixed window that opens with its first event; the state of a key is its count and when it resets, forgotten after the window."""
+def rate_limited(stream: DataFrame, key: str, order: str, at_ms: str, window_ms: int, limit: int, late: str = "1 day") -> DataFrame:
+    """(key, pos, count, allowed) by a fixed window that opens with its first event; the state of a key is its count and when it resets.
+
+    Events that come ``late`` behind the newest are dropped. Once all that may still come lies after a key's window, the key is forgotten: its next event would open a
+    new window all the same.
+    """
     key_kind = stream.schema[key].dataType.simpleString()
 
     def step(name, frames: Iterator, state) -> Iterator:
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, resets = state.get if state.exists else (0, -(2**62))
         rows = pd.concat(list(frames)).sort_values("pos")
         counts = []
@@ -65,10 +79,11 @@ def rate_limited(stream: DataFrame, key: str, order: str, at_ms: str, window_ms:
             n, resets = (n + 1, resets) if resets > t else (1, t + window_ms)
             counts.append(n)
         state.update((n, resets))
+        state.setTimeoutTimestamp(int(resets))
         yield pd.DataFrame({key: [name[0]] * len(rows), "pos": rows["pos"].to_numpy(), "count": counts, "allowed": [c <= limit for c in counts]})
 
-    rows = stream.select(key, F.col(order).alias("pos"), F.col(at_ms).alias("t"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {key_kind}, pos long, count long, allowed boolean", "n long, resets long", "append", "NoTimeout")
+    rows = stream.select(key, F.col(order).alias("pos"), F.col(at_ms).alias("t"), F.timestamp_millis(F.col(at_ms)).alias("at")).withWatermark("at", late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {key_kind}, pos long, count long, allowed boolean", "n long, resets long", "append", "EventTimeTimeout")
 
 
 def session_counts(stream: DataFrame, keys: list[str], ts: str, gap: str, late: str) -> DataFrame:
