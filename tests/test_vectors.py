@@ -120,9 +120,95 @@ def test_packing(spark):
     rng = random.Random(3)
     rows = [(k, p, rng.randint(1, 60), rng.choice("ab")) for k in range(9) for p in range(rng.randint(1, 80))]
     df = spark.createDataFrame(rows, "k int, pos long, size long, kind string").repartition(5)
-    jvm = folds.next_fit(df, ["k"], "pos", "size", 6, 100, same="kind").collect()
-    assert sorted(jvm) == sorted(folds.next_fit(df, ["k"], "pos", "size", 6, 100, same="kind", streamed=True).collect())
-    assert len(jvm) == len(rows)
+    want, state = [], {}
+    for k, p, size, kind in sorted(rows):
+        batch, n, total, last = state.get(k, (-1, 6, 0, None))
+        if n >= 6 or total + size > 100 or kind != last:
+            batch, n, total = batch + 1, 0, 0
+        state[k] = (batch, n + 1, total + size, kind)
+        want.append((k, p, batch))
+    assert sorted(map(tuple, folds.next_fit(df, ["k"], "pos", "size", 6, 100, same="kind").collect())) == want
+    odd = spark.createDataFrame([(1, 1, None, None), (1, 2, 5, None), (1, 3, 5, "a"), (2, 1, 500, "a"), (2, 2, 1, "a")], "k int, pos long, size long, kind string")
+    assert sorted(map(tuple, folds.next_fit(odd, ["k"], "pos", "size", 6, 100, same="kind").collect())) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (2, 1, 0), (2, 2, 1)]
+
+
+def test_fixed_window(spark):
+    rng = random.Random(8)
+    rows = [(k, p, rng.choice([None, p * 3 + rng.randint(0, 9)])) for k in range(7) for p in range(rng.randint(1, 60))]
+    want, state = [], {}
+    for k, p, t in sorted(rows, key=lambda r: r[:2]):
+        n, resets = state.get(k, (0, 0))
+        n, resets = (n + 1, resets) if n and (t is None or resets > t) else (1, (t or 0) + 20)
+        state[k] = (n, resets)
+        want.append((k, p, n, n <= 3))
+    df = spark.createDataFrame(rows, "k int, pos long, t long").repartition(3)
+    assert sorted(map(tuple, folds.fixed_window(df, ["k"], "pos", "t", 20, 3).collect())) == want
+
+
+def test_targets(spark):
+    def both(u):
+        t = one(spark, urls.target("a"), a=u)
+        return t and (t["kind"], t["id"])
+
+    assert both("https://x.com/home") == ("following", None) and both("https://x.com/i/lists/12") == ("list", "12") and both("https://x.com/i/chat/a_B-1") == ("chat", "a_B-1")
+    for bad in ("https://x.com/i/chat/Compose", "https://x.com/i/chat/settings", "https://x.com/i/lists/012", "https://x.com/i/lists/" + "1" * 33, "https://x.com/i/chat/" + "a" * 129, "https://x.com/home\n", "https://x.com/home/", "http://x.com/home", " https://x.com/home", "https://x.com/i/chat/_a", ""):
+        assert both(bad) is None, bad
+    assert one(spark, urls.target("a"), a=None) is None
+    for feed in ("x:following", "x:list:7", "x:chat:abc"):
+        assert one(spark, urls.target_feed(urls.target(urls.target_url(urls.feed_target("a")))), a=feed) == feed
+    assert one(spark, urls.feed_target("a"), a="x:chat:new") is None and one(spark, urls.feed_target("a"), a="x:list:0") is None
+
+
+def test_utf8_ends(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "\ufffd" * 5, "é\ufffd😀\ufffd"] + ["".join(rng.choice("ab é€😀\ufffd") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 4, 5, 7, 12):
+        for r in df.select("t", text.utf8_head("t", n).alias("head"), text.utf8_tail("t", n).alias("tail")).collect():
+            raw = r["t"].encode()
+            assert r["head"] == raw[:n].decode(errors="ignore") and r["tail"] == raw[max(0, len(raw) - n) :].decode(errors="ignore"), (r, n)
+
+
+def test_fingerprint(spark):
+    df = spark.sql("SELECT named_struct('b', 1, 'a', CAST(NULL AS STRING), 'c', array(named_struct('z', 'x\"', 'y', true))) AS s, map('k2', 2, 'K1', 1) AS m, CAST(NULL AS STRUCT<q: INT>) AS nothing")
+    want = json.dumps({"m": {"K1": 1, "k2": 2}, "nothing": None, "s": {"a": None, "b": 1, "c": [{"y": True, "z": 'x"'}]}}, separators=(",", ":"))
+    assert df.select(text.canonical_json(df, "s", "nothing", "m")).first()[0] == want
+    assert df.select(text.fingerprint(df, "m", "s", "nothing") == text.fingerprint(df, "nothing", "s", "m")).first()[0]
+
+
+def test_fallback_identity(spark):
+    df = spark.sql("SELECT 'post' AS k, CAST(NULL AS LONG) AS d, 'a\"b' AS w, CAST(NULL AS STRING) AS loc, 2L AS n, true AS v")
+    got = df.select(text.identity_parts("k", "d", "w", F.lit("text"), "loc"), text.identity_parts("k", "d", "w", F.lit("text"), "loc", "n", "v")).first()
+    assert list(got) == ['["post",null,"a\\"b","text",null]', '["post",null,"a\\"b","text",null,2,"viewer"]']
+
+
+def test_rules(spark):
+    rules = spark.createDataFrame([("t", "topic", " Ｆilm "), ("e", "entity", "Ann"), ("y", "story_type", "launch"), ("p", "phrase", "NEW Film"), ("q", "phrase", "é"), ("empty", "phrase", "  "), ("null", "phrase", None), ("long", "phrase", "a new film opens"), ("other", "color", "film")], "rule_id string, kind string, label string")
+    stories = spark.createDataFrame([(1, ["film"], ["ann "], ["Launch"], ["A new ﬁlm opens", None]), (2, ["films"], None, [], ["", "ne", "café"]), (3, None, None, None, None)], "story_id int, topics array<string>, entities array<string>, types array<string>, texts array<string>")
+    got = sorted(map(tuple, joins.rule_matches(stories, rules).collect()))
+    assert got == [(1, "e"), (1, "long"), (1, "p"), (1, "t"), (1, "y"), (2, "q")]
+    assert joins.rule_matches(stories, rules.limit(0)).collect() == [] and joins.rule_matches(stories.limit(0), rules).collect() == []
+
+
+def test_scopes_and_periods(spark):
+    parents = spark.createDataFrame([(1, "u"), (2, "v"), (None, "u")], "source_id int, user_id string")
+    children = spark.createDataFrame([(1, 1), (2, 2), (3, None), (4, 9)], "id int, source_id int")
+    assert [r["source_id"] for r in filters.owned(parents, "v").collect()] == [2]
+    assert [r["id"] for r in filters.owned_through(children, parents, ["source_id"], "u").collect()] == [1]
+    for a, b, wrong in ((None, None, False), (1, 2, False), (2, 2, False), (3, 2, True), (1, None, True), (None, 1, True), (-1, 2, True)):
+        df = spark.createDataFrame([(a, b)], "a long, b long")
+        assert (df.select(filters.period_error(F.col("a"), F.col("b"))).first()[0] is not None) == wrong, (a, b)
+
+
+def test_usage_rollup(spark):
+    big = 2**53 - 10
+    rows = [("s", "m", "success", 5, big, 1, 2, 3, None), ("s", "m", "retry", 7, 20, 1, 2, None, 4), ("s", None, "failure", 1, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "stage string, model string, status string, duration_ms long, prompt long, completion long, total long, hit long, miss long")
+    got = {(r["stage"], r["model"]): r for r in usage.rollup(df).collect()}
+    assert set(got) == {(None, None), ("s", "m"), ("s", "unknown")}
+    total = got[None, None]
+    assert [total[c] for c in usage.COUNTERS] == [3, 13, 2, 2**53 - 1, 2, 4, 3, 4, 1, 1, 1] and total["saturated"] and not got["s", "unknown"]["saturated"]
+    assert [got["s", "unknown"][c] for c in usage.COUNTERS] == [1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 1]
 
 
 def test_components(spark):

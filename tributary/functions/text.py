@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def _c(x: str | Column) -> Column:
@@ -29,16 +30,19 @@ def clean_labels(x: str | Column, most: int = 200) -> Column:
 
 
 def utf8_head(x: str | Column, n: int) -> Column:
-    """The first ``n`` bytes of UTF-8, less a character that they cut."""
+    """The first ``n`` bytes of UTF-8, less the character that they cut; replacement characters of the text's own stay."""
     b = F.encode(_c(x), "UTF-8")
-    return F.regexp_replace(F.make_valid_utf8(F.substring(b, 1, n).cast("string")), "\\uFFFD+$", "")
+    begun = F.regexp_extract(F.hex(F.substring(b, max(1, n - 2), min(n, 3))), "([C-F][0-9A-F](?:[89AB][0-9A-F])*)$", 1)
+    cut = F.hex(F.substring(b, n + 1, 1)).rlike("^[89AB]")
+    return F.substring(b, F.lit(1), n - F.when(cut, F.char_length(begun) / 2).otherwise(0).cast("int")).cast("string")
 
 
 def utf8_tail(x: str | Column, n: int) -> Column:
-    """The last ``n`` bytes of UTF-8, less the rest of a character that they cut."""
+    """The last ``n`` bytes of UTF-8, less the rest of the character that they cut."""
     b = F.encode(_c(x), "UTF-8")
-    tail = F.substring(b, F.greatest(F.lit(1), F.octet_length(b) - n + 1), F.lit(n))
-    return F.regexp_replace(F.make_valid_utf8(tail.cast("string")), "^\\uFFFD+", "")
+    first = F.greatest(F.lit(1), F.octet_length(b) - n + 1)
+    rest = F.regexp_extract(F.hex(F.substring(b, first, F.lit(min(n, 3)))), "^((?:[89AB][0-9A-F])*)", 1)
+    return F.substring(b, first + (F.char_length(rest) / 2).cast("int"), F.lit(n)).cast("string")
 
 
 def compact(title: str | Column, text: str | Column, evidence: str | Column, long_bytes: int = 8000, end_bytes: int = 2000) -> Column:
@@ -119,9 +123,43 @@ def compact_count(x: str | Column) -> Column:
     return F.when(scaled, F.round(number.try_cast("decimal(20,4)") * unit, 0).cast("long")).when(plain, F.regexp_replace(t, "[.,]", "").try_cast("long"))
 
 
-def fingerprint(*columns: Column) -> Column:
-    """SHA-256 of the canonical JSON of the columns, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+def _by_name(value: Column, kind: DataType) -> Column:
+    """The value with the fields of its structs and the keys of its maps in alphabetical order (of a letter's two cases, the small one first)."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: (f.name.lower(), f.name.swapcase()))
+        return F.when(value.isNotNull(), F.struct(*[_by_name(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: _by_name(v, kind.elementType))
+    if isinstance(kind, MapType):
+        order = lambda a, b: F.when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).when(a > b, -1).when(a < b, 1).otherwise(0)
+        keys = F.array_sort(F.map_keys(value), order)
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: _by_name(value[k], kind.valueType)))
+    return value
+
+
+def canonical_json(df: DataFrame, *columns: str | Column) -> Column:
+    """One JSON object of the columns: names in alphabetical order at every depth, nulls kept."""
+    schema = df.select(*columns).schema
+    named = F.struct(*[_c(c).alias(f.name) for c, f in zip(columns, schema.fields, strict=True)])
+    return F.to_json(_by_name(named, schema), {"ignoreNullFields": "false"})
+
+
+def fingerprint(df: DataFrame, *columns: str | Column) -> Column:
+    """SHA-256 of the canonical JSON of the columns: the order in which they are given, or their structs were built, doesn't count."""
+    return F.sha2(canonical_json(df, *columns), 256)
+
+
+def identity_parts(kind: str | Column, date: str | Column, author: str | Column, text: str | Column, location: str | Column, occurrence: str | Column | None = None, viewer: str | Column | None = None) -> Column:
+    """JSON array of what tells a message without an id; the occurrence where it isn't null, and "viewer" where ``viewer`` is true, come last."""
+    part = lambda c: F.regexp_replace(F.to_json(F.array(_c(c))), r"^\[|\]$", "")
+    more = [] if occurrence is None else [F.when(_c(occurrence).isNotNull(), part(occurrence))]
+    more += [] if viewer is None else [F.when(_c(viewer), F.lit('"viewer"'))]
+    return F.concat(F.lit("["), F.concat_ws(",", *[part(c) for c in (kind, date, author, text, location)], *more), F.lit("]"))
+
+
+def fallback_identity(*parts: str | Column, **more: str | Column) -> Column:
+    """``fallback:`` and the SHA-256 of ``identity_parts``."""
+    return F.concat(F.lit("fallback:"), F.sha2(identity_parts(*parts, **more), 256))
 
 
 def duration(seconds: Column) -> Column:

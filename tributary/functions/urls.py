@@ -41,3 +41,36 @@ def status_id(x: str | Column) -> Column:
 
 def host(x: str | Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(_c(x), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:\s]+)", 1)), F.lit(""))
+
+
+#: Forms of a target's address and of its feed's id, and conversation ids that name pages of control.
+TARGET_URL = r"^https://x\.com/(?:home|i/lists/([1-9]\d{0,31})|i/chat/([A-Za-z0-9][A-Za-z0-9_-]{0,127}))\z"
+TARGET_FEED = r"^x:(?:following|list:([1-9]\d{0,31})|chat:([A-Za-z0-9][A-Za-z0-9_-]{0,127}))\z"
+RESERVED_CHATS = ("compose", "new", "requests", "search", "settings")
+
+
+def _target(x: Column, pattern: str) -> Column:
+    number, chat = (F.regexp_extract(x, pattern, i) for i in (1, 2))
+    kind = F.when(number != "", "list").when(chat != "", "chat").otherwise("following")
+    ok = x.rlike(pattern) & ~F.lower(chat).isin(*RESERVED_CHATS)
+    return F.when(ok, F.struct(kind.alias("kind"), F.nullif(F.concat(number, chat), F.lit("")).alias("id")))
+
+
+def target(x: str | Column) -> Column:
+    """(kind, id) of a target's exact address: following (no id), list or chat; null for anything else and for reserved paths."""
+    return _target(_c(x), TARGET_URL)
+
+
+def feed_target(x: str | Column) -> Column:
+    """(kind, id) of a target's feed id; null for what is none."""
+    return _target(_c(x), TARGET_FEED)
+
+
+def target_url(t: Column) -> Column:
+    k = t.getField("kind")
+    return F.when(k == "following", "https://x.com/home").when(k == "list", F.concat(F.lit("https://x.com/i/lists/"), t.getField("id"))).when(k == "chat", F.concat(F.lit("https://x.com/i/chat/"), t.getField("id")))
+
+
+def target_feed(t: Column) -> Column:
+    k = t.getField("kind")
+    return F.when(k == "following", "x:following").otherwise(F.concat(F.lit("x:"), k, F.lit(":"), t.getField("id")))

@@ -131,3 +131,22 @@ def parsed(raw: DataFrame, column: str, schema: str, valid: str) -> DataFrame:
     """The fields of a JSON column, and the verdict ok or bad by the condition ``valid``; what doesn't parse is bad."""
     rows = raw.withColumn("__r", F.from_json(column, schema)).select(*raw.columns, "__r.*")
     return rows.withColumn("verdict", F.when(F.coalesce(F.expr(valid), F.lit(False)), "ok").otherwise("bad"))
+
+
+def owned(rows: DataFrame, owner, column: str = "user_id") -> DataFrame:
+    """Rows of one owner: a plain equality, which reaches the scan."""
+    return rows.where(F.col(column) == owner)
+
+
+def owned_through(children: DataFrame, parents: DataFrame, on: list[str], owner, column: str = "user_id") -> DataFrame:
+    """Rows whose parent is the owner's. The parents are filtered first, so Spark can build its runtime filter from them; rows without a parent belong to nobody."""
+    return children.join(owned(parents, owner, column).select(*on), on, "left_semi")
+
+
+def period_error(start_ms: Column, end_ms: Column) -> Column:
+    """Why a period is refused, null where it isn't: both ends or neither, none negative, the start not after the end."""
+    return (
+        F.when(start_ms.isNull() != end_ms.isNull(), "both ends or neither")
+        .when((start_ms < 0) | (end_ms < 0), "negative")
+        .when(start_ms > end_ms, "start after end")
+    )

@@ -1,82 +1,71 @@
 """Greedy folds over ordered rows: next-fit batches and fixed-window counters.
 
 Each decision depends on all before it, so the fold runs along one key's rows in order. The key (a user, run or feed) is the unit
-of parallel work. ``next_fit`` folds in the JVM over one sorted array a key, or (``streamed``) in Arrow batches over rows sorted
-within partitions, holding a running state only, for keys of any length.
+of parallel work: rows are sorted within partitions (which spills) and folded in Arrow batches with a running state only, so that
+a key may have any number of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _sorted(df: DataFrame, keys: list[str], order: str, *columns) -> DataFrame:
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("pos"), *columns))).alias("rows"))
-
-
-def next_fit(df: DataFrame, keys: list[str], order: str, size: str, max_items: int, max_size: int, same: str | None = None, streamed: bool = False) -> DataFrame:
-    """(keys, pos, batch from 0): a batch ends before the row that would exceed ``max_items`` or ``max_size``, or that differs in ``same``. A row larger than ``max_size`` is a batch of its own."""
-    like = F.col(same).cast("string") if same else F.lit("")
-    if streamed:
-        return _next_fit_streamed(df, keys, order, size, max_items, max_size, like)
-    rows = _sorted(df, keys, order, F.col(size).cast("long").alias("size"), like.alias("like"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"), F.lit("").alias("like"), F.array().cast("array<long>").alias("out"))
-
-    def step(acc, x):
-        new = (acc["n"] == 0) | (acc["n"] >= max_items) | (acc["total"] + x["size"] > max_size) | (acc["like"] != x["like"])
-        batch = acc["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            batch.alias("batch"),
-            F.when(new, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"),
-            F.when(new, x["size"]).otherwise(acc["total"] + x["size"]).alias("total"),
-            x["like"].alias("like"),
-            F.array_append(acc["out"], batch).alias("out"),
-        )
-
-    folded = rows.select(*keys, "rows", F.aggregate("rows", start, step)["out"].alias("batches"))
-    return folded.select(*keys, F.inline(F.arrays_zip(F.col("rows.pos").alias("pos"), F.col("batches")))).toDF(*keys, "pos", "batch")
-
-
-def _next_fit_streamed(df: DataFrame, keys: list[str], order: str, size: str, max_items: int, max_size: int, like) -> DataFrame:
+def _fold(df: DataFrame, keys: list[str], order: str, inputs: list[Column], start: tuple, step: Callable, out: str) -> DataFrame:
+    """(keys, pos, ``out``): ``step(state, *inputs)`` gives a row's value (a long) and the next state; every key begins with ``start``."""
     k = len(keys)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        at, batch_no, n, total, last = None, -1, 0, 0, None
+        at, state = None, start
         for batch in batches:
-            names = list(zip(*(batch.column(i).to_pylist() for i in range(k)), strict=True))
-            out = []
-            for key, s, same in zip(names, batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist(), strict=True):
+            lists = [c.to_pylist() for c in batch.columns]
+            values = []
+            for key, row in zip(zip(*lists[:k], strict=True), zip(*lists[k + 1 :], strict=True), strict=True):
                 if key != at:
-                    at, batch_no, n, total, last = key, -1, 0, 0, None
-                if n == 0 or n >= max_items or total + s > max_size or same != last:
-                    batch_no, n, total = batch_no + 1, 0, 0
-                n, total, last = n + 1, total + s, same
-                out.append(batch_no)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(out, pa.int64())], [*keys, "pos", "batch"])
-
-    rows = df.select(*keys, F.col(order).alias("pos"), F.col(size).cast("long").alias("size"), like.alias("like"))
+                    at, state = key, start
+                value, state = step(state, *row)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], pa.array(values, pa.int64())], [*keys, "pos", out])
+
+    rows = df.select(*keys, F.col(order).alias("pos"), *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, "pos")
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "pos"]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "batch long"]))
+    return rows.mapInArrow(run, ", ".join([*kinds, f"{out} long"]))
+
+
+def next_fit(df: DataFrame, keys: list[str], order: str, size: str, max_items: int, max_size: int, same: str | None = None) -> DataFrame:
+    """(keys, pos, batch from 0): a batch ends before the row that would exceed ``max_items`` or ``max_size``, or that differs in ``same``.
+
+    A row larger than ``max_size`` is a batch of its own; a null size is 0, a null ``same`` a value of its own.
+    """
+
+    def step(state, rows_size, like):
+        batch, n, total, last = state
+        if n == 0 or n >= max_items or total + rows_size > max_size or like != last:
+            batch, n, total = batch + 1, 0, 0
+        return batch, (batch, n + 1, total + rows_size, like)
+
+    inputs = [F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")), F.col(same).cast("string") if same else F.lit("")]
+    return _fold(df, keys, order, inputs, (-1, 0, 0, None), step, "batch")
 
 
 def fixed_window(df: DataFrame, keys: list[str], order: str, at_ms: str, window_ms: int, limit: int) -> DataFrame:
-    """(keys, pos, count, allowed): the window opens with its first event and lasts ``window_ms``; events beyond ``limit`` are rejected but count."""
-    rows = _sorted(df, keys, order, F.col(at_ms).alias("t"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-(2**62)).cast("long").alias("resets"), F.array().cast("array<long>").alias("out"))
+    """(keys, pos, count, allowed): the window opens with its first event and lasts ``window_ms``; events beyond ``limit`` are rejected but count.
+
+    An event without a time counts in the window before it.
+    """
 
-    def step(acc, x):
-        live = acc["resets"] > x["t"]
-        n = F.when(live, acc["n"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(n.alias("n"), F.when(live, acc["resets"]).otherwise(x["t"] + window_ms).alias("resets"), F.array_append(acc["out"], n).alias("out"))
+    def step(state, at):
+        n, resets = state
+        if n and (at is None or resets > at):
+            return n + 1, (n + 1, resets)
+        return 1, (1, (at or 0) + window_ms)
 
-    folded = rows.select(*keys, "rows", F.aggregate("rows", start, step)["out"].alias("counts"))
-    out = folded.select(*keys, F.inline(F.arrays_zip(F.col("rows.pos").alias("pos"), F.col("counts")))).toDF(*keys, "pos", "count")
+    out = _fold(df, keys, order, [F.col(at_ms).cast("long")], (0, 0), step, "count")
     return out.withColumn("allowed", F.col("count") <= limit)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import udfs
+
 
 def missing_keys(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
     return expected.join(present.select(*on), on, "left_anti")
@@ -47,6 +49,47 @@ def phrase_matches(texts: DataFrame, rules: list[tuple[str, str]], text: str) ->
     return texts.withColumn("rule_id", F.explode(hits))
 
 
+#: Characters of a phrase that it is looked up by.
+KEY = 8
+
+
+def rule_matches(stories: DataFrame, rules: DataFrame) -> DataFrame:
+    """(story_id, rule_id), each once: rules (rule_id, kind, label) as a table of any size.
+
+    ``stories``: story_id and the arrays topics, entities, types and texts. Labels and values are compared in NFKC and lower case. A topic, entity or story_type equals one of the story's,
+    both trimmed; a phrase is a substring of one of its texts. Blank labels and other kinds match nothing, null arrays are empty.
+
+    Phrases are an equi-join too: their first KEY characters (all of shorter ones) against the different substrings of that length, then one look at the whole phrase.
+    Substrings go without the texts, which are joined back for candidates only.
+    """
+    plain = lambda c: F.lower(udfs.nfkc(c))
+    needles = rules.select("rule_id", "kind", F.trim(plain("label")).alias("needle")).where("needle <> ''")
+    kinds = (("topic", "topics"), ("entity", "entities"), ("story_type", "types"), ("phrase", "texts"))
+
+    def tagged(kind: str, column: str) -> Column:
+        return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), v.alias("value")))
+
+    values = stories.select("story_id", F.inline(F.concat(*[tagged(*k) for k in kinds]))).where("value IS NOT NULL").withColumn("value", plain("value"))
+    equal = values.where("kind <> 'phrase'").select("story_id", "kind", F.trim("value").alias("needle")).join(needles, ["kind", "needle"]).select("story_id", "rule_id")
+
+    phrases = needles.where("kind = 'phrase'").withColumn("key", F.left("needle", F.lit(KEY)))
+    lengths = phrases.select(F.char_length("key").alias("n")).distinct()
+    texts = values.where("kind = 'phrase'").select("story_id", "place", "value")
+    # at most KEY numbers, whatever the number of rules
+    sizes = sorted(r["n"] for r in lengths.collect())
+    if not sizes:
+        return equal.distinct()
+
+    # the KEY characters from every place on (fewer at the end), of which shorter keys are the beginnings
+    windows = F.array_distinct(F.regexp_extract_all("value", F.lit(f"(?s)(?=(.{{1,{KEY}}}))"), 1))
+    pieces = texts.select("story_id", "place", F.explode(windows).alias("piece"))
+    starts = F.array(*[F.when(F.char_length("piece") >= n, F.left("piece", F.lit(n))) for n in sizes])
+    keyed = pieces.select("story_id", "place", F.explode(starts).alias("key"))
+    met = keyed.join(phrases, "key").select("story_id", "place", "rule_id", "needle").distinct()
+    found = met.join(texts, ["story_id", "place"]).where(F.col("value").contains(F.col("needle"))).select("story_id", "rule_id")
+    return equal.unionByName(found).distinct()
+
+
 def neighbor_bounds(rows: DataFrame, partition: list[str], order: list[Column], date: str = "date_ms") -> DataFrame:
     """Bounds of undated rows: the last known date before, and 59 999 ms past the next known one."""
     w = Window.partitionBy(*partition).orderBy(*order)

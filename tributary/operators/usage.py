@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The largest integer that a double holds exactly.
@@ -43,3 +43,25 @@ def valid_usage(prompt: Column, completion: Column, total: Column, hit: Column,
     counts = (prompt >= 0) & (completion >= 0) & (total == prompt + completion)
     parts = F.coalesce((hit + miss) == prompt, F.lit(True)) & F.coalesce(hit >= 0, F.lit(True)) & F.coalesce(miss >= 0, F.lit(True))
     return F.coalesce(counts & parts, F.lit(False))
+
+
+#: The counters of a rollup.
+COUNTERS = ("attempts", "duration_ms", "reported", "prompt", "completion", "total", "hit", "miss", "success", "retry", "failure")
+
+
+def rollup(attempts: DataFrame) -> DataFrame:
+    """Totals (null, null) and one row a stage and model, in order: COUNTERS, each at most 2**53 - 1, and whether one of them is more (``saturated``).
+
+    ``attempts``: stage, model (null: unknown), status, duration_ms and the usage: prompt, completion, total, hit, miss. Without a prompt count the attempt reported no usage; null hits and misses count nothing.
+    """
+    one = lambda when: F.when(when, 1).otherwise(0)
+    told = F.col("prompt").isNotNull()
+    values = {"attempts": F.lit(1), "duration_ms": F.col("duration_ms"), "reported": one(told)}
+    values |= {c: F.when(told, F.coalesce(F.col(c), F.lit(0))).otherwise(0) for c in ("prompt", "completion", "total", "hit", "miss")}
+    values |= {s: one(F.col("status") == s) for s in ("success", "retry", "failure")}
+    rows = attempts.withColumn("model", F.coalesce("model", F.lit("unknown"))).groupingSets([[], ["stage", "model"]], "stage", "model")
+    sums = rows.agg(F.grouping_id().alias("level"), *[saturating_sum(values[c]).alias(c) for c in COUNTERS], *[saturated(values[c]).alias(f"over_{c}") for c in COUNTERS])
+    over = F.lit(False)
+    for c in COUNTERS:
+        over = over | F.coalesce(F.col(f"over_{c}"), F.lit(False))
+    return sums.select("stage", "model", "level", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTERS], over.alias("saturated")).orderBy("stage", "model")

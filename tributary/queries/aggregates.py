@@ -92,12 +92,18 @@ def usage_rows(spark, sf_dir):
     )
 
 
-@query(f"""WITH {USAGE} SELECT stage, model, count(*) AS attempts, cast(sum(prompt) AS BIGINT) AS prompt, cast(sum(completion) AS BIGINT) AS completion, cast(sum(hit) AS BIGINT) AS hit,
-    cast(max(l_linenumber) AS INTEGER) AS most, grouping(stage, model) AS level FROM u GROUP BY GROUPING SETS ((), (stage), (stage, model))""")
+@query(f"""WITH {USAGE}, a AS (SELECT stage, CASE WHEN l_orderkey % 9 = 0 THEN 'unknown' ELSE model END AS model, ['success', 'retry', 'failure'][l_linenumber % 3 + 1] AS status, l_orderkey % 1000 AS duration_ms, l_linenumber % 5 <> 0 AS told, prompt, completion, hit, miss FROM u)
+    SELECT stage, model, cast(grouping(stage, model) AS BIGINT) AS level, count(*) AS attempts, cast(sum(duration_ms) AS BIGINT) AS duration_ms, count(*) FILTER (WHERE told) AS reported, cast(coalesce(sum(prompt) FILTER (WHERE told), 0) AS BIGINT) AS prompt,
+      cast(coalesce(sum(completion) FILTER (WHERE told), 0) AS BIGINT) AS completion, cast(coalesce(sum(prompt + completion) FILTER (WHERE told), 0) AS BIGINT) AS total, cast(coalesce(sum(hit) FILTER (WHERE told), 0) AS BIGINT) AS hit, cast(coalesce(sum(miss) FILTER (WHERE told), 0) AS BIGINT) AS miss,
+      count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'retry') AS retry, count(*) FILTER (WHERE status = 'failure') AS failure, false AS saturated
+    FROM a GROUP BY GROUPING SETS ((), (stage, model))""")
 def usage_grouping_sets(spark, sf_dir):
-    rows = usage_rows(spark, sf_dir).groupingSets([[], ["stage"], ["stage", "model"]], "stage", "model")
-    counts = [F.count("*").alias("attempts"), *(F.sum(c).alias(c) for c in ("prompt", "completion", "hit")), F.max("l_linenumber").alias("most")]
-    return rows.agg(*counts, F.grouping_id().alias("level"))
+    n, told = F.col("l_linenumber"), F.col("l_linenumber") % 5 != 0
+    attempts = usage_rows(spark, sf_dir).select(
+        "stage", F.when(F.col("l_orderkey") % 9 != 0, F.col("model")).alias("model"), F.get(F.array(*map(F.lit, ("success", "retry", "failure"))), (n % 3).cast("int")).alias("status"),
+        (F.col("l_orderkey") % 1000).alias("duration_ms"), *[F.when(told, F.col(c)).alias(c) for c in ("prompt", "completion", "hit", "miss")], F.when(told, F.col("prompt") + F.col("completion")).alias("total"),
+    )
+    return usage.rollup(attempts)
 
 
 @query(f"""WITH {USAGE}, big AS (SELECT stage, model, prompt::HUGEINT * 40000000 AS v FROM u)

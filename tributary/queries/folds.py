@@ -37,7 +37,7 @@ def pack_units(spark, sf_dir):
 @query(_pack_sql("SELECT source AS key, doc_id AS pos, n_chars AS size, lang AS kind FROM documents", 5, 20000))
 def pack_same_detail(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"), "lang")
-    return folds.next_fit(docs, ["key"], "pos", "size", 5, 20000, same="lang", streamed=True)
+    return folds.next_fit(docs, ["key"], "pos", "size", 5, 20000, same="lang")
 
 
 @query(f"""WITH RECURSIVE {EVENT_ITEMS}, o AS (SELECT user_id AS key, item_id AS pos, date_ms AS t, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS rn FROM items),

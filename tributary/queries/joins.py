@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import filters, joins
 from ..registry import query
 from ..sources.tables import EVENT_ITEMS, event_items, table
 from .scans import DAY, START
@@ -121,6 +121,37 @@ def mute_rule_match(spark, sf_dir):
     return joins.phrase_matches(docs, RULES, "text").select("doc_id", "rule_id")
 
 
+@query("""WITH r AS (SELECT DISTINCT concat('t', source) AS rule_id, 'topic' AS kind, upper(source) AS label FROM documents UNION ALL SELECT DISTINCT concat('e', lang), 'entity', concat(' ', lang) FROM documents
+      UNION ALL SELECT DISTINCT concat('y', doc_id % 3), 'story_type', concat('Type', doc_id % 3) FROM documents UNION ALL SELECT concat('p', item_id), 'phrase', concat('  ', substr(text, 3, 30)) FROM benchmark UNION ALL SELECT concat('w', item_id), 'phrase', substr(text, 1, 2 + item_id % 6) FROM benchmark),
+    n AS (SELECT rule_id, kind, lower(trim(label)) AS needle FROM r WHERE trim(label) <> '')
+    SELECT DISTINCT doc_id AS story_id, rule_id FROM documents, n WHERE (kind = 'topic' AND lower(source) = needle) OR (kind = 'entity' AND lower(lang) = needle) OR (kind = 'story_type' AND concat('type', doc_id % 7) = needle) OR (kind = 'phrase' AND contains(lower(text), needle))""")
+def rule_table_match(spark, sf_dir):
+    """Rules of every kind, as a table: the documents' sources, languages and types, and phrases from the benchmark."""
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rule = lambda df, kind, key, label: df.select(key.alias("rule_id"), F.lit(kind).alias("kind"), label.alias("label"))
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    item, third = F.col("item_id"), F.col("doc_id") % 3
+    rules = rule(d, "topic", named("t", F.col("source")), F.upper("source")).union(rule(d, "entity", named("e", F.col("lang")), F.concat(F.lit(" "), "lang"))).union(rule(d, "story_type", named("y", third), named("Type", third))).distinct()
+    rules = rules.union(rule(b, "phrase", named("p", item), F.concat(F.lit("  "), F.substring("text", 3, 30)))).union(rule(b, "phrase", named("w", item), F.substring(F.col("text"), F.lit(1), (2 + item % 6).cast("int"))))
+    stories = d.select(F.col("doc_id").alias("story_id"), F.array("source").alias("topics"), F.array("lang").alias("entities"), F.array(named("Type", F.col("doc_id") % 7)).alias("types"), F.array("text").alias("texts"))
+    return joins.rule_matches(stories, rules)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey = 7)""")
+def owner_scope(spark, sf_dir):
+    """Lines of one customer's orders: of other owners' nothing is seen."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return filters.owned_through(table(spark, sf_dir, "lineitem"), orders, ["l_orderkey"], 7, "o_custkey").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(f"""WITH {EVENT_ITEMS}, p AS (SELECT item_id, CASE WHEN item_id % 5 <> 0 THEN date_ms - {START + 3 * DAY} END AS a, CASE WHEN item_id % 7 <> 0 THEN (item_id % 20) * {DAY} END AS b FROM items)
+    SELECT item_id, CASE WHEN (a IS NULL) <> (b IS NULL) THEN 'both ends or neither' WHEN a < 0 OR b < 0 THEN 'negative' WHEN a > b THEN 'start after end' END AS error FROM p""")
+def period_validation(spark, sf_dir):
+    item = F.col("item_id")
+    start, end = F.when(item % 5 != 0, F.col("date_ms") - (START + 3 * DAY)), F.when(item % 7 != 0, item % 20 * DAY)
+    return event_items(spark, sf_dir).select("item_id", filters.period_error(start, end).alias("error"))
+
+
 @query(f"""WITH {EVENT_ITEMS}, d AS (SELECT item_id, user_id, CASE WHEN item_id % 3 = 0 THEN date_ms END AS date_ms FROM items)
     SELECT item_id, CASE WHEN date_ms IS NULL THEN last_value(date_ms IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS lower_ms,
       CASE WHEN date_ms IS NULL THEN first_value(date_ms IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY item_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) + 59999 END AS upper_ms FROM d""")

@@ -92,11 +92,21 @@ def target_dedupe_cap(spark, sf_dir):
     return t.orderBy("page_id").limit(250)
 
 
-@query("""SELECT page_id, regexp_extract(concat('https://x.test/', 'user', page_id, '/status/', page_id * 17), '^https://x\\.test/([A-Za-z0-9_]+)', 1) AS handle,
-    regexp_extract(concat('https://x.test/', 'user', page_id, '/status/', page_id * 17), '/status/(\\d+)', 1) AS status FROM pages""")
+@query("""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:\\s]+)', 1)), '[^a-z0-9]', '-', 'g') AS host FROM pages),
+    u AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://x.com/home' WHEN 1 THEN 'https://x.com/i/lists/' || page_id WHEN 2 THEN 'https://x.com/i/chat/' || host || page_id WHEN 3 THEN 'https://x.com/i/chat/Settings'
+      WHEN 4 THEN 'https://x.com/i/lists/0' || page_id WHEN 5 THEN 'https://x.com/i/chat/' || host || '/' WHEN 6 THEN 'http://x.com/i/lists/' || page_id ELSE 'https://x.com/' || host END AS u FROM h),
+    t AS (SELECT page_id, u, regexp_matches(u, '^https://x\\.com/(home|i/lists/[1-9]\\d{0,31}|i/chat/[A-Za-z0-9][A-Za-z0-9_-]{0,127})$') AND NOT regexp_matches(lower(u), '/i/chat/(compose|new|requests|search|settings)$') AS ok FROM u),
+    k AS (SELECT page_id, u, CASE WHEN ok THEN CASE WHEN contains(u, '/lists/') THEN 'list' WHEN contains(u, '/chat/') THEN 'chat' ELSE 'following' END END AS kind FROM t)
+    SELECT page_id, kind, CASE WHEN kind <> 'following' THEN regexp_extract(u, '[^/]*$') END AS id, CASE WHEN kind = 'following' THEN 'x:following' ELSE 'x:' || kind || ':' || regexp_extract(u, '[^/]*$') END AS feed,
+      CASE WHEN kind IS NOT NULL THEN u END AS url FROM k""")
 def target_parse(spark, sf_dir):
-    u = F.concat(F.lit("https://x.test/user"), F.col("page_id").cast("string"), F.lit("/status/"), (F.col("page_id") * 17).cast("string"))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, r"^https://x\.test/([A-Za-z0-9_]+)", 1).alias("handle"), urls.status_id(u).alias("status"))
+    """Addresses of every form, valid and not, to target, feed id, and by way of the feed id to the address again."""
+    n, host = F.col("page_id").cast("string"), F.regexp_replace(urls.host("url"), "[^a-z0-9]", "-")
+    at = lambda *parts: F.concat(F.lit("https://x.com/"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = F.array(at("home"), at("i/lists/", n), at("i/chat/", host, n), at("i/chat/Settings"), at("i/lists/0", n), at("i/chat/", host, "/"), F.concat(F.lit("http://x.com/i/lists/"), n), at(host))
+    t = table(spark, sf_dir, "pages").select("page_id", urls.target(F.get(forms, (F.col("page_id") % 8).cast("int"))).alias("t"))
+    t = t.withColumn("feed", urls.target_feed(F.col("t")))
+    return t.select("page_id", "t.kind", "t.id", "feed", urls.target_url(urls.feed_target("feed")).alias("url"))
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, 'href="[^"]*"')) AS links, coalesce(nullif(regexp_extract(html, 'href="([^"]*)"', 1), ''), '') AS first_link FROM pages""")
@@ -128,19 +138,28 @@ def utf8_split(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("piece", "text"))
 
 
-@query("""SELECT doc_id, sha256(concat('{"source":"', source, '","lang":"', lang, '","n":', n_chars, '}')) AS fingerprint, sha256(text) AS text_hash FROM documents""")
+@query("""WITH j AS (SELECT doc_id, concat('{"lang":', coalesce(to_json(lang)::VARCHAR, 'null'), ',"n":', n_chars, ',"payload":{"meta":{"isGroup":', doc_id % 2 = 0, ',"links":[{"a":null,"b":"x"},{"a":', doc_id, ',"b":"y"}]},"text":', to_json(regexp_replace(text, '[\\x00-\\x1f]', ' ', 'g'))::VARCHAR, '},"source":', coalesce(to_json(source)::VARCHAR, 'null'), '}') AS j FROM documents)
+    SELECT doc_id, j AS canonical, sha256(j) AS fingerprint, sha256(text) AS text_hash FROM j JOIN documents USING (doc_id)""")
 def fingerprint(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.fingerprint("source", "lang", F.col("n_chars").alias("n")).alias("fingerprint"), F.sha2("text", 256).alias("text_hash"))
+    """A nested payload whose fields are built out of order."""
+    link = lambda b, a: F.struct(F.lit(b).alias("b"), a.cast("long").alias("a"))
+    meta = F.struct(F.array(link("x", F.lit(None)), link("y", F.col("doc_id"))).alias("links"), (F.col("doc_id") % 2 == 0).alias("isGroup"))
+    d = docs(spark, sf_dir)
+    parts = ("source", F.struct(F.regexp_replace("text", r"[\x00-\x1f]", " ").alias("text"), meta.alias("meta")).alias("payload"), F.col("n_chars").alias("n"), "lang")
+    return d.select("doc_id", text.canonical_json(d, *parts).alias("canonical"), text.fingerprint(d, *parts).alias("fingerprint"), F.sha2("text", 256).alias("text_hash"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS n FROM events)
-    SELECT event_id, concat('fallback:', sha256(concat('["', event_type, '","', user_id, '","', n, '"]'))) AS identity FROM e""")
+@query(f"""WITH {EVENT_ITEMS}, e AS (SELECT item_id, user_id, feed_id, CASE WHEN item_id % 3 > 0 THEN date_ms END AS date_ms, row_number() OVER (PARTITION BY user_id, feed_id ORDER BY item_id) - 1 AS n FROM items)
+    SELECT item_id, concat('fallback:', sha256(concat('["', CASE WHEN feed_id = 'click' THEN 'post' ELSE 'chat_message' END, '",', coalesce(date_ms::VARCHAR, 'null'), ',"', user_id, '","', feed_id, '",', CASE WHEN user_id % 2 = 0 THEN '"home"' ELSE 'null' END,
+      CASE WHEN feed_id <> 'click' THEN concat(',', n) ELSE '' END, CASE WHEN item_id % 5 = 0 THEN ',"viewer"' ELSE '' END, ']'))) AS identity FROM e""")
 def fallback_identity(spark, sf_dir):
+    """All seven parts; an occurrence only for chat messages."""
     from ..operators import units
 
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", units.occurrence(["user_id", "event_type"], [F.asc("event_id")]).alias("n"))
-    parts = F.array("event_type", F.col("user_id").cast("string"), F.col("n").cast("string"))
-    return e.select("event_id", F.concat(F.lit("fallback:"), F.sha2(F.to_json(parts), 256)).alias("identity"))
+    post = F.col("feed_id") == "click"
+    e = event_items(spark, sf_dir).withColumn("n", units.occurrence(["user_id", "feed_id"], [F.asc("item_id")]))
+    parts = (F.when(post, "post").otherwise("chat_message"), F.when(F.col("item_id") % 3 > 0, F.col("date_ms")), F.col("user_id").cast("string"), "feed_id", F.when(F.col("user_id") % 2 == 0, "home"))
+    return e.select("item_id", text.fallback_identity(*parts, occurrence=F.when(~post, F.col("n")), viewer=F.col("item_id") % 5 == 0).alias("identity"))
 
 
 @query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(chr(10), ' ', text, '  ', chr(13), chr(10), chr(10)), '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\n+', ''), '\\n+$', '') AS text FROM documents""")
