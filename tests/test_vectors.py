@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import dates, text, udfs, urls
-from tributary.operators import filters, folds, graph, joins, merges, paging, units, usage
+from tributary.operators import filters, folds, graph, joins, merges, paging, requests, units, usage
 from tributary.sources import connectors
 from tributary.streaming import programs
 
@@ -200,6 +200,14 @@ def test_scopes_and_periods(spark):
         assert (df.select(filters.period_error(F.col("a"), F.col("b"))).first()[0] is not None) == wrong, (a, b)
 
 
+def test_summary_jobs(spark):
+    rows = [(1, 1, "brief", None, 5, 5), (1, 2, "brief", False, None, None), (1, 3, "thorough", False, 5, 5), (1, 4, "brief", True, 5, 5), (1, 5, "brief", False, 5, 11), (1, 6, "brief", False, 5, 5), (1, 7, "brief", False, 1, 1), (1, 8, None, False, 1, 1), (2, 1, "normal", False, 1, 1)]
+    df = spark.createDataFrame(rows, "k int, pos long, detail string, has_media boolean, raw_bytes long, input_bytes long")
+    got = {(r["k"], r["pos"]): (r["kind"], r["batch"]) for r in requests.summary_jobs(df, ["k"], "pos", 10).collect()}
+    single = ("single", None)
+    assert got == {(1, 1): ("batch", 0), (1, 2): ("batch", 0), (1, 3): single, (1, 4): single, (1, 5): single, (1, 6): ("batch", 0), (1, 7): ("batch", 1), (1, 8): ("batch", 2), (2, 1): ("batch", 0)}
+
+
 def test_usage_rollup(spark):
     big = 2**53 - 10
     rows = [("s", "m", "success", 5, big, 1, 2, 3, None), ("s", "m", "retry", 7, 20, 1, 2, None, 4), ("s", None, "failure", 1, None, None, None, None, None)]

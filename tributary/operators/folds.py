@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _fold(df: DataFrame, keys: list[str], order: str, inputs: list[Column], start: tuple, step: Callable, out: str) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], order: str, inputs: list[Column], start: tuple, step: Callable, out: str) -> DataFrame:
     """(keys, pos, ``out``): ``step(state, *inputs)`` gives a row's value (a long) and the next state; every key begins with ``start``."""
     k = len(keys)
 
@@ -50,7 +50,7 @@ def next_fit(df: DataFrame, keys: list[str], order: str, size: str, max_items: i
         return batch, (batch, n + 1, total + rows_size, like)
 
     inputs = [F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")), F.col(same).cast("string") if same else F.lit("")]
-    return _fold(df, keys, order, inputs, (-1, 0, 0, None), step, "batch")
+    return fold(df, keys, order, inputs, (-1, 0, 0, None), step, "batch")
 
 
 def fixed_window(df: DataFrame, keys: list[str], order: str, at_ms: str, window_ms: int, limit: int) -> DataFrame:
@@ -65,7 +65,7 @@ def fixed_window(df: DataFrame, keys: list[str], order: str, at_ms: str, window_
             return n + 1, (n + 1, resets)
         return 1, (1, (at or 0) + window_ms)
 
-    out = _fold(df, keys, order, [F.col(at_ms).cast("long")], (0, 0), step, "count")
+    out = fold(df, keys, order, [F.col(at_ms).cast("long")], (0, 0), step, "count")
     return out.withColumn("allowed", F.col("count") <= limit)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def member_limit(max_items: Column, max_output_tokens: Column, most: int = 100, tokens_each: int = 300) -> Column:
     """Members of one request: at least one, at most the items allowed, ``most``, and what the output has room for."""
@@ -48,16 +50,34 @@ def bisected(requests: DataFrame, size: str, limit: Column, depth: int = 24) ->
 
 
 def fair_shares(df: DataFrame, keys: list[str], order: str, size: str, budget: int) -> DataFrame:
-    """(keys, pos, share): in order, each text gets its size, or an equal part of what is left of the budget for it and those after it."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("pos"), F.col(size).cast("long").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.size("rows").cast("long").alias("n"), F.array().cast("array<long>").alias("out"))
+    """(keys, pos, share): in order, each text gets its size, or an equal part of what is left of the budget for it and those after it. A null size is 0."""
+    counted = df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+
+    def step(state, length, n):
+        left, done = state
+        share = min(length, left // (n - done))
+        return share, (left - share, done + 1)
+
+    return folds.fold(counted, keys, order, [F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")), F.col("__n")], (budget, 0), step, "share")
+
+
+def summary_jobs(stories: DataFrame, keys: list[str], order: str, budget: int, most: int = 5) -> DataFrame:
+    """(keys, pos, kind, batch): which stories are summarised alone (single, no batch) and which together.
+
+    ``stories``: detail, has_media, raw_bytes and input_bytes. Alone go the thorough ones, those with media and those whose raw or input bytes exceed the budget. The others fill batches of one
+    detail in order, of at most ``most`` stories (never more than five) and the budget's bytes. Nulls: no media, no bytes, a detail of its own.
+    """
+    over = lambda c: F.coalesce(F.col(c) > budget, F.lit(False))
+    alone = F.coalesce(F.col("detail") == "thorough", F.lit(False)) | F.coalesce("has_media", F.lit(False)) | over("raw_bytes") | over("input_bytes")
+    batches = folds.next_fit(stories.where(~alone), keys, order, "input_bytes", min(5, most), budget, same="detail")
+    singles = stories.where(alone).select(*keys, F.col(order).alias("pos"), F.lit("single").alias("kind"), F.lit(None).cast("long").alias("batch"))
+    return batches.select(*keys, "pos", F.lit("batch").alias("kind"), "batch").unionByName(singles)
 
-    def step(acc, x):
-        share = F.least(x["size"], F.floor(acc["left"] / acc["n"]))
-        return F.struct((acc["left"] - share).alias("left"), (acc["n"] - 1).alias("n"), F.array_append(acc["out"], share).alias("out"))
 
-    out = rows.select(*keys, "rows", F.aggregate("rows", start, step)["out"].alias("shares"))
-    return out.select(*keys, F.inline(F.arrays_zip(F.col("rows.pos").alias("pos"), F.col("shares")))).toDF(*keys, "pos", "share")
+def merge_level(parts: DataFrame, keys: list[str], order: str, size: str, fan_in: int, budget: int) -> DataFrame:
+    """(keys, batch from 0, pos, share): one level of a merge of partial summaries, two or more at a time and ``fan_in`` at most, and each text's bytes by ``fair_shares`` within its batch."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    return fair_shares(parts.withColumn("batch", F.floor(place / max(2, fan_in))), [*keys, "batch"], order, size, budget)
 
 
 def decision(score: Column, muted: Column, threshold: Column) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import requests
 from ..registry import query
 from ..sources.tables import NAMES, table
+from .folds import _pack_sql
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(1, least(l_partkey, 100, l_suppkey * 1000 // 300)) AS most FROM lineitem""")
@@ -40,6 +41,31 @@ def fair_shares(spark, sf_dir):
     return requests.fair_shares(c, ["key"], "pos", "size", 600)
 
 
+STORIES = """st AS (SELECT source AS key, doc_id AS pos, CASE doc_id % 5 WHEN 0 THEN 'thorough' WHEN 1 THEN 'brief' ELSE 'normal' END AS detail, doc_id % 11 = 0 AS has_media, n_chars AS raw_bytes, n_chars + 40 AS input_bytes FROM documents)"""
+ALONE = "detail = 'thorough' OR has_media OR input_bytes > 20000"
+
+
+@query(_pack_sql(f"WITH {STORIES} SELECT key, pos, input_bytes AS size, detail AS kind FROM st WHERE NOT ({ALONE})", 5, 20000).replace("SELECT key, pos, batch FROM f", f"""SELECT key, pos, 'batch' AS kind, batch FROM f
+    UNION ALL SELECT source, doc_id, 'single', NULL FROM (WITH {STORIES} SELECT key AS source, pos AS doc_id FROM st WHERE {ALONE})"""))
+def summary_jobs(spark, sf_dir):
+    n = F.col("doc_id")
+    stories = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("key"), n.alias("pos"), F.when(n % 5 == 0, "thorough").when(n % 5 == 1, "brief").otherwise("normal").alias("detail"),
+        (n % 11 == 0).alias("has_media"), F.col("n_chars").alias("raw_bytes"), (F.col("n_chars") + 40).alias("input_bytes"),
+    )
+    return requests.summary_jobs(stories, ["key"], "pos", 20000)
+
+
+@query("""WITH RECURSIVE b AS (SELECT conv_id AS key, turn AS pos, length(text) AS size, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM conversations),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key, batch ORDER BY pos) AS rn, count(*) OVER (PARTITION BY key, batch) AS n FROM b),
+    f AS (SELECT key, batch, pos, rn, least(size, 200 // n) AS share, 200 - least(size, 200 // n) AS rest FROM o WHERE rn = 1
+      UNION ALL SELECT o.key, o.batch, o.pos, o.rn, least(o.size, f.rest // (o.n - o.rn + 1)), f.rest - least(o.size, f.rest // (o.n - o.rn + 1)) FROM f JOIN o ON o.key = f.key AND o.batch = f.batch AND o.rn = f.rn + 1)
+    SELECT key, batch, pos, share FROM f""")
+def merge_fan_in(spark, sf_dir):
+    parts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), "turn", F.char_length("text").alias("size"))
+    return requests.merge_level(parts, ["key"], "turn", "size", 3, 200)
+
+
 @query("""SELECT o_orderkey AS story, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE cast(o_custkey % 101 AS INTEGER) END AS score, o_orderstatus <> 'F' AND o_custkey % 101 >= 60 AS relevant FROM orders""")
 def classification_decisions(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
