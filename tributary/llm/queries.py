@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, media, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
+from . import bpe, conversations, exact_dedup, importance, line_dedup, media, neighbours, ngram_join, packing, quality, suffix_dedup, token_files, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -76,8 +76,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.flagged(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair_report(turns).withColumnRenamed("conv", "conv_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = importance.resampled(documents(spark, sf_dir), target, percent=25, least_words=20, most=2, buckets=10000, seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, F.col("id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_exact_dedup, op3_line_dedup, op4_bpe_round_trip, op5_best_fit_packing, op6_quality_classifier, op7_token_files, op8_suffix_array_dedup, op9_media_columns, op10_toxicity]
+    found = [op1_ngram_jaccard_join, op2_exact_dedup, op3_line_dedup, op4_bpe_round_trip, op5_best_fit_packing, op6_quality_classifier, op7_token_files, op8_suffix_array_dedup, op9_media_columns, op10_toxicity, op11_conversation_repair, op12_importance_resampling, op13_nearest_neighbours]
     return {f.__name__: f for f in found}
 
 
