@@ -51,14 +51,19 @@ def local(rows, per_chunk, buckets=5):
     replies = deal([list(c.messages()) for c in chunks], S.judge)
     verdicts = [c.verdicts(r) for c, r in zip(chunks, replies, strict=True)]
     parts = deal([list(c.part_messages(v)) for c, v in zip(chunks, verdicts, strict=True)], lambda m: S.sort_parts(m, LENGTH))
-    hot = [c.hot_strings(v)[:2] for c, v in zip(chunks, verdicts, strict=True)]
+    hot = []
+    for c, v in zip(chunks, verdicts, strict=True):
+        leads, sizes = c.hot_regions(v)
+        hot.append([(c.data[p : p + n + LENGTH - 1].tobytes(), int(d)) for p, n, d in zip(c.first[leads].tolist(), sizes.tolist(), c.doc[leads].tolist(), strict=True)])
+    strings = lambda region: [region[i : i + LENGTH] for i in range(len(region) - LENGTH + 1)]
     least = {}
-    for strings, docs in hot:
-        for x, d in zip(strings, docs.tolist(), strict=True):
-            least[x] = min(d, least.get(x, d))
+    for held in hot:
+        for region, d in held:
+            for x in strings(region):
+                least[x] = min(d, least.get(x, d))
     out = []
-    for c, v, r, (strings, docs) in zip(chunks, verdicts, parts, hot, strict=True):
-        gone = c.removed(v, r, [k for k, x in enumerate(strings) if docs[k] > least[x]])
+    for c, v, r, held in zip(chunks, verdicts, parts, hot, strict=True):
+        gone = c.removed(v, r, [{"number": k, "gone": [least[x] < d for x in strings(region)]} for k, (region, d) in enumerate(held)])
         out += [gone[a:b] for a, b in zip(c.at[:-1], c.at[1:], strict=True)]
     return out
 

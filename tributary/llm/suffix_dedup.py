@@ -12,8 +12,8 @@ of one anchor occurrence are the suffixes (cut at ``length`` bytes) that start i
    Neighbours equal by hash are compared byte by byte. Of each run of equal strings only those in the smallest document stay.
 4. The verdicts, a bit a string, go back to their chunks.
 
-A hot anchor, one with very many regions (a passage in much of the corpus), sends its strings one by one as rows, each chunk every different
-string once; their smallest documents are a grouped minimum, which Spark sums up before its shuffle, so no task gathers a hot anchor.
+A hot anchor, one with very many regions (a passage in much of the corpus), sends them one by one as rows, each chunk every different region once. Equal regions of all chunks are
+grouped first, then taken apart into strings, whose smallest documents are a grouped minimum; Spark sums both up before its shuffles, so no task gathers a hot anchor.
 No byte goes because hashes agree: every removal rests on equal bytes.
 """
 
@@ -234,19 +234,13 @@ class Regions:
             text = self.data[spread(size + self.length - 1, self.first[lead])]
             yield b, press(np.array([j - i], "<i8").tobytes() + self.doc[lead].tobytes() + key.astype("<u4").tobytes() + size.astype("<u4").tobytes() + text.tobytes())
 
-    def hot_strings(self, verdict: np.ndarray):
-        """The different strings of hot anchors and the smallest document of each here; starts and documents of all, and which string each is."""
+    def hot_regions(self, verdict: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of hot anchors, and how many strings start in each."""
         hot = self.lead[verdict == HOT_PART]
-        n = self.last[hot] - self.first[hot] + 1
-        start, doc = spread(n, self.first[hot]), np.repeat(self.doc[hot], n)
-        raw, number = self.data.tobytes(), {}
-        which = np.array([number.setdefault(raw[a : a + self.length], len(number)) for a in start.tolist()], np.int64)
-        least = np.full(len(number), LAST)
-        np.minimum.at(least, which, doc)
-        return list(number), least, start, doc, which
-
-    def removed(self, verdict: np.ndarray, replies: dict[int, bytes], hot_gone: list[int]) -> np.ndarray:
-        """Which bytes of the chunk go."""
+        return hot, self.last[hot] - self.first[hot] + 1
+
+    def removed(self, verdict: np.ndarray, replies: dict[int, bytes], hot_gone: list[dict]) -> np.ndarray:
+        """Which bytes of the chunk go. ``hot_gone``: of hot regions by number, which of their strings an earlier document has."""
         starts = np.zeros(len(self.data) + 1, bool)
         x = self.parts(verdict)
         for b, i, j in _runs(self.bucket[x]):
@@ -254,11 +248,10 @@ class Regions:
             size = self.last[lead] - self.first[lead] + 1
             flags = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=int(size.sum())).astype(bool)
             starts[spread(size, self.first[lead])[flags]] = True
-        if (verdict == HOT_PART).any():
-            _, least, start, doc, which = self.hot_strings(verdict)
-            gone = np.zeros(len(least), bool)
-            gone[hot_gone] = True
-            starts[start[gone[which] | (doc > least[which])]] = True
+        hot, size = self.hot_regions(verdict)
+        for x in hot_gone:
+            lead = self.first[hot[x["number"]]]
+            starts[lead : lead + size[x["number"]]] = x["gone"]
         # other occurrences of an entry: in its lead's document they go as the lead does, in a larger one as a whole
         other = np.flatnonzero(self.lead[self.entry] != np.arange(len(self.entry)))
         lead = self.lead[self.entry[other]]
@@ -521,16 +514,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 found = regions(row)
                 yield from message_batches(row, found.part_messages(found.verdicts(answers(row, "replies"))))
 
-    def hot_strings(batches: Iterator) -> Iterator:
+    def hot_regions(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for row in _rows(batch):
                 found = regions(row)
-                strings, least, *_ = found.hot_strings(found.verdicts(answers(row, "replies")))
-                for i in range(0, len(strings), 4096):
-                    k = len(strings[i : i + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * k, pa.int64()), pa.array(np.arange(i, i + k)), pa.array(strings[i : i + k], pa.binary()), pa.array(least[i : i + k])], ["chunk", "number", "string", "doc"])
+                hot, size = found.hot_regions(found.verdicts(answers(row, "replies")))
+                for i in range(0, len(hot), 4096):
+                    some, ends = hot[i : i + 4096], np.cumsum(size[i : i + 4096] + length - 1)
+                    text = found.data[spread(size[i : i + 4096] + length - 1, found.first[some])]
+                    offsets = pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes())
+                    region = pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(text.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(some), pa.int64()), pa.array(np.arange(i, i + len(some))), region, pa.array(found.doc[some])], ["chunk", "number", "region", "doc"])
 
     names = docs.columns
     place = [id_col, text_col, *[c for c in names if c not in (id_col, text_col)]]
@@ -613,11 +609,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     told = _by_chunk(replies, "replies")
     with_replies = text.join(told, "chunk", "left")
     parts = _answered(with_replies.mapInArrow(sent_parts, schema), lambda held: sort_parts(held, length), tasks)
-    # of chunks that were told of a hot anchor (a high bit of two), their strings
+    # of chunks that were told of a hot anchor (a high bit of two), its regions
     hot = replies.where(F.regexp_replace(F.hex("reply"), "[0145]", "") != "").select("chunk").distinct()
-    strings = materialize(with_replies.join(hot, "chunk", "left_semi").mapInArrow(hot_strings, "chunk long, number long, string binary, doc long"), "hot")
+    held = materialize(with_replies.join(hot, "chunk", "left_semi").mapInArrow(hot_regions, "chunk long, number long, region binary, doc long"), "hot")
+    # each different region once, then each different string: the smallest document of each; a region has at most length - ANCHOR + 1 strings
+    each = held.groupBy("region").agg(F.min("doc").alias("doc"))
+    starts = F.transform(F.sequence(F.lit(1), F.octet_length("region") - (length - 1)), lambda i: F.substring("region", i, F.lit(length)))
+    strings = each.select("region", "doc", F.posexplode(starts).alias("at", "string"))
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))
-    gone = strings.join(least, "string").where("doc > least").groupBy("chunk").agg(F.collect_list("number").alias("hot_gone"))
+    first = strings.select("region", "at", "string").join(least, "string").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("first"))
+    gone = held.join(first, "region").select("chunk", "number", F.transform("first", lambda x: x["least"] < F.col("doc")).alias("gone"))
+    gone = gone.where(F.exists("gone", lambda x: x)).groupBy("chunk").agg(F.collect_list(F.struct("number", "gone")).alias("hot_gone"))
     both = chunks.join(told.join(_by_chunk(parts, "part_replies"), "chunk", "left"), "chunk", "left").join(gone, "chunk", "left")
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
