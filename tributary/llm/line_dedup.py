@@ -201,15 +201,15 @@ def deduplicate_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_
     found = within(lines.select("doc", "row", "pos", "id", "h"), bitmap(classes)).where("__in").drop("__in", "h")
     found = found.join(classes.drop("h"), "id")
     first = (F.col("first.doc").eqNullSafe(F.col("doc"))) & (F.col("first.row") == F.col("row")) & (F.col("first.pos") == F.col("pos"))
-    gone = found.where(~first).groupBy("doc", "row").agg(F.collect_set("pos").alias("__gone"))
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "__gone")
-    out = docs.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
-    out = out.join(gone, out[id_col].eqNullSafe(gone["__doc"]) & (F.col("__hash") == F.col("__row")), "left")
-    parts = F.split(F.col(text_col).cast("string"), "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    gone = found.where(~first).groupBy("doc", "row").agg(F.collect_set("pos").alias("gone"))
+    # the columns of the documents stand in a struct of their own, so that none can meet a working column
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = own.withColumn("hash", F.xxhash64("text")).join(gone, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("row")), "left")
+    parts = F.split("text", "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     # the text is split once, not once a line
     kept = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(places, lambda i: F.element_at(lines, i + 1)), "\n"))[0]
-    text = F.when(F.col("__gone").isNull(), F.col(text_col).cast("string")).otherwise(kept)
-    removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed")]
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed")]
+    return out.select(*[text.alias(c) if c == text_col else F.col("own").getField(c).alias(c) for c in docs.columns], *counts)
