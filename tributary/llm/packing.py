@@ -132,19 +132,23 @@ def _fitness(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> tuple[i
     return len(bins), -float((((capacity - _room(bins, sizes, capacity)) / capacity) ** 2).sum()) / max(1, len(bins))
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, migrants: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION, slack: int = 0) -> list[list[int]]:
-    """The best solution that an island finds from random ones and its ``migrants``; it ends early with ``slack`` bins over the lower bound, or after PATIENCE generations without a better one."""
+def evolve(sizes: list[int], capacity: int, seed: int, migrants: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
+    """The best solution that an island finds from random ones and its ``migrants``; it ends early at the lower bound, or after PATIENCE generations without a better one.
+
+    The first population has the plain order by size too, so no island does worse than best-fit decreasing.
+    """
     rng, least, sizes = np.random.default_rng(seed), -(-sum(sizes) // capacity), np.array(sizes, np.int64)
     pool = [list(m) for m in migrants][: population - 1]
     while len(pool) < population:
         bins: list[list[int]] = []
-        key = sizes * np.exp(NOISE * rng.standard_normal(len(sizes)))
+        noise = NOISE * rng.standard_normal(len(sizes)) if pool else 0.0
+        key = sizes * np.exp(noise)
         best_fit(sizes.tolist(), np.argsort(-key, kind="stable").tolist(), bins, [], capacity)
         pool.append(bins)
     pool = sorted(((*_fitness(x, sizes, capacity), k, x) for k, x in enumerate(pool)))
     idle = 0
     for turn in range(generations):
-        if pool[0][0] <= least + slack or idle >= PATIENCE:
+        if pool[0][0] <= least or idle >= PATIENCE:
             break
         i, j = rng.permutation(len(pool))[:2]
         children = [_crossover(pool[int(i)][-1], pool[int(j)][-1], sizes, capacity, rng), _mutation(pool[int(min(i, j))][-1], sizes, capacity, rng)]
@@ -161,7 +165,7 @@ def _bins_of(assignment: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, cuts)] if len(of) else []
 
 
-def _evolved(lengths: DataFrame, capacity: int, slack: int) -> DataFrame:
+def _evolved(lengths: DataFrame, capacity: int) -> DataFrame:
     """(shard, sizes, assignment: the bin of each piece, as 32-bit integers) for (shard, sizes); the islands and rounds are here."""
 
     def island(batches: Iterator) -> Iterator:
@@ -169,7 +173,7 @@ def _evolved(lengths: DataFrame, capacity: int, slack: int) -> DataFrame:
 
         for batch in batches:
             for shard, sizes, seed, elites in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                bins = evolve(sizes, capacity, seed * 7919 + shard, [_bins_of(e) for e in elites or []], slack=slack)
+                bins = evolve(sizes, capacity, seed * 7919 + shard, [_bins_of(e) for e in elites or []])
                 of = np.zeros(len(sizes), np.int32)
                 for b, x in enumerate(bins):
                     of[x] = b
@@ -230,8 +234,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length", sh
         # the number is in the hash, so that repeated rows are dealt like others
         dealt = left.groupBy(F.pmod(F.xxhash64("number", F.lit(level)), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(item)).alias("items"))
         dealt = materialize(dealt.select("shard", F.col("items.number").alias("numbers"), F.col("items.size").alias("sizes")), "shards")
-        # a shard's bins that aren't full are packed again with those of others, so one more is no loss there
-        best = _evolved(dealt.select("shard", "sizes"), capacity, int(shards > 1)).join(dealt.select("shard", "numbers"), "shard")
+        best = _evolved(dealt.select("shard", "sizes"), capacity).join(dealt.select("shard", "numbers"), "shard")
         best = best.select("shard", "sizes", "numbers", "assignment", F.lit(shards == 1).alias("last"), F.lit(level).alias("level"))
         found = materialize(best.mapInArrow(placed, "number long, size int, sequence_id long, offset long, open boolean"), "placed")
         discard(dealt)
