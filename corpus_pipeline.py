@@ -22,44 +22,39 @@ def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, taught by two thirds of the labels, predicts as toxic go."""
+    """Documents that the classifier, taught by two thirds of the labels, predicts as toxic go. Null and empty texts score 0 and stay, as do null ids; repeated rows go or stay together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.flagged(docs, labels).where("predicted = 0").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document all of whose text went goes with it."""
+    """Repeated lines go; a document all of whose text went goes with it. Null texts stay; a null id comes last; rows equal in id and text lose the same lines."""
     out = line_dedup.deduplicate_lines(docs, short=True)
     return _like(docs, out.where("n_removed = 0 OR length(trim(text)) > 0"))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) one row stays: that with the smallest id, null last, and of equal ids with the least hash of id and text.
+    """Of each group of near duplicates (five words, 0.8) one row stays: that with the smallest id, null last, and of equal ids the first as the rows were written. Rows without n-grams all stay.
 
-    Rows equal in id and text are one document, of which one row stays; rows without n-grams all stay.
+    Rows are told by a number of their own, not by a hash, and keep their columns whatever these are called.
     """
-    mark = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-    found = ngram_join.ngram_components(docs.select(mark.alias("mark"), "text"), id_col="mark").where("n_shingles > 0")
-    sets = docs.select(mark.alias("mark"), F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", mark.alias("mark")).alias("at"))
-    sets = sets.groupBy("mark").agg(F.first("at").alias("at"), F.count("*").alias("times"))
-    rows = materialize(sets.join(found.select("mark", "component_id").distinct(), "mark"), "marks")
-    kept = rows.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.mark").alias("mark"))
-    gone = rows.select("mark").join(kept, "mark", "left_anti")
-    again = rows.where("times > 1").select("mark")
-    left = docs.withColumn("mark", mark).join(gone, "mark", "left_anti")
-    # of equal rows one is left; only such rows are grouped
-    one = left.join(again, "mark", "left_semi").dropDuplicates(["mark"])
-    return left.join(again, "mark", "left_anti").unionByName(one).select(*docs.columns)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
+    found = ngram_join.ngram_components(rows.select("number", F.col("row.text").alias("text")), id_col="number").where("n_shingles > 0")
+    placed = found.select("number", "component_id").join(rows.select("number", F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("number").alias("number")).alias("at")), "number")
+    placed = materialize(placed, "placed")
+    kept = placed.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.number").alias("number"))
+    gone = placed.select("number").join(kept, "number", "left_anti")
+    return rows.join(gone, "number", "left_anti").select("row.*")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that an earlier document has too, in a string of 50 or more, go; a character that lost a byte goes whole, and nothing else."""
+    """Bytes that an earlier document has too, in a string of 50 or more, go; a character that lost a byte goes whole, and nothing else. A null text is empty, a null id is larger than all, rows with equal ids take nothing from each other."""
     kept = suffix_dedup.remove_repeats(docs, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
     return _like(docs, kept.where("n_removed = 0 OR length(trim(text)) > 0"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 ids in as few sequences as the packing finds."""
+    """Pieces of at most 2048 ids in as few sequences as the packing finds. A null text is a document of its end id alone; null ids and repeated rows are packed like others."""
     pieces = packing.cut_pieces(docs, tokenizer("word_bpe_49k.json"))
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
