@@ -77,8 +77,15 @@ def test_slices(monkeypatch, size, most):
         want = Counter((i, zlib.crc32(x.encode()) % 10000) for i, (_, t) in enumerate(docs) for x in features(t, most)[0])
         assert found == want
         assert all(words[i] == features(t)[1] for i, (_, t) in enumerate(docs))
-        if table > 5:
-            assert f.hashed == len({x for _, t in docs for x in features(t, most)[0]})
+
+
+def test_each_tuple_is_hashed_once():
+    docs, _ = invented(3, 40)
+    raw = [(t or "").encode() for _, t in docs]
+    at = [sum(map(len, raw[:i])) for i in range(len(raw) + 1)]
+    f = importance.Features(2, 10000)
+    assert len(list(f.slices(b"".join(raw), at))) == 1
+    assert f.hashed == len({x for _, t in docs for x in features(t)[0]})
 
 
 def test_empty(spark):

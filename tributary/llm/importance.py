@@ -4,9 +4,9 @@ Every text is words (A-Z lowered, runs of digits, letters a-z and bytes from 0x8
 bytes modulo ``buckets``. A document weighs the mean gain of its features, the logarithm of how much likelier their buckets are in the target than in the corpus; with Gumbel noise
 added, the highest scores are a sample without replacement in proportion to exp(weight).
 
-Tasks keep an integer dictionary: a different word gets the next id, an n-gram is a tuple of ids, and only a tuple that the task hasn't met has its bytes put together and hashed; its bucket is
-then looked up. Both tables are by value (no hash stands for a word) and start anew when they hold TABLE entries. Counts over all documents are added up bucket by bucket; what goes to
-every task is one gain a bucket.
+Tasks keep an integer dictionary: a different word gets the next id, and an n-gram is a tuple of ids. Each different tuple of a slice of text is hashed once, over the bytes that its words and the blanks
+between them give, and its bucket goes to all places where it stands. The dictionary is by value (no hash stands for a word) and starts anew when it holds TABLE words. Counts over all
+documents are added up bucket by bucket; what goes to every task is one gain a bucket.
 
 Texts are read in slices that end between words; the last words of a slice go on to the next of the same document, so that a document of any length needs the memory of a slice (a single word is
 never cut). Null and empty texts have no features: weight 0. A null id is noise of the empty string; repeated rows are rows. Empty tables give no rows.
@@ -18,6 +18,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,10 +29,22 @@ from .common import LOWER, materialize, utf8
 
 #: Bytes of text that are turned into words at once.
 SLICE = 1 << 21
-#: Entries that a task's table of words, or of tuples, holds before it starts anew.
+#: Words that a task's dictionary holds before it starts anew.
 TABLE = 1 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TRANSLATE = LOWER.tobytes()
+#: Words of more bytes are hashed one by one.
+SHORT = 64
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c.astype(np.uint32)
+
+
+CRC = _crc_table()
 
 
 class Dictionary(dict):
@@ -57,28 +70,59 @@ class Features:
 
     def clear(self) -> None:
         self.words = Dictionary()
-        self.known: list[dict] = [{} for _ in range(self.most)]
+        self.bytes, self.size = np.empty(0, np.uint8), np.empty(0, np.int64)
+        #: CRC-32 of each word, and of the word with a blank after it.
+        self.alone, self.open = np.empty(0, np.uint32), np.empty(0, np.uint32)
+
+    def _learn(self) -> None:
+        """Bytes and checksums of the words that are new."""
+        new = self.words.names[len(self.size) :]
+        if new:
+            add = lambda old, values, kind: np.concatenate([old, np.array(values, kind)])
+            self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(new), np.uint8)])
+            self.size = add(self.size, [len(w) for w in new], np.int64)
+            alone = [zlib.crc32(w) for w in new]
+            self.alone = add(self.alone, alone, np.uint32)
+            self.open = add(self.open, [zlib.crc32(b" ", c) for c in alone], np.uint32)
+            self.hashed += len(new)
+        self.start = np.cumsum(self.size) - self.size
+
+    def _extended(self, crc: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Checksums carried on over the bytes of one word each."""
+        size = self.size[word]
+        out = crc.copy()
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out[i] = zlib.crc32(self.words.names[word[i]], int(crc[i]))
+        order = np.argsort(-np.where(size > SHORT, 0, size), kind="stable")
+        live = np.bincount(np.where(size > SHORT, 0, size), minlength=1)[::-1].cumsum()[::-1]  # how many have at least so many bytes
+        register, at = ~crc[order], self.start[word[order]]
+        for j in range(len(live) - 1):
+            k = int(live[j + 1])
+            register[:k] = CRC[(register[:k] ^ self.bytes[at[:k] + j]) & 255] ^ (register[:k] >> np.uint32(8))
+        k = int(live[1]) if len(live) > 1 else 0
+        out[order[:k]] = ~register[:k]
+        return out
 
     def _of(self, tuples: np.ndarray) -> np.ndarray:
-        """Buckets of id tuples, a row each; every different one is looked up once, and hashed if it is new."""
+        """Buckets of id tuples, a row each; every different one is hashed once."""
         k = tuples.shape[1]
-        # ids are below TABLE plus the words of a slice, hence below 2**31
         if k == 1:
-            found, inverse = np.unique(tuples[:, 0], return_inverse=True)
-            keys = found.tolist()
-        elif k == 2:
+            return self.alone[tuples[:, 0]].astype(np.int64) % self.buckets
+        # ids are below TABLE plus the words of a slice, hence below 2**31
+        if k == 2:
             found, inverse = np.unique(tuples[:, 0] << 32 | tuples[:, 1], return_inverse=True)
-            keys = found.tolist()
+            ids = [found >> 32, found & 0xFFFFFFFF]
         else:
             found, inverse = np.unique(tuples, axis=0, return_inverse=True)
-            keys = list(map(tuple, found.tolist()))
-        known, names = self.known[k - 1], self.words.names
-        for key in keys:
-            if key not in known:
-                ids = (key,) if k == 1 else (key >> 32, key & 0xFFFFFFFF) if k == 2 else key
-                known[key] = zlib.crc32(b" ".join([names[i] for i in ids])) % self.buckets
-                self.hashed += 1
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse.ravel()]
+            ids = list(found.T)
+        crc = self.open[ids[0]]
+        for place, word in enumerate(ids[1:], 2):
+            crc = self._extended(crc, word)
+            if place < k:
+                register = ~crc
+                crc = ~(CRC[(register ^ np.uint32(32)) & 255] ^ (register >> np.uint32(8)))
+        self.hashed += len(found)
+        return (crc.astype(np.int64) % self.buckets)[inverse.ravel()]
 
     def slices(self, data: bytes, at: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(document, its words, bucket) of slices: arrays of documents with new words and their number, then document and bucket of every feature."""
@@ -96,13 +140,14 @@ class Features:
                 while j + 1 < n and at[j + 2] - begin <= SLICE:
                     j += 1
                 parts, tails, stay, cut = [(d, begin if d == i else at[d], at[d + 1]) for d in range(i, j + 1)], tail, False, at[j + 1]
-            if len(self.words.names) > TABLE or any(len(x) > TABLE for x in self.known):
+            if len(self.words.names) > TABLE:
                 names = [self.words.names[w] for w in tails]
                 self.clear()
                 tails = [self.words[w] for w in names]
             lists = [list(map(self.words.__getitem__, WORD.findall(low, a, b))) for _, a, b in parts]
+            self._learn()
             sizes = np.array([len(x) for x in lists])
-            ids = np.array([*tails, *[w for x in lists for w in x]], np.int64)
+            ids = np.fromiter(chain(tails, *lists), np.int64, len(tails) + int(sizes.sum()))
             docs = np.concatenate([np.full(len(tails), parts[0][0]), np.repeat([p[0] for p in parts], sizes)]).astype(np.int64)
             of, buckets = [], []
             for k in range(1, self.most + 1):
