@@ -34,8 +34,8 @@ CHUNK_BYTES = 1 << 20
 BLOCK = 1 << 17
 #: Bytes of text for each bucket of anchors.
 BUCKET_BYTES = 12 << 20
-#: An anchor with so many different regions in one chunk, or regions in all, is hot.
-HOT_HERE, HOT = 64, 4096
+#: An anchor with so many different regions in one chunk, or regions in all (some twentieth of a bucket's bytes), is hot.
+HOT_HERE, HOT = 64, 8192
 NONE, PART, HOT_PART = 0, 1, 2
 #: Suffixes that are sorted at once.
 SORTED = 60_000
