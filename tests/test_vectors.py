@@ -336,8 +336,8 @@ def test_streams(spark, tmp_path):
     read = lambda: programs.read(spark, src, spark.createDataFrame([], schema).schema)
     programs.upsert_stream(read(), root, ["k"], ["text"], "at", [F.desc("at")])
     spark.createDataFrame([(1, "a", 20), (2, "c", 20), (3, "d", 20)], schema).coalesce(1).write.mode("append").parquet(src)
-    path = programs.upsert_stream(read(), root, ["k"], ["text"], "at", [F.desc("at")])
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a", 10), (2, "c", 20), (3, "d", 20)]
+    found = programs.upsert_stream(read(), root, ["k"], ["text"], "at", [F.desc("at")])
+    assert sorted(tuple(r) for r in found.read().collect()) == [(1, "a", 10), (2, "c", 20), (3, "d", 20)]
     events = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:01:00"), ("u", "2024-01-01 01:00:00"), ("u", "2024-01-02 00:00:00")], "user string, ts string").select("user", F.col("ts").cast("timestamp").alias("ts"))
     events.coalesce(1).write.parquet(str(tmp_path / "ev"))
     sessions = programs.session_counts(programs.read(spark, str(tmp_path / "ev"), events.schema), ["user"], "ts", "10 minutes", "1 minute")

@@ -1,8 +1,7 @@
-"""Greedy folds over ordered rows: next-fit batches and fixed-window counters.
+"""Greedy folds over ordered rows: next-fit batches, fixed-window counters and quotas.
 
-Each decision depends on all before it, so the fold runs along one key's rows in order. The key (a user, run or feed) is the unit
-of parallel work: rows are sorted within partitions (which spills) and folded in Arrow batches with a running state only, so that
-a key may have any number of rows.
+Batches and windows are chains of starts over pieces of a key's rows (``chains``), quotas are sums in two levels (``positions``): a key may have any share of the rows. ``fold`` is for
+rules whose state has no such form: a key's rows are sorted within partitions (which spills) and folded in Arrow batches with a running state only, one key in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import chains, positions
+
 
 def fold(df: DataFrame, keys: list[str], order: str, inputs: list[Column], start: tuple, step: Callable, out: str) -> DataFrame:
     """(keys, pos, ``out``): ``step(state, *inputs)`` gives a row's value (a long) and the next state; every key begins with ``start``."""
@@ -37,20 +38,17 @@ def fold(df: DataFrame, keys: list[str], order: str, inputs: list[Column], start
     return rows.mapInArrow(run, ", ".join([*kinds, f"{out} long"]))
 
 
-def next_fit(df: DataFrame, keys: list[str], order: str, size: str, max_items: int, max_size: int, same: str | None = None) -> DataFrame:
-    """(keys, pos, batch from 0): a batch ends before the row that would exceed ``max_items`` or ``max_size``, or that differs in ``same``.
+def next_fit(df: DataFrame, keys: list[str], order: str, size: str, max_items: int, max_size: int, same: str | None = None, gap: int = 0, members: str | None = None, max_members: int | None = None) -> DataFrame:
+    """(keys, pos, batch from 0): a batch ends before the row that would exceed ``max_items`` rows, ``max_size`` (each row but the first costs ``gap`` more) or ``max_members``, or that differs in ``same``.
 
-    A row larger than ``max_size`` is a batch of its own; a null size is 0, a null ``same`` a value of its own.
+    A row larger than a limit is a batch of its own; a null or negative size is 0, a null ``same`` a value of its own.
     """
-
-    def step(state, rows_size, like):
-        batch, n, total, last = state
-        if n == 0 or n >= max_items or total + rows_size > max_size or like != last:
-            batch, n, total = batch + 1, 0, 0
-        return batch, (batch, n + 1, total + rows_size, like)
-
-    inputs = [F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")), F.col(same).cast("string") if same else F.lit("")]
-    return fold(df, keys, order, inputs, (-1, 0, 0, None), step, "batch")
+    counts, limits = [size], [(max_size, gap)]
+    if members is not None:
+        counts.append(members)
+        limits.append((max_members, 0))
+    inputs = [F.greatest(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")), F.lit(0).cast("long")) for c in counts]
+    return chains.chained(df, keys, order, inputs, chains.NextFit(max_items, limits), "batch", F.col(same) if same else None)
 
 
 def fixed_window(df: DataFrame, keys: list[str], order: str, at_ms: str, window_ms: int, limit: int) -> DataFrame:
@@ -58,21 +56,25 @@ def fixed_window(df: DataFrame, keys: list[str], order: str, at_ms: str, window_
 
     An event without a time counts in the window before it.
     """
-
-    def step(state, at):
-        n, resets = state
-        if n and (at is None or resets > at):
-            return n + 1, (n + 1, resets)
-        return 1, (1, (at or 0) + window_ms)
-
-    out = fold(df, keys, order, [F.col(at_ms).cast("long")], (0, 0), step, "count")
+    t = F.col(at_ms).cast("long")
+    inputs = [F.coalesce(t, F.lit(0).cast("long")), t.isNotNull().cast("long")]
+    out = chains.chained(df, keys, order, inputs, chains.FixedWindow(window_ms), "count")
     return out.withColumn("allowed", F.col("count") <= limit)
 
 
-def quota_evict(files: DataFrame, partition: list[str], order: list, size: str, incoming: int, quota: int) -> DataFrame:
-    """Files with ``evict``: the oldest go until what is left and ``incoming`` fit the quota."""
-    from pyspark.sql import Window
+def quota_evict(files: DataFrame, partition: list[str], order: list[str], size: str, incoming: int, quota: int) -> DataFrame:
+    """Files with ``evict``: the oldest go until what is left and ``incoming`` fit the quota. A null size is 0."""
+    rows = positions.running(files.withColumn("__size", F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))), partition, order, "__size", "__upto", "__total")
+    return rows.withColumn("evict", F.col("__total") + incoming - (F.col("__upto") - F.col("__size")) > quota).select(*files.columns, "evict")
+
 
-    w = Window.partitionBy(*partition)
-    before = F.coalesce(F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("evict", F.sum(size).over(w) + incoming - before > quota)
+def rotated(lines: DataFrame, partition: list[str], order: list[str], size: str, most: int, keep: int = 1) -> DataFrame:
+    """Lines with ``file`` and ``kept``: a file is closed before the line that would make it larger than ``most`` bytes (the first line of a file always fits); of the files, counted from 0, the open one and the ``keep`` before it are kept."""
+    whole = 2**31 - 1
+    numbered = next_fit(lines, partition, order[0], size, whole, most).withColumnRenamed("batch", "file")
+    newest = numbered.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(partition)]).agg(F.max("file").alias("__newest"))
+    same = F.lit(True)
+    for i, c in enumerate(partition):
+        same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    out = numbered.join(newest, same).select(*numbered.columns, "__newest")
+    return out.withColumn("kept", F.col("file") >= F.col("__newest") - keep).drop("__newest")

@@ -29,6 +29,18 @@ def upsert_items(old: DataFrame, batch: DataFrame, keys: list[str], payload: lis
     return joined.select(*keys, *columns, new_stamp.alias(stamp))
 
 
+def upsert_periods(old: DataFrame, batch: DataFrame, keys: list[str], identity: str, status: str, at: str) -> DataFrame:
+    """(keys, identity, status, created_at, updated_at): one row a key. A key that is new is made by its first row (by ``at``, then identity); the last row's status and time are taken. Several rows of a key in one batch are as if each were written by itself."""
+    order = F.struct(F.col(at), F.col(identity))
+    n = batch.groupBy(*keys).agg(F.min_by(identity, order).alias("__first"), F.min(at).alias("__from"), F.max_by(status, order).alias("__status"), F.max(at).alias("__to"))
+    both = old.withColumn("__known", F.lit(True)).join(n, keys, "full")
+    known, new = F.col("__known").isNotNull(), F.col("__to").isNotNull()
+    return both.select(
+        *keys, F.when(known, F.col(identity)).otherwise(F.col("__first")).alias(identity), F.when(new, F.col("__status")).otherwise(F.col(status)).alias(status),
+        F.when(known, F.col("created_at")).otherwise(F.col("__from")).alias("created_at"), F.when(new, F.col("__to")).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+
+
 def advance_cursors(cursors: DataFrame, seen: DataFrame, key: str, column: str) -> DataFrame:
     """Cursors never go back; a key seen for the first time begins with what was seen."""
     new = seen.groupBy(key).agg(F.max(column).alias("__seen"))

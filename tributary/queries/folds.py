@@ -21,9 +21,9 @@ def _pack_sql(rows: str, max_items: int, max_size: int) -> str:
     SELECT key, pos, batch FROM f"""
 
 
-@query(_pack_sql("SELECT source AS key, doc_id AS pos, least(n_chars, 8000) AS size, '' AS kind FROM documents", 5, 8000))
+@query(_pack_sql("SELECT source AS key, doc_id AS pos, n_chars AS size, '' AS kind FROM documents", 5, 8000))
 def pack_next_fit(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("pos"), F.least("n_chars", F.lit(8000).cast("long")).alias("size"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("size"))
     return folds.next_fit(docs, ["key"], "pos", "size", 5, 8000)
 
 
@@ -40,6 +40,17 @@ def pack_same_detail(spark, sf_dir):
     return folds.next_fit(docs, ["key"], "pos", "size", 5, 20000, same="lang")
 
 
+@query("""WITH RECURSIVE r AS (SELECT source AS key, doc_id AS pos, strlen(text) AS size, 1 + len(string_split(text, chr(10))) % 9 AS m FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS rn FROM r),
+    f AS (SELECT key, pos, rn, 0::BIGINT AS batch, 1 AS n, size AS total, m AS members FROM o WHERE rn = 1
+      UNION ALL SELECT key, pos, rn, batch + CASE WHEN fits THEN 0 ELSE 1 END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN total + 1 + size ELSE size END, CASE WHEN fits THEN members + m ELSE m END
+      FROM (SELECT o.key, o.pos, o.rn, o.size, o.m, f.batch, f.n, f.total, f.members, f.n < 50 AND f.total + 1 + o.size <= 12000 AND f.members + o.m <= 20 AS fits FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1))
+    SELECT key, pos, batch FROM f""")
+def pack_records(spark, sf_dir):
+    """Records of one request: 50 at most, 20 members, and 12,000 bytes with a line feed between records."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("pos"), F.octet_length("text").alias("size"), (1 + F.size(F.split("text", "\n")) % 9).alias("members"))
+    return folds.next_fit(docs, ["key"], "pos", "size", 50, 12000, gap=1, members="members", max_members=20)
+
+
 @query(f"""WITH RECURSIVE {EVENT_ITEMS}, o AS (SELECT user_id AS key, item_id AS pos, date_ms AS t, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS rn FROM items),
     f AS (SELECT key, pos, rn, 1::BIGINT AS n, t + {2 * DAY} AS resets FROM o WHERE rn = 1
       UNION ALL SELECT o.key, o.pos, o.rn, CASE WHEN f.resets > o.t THEN f.n + 1 ELSE 1 END, CASE WHEN f.resets > o.t THEN f.resets ELSE o.t + {2 * DAY} END FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)
@@ -52,7 +63,17 @@ def rate_limit_fixed_window(spark, sf_dir):
 @query("""SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source) + 5000 - coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 60000 AS evict FROM documents""")
 def quota_evict(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return folds.quota_evict(files, ["source"], [F.asc("doc_id")], "n_chars", 5000, 60000).select("source", "doc_id", "evict")
+    return folds.quota_evict(files, ["source"], ["doc_id"], "n_chars", 5000, 60000).select("source", "doc_id", "evict")
+
+
+@query("""WITH RECURSIVE r AS (SELECT url.split_part('/', 3) AS host, page_id, strlen(html) AS size FROM pages), o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn FROM r),
+    f AS (SELECT host, page_id, rn, 0::BIGINT AS file, size AS total FROM o WHERE rn = 1
+      UNION ALL SELECT o.host, o.page_id, o.rn, file + CASE WHEN f.total + o.size > 20000 THEN 1 ELSE 0 END, CASE WHEN f.total + o.size > 20000 THEN o.size ELSE f.total + o.size END FROM f JOIN o ON o.host = f.host AND o.rn = f.rn + 1)
+    SELECT host, page_id AS pos, file, file >= max(file) OVER (PARTITION BY host) - 1 AS kept FROM f""")
+def log_rotation(spark, sf_dir):
+    """Log lines of a host: a new file before 20,000 bytes are exceeded, the last closed file and the open one are kept."""
+    lines = table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "page_id", F.octet_length("html").alias("size"))
+    return folds.rotated(lines, ["host"], ["page_id"], "size", 20000)
 
 
 @query("""WITH r AS (SELECT conv_id, turn, cast(turn % 4 AS INTEGER) AS round_items FROM conversations),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import merges
+from ..operators import cascades, merges
 from ..registry import query
 from ..sources.tables import EVENT_ITEMS, event_items, table
 from .scans import DAY, START
@@ -32,12 +32,6 @@ def upsert_items(spark, sf_dir):
     return merges.upsert_items(old, new, keys, ["l_partkey", "l_returnflag"], "fetched_at")
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {ARRIVAL}) = 1""")
-def late_data_upsert(spark, sf_dir):
-    rows = merges.last_of_batch(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], arrival())
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey")
-
-
 @query("""SELECT doc_id AS item, n_chars % 97 AS analysis FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1000 + n_chars % 97 FROM documents WHERE doc_id % 2 = 1""")
 def upsert_analysis(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), (F.col("n_chars") % 97).alias("analysis"), F.lit(1).alias("at"))
@@ -45,10 +39,35 @@ def upsert_analysis(spark, sf_dir):
     return merges.upsert_items(d, new, ["item"], ["analysis"], "at").select("item", "analysis")
 
 
-@query("""SELECT o_custkey AS user_id, date_trunc('month', o_orderdate)::DATE AS period, arg_max(o_orderstatus, o_orderkey) AS status, min(o_orderkey) AS digest FROM orders GROUP BY 1, 2""")
+@query("""WITH o AS (SELECT o_custkey AS user_id, date_trunc('month', o_orderdate)::DATE AS period, o_orderkey AS id, o_orderstatus AS status, epoch_ms(o_orderdate) AS at, day(o_orderdate) > 15 AS second FROM orders)
+    SELECT user_id, period, arg_min(id, at * 1000000 + id) AS digest, arg_max(status, at * 1000000 + id) AS status, min(at) AS created_at, max(at) AS updated_at FROM o GROUP BY 1, 2""")
 def upsert_digest(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.trunc("o_orderdate", "month").alias("period"))
-    return o.agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"), F.min("o_orderkey").alias("digest"))
+    """Two batches, the halves of the months: a digest keeps the id and the time that it was made with, and takes the last status."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.trunc("o_orderdate", "month").alias("period"), F.col("o_orderkey").alias("digest"), F.col("o_orderstatus").alias("status"), F.unix_millis("o_orderdate").alias("at"), (F.dayofmonth("o_orderdate") > 15).alias("second"))
+    keys = ["user_id", "period"]
+    none = spark.createDataFrame([], "user_id long, period date, digest long, status string, created_at long, updated_at long")
+    first = merges.upsert_periods(none, o.where("NOT second"), keys, "digest", "status", "at")
+    return merges.upsert_periods(first, o.where("second"), keys, "digest", "status", "at")
+
+
+@query("""WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1), c AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (FROM n)), o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+    SELECT 'nation' AS level, n_nationkey AS id, NULL::BIGINT AS line, NULL::BIGINT AS parent FROM n UNION ALL SELECT 'customer', c_custkey, NULL, c_nationkey FROM c UNION ALL SELECT 'orders', o_orderkey, NULL, o_custkey FROM o
+    UNION ALL SELECT 'lineitem', l_partkey, l_linenumber, CASE WHEN l_orderkey IN (SELECT o_orderkey FROM o) THEN l_orderkey END FROM lineitem""")
+def delete_cascade(spark, sf_dir):
+    """The nations of a region go: with them their customers and these customers' orders; line items stay, without their order."""
+    tables = {n: table(spark, sf_dir, n) for n in ("nation", "customer", "orders", "lineitem")}
+    keys = (
+        cascades.ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"),
+        cascades.ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
+        cascades.ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey", "set_null"),
+    )
+    left = cascades.deleted(tables, keys, {"nation": F.col("n_regionkey") == 1})
+    columns = (("nation", "n_nationkey", None, None), ("customer", "c_custkey", None, "c_nationkey"), ("orders", "o_orderkey", None, "o_custkey"), ("lineitem", "l_partkey", "l_linenumber", "l_orderkey"))
+    out = None
+    for name, *of in columns:
+        part = left[name].select(F.lit(name).alias("level"), *[(F.col(c) if c else F.lit(None)).cast("long").alias(a) for c, a in zip(of, ("id", "line", "parent"), strict=True)])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(f"""WITH {EVENT_ITEMS}, c AS (SELECT user_id, max(date_ms) AS cursor_ms FROM items WHERE item_id % 3 = 0 AND user_id % 4 <> 0 GROUP BY user_id),
@@ -121,14 +140,6 @@ def soft_delete_cascade(spark, sf_dir):
     return merges.soft_delete(parents, children, gone, "l_orderkey", F.lit(99).cast("long"))[1]
 
 
-@query("""SELECT o_orderkey AS run, CASE WHEN o_custkey % 6 <> 0 THEN o_custkey END AS digest FROM orders""")
-def delete_cascade(spark, sf_dir):
-    """Deleting a digest leaves its runs, without the reference."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("digest"))
-    left = table(spark, sf_dir, "customer").where("c_custkey % 6 <> 0").select(F.col("c_custkey").alias("digest"), F.lit(True).alias("there"))
-    return o.join(left, "digest", "left").select("run", F.when(F.col("there"), F.col("digest")).alias("digest"))
-
-
 @query("""SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'AUTOMOBILE' ELSE c_mktsegment END AS mode, cast(1 + CASE WHEN c_custkey % 3 = 0 AND c_mktsegment <> 'AUTOMOBILE' THEN 1 ELSE 0 END AS INTEGER) AS version FROM customer""")
 def profile_version_bump(spark, sf_dir):
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("mode"), F.lit(1).alias("version"))

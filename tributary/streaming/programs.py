@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import merges
 from ..session import shared_folder
+from .buckets import BucketTable
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -23,32 +25,20 @@ def read(spark: SparkSession, path: str, schema, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
-def newest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    """The folder of the highest version that was written to its end, of those below ``before``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    numbers = [int(x.getPath().getParent().getName().split("=")[1]) for x in found]
-    numbers = [n for n in numbers if before is None or n < before]
-    return f"{root}/version={max(numbers)}" if numbers else None
+def upsert_stream(stream: DataFrame, root: str, keys: list[str], payload: list[str], stamp: str, order: list[Column], buckets: int = 64) -> BucketTable:
+    """Merge every micro-batch into the bucketed table below ``root``, numbered like the batches: only the buckets that a batch touches are rewritten, and a batch that runs again changes nothing.
 
-
-def upsert_stream(stream: DataFrame, root: str, keys: list[str], payload: list[str], stamp: str, order: list[Column]) -> str:
-    """Merge every micro-batch into the table below ``root``; the path of the newest version, None while there is none.
-
-    Versions are folders named by the batch, and a batch that is run again writes its own folder again, so a replay changes nothing. A batch merges into
-    the newest whole version before it. Late and edited rows replace what they find; the stamp advances only where the payload changed.
+    Late and edited rows replace what they find; the stamp advances only where the payload changed.
     """
-    spark = stream.sparkSession
+    names = [*keys, *payload, stamp]
+    table = BucketTable(stream.sparkSession, root, StructType([stream.schema[c] for c in names]), keys, buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = merges.last_of_batch(batch, keys, order).select(*keys, *payload, stamp)
-        before = newest_version(spark, root, number)
-        if before:
-            rows = merges.upsert_items(spark.read.schema(rows.schema).parquet(before), rows, keys, payload, stamp)
-        rows.write.mode("overwrite").parquet(f"{root}/version={number}")
+        rows = merges.last_of_batch(batch, keys, order).select(*names)
+        table.merge(rows, number, lambda old, new: merges.upsert_items(old, new, keys, payload, stamp))
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return newest_version(spark, root)
+    return table
 
 
 def to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
