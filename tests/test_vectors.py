@@ -329,6 +329,49 @@ def test_archive(spark, tmp_path):
         connectors.scan(spark, "fax", {})
 
 
+def test_archive_stops_before_the_window(spark, tmp_path):
+    from tributary.sources import archive
+
+    for i in range(9):
+        page = [{"id": 100 - 10 * i - k, "type": "podcast", "title": "t", "date_ms": 1000 - 100 * i - k} for k in range(3)]
+        (tmp_path / f"p{i}.json").write_text(json.dumps(page) if i < 5 else "no list")
+    paths = archive.names(spark, f"file://{tmp_path}/p*.json")
+    # the pages from 5 on can't be read, but page 3 lies before the window
+    found = archive.scan(spark, paths, from_ms=798, wave=2)
+    assert sorted(r["post_id"] for r in found.collect()) == [78 + 0, 79, 80, 88, 89, 90, 98, 99, 100]
+    with pytest.raises(ValueError, match="invalid post in .*p5"):
+        archive.scan(spark, paths, from_ms=0, wave=2)
+    (tmp_path / "p4.json").write_text((tmp_path / "p1.json").read_text())
+    with pytest.raises(ValueError, match="p4.json repeats page .*p1"):
+        archive.scan(spark, paths[:5], from_ms=0, wave=2)
+    assert archive.scan(spark, []).collect() == []
+    rows = archive.stream(spark, f"{tmp_path}/p[0-3].json", from_ms=798)
+    from tributary.streaming import programs
+
+    assert sorted(r["post_id"] for r in programs.to_table(rows, f"{tmp_path}/out").collect()) == [78, 79, 80, 88, 89, 90, 98, 99, 100]
+
+
+def test_rules_with_white_space_and_many_rules(spark):
+    stories = spark.createDataFrame([("s1", [" News\u00a0"], None, None, ["The WORLD cup\nfinal", None]), ("s2", None, ["sport"], None, ["worldwide"])], "story_id string, topics array<string>, entities array<string>, types array<string>, texts array<string>")
+    rules = spark.createDataFrame([("r1", "topic", "\tnews\n"), ("r2", "phrase", "world\n"), ("r3", "phrase", "WORLD CUP"), ("r4", "phrase", " \n\u00a0"), ("r5", "entity", "\u2003sport"), ("r6", "phrase", "world")], "rule_id string, kind string, label string")
+    want = [("s1", "r1"), ("s1", "r2"), ("s1", "r3"), ("s1", "r6"), ("s2", "r2"), ("s2", "r5"), ("s2", "r6")]
+    for most in (joins.AUTOMATON_BYTES, 0):
+        assert sorted(map(tuple, joins.rule_matches(stories, rules, most).collect())) == want
+    many = spark.range(3000).selectExpr("cast(id AS string) AS rule_id", "'phrase' AS kind", "concat('word', id) AS label")
+    texts = spark.createDataFrame([(1, None, None, None, ["word7 and word2999!"])], "story_id long, topics array<string>, entities array<string>, types array<string>, texts array<string>")
+    assert sorted(r["rule_id"] for r in joins.rule_matches(texts, many).collect()) == ["2", "29", "299", "2999", "7"]
+
+
+def test_windows_filter_items_first(spark):
+    items = spark.createDataFrame([("a", 5), ("a", 50), ("b", 7), ("c", 6)], "feed_id string, date_ms long")
+    windows = spark.createDataFrame([("a", 4, 10), ("b", 8, 12)], "feed_id string, from_ms long, to_ms long")
+    out = joins.windowed(items, windows)
+    assert [tuple(r)[:2] for r in out.collect()] == [("a", 5)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(date_ms" in plan and "<= 12" in plan and ">= 4" in plan
+    assert joins.windowed(items, windows.limit(0)).collect() == []
+
+
 def test_streams(spark, tmp_path):
     schema = "k long, text string, at long"
     src, root = str(tmp_path / "in"), str(tmp_path / "out")

@@ -11,18 +11,27 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: The white space that is left out at the ends of texts.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def stripped(x: str | Column) -> Column:
+    """Without white space of any kind (not blanks alone) at both ends."""
+    return F.trim(_c(x), F.lit(WHITE))
+
+
 def slug(x: str | Column) -> Column:
     """Lower case, runs of anything but letters and digits as '-', none at the ends; null where nothing is left. Give NFKC text (``udfs.nfkc``) where it may not be."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(_c(x))), r"[^\p{L}\p{N}]+", "-"), "^-|-$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(stripped(x)), r"[^\p{L}\p{N}]+", "-"), "^-|-$", ""), F.lit(""))
 
 
 def interest_label(x: str | Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(_c(x), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(_c(x), f"[{WHITE}]+", " ")))
 
 
 def clean_labels(x: str | Column, most: int = 200) -> Column:
     """Trimmed labels of 1 to ``most`` characters, of equal ones (by ``interest_label``) the first spelling."""
-    ok = F.filter(F.transform(_c(x), lambda v: F.trim(v)), lambda v: (F.char_length(v) >= 1) & (F.char_length(v) <= most))
+    ok = F.filter(F.transform(_c(x), stripped), lambda v: (F.char_length(v) >= 1) & (F.char_length(v) <= most))
     # (key, place, spelling) in order: the first of each key is the first spelling, and its place gives the order back
     keyed = F.array_sort(F.transform(ok, lambda v, i: F.struct(interest_label(v).alias("key"), i.alias("i"), v.alias("v"))))
     pairs = F.zip_with(keyed, F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(keyed, 1, F.greatest(F.size(keyed) - 1, F.lit(0))), lambda k: k["key"])), lambda k, before: F.struct(k["i"].alias("i"), k["v"].alias("v"), (before.isNull() | (before != k["key"])).alias("new")))
@@ -37,6 +46,15 @@ def utf8_head(x: str | Column, n: int) -> Column:
     return F.substring(b, F.lit(1), n - F.when(cut, F.char_length(begun) / 2).otherwise(0).cast("int")).cast("string")
 
 
+def utf8_prefix(x: str | Column, n: Column) -> Column:
+    """The first ``n`` bytes of UTF-8, less the character that they cut; ``n`` is a column."""
+    b, n = F.encode(_c(x), "UTF-8"), n.cast("int")
+    # a character's bytes after its first are 80 to BF; it has three of them at most
+    whole = lambda k: ~F.hex(F.substring(b, n - k + 1, F.lit(1))).rlike("^[89AB]")
+    end = F.when(whole(0), n).when(whole(1), n - 1).when(whole(2), n - 2).otherwise(n - 3)
+    return F.when(n >= F.octet_length(b), _c(x)).otherwise(F.substring(b, F.lit(1), F.greatest(end, F.lit(0))).cast("string"))
+
+
 def utf8_tail(x: str | Column, n: int) -> Column:
     """The last ``n`` bytes of UTF-8, less the rest of the character that they cut."""
     b = F.encode(_c(x), "UTF-8")
@@ -58,13 +76,13 @@ def compact(title: str | Column, text: str | Column, evidence: str | Column, lon
 def evidence(candidates: str | Column, source: str | Column, most_bytes: int = 400, most: int = 3) -> Column:
     """Candidates that the source has word for word: trimmed, of 1 to ``most_bytes`` bytes, each once, ``most`` at most."""
     s = _c(source)
-    ok = F.filter(F.transform(_c(candidates), lambda v: F.trim(v)), lambda v: (v != "") & (F.octet_length(v) <= most_bytes) & s.contains(v))
+    ok = F.filter(F.transform(_c(candidates), stripped), lambda v: (v != "") & (F.octet_length(v) <= most_bytes) & s.contains(v))
     return F.slice(F.array_distinct(ok), 1, most)
 
 
 def first_text(*columns: str | Column) -> Column:
     """The first that is neither null nor blank."""
-    return F.coalesce(*[F.when(F.trim(_c(c)) != "", _c(c)) for c in columns])
+    return F.coalesce(*[F.when(stripped(c) != "", _c(c)) for c in columns])
 
 
 def boilerplate(x: str | Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import udfs
+from ..functions.text import stripped
 
 
 def missing_keys(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
@@ -39,8 +42,12 @@ def newest_reference(keys: DataFrame, references: DataFrame, component: str) ->
 
 
 def windowed(items: DataFrame, windows: DataFrame) -> DataFrame:
-    """Items within their feed's own window: the feed is the equi key, the range a residual; the union window prunes the scan first."""
-    return items.join(windows, "feed_id").where((F.col("date_ms") >= F.col("from_ms")) & (F.col("date_ms") <= F.col("to_ms")))
+    """Items within their feed's own window: the feed is the equi key, the range a residual. The least begin and the greatest end of all windows (one row is asked for) filter the items first, where the scan can use them."""
+    low, high = windows.agg(F.min("from_ms"), F.max("to_ms")).first()
+    if low is None or high is None:
+        return items.join(windows, "feed_id").limit(0)
+    near = items.where((F.col("date_ms") >= low) & (F.col("date_ms") <= high))
+    return near.join(windows, "feed_id").where((F.col("date_ms") >= F.col("from_ms")) & (F.col("date_ms") <= F.col("to_ms")))
 
 
 def phrase_matches(texts: DataFrame, rules: list[tuple[str, str]], text: str) -> DataFrame:
@@ -49,45 +56,82 @@ def phrase_matches(texts: DataFrame, rules: list[tuple[str, str]], text: str) ->
     return texts.withColumn("rule_id", F.explode(hits))
 
 
-#: Characters of a phrase that it is looked up by.
+#: Characters of a phrase that it is looked up by where the rules are too many for an automaton.
 KEY = 8
+#: Bytes of phrases that one automaton holds; it is sent to every task.
+AUTOMATON_BYTES = 16 << 20
 
 
-def rule_matches(stories: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_matches(stories: DataFrame, rules: DataFrame, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """(story_id, rule_id), each once: rules (rule_id, kind, label) as a table of any size.
 
-    ``stories``: story_id and the arrays topics, entities, types and texts. Labels and values are compared in NFKC and lower case. A topic, entity or story_type equals one of the story's,
-    both trimmed; a phrase is a substring of one of its texts. Blank labels and other kinds match nothing, null arrays are empty.
+    ``stories``: story_id and the arrays topics, entities, types and texts. Labels and values are compared in NFKC and lower case, without white space at their ends. A topic, entity or story_type equals one of the
+    story's; a phrase is a substring of one of its texts. Blank labels and other kinds match nothing, null arrays are empty.
 
-    Phrases are an equi-join too: their first KEY characters (all of shorter ones) against the different substrings of that length, then one look at the whole phrase.
-    Substrings go without the texts, which are joined back for candidates only.
+    Topics, entities and types are an equi-join. Phrases of up to ``automaton_bytes`` in all are one automaton in every task, which reads each text once. More are an equi-join too: their first KEY characters (all of
+    shorter ones) against the different substrings of that length, then one look at the whole phrase; substrings go without the texts, which are joined back for candidates only.
     """
     plain = lambda c: F.lower(udfs.nfkc(c))
-    needles = rules.select("rule_id", "kind", F.trim(plain("label")).alias("needle")).where("needle <> ''")
+    needles = rules.select("rule_id", "kind", stripped(plain("label")).alias("needle")).where("needle <> ''")
     kinds = (("topic", "topics"), ("entity", "entities"), ("story_type", "types"), ("phrase", "texts"))
 
     def tagged(kind: str, column: str) -> Column:
         return F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), v.alias("value")))
 
     values = stories.select("story_id", F.inline(F.concat(*[tagged(*k) for k in kinds]))).where("value IS NOT NULL").withColumn("value", plain("value"))
-    equal = values.where("kind <> 'phrase'").select("story_id", "kind", F.trim("value").alias("needle")).join(needles, ["kind", "needle"]).select("story_id", "rule_id")
+    equal = values.where("kind <> 'phrase'").select("story_id", "kind", stripped("value").alias("needle")).join(needles, ["kind", "needle"]).select("story_id", "rule_id")
 
-    phrases = needles.where("kind = 'phrase'").withColumn("key", F.left("needle", F.lit(KEY)))
-    lengths = phrases.select(F.char_length("key").alias("n")).distinct()
+    phrases = needles.where("kind = 'phrase'").select("rule_id", "needle")
     texts = values.where("kind = 'phrase'").select("story_id", "place", "value")
-    # at most KEY numbers, whatever the number of rules
-    sizes = sorted(r["n"] for r in lengths.collect())
-    if not sizes:
+    size = phrases.agg(F.sum(F.octet_length("needle") + 16)).first()[0]
+    if size is None:
         return equal.distinct()
+    found = _by_automaton(texts, phrases) if size <= automaton_bytes else _by_keys(texts, phrases)
+    return equal.unionByName(found).distinct()
+
+
+def _by_automaton(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(story_id, rule_id): phrases are few enough to be sent; equal ones are one needle."""
+    rows = phrases.groupBy("needle").agg(F.collect_list("rule_id").alias("rules")).toArrow()
+    sent = texts.sparkSession.sparkContext.broadcast((rows["needle"].to_pylist(), rows["rules"].to_pylist()))
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("story_id", texts), ("rule_id", phrases))}
+
+    def run(batches: Iterator) -> Iterator:
+        import ahocorasick
+        import pyarrow as pa
 
+        needles, rules = sent.value
+        machine = ahocorasick.Automaton()
+        for i, needle in enumerate(needles):
+            machine.add_word(needle, i)
+        machine.make_automaton()
+        for batch in batches:
+            stories, out = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for n in {n for _, n in machine.iter(text)}:
+                    out += rules[n]
+                    stories += [i] * len(rules[n])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(stories, pa.int64())), pa.array(out, schema.field(1).type)], ["story_id", "rule_id"])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    of = phrases.select(F.lit(None).alias("story_id"), "rule_id").schema
+    schema = to_arrow_schema(of)
+    return texts.select("story_id", "value").mapInArrow(run, f"story_id {kinds['story_id']}, rule_id {kinds['rule_id']}")
+
+
+def _by_keys(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(story_id, rule_id) by an equi-join on the phrases' first characters."""
+    phrases = phrases.withColumn("key", F.left("needle", F.lit(KEY)))
+    # at most KEY numbers, whatever the number of rules
+    sizes = sorted(r["n"] for r in phrases.select(F.char_length("key").alias("n")).distinct().collect())
     # the KEY characters from every place on (fewer at the end), of which shorter keys are the beginnings
     windows = F.array_distinct(F.regexp_extract_all("value", F.lit(f"(?s)(?=(.{{1,{KEY}}}))"), 1))
     pieces = texts.select("story_id", "place", F.explode(windows).alias("piece"))
     starts = F.array(*[F.when(F.char_length("piece") >= n, F.left("piece", F.lit(n))) for n in sizes])
     keyed = pieces.select("story_id", "place", F.explode(starts).alias("key"))
     met = keyed.join(phrases, "key").select("story_id", "place", "rule_id", "needle").distinct()
-    found = met.join(texts, ["story_id", "place"]).where(F.col("value").contains(F.col("needle"))).select("story_id", "rule_id")
-    return equal.unionByName(found).distinct()
+    return met.join(texts, ["story_id", "place"]).where(F.col("value").contains(F.col("needle"))).select("story_id", "rule_id")
 
 
 def neighbor_bounds(rows: DataFrame, partition: list[str], order: list[Column], date: str = "date_ms") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import folds
+from ..functions import text as texts
+from ..session import settled
+from . import folds, positions
 
 
 def member_limit(max_items: Column, max_output_tokens: Column, most: int = 100, tokens_each: int = 300) -> Column:
@@ -74,10 +78,166 @@ def summary_jobs(stories: DataFrame, keys: list[str], order: str, budget: int, m
     return batches.select(*keys, "pos", F.lit("batch").alias("kind"), "batch").unionByName(singles)
 
 
-def merge_level(parts: DataFrame, keys: list[str], order: str, size: str, fan_in: int, budget: int) -> DataFrame:
-    """(keys, batch from 0, pos, share): one level of a merge of partial summaries, two or more at a time and ``fan_in`` at most, and each text's bytes by ``fair_shares`` within its batch."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return fair_shares(parts.withColumn("batch", F.floor(place / max(2, fan_in))), [*keys, "batch"], order, size, budget)
+def frame_bytes(n: int) -> int:
+    """Bytes of ``n`` frames without their texts: [index] and a line feed each, an empty line between them."""
+    return sum(len(f"[{i}]\n") for i in range(n)) + 2 * max(0, n - 1)
+
+
+def merge_size(fan_in: int, budget: int) -> int:
+    """Items of one merge: two at least, ``fan_in`` at most, and as many frames as ``budget`` bytes hold."""
+    if frame_bytes(2) > budget:
+        raise ValueError(f"{budget} bytes cannot hold two framed items")
+    n = max(2, fan_in)
+    while n > 2 and frame_bytes(n) > budget:
+        n -= 1
+    return n
+
+
+def framed(items: Column, budget: int) -> Column:
+    """The content of one merge: texts in frames, each cut to an equal part of what is left of the budget for it and those after it. ``items``: an array of texts."""
+    n = F.size(items)
+    frames = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + F.length(i.cast("string")) + 3) + 2 * (n - 1)
+    begin = F.struct((F.lit(budget) - frames).alias("left"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc, x):
+        i = F.size(acc["parts"])
+        part = texts.utf8_prefix(x, F.floor(acc["left"] / (n - i)).cast("int"))
+        frame = F.concat(F.lit("["), i.cast("string"), F.lit("]\n"), part)
+        return F.struct((acc["left"] - F.octet_length(part)).alias("left"), F.concat(acc["parts"], F.array(frame)).alias("parts"))
+
+    return F.array_join(F.aggregate(items, begin, step)["parts"], "\n\n")
+
+
+def merge_tree(parts: DataFrame, keys: list[str], order: str, text: str, fan_in: int, budget: int, merge: Callable[[Column], Column] = lambda content: content, rounds: int = 64) -> DataFrame:
+    """(keys, level, batch, n, content, merged): every merge of every level, until each key has one batch, whose ``merged`` is the key's root.
+
+    Parts stand in ``order`` and are merged ``merge_size`` at a time within ``budget`` bytes; ``merge`` makes a batch's content one text, which is an item of the next level. A batch that isn't its key's last and gives
+    an empty text (or null) is an error. Each level is written, and batches are all that is grouped, so a key may have any number of parts. A null text is empty.
+    """
+    size = merge_size(fan_in, budget)
+    rows = positions.running(parts.select(*keys, F.col(order).alias("__order"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.lit(1).alias("__one")), keys, ["__order"], "__one", "__place", "__all")
+    rows = rows.select(*keys, (F.col("__place") - 1).alias("__place"), "__all", "__text")
+    out = None
+    for level in range(rounds):
+        items = F.transform(F.array_sort(F.collect_list(F.struct("__place", "__text"))), lambda x: x["__text"])
+        batches = rows.groupBy(*keys, F.floor(F.col("__place") / size).alias("batch")).agg(items.alias("items"), F.max("__all").alias("of"))
+        batches = batches.withColumn("n", F.size("items")).withColumn("content", framed(F.col("items"), budget))
+        merged = merge(F.col("content"))
+        empty = (F.col("of") > size) & (F.coalesce(merged, F.lit("")) == "")
+        merged = F.when(empty, F.raise_error(F.lit("a batch that isn't the last gave an empty text"))).otherwise(merged)
+        done = settled(batches.select(*keys, F.lit(level).alias("level"), "batch", "n", "content", merged.alias("merged"), "of"), "merge")
+        out = done if out is None else out.unionByName(done)
+        rows = done.where(F.col("of") > size).select(*keys, F.col("batch").alias("__place"), F.ceil(F.col("of") / size).alias("__all"), F.col("merged").alias("__text"))
+        if rows.isEmpty():
+            return out.drop("of")
+    raise RuntimeError("the merge did not come to an end")
+
+
+def sized_records(units: DataFrame, unit: str, members: str, most_members: int, most_bytes: int, least_text: int = 2000, most_text: int = 16000) -> DataFrame:
+    """(unit, first, n, text_limit, bytes, encoded): units' records for requests, a JSON object each.
+
+    ``members`` is an array of structs with m (a number) and text. A unit is sliced every ``most_members``; a slice that exceeds ``most_bytes`` (with the line feed after it) even with its texts cut to ``least_text`` bytes
+    is halved, the first half the larger, and so on; one member that doesn't fit is an error. Of every record the longest text limit up to ``most_text`` that fits is found by binary search.
+    """
+
+    def encoded(part: Column, limit: Column) -> Column:
+        cut = F.transform(part, lambda x: F.struct(x["m"].alias("m"), texts.utf8_prefix(x["text"], limit).alias("text")))
+        return F.to_json(F.struct(F.col(unit).alias("i"), cut.alias("members")), {"ignoreNullFields": "false"})
+
+    fits = lambda part, limit: F.octet_length(encoded(part, limit)) + 1 <= most_bytes
+    longest = lambda part: F.aggregate(part, F.lit(0), lambda a, x: F.greatest(a, F.coalesce(F.octet_length(x["text"]), F.lit(0))))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.size(members) - 1, F.lit(0)), F.lit(most_members)))
+    rows = units.where(F.size(members) > 0).select(unit, F.col(members).alias("members"), at.alias("first"))
+    rows = rows.select(unit, "first", F.slice("members", F.col("first") + 1, F.lit(most_members)).alias("part"))
+    done = None
+    while True:
+        low = F.least(F.lit(least_text), longest(F.col("part")))
+        rows = settled(rows.withColumn("low", low).withColumn("fits", fits(F.col("part"), F.col("low"))), "records")
+        good = rows.where("fits")
+        done = good if done is None else done.unionByName(good)
+        large = rows.where("NOT fits")
+        if large.isEmpty():
+            break
+        # a slice has no more than most_members, so this is asked a few times at the most
+        alone = F.raise_error(F.lit(f"{most_bytes} bytes cannot hold one member and its text"))
+        half = F.when(F.size("part") == 1, alone.cast("int")).otherwise(F.ceil(F.size("part") / 2).cast("int"))
+        halves = F.array(
+            F.struct(F.col("first"), F.slice("part", F.lit(1), F.col("half")).alias("part")),
+            F.struct((F.col("first") + F.col("half")).alias("first"), F.slice("part", F.col("half") + 1, F.size("part")).alias("part")),
+        )
+        rows = large.withColumn("half", half).select(unit, F.inline(halves))
+
+    def narrower(span, _):
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        ok = fits(F.col("part"), middle)
+        inside = F.struct(F.when(ok, middle + 1).otherwise(span["low"]).alias("low"), F.when(ok, span["high"]).otherwise(middle - 1).alias("high"), F.when(ok, middle).otherwise(span["best"]).alias("best"))
+        return F.when(span["low"] <= span["high"], inside).otherwise(span)
+
+    high = F.least(longest(F.col("part")), F.lit(most_text))
+    begin = F.struct(F.col("low").alias("low"), high.alias("high"), F.col("low").alias("best"))
+    steps = F.sequence(F.lit(1), F.lit(max(1, most_text).bit_length() + 1))
+    found = done.withColumn("text_limit", F.aggregate(steps, begin, narrower)["best"])
+    found = found.withColumn("encoded", encoded(F.col("part"), F.col("text_limit")))
+    return found.select(unit, F.col("first").cast("long").alias("first"), F.size("part").cast("long").alias("n"), "text_limit", F.octet_length("encoded").cast("long").alias("bytes"), "encoded")
+
+
+def _action(policy: str, one: Column) -> Column:
+    """What becomes of a batch by its answer: n asked, back (asked members that came back once), odd (unknown or repeated members), limited (the output was cut off). ``one``: the batch is a retry of one member."""
+    whole = (F.col("back") == F.col("n")) & ~F.col("odd") & ~F.col("limited")
+    if policy == "classification":
+        few = F.when(F.col("n") == 1, "failed").otherwise("halves")
+        return F.when(F.col("odd"), "failed").when(F.col("limited"), few).when(whole, "done").when(F.col("back") == 0, few).otherwise("missing")
+    if policy == "analysis":
+        again = F.when(F.col("odd"), "all singly").otherwise("missing singly")
+        return F.when(F.col("limited"), F.when((F.col("n") == 1) | one, "failed").otherwise("halves")).when(whole, "done").when(one, "failed").otherwise(again)
+    if policy == "summary":
+        return F.when(whole, "done").when(one, "failed").when(F.col("limited") | F.col("odd"), "all singly").otherwise("missing singly")
+    raise ValueError(f"no policy {policy}")
+
+
+def retry_rounds(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], policy: str, rounds: int = 100) -> DataFrame:
+    """(round from 0, request, path, member, place, outcome): every member of every request that goes out, and what came of it there.
+
+    ``requests``: request, member, place (its order in the request). ``answer`` gets the open members (round, request, path, member) and gives what came back: request, path, member, and limited (true where the
+    output was cut off, with no member). ``path`` tells a request's batches: h0 and h1 are added for its halves, m for what was missing, s and the place for a member by itself.
+
+    classification: nothing back is halved, some back asks for the missing together, members that weren't asked for or came twice are refused. analysis: an output that was cut off is halved, odd members
+    make all members go singly, missing ones go singly, once. summary: what didn't come back goes singly, once. Outcomes: done, asked again, failed.
+    Every round is written and carries open members only.
+    """
+    open_, log = requests.select("request", F.lit("").alias("path"), "member", "place"), None
+    for turn in range(rounds):
+        asked = settled(open_.withColumn("round", F.lit(turn)), "asked")
+        if asked.isEmpty():
+            return log if log is not None else asked.select("round", "request", "path", "member", "place", F.lit("").alias("outcome"))
+        got = answer(asked.select("round", "request", "path", "member"))
+        batch = ["request", "path"]
+        limited = got.where("limited").select(*batch).distinct().withColumn("limited", F.lit(True))
+        came = got.where("NOT limited").groupBy(*batch, "member").agg(F.count("*").alias("times"))
+        both = asked.join(came, [*batch, "member"], "full")
+        counts = both.groupBy(*batch).agg(
+            F.count("round").alias("n"),
+            F.count(F.when(F.col("round").isNotNull() & (F.col("times") == 1), 1)).alias("back"),
+            F.bool_or(F.coalesce(F.col("round").isNull() | (F.col("times") > 1), F.lit(False))).alias("odd"),
+        )
+        told = counts.join(limited, batch, "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
+        told = told.withColumn("action", _action(policy, F.col("path").rlike("s[0-9]+$"))).select(*batch, "n", "action")
+        rank = F.row_number().over(Window.partitionBy(*batch).orderBy("place"))
+        rows = both.where("round IS NOT NULL").join(told, batch).withColumn("rank", rank)
+        mine = (F.col("times") == 1) & ~F.col("action").isin("halves", "all singly", "failed")
+        outcome = F.when(F.coalesce(mine, F.lit(False)), "done").when(F.col("action") == "failed", "failed").otherwise("asked again")
+        rows = settled(rows.withColumn("outcome", outcome).select("round", *batch, "member", "place", "outcome", "action", "n", "rank"), "round")
+        now = rows.select("round", *batch, "member", "place", "outcome")
+        log = now if log is None else log.unionByName(now)
+        half = F.when(F.col("rank") <= F.ceil(F.col("n") / 2), "h0").otherwise("h1")
+        step = F.when(F.col("action") == "halves", half).when(F.col("action") == "missing", "m").otherwise(F.concat(F.lit("s"), F.col("place").cast("string")))
+        open_ = rows.where("outcome = 'asked again'").select("request", F.concat("path", step).alias("path"), "member", "place")
+    raise RuntimeError("requests are still open")
+
+
+def odd_rule_ids(matched: Column, allowed: list[str]) -> Column:
+    """Whether a result's matched rules hold one twice or one that isn't allowed."""
+    return (F.size(F.array_distinct(matched)) != F.size(matched)) | F.exists(matched, lambda x: ~F.coalesce(x.isin(allowed), F.lit(False)))
 
 
 def decision(score: Column, muted: Column, threshold: Column) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters, joins
 from ..registry import query
 from ..sources.tables import EVENT_ITEMS, event_items, table
+from .scalars import WHITE_SQL
 from .scans import DAY, START
 
 
@@ -121,9 +122,9 @@ def mute_rule_match(spark, sf_dir):
     return joins.phrase_matches(docs, RULES, "text").select("doc_id", "rule_id")
 
 
-@query("""WITH r AS (SELECT DISTINCT concat('t', source) AS rule_id, 'topic' AS kind, upper(source) AS label FROM documents UNION ALL SELECT DISTINCT concat('e', lang), 'entity', concat(' ', lang) FROM documents
-      UNION ALL SELECT DISTINCT concat('y', doc_id % 3), 'story_type', concat('Type', doc_id % 3) FROM documents UNION ALL SELECT concat('p', item_id), 'phrase', concat('  ', substr(text, 3, 30)) FROM benchmark UNION ALL SELECT concat('w', item_id), 'phrase', substr(text, 1, 2 + item_id % 6) FROM benchmark),
-    n AS (SELECT rule_id, kind, lower(trim(label)) AS needle FROM r WHERE trim(label) <> '')
+@query(f"""WITH r AS (SELECT DISTINCT concat('t', source) AS rule_id, 'topic' AS kind, upper(source) AS label FROM documents UNION ALL SELECT DISTINCT concat('e', lang), 'entity', concat(chr(9), lang, chr(10)) FROM documents
+      UNION ALL SELECT DISTINCT concat('y', doc_id % 3), 'story_type', concat('Type', doc_id % 3) FROM documents UNION ALL SELECT concat('p', item_id), 'phrase', concat(chr(160), chr(10), substr(text, 3, 30), chr(9)) FROM benchmark UNION ALL SELECT concat('w', item_id), 'phrase', substr(text, 1, 2 + item_id % 6) FROM benchmark),
+    n AS (SELECT rule_id, kind, lower(trim(label, {WHITE_SQL})) AS needle FROM r WHERE trim(label, {WHITE_SQL}) <> '')
     SELECT DISTINCT doc_id AS story_id, rule_id FROM documents, n WHERE (kind = 'topic' AND lower(source) = needle) OR (kind = 'entity' AND lower(lang) = needle) OR (kind = 'story_type' AND concat('type', doc_id % 7) = needle) OR (kind = 'phrase' AND contains(lower(text), needle))""")
 def rule_table_match(spark, sf_dir):
     """Rules of every kind, as a table: the documents' sources, languages and types, and phrases from the benchmark."""
@@ -131,8 +132,8 @@ def rule_table_match(spark, sf_dir):
     rule = lambda df, kind, key, label: df.select(key.alias("rule_id"), F.lit(kind).alias("kind"), label.alias("label"))
     named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
     item, third = F.col("item_id"), F.col("doc_id") % 3
-    rules = rule(d, "topic", named("t", F.col("source")), F.upper("source")).union(rule(d, "entity", named("e", F.col("lang")), F.concat(F.lit(" "), "lang"))).union(rule(d, "story_type", named("y", third), named("Type", third))).distinct()
-    rules = rules.union(rule(b, "phrase", named("p", item), F.concat(F.lit("  "), F.substring("text", 3, 30)))).union(rule(b, "phrase", named("w", item), F.substring(F.col("text"), F.lit(1), (2 + item % 6).cast("int"))))
+    rules = rule(d, "topic", named("t", F.col("source")), F.upper("source")).union(rule(d, "entity", named("e", F.col("lang")), F.concat(F.lit("\t"), "lang", F.lit("\n")))).union(rule(d, "story_type", named("y", third), named("Type", third))).distinct()
+    rules = rules.union(rule(b, "phrase", named("p", item), F.concat(F.lit("\u00a0\n"), F.substring("text", 3, 30), F.lit("\t")))).union(rule(b, "phrase", named("w", item), F.substring(F.col("text"), F.lit(1), (2 + item % 6).cast("int"))))
     stories = d.select(F.col("doc_id").alias("story_id"), F.array("source").alias("topics"), F.array("lang").alias("entities"), F.array(named("Type", F.col("doc_id") % 7)).alias("types"), F.array("text").alias("texts"))
     return joins.rule_matches(stories, rules)
 

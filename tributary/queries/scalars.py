@@ -22,17 +22,23 @@ def slug_key(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS label FROM documents")
+#: White space of every kind, as SQL: what is left out at the ends of texts.
+WHITE_SQL = "concat(" + ", ".join(f"chr({ord(c)})" for c in text.WHITE) + ")"
+
+
+@query(f"""SELECT doc_id, lower(trim(regexp_replace(concat(chr(9), chr(160), text, chr(8195), chr(10)), concat('[', {WHITE_SQL}, ']+'), ' ', 'g'))) AS label FROM documents""")
 def interest_label(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.interest_label(F.col("text")).alias("label"))
+    """Every text between a tab, a no-break space, a wide space and a line feed."""
+    framed = F.concat(F.lit("\t\u00a0"), "text", F.lit("\u2003\n"))
+    return docs(spark, sf_dir).select("doc_id", text.interest_label(framed).alias("label"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x)), lambda x: length(x) BETWEEN 1 AND 6) AS words FROM documents),
-    u AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM w), k AS (SELECT *, lower(trim(regexp_replace(w, '\\s+', ' ', 'g'))) AS key FROM u),
+@query(f"""WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: trim(concat(chr(160), x, chr(9)), {WHITE_SQL})), lambda x: length(x) BETWEEN 1 AND 6) AS words FROM documents),
+    u AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM w), k AS (SELECT *, lower(trim(regexp_replace(w, concat('[', {WHITE_SQL}, ']+'), ' ', 'g'))) AS key FROM u),
     f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM k GROUP BY doc_id, key), g AS (SELECT doc_id, string_agg(w, '|' ORDER BY i) AS labels FROM f GROUP BY doc_id)
     SELECT doc_id, coalesce(labels, '') AS labels FROM documents LEFT JOIN g USING (doc_id)""")
 def label_clean(spark, sf_dir):
-    words = F.split(F.col("text"), " ")
+    words = F.transform(F.split(F.col("text"), " "), lambda x: F.concat(F.lit("\u00a0"), x, F.lit("\t")))
     return docs(spark, sf_dir).select("doc_id", F.array_join(text.clean_labels(words, 6), "|").alias("labels"))
 
 
@@ -168,12 +174,21 @@ def boilerplate_clean(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.boilerplate(raw).alias("text"))
 
 
-COUNTS = ["1.2K", "3,4M", "5B", "12,345", "1.234.567", "987", "x", "7k", "", "2.5M"]
-
-
-@query("""SELECT * FROM (VALUES ('1.2K', 1200::BIGINT), ('3,4M', 3400000), ('5B', 5000000000), ('12,345', 12345), ('1.234.567', 1234567), ('987', 987), ('x', NULL), ('7k', 7000), ('', NULL), ('2.5M', 2500000)) t(raw, n)""")
+@query("""WITH c AS (SELECT o_orderkey, o_totalprice AS p, floor(o_totalprice)::BIGINT AS whole, o_orderkey % 8 AS k FROM orders),
+    t AS (SELECT o_orderkey, CASE k WHEN 0 THEN concat(whole // 10, '.', whole % 10, 'K') WHEN 1 THEN concat(whole // 10, ',', whole % 10, 'm') WHEN 2 THEN concat(' ', whole, 'B') WHEN 3 THEN concat(whole // 1000, ',', lpad((whole % 1000)::VARCHAR, 3, '0')) WHEN 4 THEN concat(whole, '.000.001') WHEN 5 THEN whole::VARCHAR WHEN 6 THEN concat(whole, 'x') ELSE '' END AS raw,
+      CASE k WHEN 0 THEN whole * 100 WHEN 1 THEN whole * 100000 WHEN 2 THEN whole * 1000000000 WHEN 3 THEN whole WHEN 4 THEN whole * 1000000 + 1 WHEN 5 THEN whole END AS n FROM c)
+    SELECT o_orderkey, raw, n FROM t""")
 def compact_count(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in COUNTS], "raw string").select("raw", text.compact_count("raw").alias("n"))
+    """Every order's price, written in one of eight ways."""
+    whole, k = F.floor("o_totalprice").cast("long"), F.col("o_orderkey") % 8
+    s = lambda c: c.cast("string")
+    tenths = lambda mark, unit: F.concat(s(F.floor(whole / 10)), F.lit(mark), s(whole % 10), F.lit(unit))
+    raw = (
+        F.when(k == 0, tenths(".", "K")).when(k == 1, tenths(",", "m")).when(k == 2, F.concat(F.lit(" "), s(whole), F.lit("B")))
+        .when(k == 3, F.concat(s(F.floor(whole / 1000)), F.lit(","), F.lpad(s(whole % 1000), 3, "0"))).when(k == 4, F.concat(s(whole), F.lit(".000.001"))).when(k == 5, s(whole))
+        .when(k == 6, F.concat(s(whole), F.lit("x"))).otherwise("")
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("n", text.compact_count("raw"))
 
 
 #: Before each document's text: one secret of every kind, told apart by the document's id.
@@ -206,24 +221,29 @@ def cursor_encode(spark, sf_dir):
 
 @query("""WITH c AS (SELECT doc_id, text, list_reduce(list_filter(list_transform(range(1, 201), lambda n: substr(text, 1, n)), lambda s: strlen(s) <= 200), lambda a, b: CASE WHEN length(a) >= length(b) THEN a ELSE b END) AS head,
       list_reduce(list_filter(list_transform(range(1, 201), lambda n: right(text, n)), lambda s: strlen(s) <= 200), lambda a, b: CASE WHEN length(a) >= length(b) THEN a ELSE b END) AS tail FROM documents)
-    SELECT doc_id, CASE WHEN strlen(text) <= 3000 THEN text ELSE concat(head, chr(10), '[...]', chr(10), tail) END AS text FROM c""")
+    SELECT doc_id, CASE WHEN strlen(text) <= 3000 THEN text WHEN doc_id % 2 = 0 THEN concat_ws(chr(10), 't', concat(substr(text, 11, 30), chr(10), substr(text, 101, 30), chr(10), substr(text, 201, 30)), head, tail) ELSE concat(head, chr(10), '[...]', chr(10), tail) END AS text FROM c""")
 def compact_text(spark, sf_dir):
-    none = F.lit(None).cast("array<string>")
-    return docs(spark, sf_dir).select("doc_id", text.compact(F.lit("t"), "text", none, 3000, 200).alias("text"))
+    """Long texts of even documents have four pieces of evidence, of which three are taken; the others have none."""
+    cut = lambda a: F.substring("text", a, 30)
+    found = F.when(F.col("doc_id") % 2 == 0, F.array(cut(11), cut(101), cut(201), cut(301)))
+    return docs(spark, sf_dir).select("doc_id", text.compact(F.lit("t"), "text", found, 3000, 200).alias("text"))
 
 
-@query("""WITH c AS (SELECT doc_id, text, [substr(text, 5, 20), 'not in there', '  ', substr(text, 5, 20), substr(text, 40, 500), substr(text, 90, 12), substr(text, 120, 9), substr(text, 150, 9)] AS c FROM documents),
-    f AS (SELECT doc_id, list_filter(list_transform(c, lambda x: trim(x)), lambda x: x <> '' AND strlen(x) <= 400 AND contains(text, x)) AS f FROM c)
+@query(f"""WITH c AS (SELECT doc_id, text, [concat(chr(10), substr(text, 5, 20), chr(160)), 'not in there', concat(' ', chr(9)), substr(text, 5, 20), substr(text, 40, 500), substr(text, 90, 12), substr(text, 120, 9), substr(text, 150, 9)] AS c FROM documents),
+    f AS (SELECT doc_id, list_filter(list_transform(c, lambda x: trim(x, {WHITE_SQL})), lambda x: x <> '' AND strlen(x) <= 400 AND contains(text, x)) AS f FROM c)
     SELECT doc_id, array_to_string(list_slice(list_filter(f, lambda x, i: list_position(f, x) = i), 1, 3), '|') AS evidence FROM f""")
 def evidence_filter(spark, sf_dir):
     cut = lambda a, n: F.substring("text", a, n)
-    candidates = F.array(cut(5, 20), F.lit("not in there"), F.lit("  "), cut(5, 20), cut(40, 500), cut(90, 12), cut(120, 9), cut(150, 9))
+    candidates = F.array(F.concat(F.lit("\n"), cut(5, 20), F.lit("\u00a0")), F.lit("not in there"), F.lit(" \t"), cut(5, 20), cut(40, 500), cut(90, 12), cut(120, 9), cut(150, 9))
     return docs(spark, sf_dir).select("doc_id", F.array_join(text.evidence(candidates, "text"), "|").alias("evidence"))
 
 
-@query("""SELECT doc_id, coalesce(CASE WHEN trim(CASE WHEN doc_id % 2 = 0 THEN ' ' END) <> '' THEN ' ' END, CASE WHEN doc_id % 3 = 0 THEN lang END, source) AS text FROM documents""")
+@query(f"""WITH t AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), chr(9), ' ') WHEN doc_id % 5 = 0 THEN concat(chr(10), source, ' ') END AS whole FROM documents)
+    SELECT doc_id, coalesce(CASE WHEN trim(whole, {WHITE_SQL}) <> '' THEN whole END, CASE WHEN doc_id % 3 = 0 THEN lang END, source) AS text FROM t""")
 def text_fallback(spark, sf_dir):
-    full, short = F.when(F.col("doc_id") % 2 == 0, " "), F.when(F.col("doc_id") % 3 == 0, F.col("lang"))
+    k = F.col("doc_id")
+    full = F.when(k % 2 == 0, "\n\t ").when(k % 5 == 0, F.concat(F.lit("\n"), "source", F.lit(" ")))
+    short = F.when(k % 3 == 0, F.col("lang"))
     return docs(spark, sf_dir).select("doc_id", text.first_text(full, short, "source").alias("text"))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import filters
+from ..operators import filters, positions
 from ..registry import query
+from ..session import shared_folder
+from ..sources import archive
 from ..sources.tables import DOCUMENT_ITEMS, EVENT_ITEMS, document_items, event_items, table
 
 DAY = 86_400_000
 #: 2024-01-01 in epoch milliseconds; the events lie in that January.
 START = 1_704_067_200_000
+#: Posts of an archive page.
+PAGE = 500
 
 
 @query(f"WITH {EVENT_ITEMS} SELECT item_id, feed_id, date_ms FROM items WHERE date_ms BETWEEN {START + 3 * DAY} AND {START + 9 * DAY}")
@@ -40,6 +46,17 @@ def archive_scan_dedupe(spark, sf_dir):
     return filters.archive_scan(items, ["en", "de"], START + DAY // 2).select("item_id", "feed_id", "digest")
 
 
+@query(f"""SELECT event_id + 1 AS post_id, event_type AS kind, concat('Post ', event_id) AS title, epoch_us(ts) // 1000 AS date_ms, props AS text FROM events WHERE event_type IN ('view', 'purchase') AND epoch_us(ts) // 1000 BETWEEN {START + 9 * DAY} AND {START + 20 * DAY}""")
+def archive_pages(spark, sf_dir):
+    """The events as an archive, newest first, some posts a page, written as JSON pages; then scanned page by page until one lies before the window."""
+    posts = event_items(spark, sf_dir).select((F.col("item_id") + 1).alias("id"), F.col("feed_id").alias("type"), F.concat(F.lit("Post "), F.col("item_id").cast("string")).alias("title"), "date_ms", F.col("meta").alias("text"))
+    numbered = positions.numbered(posts, [F.desc("date_ms"), F.asc("id")], "place").withColumn("page", F.format_string("%09d", F.floor((F.col("place") - 1) / PAGE)))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct("id", "type", "title", "date_ms", "text").alias("post")))), lambda x: x["post"])
+    root = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    numbered.groupBy("page").agg(F.to_json(listed).alias("value")).repartition("page").write.partitionBy("page").text(root)
+    return archive.scan(spark, archive.names(spark, f"{root}/page=*/part-*"), ["view", "purchase"], START + 9 * DAY, START + 20 * DAY)
+
+
 @query("SELECT DISTINCT event_type AS feed_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE cast(json_extract_string(props, '$.k') AS INTEGER) < 10")
 def json_path_distinct(spark, sf_dir):
     k = F.get_json_object("meta", "$.k").cast("int")

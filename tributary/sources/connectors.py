@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from ..functions.text import stripped
+from . import archive
+
 ITEM = StructType([
     StructField("feed_id", StringType()), StructField("external_id", StringType()), StructField("date_ms", LongType()), StructField("title", StringType()),
     StructField("text", StringType()), StructField("author", StringType()), StructField("url", StringType()), StructField("thread_root", StringType()),
@@ -45,10 +48,8 @@ def parquet_items(spark: SparkSession, options: dict) -> DataFrame:
 @connector("archive")
 def archive_items(spark: SparkSession, options: dict) -> DataFrame:
     """Posts of a paged archive as items, each post once."""
-    from .archive import ArchiveSource
-
-    spark.dataSource.register(ArchiveSource)
-    posts = spark.read.format("archive").options(**{k: v for k, v in options.items() if k != "feed_id"}).load().dropDuplicates(["post_id"])
+    rest = {k: options[k] for k in ("kinds", "from_ms", "to_ms") if k in options}
+    posts = archive.scan(spark, [p for p in options["pages"].split(",") if p], **archive.parsed_options(rest)).dropDuplicates(["post_id"])
     columns = {"feed_id": F.lit(options.get("feed_id", "archive")), "external_id": F.col("post_id").cast("string"), "date_ms": F.col("date_ms"), "title": F.col("title"), "text": F.coalesce("text", F.lit(""))}
     return posts.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ITEM])
 
@@ -56,8 +57,8 @@ def archive_items(spark: SparkSession, options: dict) -> DataFrame:
 def violations(items: DataFrame) -> DataFrame:
     """Items that may not be written, with the rule that each breaks."""
     rules = F.array_compact(F.array(
-        F.when(F.coalesce(F.trim("feed_id"), F.lit("")) == "", "feed_id is empty"),
-        F.when(F.coalesce(F.trim("external_id"), F.lit("")) == "", "external_id is empty"),
+        F.when(F.coalesce(stripped("feed_id"), F.lit("")) == "", "feed_id is empty"),
+        F.when(F.coalesce(stripped("external_id"), F.lit("")) == "", "external_id is empty"),
         F.when(F.col("date_ms").isNull(), "no date"),
         F.when(F.col("text").isNull(), "no text"),
     ))
@@ -66,7 +67,7 @@ def violations(items: DataFrame) -> DataFrame:
 
 def checked(items: DataFrame) -> DataFrame:
     """The items themselves; a batch with an invalid one fails as a whole when it is written."""
-    bad = (F.coalesce(F.trim("feed_id"), F.lit("")) == "") | (F.coalesce(F.trim("external_id"), F.lit("")) == "") | F.col("date_ms").isNull() | F.col("text").isNull()
+    bad = (F.coalesce(stripped("feed_id"), F.lit("")) == "") | (F.coalesce(stripped("external_id"), F.lit("")) == "") | F.col("date_ms").isNull() | F.col("text").isNull()
     return items.withColumn("external_id", F.when(bad, F.raise_error(F.lit("an invalid item"))).otherwise(F.col("external_id")))
 
 
