@@ -53,5 +53,3 @@ def test_queries_without_sql(spark):
     assert whole == texts
     slugs = {r["doc_id"]: r["slug"] for r in registry.QUERIES["slug_key"](spark, SF).collect()}
     assert slugs == {r["doc_id"]: r["slug"] for r in registry.QUERIES["nfkc_key"](spark, SF).collect()}
-    for r in registry.QUERIES["html_to_text"](spark, SF).collect():
-        assert "<p>" not in r["text"] and "</" not in r["text"]

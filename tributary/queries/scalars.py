@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, udfs, urls
+from ..functions import html, text, udfs, urls
 from ..operators import paging
 from ..registry import query
 from ..sources.tables import EVENT_ITEMS, event_items, table
@@ -121,7 +121,36 @@ def extract_links_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("links"), F.coalesce(F.get(links, 0), F.lit("")).alias("first_link"))
 
 
-@query(None)
+@query("""WITH c AS (SELECT conv_id, turn, role, text, 1704067200000 + (conv_id * 100 + turn) * 60000 AS stamp, conv_id * 100 + turn + 1 AS n FROM conversations),
+    p AS (SELECT conv_id, turn, false AS quote, n, CASE WHEN turn % 4 = 3 THEN concat('https://x.com/i/web/status/', n) ELSE concat('https://x.com/', role, '/status/', n) END AS url, text, CASE WHEN turn % 3 = 2 THEN concat('Name of ', role) ELSE concat('@', role) END AS author, stamp, n AS m FROM c
+      UNION ALL SELECT conv_id, turn, true, n + 50, concat('https://x.com/quoted/status/', n + 50), 'Quoted words', '@quoted', NULL, NULL FROM c WHERE turn % 2 = 1)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, quote) - 1 AS place, n::VARCHAR AS id, stamp AS date_ms, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, author, url,
+      m * 100 AS replies, CASE WHEN m % 2 = 0 THEN m * 1100000 END AS reposts, m AS likes, CASE WHEN m IS NOT NULL THEN 1234000 + m % 1000 END AS views FROM p""")
+def extract_posts(spark, sf_dir):
+    """Conversations as pages of posts, every second with another post quoted in it; broken at the end, as pages are."""
+    n, turn = F.col("conv_id") * 100 + F.col("turn") + 1, F.col("turn")
+    s = lambda c: c.cast("string")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("<br>"))
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + (F.col("conv_id") * 100 + turn) * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    link = F.when(turn % 4 == 3, F.concat(F.lit("https://x.com/i/web/status/"), s(n))).otherwise(F.concat(F.lit("/"), "role", F.lit("/status/"), s(n), F.lit("/photo/1?x=1")))
+    name = F.when(turn % 3 == 2, F.concat(F.lit("<span>Name of "), "role", F.lit("</span>"))).otherwise(F.concat(F.lit('<span>A name</span><a href="/'), "role", F.lit('"><i>x</i></a>')))
+    quoted = F.concat(F.lit('<article data-testid="tweet"><div data-testid="User-Name"><a href="/quoted">q</a></div><a href="/quoted/status/'), s(n + 50), F.lit('"></a><p data-testid="tweetText">Quoted\n <b>words</b></p></article>'))
+    reposts = F.when(n % 2 == 0, F.concat(F.lit('<button data-testid="unretweet">'), s(F.floor(n * 11 / 10)), F.lit(","), s(n * 11 % 10), F.lit(" m</button>"))).otherwise('<button data-testid="retweet">none</button>')
+    views = F.concat(F.lit('<a href="/x/analytics" aria-label="1,234.'), F.lpad(s(n % 1000), 3, "0"), F.lit(' Views"></a>'))
+    post = F.concat(
+        F.lit('<div><article data-testid="tweet"><div data-testid="User-Name">'), name, F.lit('</div><a href="https://evil.test/a/status/9">no</a><a href="'), link, F.lit('"><time datetime="'), at, F.lit('">then</time></a><div data-testid="tweetText">'), escaped,
+        F.lit('</div><script>var a = "<article data-testid=\\"tweet\\">";</script><img src=x>'), F.when(turn % 2 == 1, quoted).otherwise(""),
+        F.lit('<button data-testid="reply" aria-label="'), s(n / 10), F.lit('K replies"></button>'), reposts, F.lit('<button data-testid="like">'), s(n), F.lit("</button>"), views, F.lit("</article>"),
+    )
+    c = table(spark, sf_dir, "conversations")
+    pages = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", post.alias("post")))), lambda x: x["post"]), "<hr>").alias("html"))
+    return pages.select("conv_id", F.posexplode(html.posts(F.concat(F.lit("<!DOCTYPE html><main><p>Posts"), "html", F.lit("<div><a href=")))).alias("place", "post")).select("conv_id", F.col("place").cast("long").alias("place"), "post.*")
+
+
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS h FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(h, '<(p|div|br|li|tr|h[1-6])(\\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*(>|$)', '', 'g') AS h FROM a),
+    c AS (SELECT page_id, replace(replace(replace(regexp_replace(h, '&amp;?', chr(1), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"') AS h FROM b)
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(h, chr(1), '&'), chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS text FROM c""")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", udfs.html_text("html").alias("text"))
 
