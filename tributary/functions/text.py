@@ -100,6 +100,10 @@ def feed_name(x: str | Column, most: int = 160) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(_c(x), r"[\x00-\x1F\x7F]", " "), r"\s+", " ")), 1, most)
 
 
+#: Controls of the direction of writing.
+BIDI = "[\\u061C\\u200E\\u200F\\u202A-\\u202E\\u2066-\\u2069]"
+
+
 def markdown(x: str | Column) -> Column:
     """Markdown's special characters escaped, bidirectional controls removed."""
     return F.regexp_replace(F.regexp_replace(_c(x), "[\\u202A-\\u202E\\u2066-\\u2069]", ""), r"([\\`*_{}\[\]()#+\-.!|>~])", r"\\$1")

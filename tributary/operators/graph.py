@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import discard, settled
 
 
 def key_components(keys: DataFrame, item: str = "item", key: str = "key", rounds: int = 100) -> DataFrame:
@@ -22,8 +22,10 @@ def key_components(keys: DataFrame, item: str = "item", key: str = "key", rounds
         jump = low.join(labels.select(F.col(item).alias("low"), F.col("component").alias("jump")), "low", "left")
         new = jump.select(item, F.least("low", "jump").alias("component"))
         new = settled(new.join(labels.select(item, F.col("component").alias("was")), item), "labels")
-        moved = new.where("component <> was").limit(1).count()
-        labels = new.drop("was")
+        moved = not new.where("component <> was").isEmpty()
+        discard(labels)
+        labels = new
         if not moved:
-            return labels
+            discard(edges)
+            return labels.drop("was")
     raise RuntimeError("the components did not settle")

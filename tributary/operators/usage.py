@@ -45,6 +45,9 @@ def valid_usage(prompt: Column, completion: Column, total: Column, hit: Column,
     return F.coalesce(counts & parts, F.lit(False))
 
 
+#: Low bits that are summed apart from the high ones.
+BITS = 26
+
 #: The counters of a rollup.
 COUNTERS = ("attempts", "duration_ms", "reported", "prompt", "completion", "total", "hit", "miss", "success", "retry", "failure")
 
@@ -56,12 +59,20 @@ def rollup(attempts: DataFrame) -> DataFrame:
     """
     one = lambda when: F.when(when, 1).otherwise(0)
     told = F.col("prompt").isNotNull()
-    values = {"attempts": F.lit(1), "duration_ms": F.col("duration_ms"), "reported": one(told)}
-    values |= {c: F.when(told, F.coalesce(F.col(c), F.lit(0))).otherwise(0) for c in ("prompt", "completion", "total", "hit", "miss")}
-    values |= {s: one(F.col("status") == s) for s in ("success", "retry", "failure")}
-    rows = attempts.withColumn("model", F.coalesce("model", F.lit("unknown"))).groupingSets([[], ["stage", "model"]], "stage", "model")
-    sums = rows.agg(F.grouping_id().alias("level"), *[saturating_sum(values[c]).alias(c) for c in COUNTERS], *[saturated(values[c]).alias(f"over_{c}") for c in COUNTERS])
+    counts = {"attempts": F.lit(1), "reported": one(told)} | {s: one(F.col("status") == s) for s in ("success", "retry", "failure")}
+    sums = {"duration_ms": F.col("duration_ms")} | {c: F.when(told, F.coalesce(F.col(c), F.lit(0))).otherwise(0) for c in ("prompt", "completion", "total", "hit", "miss")}
+    # sums as two longs each, of high and of low bits: a value beyond MOST saturates by itself, so neither can overflow
+    halves = {}
+    for c, v in sums.items():
+        v = F.least(v.cast("long"), F.lit(MOST + 1))
+        halves |= {f"{c}_high": F.shiftright(v, BITS), f"{c}_low": v.bitwiseAND(F.lit((1 << BITS) - 1))}
+    parts = {**counts, **halves}
+    by = attempts.withColumn("model", F.coalesce("model", F.lit("unknown"))).groupBy("stage", "model").agg(*[F.sum(v).alias(c) for c, v in parts.items()])
+    # the few rows that this leaves are summed once more, as decimals
+    wide = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0))
+    whole = {c: wide(c) for c in counts} | {c: wide(f"{c}_high") * F.lit(1 << BITS).cast("decimal(9,0)") + wide(f"{c}_low") for c in sums}
+    rows = by.groupingSets([[], ["stage", "model"]], "stage", "model").agg(F.grouping_id().alias("level"), *[whole[c].alias(c) for c in COUNTERS])
     over = F.lit(False)
     for c in COUNTERS:
-        over = over | F.coalesce(F.col(f"over_{c}"), F.lit(False))
-    return sums.select("stage", "model", "level", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in COUNTERS], over.alias("saturated")).orderBy("stage", "model")
+        over = over | (F.col(c) > MOST)
+    return rows.select("stage", "model", "level", *[F.least(F.col(c), F.lit(MOST)).cast("long").alias(c) for c in COUNTERS], over.alias("saturated")).orderBy("stage", "model")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import filters, graph, paging
+from ..functions import text, udfs, urls
+from ..operators import filters, folds, graph, paging
+from ..session import settled
 from ..sources.tables import DOCUMENT_ITEMS, EVENT_ITEMS, document_items, event_items
 
 DAY = 86_400_000
@@ -87,12 +88,84 @@ def top_stories(spark: SparkSession, sf_dir: str, muted: tuple[str, ...] = ("idi
     return top.select("story", "title", "topics", "members", "feeds", "occurred_at", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def rendered(rows: DataFrame) -> DataFrame:
-    """(section, markdown): stories (section, place, title, body) in order, one document a section. Titles are escaped."""
-    part = F.concat(F.lit("## "), text.markdown("title"), F.lit("\n"), F.col("body"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))), lambda x: x["part"])
-    out = rows.groupBy("section").agg(F.array_join(parts, "\n").alias("parts"))
-    return out.select("section", F.concat(F.lit("# "), "section", F.lit("\n\n"), "parts", F.lit("\n")).alias("markdown"))
+#: Parts of a digest, in order.
+HEAD, STORIES, GROUPS, PAID, FOOT = range(5)
+NOTHING = "- Nothing to report."
+#: Bytes of a page.
+PAGE_BYTES = 1 << 20
 
 
-__all__ = ["analyzed", "ranked_items", "rendered", "stories", "top_stories"]
+def _lines(rows: DataFrame, part: int, a, b, lines) -> DataFrame:
+    """(digest, at, line): each row's array of lines, in their place in the digest: part, then ``a`` and ``b``."""
+    each = rows.select("digest", a.cast("long").alias("a"), b.cast("long").alias("b"), F.posexplode(lines).alias("c", "line"))
+    return each.select("digest", F.struct(F.lit(part).alias("part"), "a", "b", F.col("c").cast("long").alias("c")).alias("at"), "line")
+
+
+def _points(points) -> object:
+    """Lines of points (text, author, viewer), or of none."""
+    name = lambda p: F.concat(F.lit("**"), text.markdown(text.stripped(F.regexp_replace(p["author"], text.BIDI, ""))), F.lit(":**"), F.when(p["viewer"], " `SELF`").otherwise(""), F.lit(" "))
+    said = lambda p: F.when(F.coalesce(text.stripped(F.regexp_replace(p["author"], text.BIDI, "")), F.lit("")) != "", name(p)).otherwise("")
+    lines = F.transform(points, lambda p: F.concat(F.lit("- "), F.coalesce(said(p), F.lit("")), p["text"]))
+    return F.when(F.size(points) > 0, lines).otherwise(F.array(F.lit(NOTHING)))
+
+
+def _linked(title, url):
+    """A title, linked where the address is one of the web."""
+    return F.coalesce(F.concat(F.lit("["), title, F.lit("](<"), urls.safe(url), F.lit(">)")), title)
+
+
+def story_lines(stories: DataFrame) -> DataFrame:
+    """``stories``: digest, place, title, points (text, author, viewer) and sources (title, feed, url)."""
+    source = lambda s: F.concat(F.lit("- "), _linked(text.markdown(F.coalesce(s["title"], s["feed"])), s["url"]), F.lit(" — "), text.markdown(s["feed"]))
+    lines = F.concat(F.array(F.concat(F.lit("## "), text.markdown("title")), F.lit("")), _points(F.col("points")), F.array(F.lit(""), F.lit("### Sources")), F.transform("sources", source), F.array(F.lit("")))
+    return _lines(stories, STORIES, F.col("place"), F.lit(0), lines)
+
+
+def group_lines(sections: DataFrame) -> DataFrame:
+    """``sections``: digest, group, group_place, place (1 the group's first), feed, removed, points, and articles (title, url, preview, published, points), null where the section is points alone."""
+    article = lambda x: F.concat(F.array(F.lit(""), F.concat(F.lit("#### "), _linked(text.markdown(x["title"]), x["url"]))), F.when(x["preview"], F.array(F.lit("Preview"))).otherwise(F.array().cast("array<string>")), F.array(F.concat(F.lit("Published: "), x["published"])), _points(x["points"]))
+    articles = F.when(F.size("articles") == 0, F.array(F.lit("No articles."))).otherwise(F.flatten(F.transform("articles", article)))
+    head = F.when(F.col("place") == 1, F.array(F.concat(F.lit("## "), "group"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    feed = F.array(F.concat(F.lit("### "), "feed", F.when(F.col("removed"), " (removed)").otherwise("")))
+    lines = F.concat(head, feed, F.when(F.col("articles").isNull(), _points(F.col("points"))).otherwise(articles), F.array(F.lit("")))
+    return _lines(sections, GROUPS, F.col("group_place"), F.col("place"), lines)
+
+
+def paid_lines(posts: DataFrame) -> DataFrame:
+    """``posts``: digest, place, newsletter, title, url. Newsletters stand in the order of their first post."""
+    names = posts.groupBy("digest", "newsletter").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    rows = posts.join(names, ["digest", "newsletter"])
+    before = F.when(F.col("place") == F.col("first"), F.array(F.concat(F.lit("### "), text.markdown("newsletter")))).otherwise(F.array().cast("array<string>"))
+    after = F.when(F.col("place") == F.col("last"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(before, F.array(F.concat(F.lit("- "), _linked(text.markdown("title"), F.col("url")))), after)
+    some = posts.select("digest").distinct()
+    head = _lines(some, PAID, F.lit(-1), F.lit(0), F.array(F.lit("## Paid posts"), F.lit("")))
+    foot = _lines(some, FOOT, F.lit(0), F.lit(0), F.array(F.lit(""), F.lit("These posts were not summarized because their full text is unavailable.")))
+    return head.unionByName(_lines(rows, PAID, F.col("first"), F.col("place"), lines)).unionByName(foot)
+
+
+def head_lines(digests: DataFrame) -> DataFrame:
+    """``digests``: digest, title, status, reason (null where it didn't fail)."""
+    reason = F.when(F.col("reason").isNotNull(), F.array(F.concat(F.lit("Failure reason: "), text.markdown("reason")))).otherwise(F.array().cast("array<string>"))
+    return _lines(digests, HEAD, F.lit(0), F.lit(0), F.concat(F.array(F.concat(F.lit("# "), "title"), F.concat(F.lit("Status: "), "status")), reason, F.array(F.lit(""))))
+
+
+def pages(lines: DataFrame, most: int = PAGE_BYTES) -> DataFrame:
+    """(digest, page from 0, markdown): a digest's lines in order, in pages of at most ``most`` bytes, line feeds included; empty lines at its end go.
+
+    A line longer than a page is cut between characters. Pages are filled by bytes from the first on, over ranges of the order, so a digest may have any number of stories and no row is larger than a page.
+    """
+    ends = lines.where("line <> ''").groupBy(F.col("digest").alias("__digest")).agg(F.max("at").alias("__last"))
+    left = lines.join(ends, F.col("digest").eqNullSafe(F.col("__digest"))).where("at <= __last").select("digest", "at", "line")
+    long = F.octet_length("line") > most - 1
+    cut = left.where(long).select("digest", "at", F.posexplode(udfs.utf8_split("line", F.lit(most - 1))).alias("piece", "line"))
+    rows = left.where(~long).withColumn("piece", F.lit(0)).select("digest", "at", "piece", "line").unionByName(cut)
+    rows = settled(rows.select("digest", F.struct("at", "piece").alias("at"), "line"), "lines")
+    fitted = folds.next_fit(rows.withColumn("size", F.octet_length("line") + 1), ["digest"], "at", "size", 2**31 - 1, most)
+    placed = fitted.select(F.col("digest").alias("__digest"), F.col("pos").alias("__at"), F.col("batch").alias("page"))
+    both = rows.join(placed, F.col("digest").eqNullSafe(F.col("__digest")) & (F.col("at") == F.col("__at")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    return both.groupBy("digest", "page").agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("markdown"))
+
+
+__all__ = ["analyzed", "group_lines", "head_lines", "pages", "paid_lines", "ranked_items", "stories", "story_lines", "top_stories"]

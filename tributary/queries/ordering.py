@@ -79,11 +79,12 @@ def earliest_owner(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("scope")).agg(F.min("c_custkey").alias("owner"), F.min_by("c_name", "c_custkey").alias("name"))
 
 
-@query("""SELECT 'personalized' AS part, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'include_all', doc_id FROM documents WHERE lang IN ('en', 'de') AND doc_id % 2 = 0""")
+@query("""SELECT 'personalized' AS part, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'include_all', doc_id FROM documents JOIN labels USING (doc_id) WHERE lang IN ('en', 'de') AND quality = 1""")
 def union_partitions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     a = docs.where("lang = 'en'").select(F.lit("personalized").alias("part"), "doc_id")
-    return a.unionByName(docs.where("lang IN ('en', 'de') AND doc_id % 2 = 0").select(F.lit("include_all").alias("part"), "doc_id"))
+    good = docs.where("lang IN ('en', 'de')").join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id")
+    return a.unionByName(good.select(F.lit("include_all").alias("part"), "doc_id"))
 
 
 @query("SELECT source FROM documents WHERE lang = 'fr' INTERSECT SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1")
