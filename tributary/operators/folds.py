@@ -78,3 +78,54 @@ def rotated(lines: DataFrame, partition: list[str], order: list[str], size: str,
         same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
     out = numbered.join(newest, same).select(*numbered.columns, "__newest")
     return out.withColumn("kept", F.col("file") >= F.col("__newest") - keep).drop("__newest")
+
+
+#: Limits of a scan: rounds, rounds without anything new, items.
+ROUNDS, STALLS, ITEMS = 72, 4, 5000
+
+
+def scan_stops(rounds: DataFrame, key: str, max_rounds: int = ROUNDS, max_stalls: int = STALLS, max_items: int = ITEMS) -> DataFrame:
+    """(key, stop_reason, stopped_at, items): where a scan of windows ends and why, from its log.
+
+    ``rounds``: round (from 0), added (new items that the window had), stop (the caller's condition, null is false), and of the move after it: moved, edge (the move signalled an edge that has to settle), at_edge (the scroller
+    stands at its real end, null where it can't tell). A round is judged in this order: condition, max_items; then, after ``max_stalls`` windows without anything new of which one was moved into, a move that fails proves the
+    boundary (once an edge has settled), one that succeeds short of the edge means no_progress; ``max_stalls`` failed moves in a row prove the boundary too; max_rounds ends the rest. A log that ends before has no reason.
+    Rounds beyond ``max_rounds`` don't count, so a key's rounds are bounded, and it is folded as one array.
+    """
+    one = F.struct("round", F.coalesce(F.col("added").cast("int"), F.lit(0)).alias("added"), *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("stop", "moved", "edge", "at_edge")])
+    logs = rounds.where(F.col("round") < max_rounds).groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("log"))
+    no, zero = F.lit(False), F.lit(0)
+    begin = F.struct(zero.alias("items"), no.alias("advanced"), no.alias("into"), zero.alias("idle"), no.alias("saw"), no.alias("early"), zero.alias("stall"), no.alias("settled"), F.lit(None).cast("string").alias("reason"), F.lit(-1).alias("at"))
+
+    def let(value: Column, body: Callable) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def judged(s: Column, r: Column) -> Column:
+        new, first = r["added"] > 0, (s["idle"] == 0) & ~s["advanced"]
+        items = F.least(s["items"] + r["added"], F.lit(max_items))
+        return F.struct(
+            items.alias("items"), s["advanced"].alias("advanced"), s["into"].alias("into"), F.when(new, 0).otherwise(s["idle"] + 1).alias("idle"), (~new & (s["saw"] | (s["advanced"] & s["into"]))).alias("saw"),
+            (~new & (s["early"] | first)).alias("early"), F.when(new, 0).otherwise(s["stall"]).alias("stall"), (~new & s["settled"]).alias("settled"),
+            F.when(r["stop"], "condition").when(new & (items >= max_items), "max_items").alias("reason"), r["round"].cast("int").alias("at"),
+        )
+
+    def moved_on(s: Column, r: Column) -> Column:
+        quiet = s["idle"] - s["early"].cast("int")
+        probe = s["advanced"] & (quiet >= max_stalls) & s["saw"]
+        settles = ~r["moved"] & r["edge"] & ~s["settled"]
+        # a move that succeeded proves nothing unless it reached the end
+        proved = F.when(settles, F.lit(None)).when(~r["moved"], "boundary").when(~r["at_edge"], "no_progress")
+        stall = F.when(probe | settles, 0).when((r["added"] == 0) & ~r["moved"], s["stall"] + 1).otherwise(0)
+        reason = F.when(probe, proved).when(stall >= max_stalls, "boundary")
+        reason = F.coalesce(reason, F.when(r["round"] + 1 >= max_rounds, "max_rounds"))
+        return F.struct(
+            s["items"].alias("items"), F.lit(True).alias("advanced"), r["moved"].alias("into"), s["idle"].alias("idle"), s["saw"].alias("saw"), s["early"].alias("early"), stall.alias("stall"),
+            F.when(r["moved"], False).otherwise(s["settled"] | settles).alias("settled"), reason.alias("reason"), s["at"].alias("at"),
+        )
+
+    def step(s: Column, r: Column) -> Column:
+        now = let(judged(s, r), lambda j: F.when(j["reason"].isNotNull(), j).otherwise(moved_on(j, r)))
+        return F.when(s["reason"].isNotNull(), s).otherwise(now)
+
+    end = F.aggregate("log", begin.cast("struct<items:int,advanced:boolean,into:boolean,idle:int,saw:boolean,early:boolean,stall:int,settled:boolean,reason:string,at:int>"), step)
+    return logs.select(key, end.alias("end")).select(key, F.col("end.reason").alias("stop_reason"), F.col("end.at").alias("stopped_at"), F.col("end.items").alias("items"))

@@ -76,22 +76,30 @@ def log_rotation(spark, sf_dir):
     return folds.rotated(lines, ["host"], ["page_id"], "size", 20000)
 
 
-@query("""WITH r AS (SELECT conv_id, turn, cast(turn % 4 AS INTEGER) AS round_items FROM conversations),
-    f AS (SELECT conv_id, turn, round_items, sum(round_items) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seen FROM r),
-    m AS (SELECT conv_id, min(turn) FILTER (WHERE seen >= 9) AS full_at, min(turn) FILTER (WHERE round_items = 0 AND turn > 0) AS idle_at, max(turn) AS last FROM f GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN full_at IS NOT NULL AND (idle_at IS NULL OR full_at <= idle_at) THEN 'max_items' WHEN idle_at IS NOT NULL THEN 'no_progress' ELSE 'condition' END AS stop_reason,
-      coalesce(least(full_at, idle_at), last) AS stopped_at FROM m""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, event_id AS k, event_type FROM events),
+    l AS (SELECT user_id, r, CASE WHEN user_id % 3 = 0 THEN CASE WHEN r < 2 THEN 3 ELSE 0 END ELSE k % 4 * (CASE WHEN user_id % 5 = 0 THEN 4 ELSE 1 END) * (CASE WHEN r % 3 = 0 THEN 1 ELSE 0 END) END AS added, k % 41 = 0 AS stop,
+      CASE WHEN user_id % 7 = 0 THEN r < 3 ELSE event_type <> 'click' END AS moved, k % 5 = 0 AS edge, k % 3 = 0 AS at_edge FROM e WHERE r < 9),
+    f AS (SELECT user_id, -1 AS r, 0 AS items, false AS advanced, false AS into_new, 0 AS idle, false AS saw, false AS early, 0 AS stall, false AS settled, NULL::VARCHAR AS reason FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL SELECT user_id, r, items, CASE WHEN reason IS NULL THEN true ELSE advanced END, moved, idle, saw, early, stall2, CASE WHEN moved THEN false ELSE settled OR settles END,
+        coalesce(reason, CASE WHEN probe THEN CASE WHEN settles THEN NULL WHEN NOT moved THEN 'boundary' WHEN NOT at_edge THEN 'no_progress' END WHEN stall2 >= 2 THEN 'boundary' END, CASE WHEN r + 1 >= 9 THEN 'max_rounds' END)
+      FROM (SELECT *, CASE WHEN probe OR settles THEN 0 WHEN added = 0 AND NOT moved THEN stall + 1 ELSE 0 END AS stall2 FROM (
+        SELECT *, advanced AND idle - early::INTEGER >= 2 AND saw AS probe, NOT moved AND edge AND NOT settled AS settles FROM (
+          SELECT l.user_id, l.r, l.added, l.moved, l.edge, l.at_edge, least(f.items + l.added, 25)::INTEGER AS items, f.advanced, CASE WHEN l.added > 0 THEN 0 ELSE f.idle + 1 END AS idle, l.added = 0 AND (f.saw OR (f.advanced AND f.into_new)) AS saw,
+            l.added = 0 AND (f.early OR (f.idle = 0 AND NOT f.advanced)) AS early, CASE WHEN l.added > 0 THEN 0 ELSE f.stall END AS stall, l.added = 0 AND f.settled AS settled, CASE WHEN l.stop THEN 'condition' WHEN l.added > 0 AND f.items + l.added >= 25 THEN 'max_items' END AS reason
+          FROM f JOIN l ON l.user_id = f.user_id AND l.r = f.r + 1 WHERE f.reason IS NULL))))
+    SELECT user_id, arg_max(reason, r) FILTER (WHERE reason IS NOT NULL) AS stop_reason, max(r)::INTEGER AS stopped_at, arg_max(items, r) AS items FROM f GROUP BY user_id""")
 def scan_stop_reason(spark, sf_dir):
-    """A scan's round log: the first of the caps that is met ends it."""
+    """Every user's events as the round log of a scan: nine rounds, two stalls and 25 items at most."""
     from pyspark.sql import Window
 
-    items = F.col("turn") % 4
-    seen = F.sum(items).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    rounds = table(spark, sf_dir, "conversations").select("conv_id", "turn", items.alias("n"), seen.alias("seen"))
-    m = rounds.groupBy("conv_id").agg(F.min(F.when(F.col("seen") >= 9, F.col("turn"))).alias("full_at"), F.min(F.when((F.col("n") == 0) & (F.col("turn") > 0), F.col("turn"))).alias("idle_at"), F.max("turn").alias("last"))
-    full = F.col("full_at").isNotNull() & (F.col("idle_at").isNull() | (F.col("full_at") <= F.col("idle_at")))
-    reason = F.when(full, "max_items").when(F.col("idle_at").isNotNull(), "no_progress").otherwise("condition")
-    return m.select("conv_id", reason.alias("stop_reason"), F.coalesce(F.least("full_at", "idle_at"), "last").alias("stopped_at"))
+    k, u = F.col("event_id"), F.col("user_id")
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", r.alias("round"))
+    busy = k % 4 * F.when(u % 5 == 0, 4).otherwise(1) * F.when(F.col("round") % 3 == 0, 1).otherwise(0)
+    added = F.when(u % 3 == 0, F.when(F.col("round") < 2, 3).otherwise(0)).otherwise(busy)
+    moved = F.when(u % 7 == 0, F.col("round") < 3).otherwise(F.col("event_type") != "click")
+    log = rows.select("user_id", "round", added.alias("added"), (k % 41 == 0).alias("stop"), moved.alias("moved"), (k % 5 == 0).alias("edge"), (k % 3 == 0).alias("at_edge"))
+    return folds.scan_stops(log, "user_id", 9, 2, 25)
 
 
 @query("""WITH w AS (SELECT conv_id, list(role ORDER BY turn) AS a FROM conversations GROUP BY conv_id),
