@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from . import udfs
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -26,14 +28,15 @@ def slug(x: str | Column) -> Column:
 
 
 def interest_label(x: str | Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(_c(x), f"[{WHITE}]+", " ")))
+    """NFKC, white space collapsed and left out at the ends, lower case."""
+    return F.lower(F.trim(F.regexp_replace(udfs.nfkc(_c(x)), f"[{WHITE}]+", " ")))
 
 
 def clean_labels(x: str | Column, most: int = 200) -> Column:
-    """Trimmed labels of 1 to ``most`` characters, of equal ones (by ``interest_label``) the first spelling."""
+    """Trimmed labels of 1 to ``most`` characters, of equal ones (by NFKC and lower case) the first spelling."""
     ok = F.filter(F.transform(_c(x), stripped), lambda v: (F.char_length(v) >= 1) & (F.char_length(v) <= most))
     # (key, place, spelling) in order: the first of each key is the first spelling, and its place gives the order back
-    keyed = F.array_sort(F.transform(ok, lambda v, i: F.struct(interest_label(v).alias("key"), i.alias("i"), v.alias("v"))))
+    keyed = F.array_sort(F.zip_with(ok, F.transform(udfs.nfkc_each(ok), lambda v, i: F.struct(F.lower(v).alias("key"), i.alias("i"))), lambda v, k: F.struct(k["key"].alias("key"), k["i"].alias("i"), v.alias("v"))))
     pairs = F.zip_with(keyed, F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(keyed, 1, F.greatest(F.size(keyed) - 1, F.lit(0))), lambda k: k["key"])), lambda k, before: F.struct(k["i"].alias("i"), k["v"].alias("v"), (before.isNull() | (before != k["key"])).alias("new")))
     return F.transform(F.array_sort(F.filter(pairs, lambda p: p["new"] & p["v"].isNotNull())), lambda p: p["v"])
 
@@ -131,9 +134,11 @@ def redact(x: str | Column, most: int = 500) -> Column:
 
 
 def cleaned_json(x: str | Column) -> Column:
-    """A model's answer without its <think> part and code fence, trimmed."""
-    out = F.regexp_replace(_c(x), r"<think>[\s\S]*?</think>", "")
-    return F.trim(F.regexp_replace(out, r"^\s*```(json)?\s*|\s*```\s*$", ""))
+    """A model's answer as JSON: without its <think> parts, of a code fence what stands in it, trimmed and repaired; null where nothing makes it JSON, or nothing is left."""
+    bare = stripped(F.regexp_replace(_c(x), r"(?i)<think>[\s\S]*?</think>", ""))
+    fence = r"```(?:json)?\s*([\s\S]*?)```"
+    inner = F.when(bare.rlike(fence), stripped(F.regexp_extract(bare, fence, 1))).otherwise(bare)
+    return udfs.repaired_json(F.nullif(inner, F.lit("")))
 
 
 def compact_count(x: str | Column) -> Column:

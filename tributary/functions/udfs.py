@@ -12,6 +12,91 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_each(x: pd.Series) -> pd.Series:
+    """NFKC of every text of an array; nulls stay."""
+    import unicodedata
+
+    return x.map(lambda texts: None if texts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in texts])
+
+
+def _repaired(text: str | None) -> str | None:
+    """``text`` as JSON, or None where no repair makes it so: quotes of either kind, keys and words without quotes, comments, commas too many, and what is still open at the end closed."""
+    import json
+    import re
+
+    if text is None:
+        return None
+    try:
+        json.loads(text)
+        return text
+    except ValueError:
+        pass
+    words = {"true": "true", "false": "false", "null": "null", "True": "true", "False": "false", "None": "null", "undefined": "null"}
+    out, open_, i = [], [], 0
+
+    def no_comma() -> None:
+        while out and (out[-1] == "," or out[-1].isspace()):
+            out.pop()
+        if out and out[-1] == ":":
+            out.append("null")
+
+    while i < len(text):
+        c = text[i]
+        if c in "\"'":
+            j, part = i + 1, []
+            while j < len(text) and text[j] != c:
+                if text[j] == "\\" and j + 1 < len(text):
+                    part.append(text[j + 1] if text[j + 1] == "'" else text[j : j + 2])
+                    j += 2
+                else:
+                    part.append('\\"' if text[j] == '"' else text[j])
+                    j += 1
+            out.append('"' + re.sub(r"[\x00-\x1f]", lambda m: json.dumps(m[0])[1:-1], "".join(part)) + '"')
+            i = j + 1
+        elif c in "{[":
+            out.append(c)
+            open_.append("}" if c == "{" else "]")
+            i += 1
+        elif c in "}]":
+            if c in open_:
+                while True:
+                    no_comma()
+                    last = open_.pop()
+                    out.append(last)
+                    if last == c:
+                        break
+            i += 1
+        elif text.startswith(("//", "/*"), i):
+            end = text.find("\n" if text[i + 1] == "/" else "*/", i + 2)
+            i = len(text) if end < 0 else end + (1 if text[i + 1] == "/" else 2)
+        elif c in ",:" or c.isspace():
+            out.append(c)
+            i += 1
+        else:
+            m = re.compile(r"[^\s,:{}\[\]\"']+").match(text, i)
+            word = m[0]
+            number = re.fullmatch(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", word)
+            out.append(words.get(word, word if number else json.dumps(word)))
+            i = m.end()
+    no_comma()
+    while open_:
+        no_comma()
+        out.append(open_.pop())
+    fixed = "".join(out)
+    try:
+        json.loads(fixed)
+        return fixed
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(StringType())
+def repaired_json(x: pd.Series) -> pd.Series:
+    """The text as JSON where it is, or small repairs make it so; else null."""
+    return x.map(_repaired)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def utf8_split(x: pd.Series, n: pd.Series) -> pd.Series:
     """Pieces of at most n bytes, cut between characters; an empty text is one empty piece, a character longer than n a piece of its own."""

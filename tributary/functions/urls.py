@@ -74,3 +74,10 @@ def target_url(t: Column) -> Column:
 def target_feed(t: Column) -> Column:
     k = t.getField("kind")
     return F.when(k == "following", "x:following").otherwise(F.concat(F.lit("x:"), k, F.lit(":"), t.getField("id")))
+
+
+def link_target(href: str | Column) -> Column:
+    """(kind, id) of a link as a page has it: control characters and other origins are refused, a path stands on the origin, query and fragment don't count."""
+    u = _c(href)
+    whole = F.when(u.rlike("^/(?!/)"), F.concat(F.lit("https://x.com"), u)).when(u.rlike("(?i)^https://x[.]com(?::443)?(?:[/?#]|$)"), F.regexp_replace(u, "(?i)^https://x[.]com(?::443)?", "https://x.com"))
+    return F.when(~u.rlike(r"[\x00-\x1f\x7f]"), target(F.regexp_replace(whole, "[?#][\\s\\S]*$", "")))

@@ -15,6 +15,25 @@ def missing_keys(expected: DataFrame, present: DataFrame, on: list[str]) -> Data
     return expected.join(present.select(*on), on, "left_anti")
 
 
+def entitled(posts: DataFrame, lookups: DataFrame, id_col: str, publication: str) -> DataFrame:
+    """``posts`` with entitlement: denied where the lookup found nothing, else full. ``lookups``: ``asked`` (the id that was asked for), and the id and publication that came back; one that differs from the post's is an error."""
+    found = lookups.select("asked", F.col(id_col).alias("__id"), F.col(publication).alias("__of"))
+    both = posts.join(found, posts[id_col] == found["asked"], "left")
+    other = ~F.col("__id").eqNullSafe(F.col(id_col)) | ~F.col("__of").eqNullSafe(F.col(publication))
+    wrong = F.raise_error(F.concat(F.lit("another post came back for "), F.col(id_col).cast("string")))
+    return both.withColumn("entitlement", F.when(F.col("asked").isNull(), "denied").when(other, wrong).otherwise("full")).drop("asked", "__id", "__of")
+
+
+def reused_points(selected: DataFrame, current: DataFrame, history: DataFrame, on: list[str], order: list[Column]) -> DataFrame:
+    """``selected`` with points and origin: of the current digest where it has the same versions (``on``), else the newest (by ``order``) of the history, else null (to be summarised)."""
+    w = Window.partitionBy(*on).orderBy(*order)
+    newest = history.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*on, F.col("points").alias("__past"))
+    mine = current.select(*on, F.col("points").alias("__now"))
+    both = selected.join(mine, on, "left").join(newest, on, "left")
+    origin = F.when(F.col("__now").isNotNull(), "current").when(F.col("__past").isNotNull(), "history")
+    return both.withColumn("points", F.coalesce("__now", "__past")).withColumn("origin", origin).drop("__now", "__past")
+
+
 def tuple_lookup(requests: DataFrame, cache: DataFrame, on: list[str]) -> DataFrame:
     """Cache rows for the requested tuples, with the requests' own order (column ordinal); misses have nulls."""
     return requests.join(cache, on, "left")

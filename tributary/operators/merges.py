@@ -134,3 +134,16 @@ def story_versions(stories: DataFrame, developments: DataFrame, members: DataFra
     bump = own | F.coalesce("changed", F.lit(False))
     stories_out = s.select("story", F.when(new, F.col("n_title")).otherwise(F.col("title")).alias("title"), F.when(new, F.col("n_labels")).otherwise(F.col("labels")).alias("labels"), F.when(~known, 1).otherwise(F.col("version") + F.when(bump, 1).otherwise(0)).alias("version"))
     return stories_out, devs_out, members_out
+
+
+def warmed(sources: DataFrame, events: DataFrame, key: str, event: str, threshold: int) -> DataFrame:
+    """(key, negatives, graduated, graduated_by) of the sources that events name: each different event counts once, while the source is still warm (its count below ``threshold``); the event that reaches the threshold ends the warmup.
+
+    ``sources``: the key and its ``negatives`` so far; events of unknown sources count nothing. No more than ``threshold`` events of a source are looked at one by one.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(event))
+    first = events.select(key, event).distinct().withColumn("__k", place).where(F.col("__k") <= threshold)
+    both = first.join(sources.select(key, F.col("negatives").alias("__before")), key)
+    at = F.col("__before") + F.col("__k")
+    out = both.groupBy(key).agg(F.max("__before").alias("__before"), F.count_if(at <= threshold).alias("__more"), F.min(F.when(at == threshold, F.col(event))).alias("graduated_by"))
+    return out.select(key, (F.col("__before") + F.col("__more")).cast("long").alias("negatives"), F.col("graduated_by").isNotNull().alias("graduated"), "graduated_by")

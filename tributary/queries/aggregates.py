@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import usage
+from ..operators import merges, usage
 from ..registry import query
 from ..sources.tables import EVENT_ITEMS, event_items, table
 from .scans import DAY, START
@@ -164,11 +164,24 @@ def all_equal_author(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("story")).agg(F.when(same, F.min("l_returnflag")).alias("author"))
 
 
-@query("""SELECT source, count(DISTINCT doc_id) AS negatives, count(DISTINCT doc_id) >= 2 AS graduated FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY source""")
+@query("""WITH n AS (SELECT DISTINCT source, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 0), r AS (SELECT *, length(source) % 3 AS before, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM n)
+    SELECT source, (before + count(*) FILTER (WHERE before + k <= 5))::BIGINT AS negatives, bool_or(before + k = 5) AS graduated, min(doc_id) FILTER (WHERE before + k = 5) AS graduated_by FROM r GROUP BY source, before""")
 def warmup_graduation(spark, sf_dir):
-    negative = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
-    out = table(spark, sf_dir, "documents").join(negative, "doc_id").groupBy("source").agg(F.countDistinct("doc_id").alias("negatives"))
-    return out.withColumn("graduated", F.col("negatives") >= 2)
+    """Each bad document is an event; a source counts it while it is warm, up to five, some having counted before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id")
+    sources = d.select("source", (F.char_length("source") % 3).alias("negatives")).distinct()
+    return merges.warmed(sources, d, "source", "doc_id", 5)
+
+
+@query("""SELECT l_suppkey AS source, l_returnflag AS feed, CASE WHEN max(max(l_quantity)) OVER (PARTITION BY l_suppkey) > 49 THEN 'connector deadline exceeded' WHEN l_returnflag = 'N' AND l_suppkey % 4 = 0 THEN 'refused' WHEN bool_or(l_discount > 0.095) THEN 'an invalid item' END AS failure,
+    CASE WHEN max(max(l_quantity)) OVER (PARTITION BY l_suppkey) > 49 OR (l_returnflag = 'N' AND l_suppkey % 4 = 0) OR bool_or(l_discount > 0.095) THEN 0 ELSE count(*) END AS fetched FROM lineitem GROUP BY l_suppkey, l_returnflag""")
+def ingest_isolation(spark, sf_dir):
+    """A source's feeds by return flag: late sources fail whole, refused feeds and those with an invalid item alone."""
+    from ..operators import discovery
+
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("feed"), "l_quantity", (F.col("l_discount") > 0.095).alias("bad"))
+    runs = l.groupBy("source", "feed").agg(F.max("l_quantity").alias("took_ms")).withColumn("error", F.when((F.col("feed") == "N") & (F.col("source") % 4 == 0), "refused"))
+    return discovery.ingested(l, runs, 49)[0]
 
 
 @query("""SELECT l_orderkey AS run, CASE WHEN bool_and(l_returnflag = 'R') THEN 'failed' WHEN bool_or(l_returnflag = 'R') THEN 'partial' ELSE 'complete' END AS status FROM lineitem GROUP BY l_orderkey""")

@@ -165,8 +165,10 @@ def neighbor_bounds(spark, sf_dir):
     LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey) l ON p_partkey = l_partkey""")
 def entitlement_lookup_join(spark, sf_dir):
     p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    joined = p.join(l, p.p_partkey == l.l_partkey, "left")
-    return joined.select(F.col("p_partkey").alias("post_id"), F.when(F.col("n").isNull(), "denied").otherwise("full").alias("entitlement"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    lookups = l.select(F.col("l_partkey").alias("asked"), F.col("l_partkey").alias("post_id"), F.lit("p").alias("publication"), "n")
+    posts = p.select(F.col("p_partkey").alias("post_id"), F.lit("p").alias("publication"))
+    found = joins.entitled(posts, lookups, "post_id", "publication")
+    return found.join(lookups.select("post_id", "n"), "post_id", "left").select("post_id", "entitlement", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query(f"""WITH {EVENT_ITEMS}, ref AS (SELECT feed_id AS key, max(date_ms) AS last_ms FROM items WHERE feed_id <> 'view' GROUP BY feed_id),

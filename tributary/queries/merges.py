@@ -43,7 +43,7 @@ def upsert_analysis(spark, sf_dir):
     SELECT user_id, period, arg_min(id, at * 1000000 + id) AS digest, arg_max(status, at * 1000000 + id) AS status, min(at) AS created_at, max(at) AS updated_at FROM o GROUP BY 1, 2""")
 def upsert_digest(spark, sf_dir):
     """Two batches, the halves of the months: a digest keeps the id and the time that it was made with, and takes the last status."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.trunc("o_orderdate", "month").alias("period"), F.col("o_orderkey").alias("digest"), F.col("o_orderstatus").alias("status"), F.unix_millis("o_orderdate").alias("at"), (F.dayofmonth("o_orderdate") > 15).alias("second"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.trunc("o_orderdate", "month").alias("period"), F.col("o_orderkey").alias("digest"), F.col("o_orderstatus").alias("status"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("at"), (F.dayofmonth("o_orderdate") > 15).alias("second"))
     keys = ["user_id", "period"]
     none = spark.createDataFrame([], "user_id long, period date, digest long, status string, created_at long, updated_at long")
     first = merges.upsert_periods(none, o.where("NOT second"), keys, "digest", "status", "at")

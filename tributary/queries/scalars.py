@@ -26,10 +26,10 @@ def slug_key(spark, sf_dir):
 WHITE_SQL = "concat(" + ", ".join(f"chr({ord(c)})" for c in text.WHITE) + ")"
 
 
-@query(f"""SELECT doc_id, lower(trim(regexp_replace(concat(chr(9), chr(160), text, chr(8195), chr(10)), concat('[', {WHITE_SQL}, ']+'), ' ', 'g'))) AS label FROM documents""")
+@query(f"""SELECT doc_id, lower(trim(regexp_replace(concat(chr(9), chr(160), text, chr(8195), chr(10)), concat('[', {WHITE_SQL}, ']+'), ' ', 'g'))) AS label FROM (SELECT doc_id, concat('fiAB 1/2', text) AS text FROM documents)""")
 def interest_label(spark, sf_dir):
-    """Every text between a tab, a no-break space, a wide space and a line feed."""
-    framed = F.concat(F.lit("\t\u00a0"), "text", F.lit("\u2003\n"))
+    """Every text between a tab, a no-break space, a wide space and a line feed, after a ligature, wide letters and a fraction."""
+    framed = F.concat(F.lit("\t\u00a0\ufb01\uff21\uff22\u30001/2"), "text", F.lit("\u2003\n"))
     return docs(spark, sf_dir).select("doc_id", text.interest_label(framed).alias("label"))
 
 
@@ -331,11 +331,37 @@ def client_address(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", dates.client_address(hops, F.lit("direct"), 1).alias("client")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, concat('{"id":', doc_id, '}') AS json, doc_id AS id FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN doc_id END AS id, CASE WHEN doc_id % 7 < 6 THEN source END AS source, CASE WHEN doc_id % 7 < 6 THEN CASE WHEN doc_id % 7 = 4 THEN 1 ELSE 2 END END AS parts FROM documents""")
 def json_cleanup(spark, sf_dir):
-    raw = F.concat(F.lit("<think>\nhm\n</think>\n```json\n{\"id\":"), F.col("doc_id").cast("string"), F.lit("}\n```\n"))
-    clean = text.cleaned_json(raw)
-    return docs(spark, sf_dir).select("doc_id", clean.alias("json"), F.get_json_object(clean, "$.id").cast("long").alias("id"))
+    """Answers in seven forms: fenced, with a comma too many, in single quotes, without quotes, cut off, with a comment, and none."""
+    n, src = F.col("doc_id").cast("string"), F.col("source")
+    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    forms = F.array(
+        c("<THINK>\nhm {\n</THINK>\n```json\n{\"id\":", n, ",\"source\":\"", src, "\",\"parts\":[\"a\",\"b\"]}\n```\nThere."), c("{\"id\":", n, ",\"source\":\"", src, "\",\"parts\":[\"a\",\"b\",],}"), c("{'id':", n, ",'source':'", src, "','parts':['a','b\"']}"),
+        c("{id:", n, ",source:", src, ",parts:[a,b]}"), c("{\"id\":", n, ",\"source\":\"", src, "\",\"parts\":[\"a"), c("{\"id\":", n, ", // the id\n\"source\":\"", src, "\",/* two */\"parts\":[True,None]}"), c("no: {json", n),
+    )
+    clean = text.cleaned_json(F.get(forms, (F.col("doc_id") % 7).cast("int")))
+    at = lambda path: F.get_json_object("json", path)
+    rows = docs(spark, sf_dir).select("doc_id", clean.alias("json"))
+    return rows.select("doc_id", at("$.id").cast("long").alias("id"), at("$.source").alias("source"), F.json_array_length(at("$.parts")).alias("parts"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:\\s]+)', 1)), '[^a-z0-9]', '-', 'g') AS host FROM pages),
+    l AS (SELECT page_id AS place, CASE page_id % 6 WHEN 0 THEN 'x:following' WHEN 1 THEN concat('x:list:', 1 + page_id % 50) WHEN 2 THEN concat('x:chat:', host) WHEN 3 THEN concat('x:list:', 1 + page_id % 50) END AS feed, CASE page_id % 6 WHEN 0 THEN 'Following' WHEN 2 THEN concat('Chat ', host) ELSE concat('List ', 1 + page_id % 50) END AS own,
+      CASE WHEN page_id % 5 = 0 THEN concat('Name ', page_id) END AS name FROM p WHERE page_id % 6 < 4),
+    f AS (SELECT feed, CASE WHEN feed LIKE 'x:chat:%' THEN 'discussion' ELSE 'news' END AS kind, coalesce(arg_min(name, place) FILTER (WHERE name IS NOT NULL), any_value(own)) AS name, min(place) AS first FROM l GROUP BY feed)
+    SELECT *, row_number() OVER (ORDER BY feed = 'x:following' DESC, kind DESC, name, feed) AS menu FROM f""")
+def discover_links(spark, sf_dir):
+    """Links of six forms: the home page, lists, chats, lists by full address with a query, another origin, and one with a control character."""
+    from ..operators import discovery, positions
+
+    n, host = F.col("page_id"), F.regexp_replace(urls.host("url"), "[^a-z0-9]", "-")
+    number = (1 + n % 50).cast("string")
+    c = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    forms = F.array(c("/home#top"), c("/i/lists/", number), c("https://X.com:443/i/chat/", host, "?a=/"), c("https://x.com/i/lists/", number, "?x#y"), c("https://x.com.test/i/lists/", number), c("/i/lists/", number, "\t"))
+    name = F.when(n % 5 == 0, c(" \t Name\n", n.cast("string"), " ")).when(n % 5 == 1, " ")
+    links = table(spark, sf_dir, "pages").select(n.alias("place"), F.get(forms, (n % 6).cast("int")).alias("href"), name.alias("name"))
+    return positions.numbered(discovery.discovered(links), discovery.menu_order(), "menu")
 
 
 @query(f"WITH {EVENT_ITEMS} SELECT item_id, concat(feed_id, ':', author) AS k FROM items WHERE length(author) > 1")

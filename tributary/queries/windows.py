@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import units
+from ..operators import joins, units
 from ..registry import query
 from ..sources.tables import EVENT_ITEMS, event_items, table
 from .scans import DAY, START
@@ -29,6 +29,19 @@ def reusable_points(spark, sf_dir):
     return rows.select(F.col("o_custkey").alias("story"), F.col("o_orderstatus").alias("story_version"), F.col("o_orderpriority").alias("profile_version"), F.col("o_orderkey").alias("points"))
 
 
+@query("""WITH o AS (SELECT o_custkey AS story, o_orderstatus AS story_version, o_orderpriority AS profile_version, o_orderkey AS points, o_orderdate AS made FROM orders), w AS (SELECT DISTINCT story, story_version, profile_version FROM o),
+    cur AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY story ORDER BY made DESC, points DESC) = 1),
+    past AS (SELECT * FROM o WHERE made < TIMESTAMP '1999-01-01' QUALIFY row_number() OVER (PARTITION BY story, story_version, profile_version ORDER BY made DESC, points DESC) = 1)
+    SELECT w.*, coalesce(c.points, p.points) AS points, CASE WHEN c.points IS NOT NULL THEN 'current' WHEN p.points IS NOT NULL THEN 'history' END AS origin FROM w LEFT JOIN cur c USING (story, story_version, profile_version) LEFT JOIN past p USING (story, story_version, profile_version)""")
+def current_then_reusable(spark, sf_dir):
+    """Points of the current digest (a story's last order) first, then the newest of old digests with the same versions."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("story"), F.col("o_orderstatus").alias("story_version"), F.col("o_orderpriority").alias("profile_version"), F.col("o_orderkey").alias("points"), F.col("o_orderdate").alias("at"))
+    on = ["story", "story_version", "profile_version"]
+    order = [F.desc("at"), F.desc("points")]
+    current = units.latest(o, ["story"], order)
+    return joins.reused_points(o.select(*on).distinct(), current, o.where(F.col("at") < F.lit("1999-01-01").cast("timestamp")), on, order)
+
+
 def discussion(spark, sf_dir):
     """Events as messages: a third have no thread; the scope is the user."""
     return event_items(spark, sf_dir).select(
