@@ -70,7 +70,32 @@ def test_quality(spark):
 
 
 def test_attention_gradient():
-    """One step on one document lowers its loss, whichever parameter moves."""
+    """Every parameter's gradient against central differences of the loss."""
+    rng = np.random.default_rng(3)
+    f, h, g = 6, quality.HIDDEN, quality.GATE
+    m = {"W": rng.normal(0, 0.4, (f, h)), "b": rng.normal(0, 0.2, h), "V": rng.normal(0, 0.4, (h, g)), "U": rng.normal(0, 0.4, (h, g)), "w": rng.normal(0, 1.0, g), "c": rng.normal(0, 0.5, h), "d": np.array([0.1])}
+    doc, y = np.array([0, 0, 0, 1, 2, 2, 3]), np.array([1.0, 0.0, 1.0, 0.0])
+    x, weight = rng.standard_normal((len(doc), f)), np.array([0.5, 2.0, 1.0, 0.7])
+
+    def loss():
+        *_, p = quality._forward(m, x, doc, len(y))
+        return float((weight * -(y * np.log(p) + (1 - y) * np.log(1 - p))).mean() + quality.DECAY / 2 * ((m["W"] ** 2).sum() + (m["c"] ** 2).sum()))
+
+    found = quality.gradients(m, x, doc, y, weight)
+    assert found.keys() == m.keys()
+    for name, value in m.items():
+        flat, slope = value.reshape(-1), found[name].reshape(-1)
+        for k in rng.permutation(len(flat))[:12]:
+            was = flat[k]
+            flat[k] = was + 1e-5
+            up = loss()
+            flat[k] = was - 1e-5
+            down = loss()
+            flat[k] = was
+            assert abs((up - down) / 2e-5 - slope[k]) < 1e-7, name
+
+
+def test_attention_learns():
     texts = ["a b c", "A!! B!! C!! D!!"] * 30
     y = np.array([1.0, 0.0] * 30)
     model = dict(np.load(__import__("io").BytesIO(quality.train(texts, y, epochs=30))))

@@ -22,6 +22,8 @@ PAIRS_LOG2 = 5
 HIDDEN, GATE = 24, 12
 #: Labelled documents that training uses at most, by label.
 MOST = {1: 6000, 0: 6000}
+#: Bytes of a document that may teach (longer ones are scored, but don't teach), so that the one training task is bounded; and the weight decay.
+TAUGHT_BYTES, DECAY = 1 << 18, 1e-4
 EPOCHS, BATCH = 40, 256
 
 _CLASSES = np.zeros(256, np.uint8)
@@ -97,6 +99,22 @@ def _forward(m: dict[str, np.ndarray], x: np.ndarray, document: np.ndarray, docs
     return hidden, tanh, gate, a, z, sigmoid(z @ m["c"] + m["d"][0])
 
 
+def gradients(m: dict[str, np.ndarray], x: np.ndarray, doc: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean weighted log loss (with the weight decay of W and c), by parameter, for passages ``x`` of documents 0, 1, ... with ``labels``."""
+    n = len(labels)
+    hidden, tanh, gate, a, z, p = _forward(m, x, doc, n)
+    d_logit = (p - labels) * weight / n
+    dz = d_logit[:, None] * m["c"]
+    da = (dz[doc] * hidden).sum(1)
+    dh = a[:, None] * dz[doc]
+    ds = a * (da - np.bincount(doc, a * da, n)[doc])
+    dtg = ds[:, None] * m["w"]
+    dt, dg = dtg * gate * (1 - tanh**2), dtg * tanh * gate * (1 - gate)
+    dh += dt @ m["V"].T + dg @ m["U"].T
+    pre = dh * (1 - hidden**2)
+    return {"W": x.T @ pre + DECAY * m["W"], "b": pre.sum(0), "V": hidden.T @ dt, "U": hidden.T @ dg, "w": (tanh * gate).T @ ds, "c": z.T @ d_logit + DECAY * m["c"], "d": np.array([d_logit.sum()])}
+
+
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> bytes:
     """The model as an .npz, by Adam on the log loss, each label with half the weight."""
     rng = np.random.default_rng(seed)
@@ -123,24 +141,15 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             rows = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in pick])
             doc = np.repeat(np.arange(len(pick)), edge[pick + 1] - edge[pick])
             xb = np.clip(x[rows].astype(np.float64), -8, 8)
-            hidden, tanh, gate, a, z, p = _forward(m, xb, doc, len(pick))
-            d_logit = (p - labels[pick]) * balance[pick] / len(pick)
-            dz = d_logit[:, None] * m["c"]
-            da = (dz[doc] * hidden).sum(1)
-            dh = a[:, None] * dz[doc]
-            ds = a * (da - np.bincount(doc, a * da, len(pick))[doc])
-            dtg = ds[:, None] * m["w"]
-            dt, dg = dtg * gate * (1 - tanh**2), dtg * tanh * gate * (1 - gate)
-            dh += dt @ m["V"].T + dg @ m["U"].T
-            pre = dh * (1 - hidden**2)
-            adam.step({"W": xb.T @ pre + 1e-4 * m["W"], "b": pre.sum(0), "V": hidden.T @ dt, "U": hidden.T @ dg, "w": (tanh * gate).T @ ds, "c": z.T @ d_logit + 1e-4 * m["c"], "d": np.array([d_logit.sum()])})
+            adam.step(gradients(m, xb, doc, labels[pick], balance[pick]))
     out = io.BytesIO()
     np.savez(out, mean=mean, spread=spread_, **m)
     return out.getvalue()
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes:
-    """A model from at most MOST labelled documents; ``allowed`` is a condition on the ids that may teach. Without labels of both kinds scores say nothing."""
+    """A model from at most MOST labelled documents of at most TAUGHT_BYTES each; ``allowed`` is a condition on the ids that may teach. Without labels of both kinds scores say nothing."""
+    docs = docs.where(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) <= TAUGHT_BYTES)
     return fit_in_task(sample(docs, labels, MOST, id_col, text_col, label_col, allowed), train)
 
 
