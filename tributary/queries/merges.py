@@ -39,8 +39,8 @@ def upsert_analysis(spark, sf_dir):
     return merges.upsert_items(d, new, ["item"], ["analysis"], "at").select("item", "analysis")
 
 
-@query("""WITH o AS (SELECT o_custkey AS user_id, date_trunc('month', o_orderdate)::DATE AS period, o_orderkey AS id, o_orderstatus AS status, epoch_ms(o_orderdate) AS at, day(o_orderdate) > 15 AS second FROM orders)
-    SELECT user_id, period, arg_min(id, at * 1000000 + id) AS digest, arg_max(status, at * 1000000 + id) AS status, min(at) AS created_at, max(at) AS updated_at FROM o GROUP BY 1, 2""")
+@query("""WITH o AS (SELECT o_custkey AS user_id, date_trunc('month', o_orderdate)::DATE AS period, o_orderkey AS id, o_orderstatus AS status, epoch_ms(o_orderdate) AS made, day(o_orderdate) > 15 AS second FROM orders)
+    SELECT user_id, period, arg_min(id, made * 1000000 + id) AS digest, arg_max(status, made * 1000000 + id) AS status, min(made) AS created_at, max(made) AS updated_at FROM o GROUP BY 1, 2""")
 def upsert_digest(spark, sf_dir):
     """Two batches, the halves of the months: a digest keeps the id and the time that it was made with, and takes the last status."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.trunc("o_orderdate", "month").alias("period"), F.col("o_orderkey").alias("digest"), F.col("o_orderstatus").alias("status"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("at"), (F.dayofmonth("o_orderdate") > 15).alias("second"))
