@@ -33,18 +33,34 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _like(docs, out.where("n_removed = 0 OR length(trim(text)) > 0"))
 
 
+def _number(mark):
+    """64 bits of a mark, as the n-gram join takes ids."""
+    return F.conv(F.substring(mark, 1, 16), 16, -10).cast("long")
+
+
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) one row stays: that with the smallest id, null last, and of equal ids the first as the rows were written. Rows without n-grams all stay.
+    """Of each group of near duplicates (five words, 0.8) one row stays: that with the smallest id, null last, and of equal ids with the least SHA-256 of id and text.
 
-    Rows are told by a number of their own, not by a hash, and keep their columns whatever these are called.
+    Rows equal in id and text are one document, of which one row stays (compared by their values); rows without n-grams all stay. A row is told by the SHA-256 of its id and text; should the 64 bits of two
+    different rows be equal that the join goes by, neither goes. Columns stay whatever they are called.
     """
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "numbered")
-    found = ngram_join.ngram_components(rows.select("number", F.col("row.text").alias("text")), id_col="number").where("n_shingles > 0")
-    placed = found.select("number", "component_id").join(rows.select("number", F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col("number").alias("number")).alias("at")), "number")
-    placed = materialize(placed, "placed")
-    kept = placed.groupBy("component_id").agg(F.min("at").alias("at")).select(F.col("at.number").alias("number"))
-    gone = placed.select("number").join(kept, "number", "left_anti")
-    return rows.join(gone, "number", "left_anti").select("row.*")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    mark = F.sha2(F.concat(F.col("doc_id").isNull().cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text").isNull().cast("string"), F.lit(":"), text), 256)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), mark.alias("mark"), "doc_id", "text")
+    found = ngram_join.ngram_components(rows.select(_number(F.col("mark")).alias("number"), "text"), id_col="number").where("n_shingles > 0")
+    at = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")
+    marks = rows.groupBy("mark").agg(F.first(at).alias("at"), F.count("*").alias("times")).withColumn("number", _number(F.col("mark")))
+    groups = found.groupBy("number").agg(F.min("component_id").alias("component"))
+    told = materialize(marks.join(groups, "number"), "marks")
+    alone = told.groupBy("number").agg(F.count("*").alias("n")).where("n = 1").select("number")
+    told = told.join(alone, "number")
+    kept = told.groupBy("component").agg(F.min("at").alias("at")).select(F.col("at.mark").alias("mark"))
+    gone = told.select("mark").join(kept, "mark", "left_anti")
+    again = told.where("times > 1").select("mark")
+    left = rows.join(gone, "mark", "left_anti")
+    # of equal rows one is left; only such rows are grouped
+    one = left.join(again, "mark", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "mark", "left_anti").unionByName(one).select("row.*")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
