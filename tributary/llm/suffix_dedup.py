@@ -613,12 +613,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     hot = replies.where(F.regexp_replace(F.hex("reply"), "[0145]", "") != "").select("chunk").distinct()
     held = materialize(with_replies.join(hot, "chunk", "left_semi").mapInArrow(hot_regions, "chunk long, number long, region binary, doc long"), "hot")
     # each different region once, then each different string: the smallest document of each; a region has at most length - ANCHOR + 1 strings
-    each = held.groupBy("region").agg(F.min("doc").alias("doc"))
+    each = held.groupBy("region").agg(F.min("doc").alias("least"))
+    each = materialize(each.withColumn("id", F.monotonically_increasing_id()), "regions")
     starts = F.transform(F.sequence(F.lit(1), F.octet_length("region") - (length - 1)), lambda i: F.substring("region", i, F.lit(length)))
-    strings = each.select("region", "doc", F.posexplode(starts).alias("at", "string"))
-    least = strings.groupBy("string").agg(F.min("doc").alias("least"))
-    first = strings.select("region", "at", "string").join(least, "string").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("first"))
-    gone = held.join(first, "region").select("chunk", "number", F.transform("first", lambda x: x["least"] < F.col("doc")).alias("gone"))
+    strings = each.select("id", "least", F.posexplode(starts).alias("at", "string"))
+    least = strings.groupBy("string").agg(F.min("least").alias("first"))
+    # what no other region has of an earlier document is the region's own, and goes no further
+    earlier = strings.join(least, "string").where("first < least").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "first"))).alias("earlier"))
+    told_regions = each.join(earlier, "id", "left")
+    places = F.sequence(F.lit(0), F.octet_length("region") - length)
+    gone = held.join(told_regions, "region").select("chunk", "number", F.transform(places, lambda i: F.coalesce(F.element_at("earlier", i), F.col("least")) < F.col("doc")).alias("gone"))
     gone = gone.where(F.exists("gone", lambda x: x)).groupBy("chunk").agg(F.collect_list(F.struct("number", "gone")).alias("hot_gone"))
     both = chunks.join(told.join(_by_chunk(parts, "part_replies"), "chunk", "left"), "chunk", "left").join(gone, "chunk", "left")
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
