@@ -19,7 +19,7 @@ def stream(spark, sf_dir, name):
 @query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {ARRIVAL}) = 1""")
 def stream_upsert(spark, sf_dir):
     rows = stream(spark, sf_dir, "lineitem").withColumn("fetched_at", F.lit(1).cast("long"))
-    found = programs.upsert_stream(rows, programs.folder(spark, "upsert"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_returnflag"], "fetched_at", arrival())
+    found = programs.upsert_stream(rows, programs.folder(spark, "upsert"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_returnflag"], "fetched_at", arrival(), buckets=16)
     return found.read().drop("fetched_at")
 
 
@@ -44,7 +44,7 @@ def late_data_upsert(spark, sf_dir):
         rows = rows.drop("o_orderdate").withColumn("fetched_at", F.lit(at).cast("long"))
         rows.write.mode("append").parquet(f"{root}/landed")
         # as a scheduler would call it: each run takes what has landed since the one before
-        found = programs.upsert_stream(programs.read(spark, f"{root}/landed", rows.schema), f"{root}/table", ["o_orderkey"], ["status", "price"], "fetched_at", [F.desc("fetched_at")])
+        found = programs.upsert_stream(programs.read(spark, f"{root}/landed", rows.schema), f"{root}/table", ["o_orderkey"], ["status", "price"], "fetched_at", [F.desc("fetched_at")], buckets=16)
     return found.read()
 
 
