@@ -118,42 +118,39 @@ def _lines(spark, sf_dir):
 @query(_rounds_sql("(part + round) % 4 = 0", "asked_n > 4 AND request % 9 = 0", "false", "CASE WHEN lim THEN CASE WHEN n = 1 THEN 'failed' ELSE 'halves' END WHEN back = n THEN 'done' WHEN back = 0 THEN CASE WHEN n = 1 THEN 'failed' ELSE 'halves' END ELSE 'missing' END"))
 def classification_rounds(spark, sf_dir):
     """Recorded answers: a member comes back every fourth round, large batches of some requests are cut off."""
-    rows = _lines(spark, sf_dir)
 
     def answer(asked):
         n = F.count("*").over(Window.partitionBy("request", "path"))
-        told = asked.join(rows.select("request", "member", "part"), ["request", "member"]).withColumn("limited", (n > 4) & (F.col("request") % 9 == 0))
+        told = asked.withColumn("limited", (n > 4) & (F.col("request") % 9 == 0))
         return told.where(F.col("limited") | ((F.col("part") + F.col("round")) % 4 == 0)).select("request", "path", F.when(~F.col("limited"), F.col("member")).alias("member"), "limited")
 
-    return requests.retry_rounds(rows.drop("part"), answer, "classification").drop("place")
+    return requests.retry_rounds(_lines(spark, sf_dir), answer, "classification").drop("place")
 
 
 @query(_rounds_sql("(part + round) % 3 <> 0", "asked_n > 4 AND request % 9 = 0", "asked_n > 1 AND request % 11 = 0", "CASE WHEN lim THEN CASE WHEN n = 1 OR regexp_matches(path, 's[0-9]+$') THEN 'failed' ELSE 'halves' END WHEN back = n AND NOT strange THEN 'done' WHEN regexp_matches(path, 's[0-9]+$') THEN 'failed' WHEN strange THEN 'all singly' ELSE 'missing singly' END"))
 def analysis_rounds(spark, sf_dir):
     """Recorded answers: two members of three come back, some requests with a member that wasn't asked for, some cut off."""
-    rows = _lines(spark, sf_dir)
 
     def answer(asked):
         n = F.count("*").over(Window.partitionBy("request", "path"))
-        told = asked.join(rows.select("request", "member", "part"), ["request", "member"]).withColumn("n", n).withColumn("limited", (F.col("n") > 4) & (F.col("request") % 9 == 0))
+        told = asked.withColumn("n", n).withColumn("limited", (F.col("n") > 4) & (F.col("request") % 9 == 0))
         back = told.where(F.col("limited") | ((F.col("part") + F.col("round")) % 3 != 0)).select("request", "path", F.when(~F.col("limited"), F.col("member")).alias("member"), "limited")
         strange = told.where(~F.col("limited") & (F.col("n") > 1) & (F.col("request") % 11 == 0)).select("request", "path", F.lit(99).alias("member"), "limited").distinct()
         return back.unionByName(strange)
 
-    return requests.retry_rounds(rows.drop("part"), answer, "analysis").drop("place")
+    return requests.retry_rounds(_lines(spark, sf_dir), answer, "analysis").drop("place")
 
 
 @query(_rounds_sql("(part + round) % 3 <> 0", "request % 13 = 0 AND asked_n > 1", "false", "CASE WHEN back = n THEN 'done' WHEN regexp_matches(path, 's[0-9]+$') THEN 'failed' WHEN lim THEN 'all singly' ELSE 'missing singly' END"))
 def summary_rounds(spark, sf_dir):
     """Recorded answers: entries of a batch that failed or didn't come back are summarised singly, once."""
-    rows = _lines(spark, sf_dir)
 
     def answer(asked):
         n = F.count("*").over(Window.partitionBy("request", "path"))
-        told = asked.join(rows.select("request", "member", "part"), ["request", "member"]).withColumn("limited", (n > 1) & (F.col("request") % 13 == 0))
+        told = asked.withColumn("limited", (n > 1) & (F.col("request") % 13 == 0))
         return told.where(F.col("limited") | ((F.col("part") + F.col("round")) % 3 != 0)).select("request", "path", F.when(~F.col("limited"), F.col("member")).alias("member"), "limited")
 
-    return requests.retry_rounds(rows.drop("part"), answer, "summary").drop("place")
+    return requests.retry_rounds(_lines(spark, sf_dir), answer, "summary").drop("place")
 
 
 @query("""SELECT o_orderkey AS story, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE cast(o_custkey % 101 AS INTEGER) END AS score, o_orderstatus <> 'F' AND o_custkey % 101 >= 60 AS relevant FROM orders""")
