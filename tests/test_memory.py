@@ -36,3 +36,21 @@ def test_labels_over_many_rows(spark):
     df = spark.createDataFrame([(i, [" Film ", "film", None, "ＦＩＬＭ", f"x{i}"] if i % 5 else None) for i in range(n)], "i int, v array<string>").coalesce(1)
     got = {r[0]: r[1] for r in df.select("i", text.clean_labels("v")).collect()}
     assert got == {i: ["Film", f"x{i}"] if i % 5 else None for i in range(n)}
+
+
+def test_waves_of_an_archive_double(spark, tmp_path, monkeypatch):
+    import json
+
+    from tributary.sources import archive
+
+    for i in range(40):
+        folder = tmp_path / f"page={i:02d}"
+        folder.mkdir()
+        post = {"id": i + 1, "type": "podcast", "title": "t", "date_ms": 1000 - i}
+        (folder / "part-0.json").write_text(json.dumps([post]) if i < 32 else "no list")
+    waves = []
+    monkeypatch.setattr(archive, "settled", lambda df, name: waves.append(df.count()) or df)
+    # pages from 32 on can't be read, but page 31 lies before the window
+    found = archive.scan(spark, archive.names(spark, f"{tmp_path}/page=*/part-*"), from_ms=970, wave=2)
+    assert waves == [2, 2, 4, 8, 16]
+    assert sorted(r["post_id"] for r in found.collect()) == list(range(1, 32))

@@ -1,12 +1,14 @@
 """A paged JSON archive, newest posts first.
 
 A page is one JSON file, a list of posts (id, type, title, date_ms, text); pages follow one another by name, and each post of a page is not older than those of the next. Spark's own file source opens
-pages, in tasks and on any file system; the driver has their names only. Pages are read in waves, until one lies wholly before the window. A page that repeats another (a paging cycle) and a page with an
-invalid post fail the scan; both are told by a table with a row a page, written wave by wave.
+pages, in tasks and on any file system; the driver has their names only. Pages are read in waves, each as large as all before it, until one lies wholly before the window: the number of waves is
+the logarithm of the number of pages. A page that repeats another (a paging cycle) and a page with an invalid post fail the scan; both are told by a table with a row a page, written wave by wave.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions.text import stripped
 from ..session import settled
 
 POST = "id long, type string, title string, date_ms long, text string"
-#: Pages that are asked for at once.
+#: Pages of the first wave, and of a batch of the stream.
 WAVE = 256
 
 
@@ -69,24 +71,24 @@ def posts_of(found: DataFrame, kinds: list[str], from_ms: int, to_ms: int) -> Da
 def scan(spark: SparkSession, paths: list[str], kinds: list[str] = ("newsletter", "podcast"), from_ms: int = -(2**62), to_ms: int = 2**62, wave: int = WAVE) -> DataFrame:
     """(post_id, kind, title, date_ms, text): posts of the kinds within the window, from the pages up to the first that lies wholly before it. A path that is named twice is a cycle."""
     if len(set(paths)) < len(paths):
-        again = next(p for p in paths if paths.count(p) > 1)
+        counts = Counter(paths)
+        again = next(p for p in paths if counts[p] > 1)
         raise ValueError(f"page {again} repeats page {again}")
-    told, last, read = None, None, []
-    for a in range(0, len(paths), wave):
-        some = paths[a : a + wave]
-        mine = settled(accounts(pages(spark, some)), "pages")
+    told, found, last, read = None, None, None, 0
+    while read < len(paths) and not last:
+        # a wave's files are listed once, here
+        wave_pages = pages(spark, paths[read : read + max(wave, read)])
+        read += max(wave, read)
+        mine = settled(accounts(wave_pages), "pages")
         told = mine if told is None else told.unionByName(mine)
-        read += some
+        found = wave_pages if found is None else found.unionByName(wave_pages)
         # a row a page of the wave
         last = mine.where(F.col("newest") < from_ms).agg(F.min("page")).first()[0]
-        if last:
-            break
     if told is None:
         return spark.createDataFrame([], "post_id long, kind string, title string, date_ms long, text string")
     if last:
         told = told.where(F.col("page") <= last)
     checked(told)
-    found = pages(spark, read)
     return posts_of(found if last is None else found.where(F.col("page") <= last), list(kinds), from_ms, to_ms)
 
 
