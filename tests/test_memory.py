@@ -54,3 +54,17 @@ def test_waves_of_an_archive_double(spark, tmp_path, monkeypatch):
     found = archive.scan(spark, archive.names(spark, f"{tmp_path}/page=*/part-*"), from_ms=970, wave=2)
     assert waves == [2, 2, 4, 8, 16]
     assert sorted(r["post_id"] for r in found.collect()) == list(range(1, 32))
+
+
+def test_rules_of_a_large_batch(spark, monkeypatch):
+    from tributary.operators import joins
+
+    sent = []
+    texts = spark.createDataFrame([(1, "x")], "story_id long, value string")
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda df, run, schema: sent.append(run) or df)
+    joins._by_automaton(texts, spark.createDataFrame([(f"r{i}", f"ab{i}") for i in range(10)], "rule_id string, needle string"))
+    batch = pa.RecordBatch.from_pydict({"story_id": list(range(5000)), "value": ["ab1 ab2 ab3 " * 100] * 5000})
+    pages = list(sent[0](iter([batch])))
+    # matches leave with the few rows that they are of
+    assert max(p.num_rows for p in pages) == 3 * udfs.ROWS
+    assert sum(p.num_rows for p in pages) == 15000
