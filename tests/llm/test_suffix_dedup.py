@@ -186,6 +186,36 @@ def test_hot_anchors(spark):
     assert got == want
 
 
+def test_hot_anchors_deal_no_text(spark):
+    """Chunks are dealt to the answers of their two messages, and not once more for the hot anchors of a few."""
+    rng = np.random.default_rng(10)
+    letters = np.arange(33, 127, dtype=np.uint8)
+    text = lambda n: rng.choice(letters, n).tobytes().decode()
+    cold = [(1000 + i, text(20_000)) for i in range(200)]
+    passage, endings = text(90), [text(40) for _ in range(100)]
+    hot = [(i, text(30) + passage + endings[i % 100]) for i in range(300)]
+    scala = spark.sparkContext._jsc.sc()
+
+    def written():
+        """Bytes that each stage wrote for a shuffle."""
+        scala.listenerBus().waitUntilEmpty(30_000)
+        stages = scala.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        out = S.remove_repeats(spark.createDataFrame(cold + hot, "doc_id long, text string")).collect()
+        sizes = [n for k, n in written().items() if k not in before]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    got, want = results([(i, t.encode()) for i, t in hot], [r for r in out if r["doc_id"] < 1000])
+    assert got == want and sum(r["n_removed"] for r in out if r["doc_id"] >= 1000) == 0
+    # random letters keep over 0.8 of their bytes; the messages on anchors have less than half
+    assert len([n for n in sizes if n > 0.7 * 200 * 20_000]) == 2
+
+
 def test_memory_of_a_long_document():
     """One document of 20 MB: what a worker holds stays within a few chunks."""
     import tracemalloc
